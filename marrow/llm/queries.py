@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bpe, decontaminate, langid
+from marrow.llm import bpe, decontaminate, langid, quality, urlfilter
 from marrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -72,3 +72,77 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold("doc_id", 5) == 0)
     profiles = langid.learn(docs.where("NOT held_out"))
     return langid.predict(docs, profiles, keep=("held_out",))
+
+
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _quality_sql() -> str:
+    tests = f"(SELECT greatest(1, count(*)) * {len(quality.RULES)} FROM strata)"
+    rate = quality.RISK / len(quality.RULES)
+    tried = "\n    UNION ALL ".join(
+        f"SELECT stratum, '{rule}' AS rule, {i} AS step, {c}::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER (WHERE {feature} > {c}::DOUBLE) AS k FROM held GROUP BY stratum"
+        for rule, (feature, grid) in quality.RULES.items()
+        for i, c in enumerate(grid)
+    )
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}) + (n - i) * ln(1 - {rate!r}))"
+    rejects = " OR ".join(f"coalesce({feature} > (SELECT cutoff FROM chosen c WHERE c.stratum = j.stratum AND c.rule = '{rule}'), false)" for rule, (feature, _) in quality.RULES.items())
+    return rf"""
+WITH split AS (
+    SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM split WHERE len(w) >= 5)
+), again AS (
+    SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), repeated AS (
+    SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM again) GROUP BY doc_id
+), features AS (
+    SELECT doc_id, stratum, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+           len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+           len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+           coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_extract_all(text, '[A-Z]')) AS n_capitals
+    FROM split LEFT JOIN repeated USING (doc_id)
+), judged AS (
+    SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM features
+), good AS (
+    SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1
+), held AS (
+    SELECT judged.* FROM judged JOIN good USING (doc_id) WHERE NOT base_failed
+), strata AS (
+    SELECT DISTINCT stratum FROM held
+), tried AS (
+    {tried}
+), tested AS (
+    SELECT *, list_sum([{term} for i in range(0, k + 1)]) <= {quality.DELTA} / {tests} AS ok FROM tried
+), chosen AS (
+    SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY step) AS so_far FROM tested) WHERE so_far GROUP BY stratum, rule
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejects}) AS kept FROM judged j
+"""
+
+
+ORACLES["op1_quality"] = _quality_sql()
+
+
+@query
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def _urls_sql() -> str:
+    fits = [(f"((host = '{d}' OR ends_with(host, '.{d}')) AND starts_with(path, '{p}'))", d + p, what) for what, d, p in sorted(urlfilter.RULES, key=lambda r: -len(r[1]) - len(r[2]))]
+    listed = " OR ".join(f"host = '{d}' OR ends_with(host, '.{d}')" for d in urlfilter.LISTED_DOMAINS)
+    return rf"""
+WITH parts AS (
+    SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages
+)
+SELECT page_id, host, path, CASE {' '.join(f"WHEN {f} THEN '{r}'" for f, r, _ in fits)} END AS rule,
+       CASE {' '.join(f"WHEN {f} THEN '{w}'" for f, _, w in fits)} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict FROM parts
+"""
+
+
+ORACLES["op10_urls"] = _urls_sql()
