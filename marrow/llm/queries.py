@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bpe, decontaminate, langid, quality, urlfilter
+from marrow.llm import bpe, decontaminate, htmltext, langid, quality, urlfilter
 from marrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -146,3 +146,9 @@ SELECT page_id, host, path, CASE {' '.join(f"WHEN {f} THEN '{r}'" for f, r, _ in
 
 
 ORACLES["op10_urls"] = _urls_sql()
+
+
+@query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = htmltext.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
