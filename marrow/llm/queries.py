@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bpe, decontaminate, htmltext, langid, quality, urlfilter
+from marrow.llm import bpe, decontaminate, htmltext, jaccard, langid, quality, urlfilter
 from marrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -152,3 +152,40 @@ ORACLES["op10_urls"] = _urls_sql()
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = htmltext.extract(table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_jaccard"] = r"""
+WITH RECURSIVE split AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE [array_to_string(w[i : i + 3], ' ') for i in range(1, len(w) - 2)] END)) AS s FROM split
+), classes AS (
+    SELECT s, len(s) AS n, min(doc_id) AS class_id FROM sets WHERE len(s) > 0 GROUP BY s
+), members AS (
+    SELECT class_id, n, unnest(s) AS g FROM classes
+), counts AS (
+    SELECT g, count(*) AS df FROM members GROUP BY g
+), foremost AS (
+    SELECT class_id, n, g FROM members JOIN counts USING (g) QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY df, g) <= n - (85 * n + 99) // 100 + 1
+), candidates AS (
+    SELECT DISTINCT a.class_id AS a, b.class_id AS b FROM foremost a JOIN foremost b USING (g) WHERE a.class_id < b.class_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+), links AS (
+    SELECT a, b FROM candidates c JOIN classes x ON x.class_id = a JOIN classes y ON y.class_id = b
+    WHERE 100 * len(list_intersect(x.s, y.s)) >= 85 * (x.n + y.n - len(list_intersect(x.s, y.s)))
+), both_ways AS (
+    SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+    SELECT class_id AS a, class_id AS b FROM classes
+    UNION
+    SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a
+), components AS (
+    SELECT a AS class_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(class_id, doc_id) AS class_id, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN components USING (class_id)
+"""
