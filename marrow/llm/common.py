@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,3 +57,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int) -> Iterat
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
+
+
+def tree_sum(parts: DataFrame, size: int, dtype: str = "f8", most: int | None = None) -> np.ndarray:
+    """The sum of vectors of `size` numbers, one binary of `dtype` a row; sixteen tasks' rows are added up at a time.
+
+    most: larger sums count as that (for numbers of few bytes). parts must be written already.
+    """
+    wide = "f8" if dtype[0] == "f" else "i8"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, wide)
+        for batch in batches:
+            for x in batch.column(0):
+                total += np.frombuffer(x.as_buffer(), dtype)
+        out = (total if most is None else np.minimum(total, most)).astype(dtype).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array([out], pa.binary())], names=["x"])
+
+    while (tasks := parts.rdd.getNumPartitions()) > 16:
+        parts = settled(parts.coalesce(-(-tasks // 16)).mapInArrow(add, "x binary"), "sums")
+    one = parts.coalesce(1).mapInArrow(add, "x binary").collect()
+    return np.frombuffer(one[0]["x"], dtype).astype(wide) if one else np.zeros(size, wide)

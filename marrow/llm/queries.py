@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bpe, decontaminate, htmltext, jaccard, langid, quality, urlfilter
+from marrow.llm import bpe, decontaminate, hmm, htmltext, jaccard, langid, quality, urlfilter
 from marrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -189,3 +189,9 @@ WITH RECURSIVE split AS (
 SELECT doc_id, len(sets.s) AS n_shingles, coalesce(class_id, doc_id) AS class_id, coalesce(component_id, doc_id) AS component_id
 FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN components USING (class_id)
 """
+
+
+@query
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold("doc_id", 7) == 2)
+    return hmm.score(docs, keep=("held_out",))
