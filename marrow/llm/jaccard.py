@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marrow.llm import words
-from marrow.llm.common import settled, slices
+from marrow.llm.common import settled, slices, tree_sum
 from marrow.llm.components import components
 
 SIZE, PERCENT = 4, 85
 SLICE_BYTES = 2_000_000
 SKETCH_BITS = 20
+#: Larger counts are all as frequent. Any order of the shingles gives the same links, this one is fast.
+MOST = (1 << 16) - 1
 MAX_BROADCAST_IDS = 2_000_000
 #: Recursion goes on while so many times more pairs than rows might have to be compared.
 PAIRS_A_ROW = 8
@@ -61,11 +63,6 @@ def name_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """Counts up to 65535; more is as frequent as that. Any order of the shingles is right, this one is fast."""
-    return np.minimum(counts, (1 << 16) - 1).astype(np.uint16).tobytes()
-
-
 def describe(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(id, n, name) of each row, and the sketch: partial counts of shingles by their first bits."""
 
@@ -81,7 +78,7 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
             name = signed(np.array([name_of(s) for s in found], np.uint64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), n, name, pa.nulls(len(found), pa.binary())], names=names)
         if kind is not None and counts.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([packed(counts)], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([np.minimum(counts, MOST).astype(np.uint16).tobytes()], pa.binary())], names=names)
 
     schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("n", T.LongType()), T.StructField("name", T.LongType()), T.StructField("sketch", T.BinaryType())])
     both = settled(docs.mapInArrow(run, schema), "jaccard-names")
@@ -90,19 +87,7 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
 def ranks(parts: DataFrame) -> np.ndarray:
     """For each first bits of a shingle how frequent its kind is, as half powers of two; a byte each, so of fixed size."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for x in batch.column(batch.num_columns - 1):
-                total += np.frombuffer(x.as_buffer(), np.uint16)
-        if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], names=["sketch"])
-
-    while (tasks := parts.rdd.getNumPartitions()) > 16:  # a tree: each task of a step adds up what sixteen have
-        parts = settled(parts.coalesce(-(-tasks // 16)).mapInArrow(add, "sketch binary"), "jaccard-sketch")
-    one = parts.coalesce(1).mapInArrow(add, "sketch binary").collect()
-    total = np.frombuffer(one[0]["sketch"], np.uint16).astype(np.int64) if one else np.zeros(1 << SKETCH_BITS, np.int64)
+    total = tree_sum(parts.select("sketch"), 1 << SKETCH_BITS, "u2", MOST)
     return np.minimum(63, np.round(2 * np.log2(total + 1))).astype(np.uint8)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bpe, decontaminate, hmm, htmltext, jaccard, langid, quality, urlfilter
+from marrow.llm import bpe, decontaminate, hmm, htmltext, jaccard, langid, quality, toxicity, urlfilter
 from marrow.llm.common import fold, table
 
 QUERIES: dict = {}
@@ -195,3 +195,10 @@ FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN components USING (cl
 def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold("doc_id", 7) == 2)
     return hmm.score(docs, keep=("held_out",))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = toxicity.rate(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return rated.withColumn("toxic", F.coalesce(F.col("grade") > 0, F.lit(False)))

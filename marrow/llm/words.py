@@ -57,12 +57,16 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8), at - at[0]
 
 
-def numbers(data: np.ndarray, rows: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: ASCII other than letters and digits.
+NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def numbers(data: np.ndarray, rows: np.ndarray, lower: bool = True, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The number, first byte and end of every word, and the first word of each row (one entry more than rows)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(rows), np.int64)
-    solid = ~BLANK[data]
+    solid = ~blank[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[rows] = True
     first = np.flatnonzero(solid & (cut[:-1] | np.r_[True, ~solid[:-1]]))
