@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bpe, decontaminate, hmm, htmltext, jaccard, langid, quality, toxicity, urlfilter
-from marrow.llm.common import fold, table
+from marrow.llm import bpe, decontaminate, hmm, htmltext, jaccard, langid, quality, tokenfile, toxicity, urlfilter
+from marrow.llm.common import fold, shared_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -202,3 +204,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rated = toxicity.rate(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
     return rated.withColumn("toxic", F.coalesce(F.col("grade") > 0, F.lit(False)))
+
+
+@query
+def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
+    tokenfile.write(table(spark, sf_dir, "documents"), path)
+    return tokenfile.digests(tokenfile.read(spark, path))
