@@ -32,8 +32,10 @@ from marrow.llm.common import settled, slices, tree_sum
 
 STATES, ROUNDS, RUN = 8, 3, 256
 OWN, SHAPES, HEAD = 16_384, 1_024, 262_144
-SLICE_BYTES = 4_000_000
-RUN_TOKENS = 400_000
+SLICE_BYTES, SCORED_BYTES = 2_000_000, 12_000_000
+RUN_TOKENS = 200_000
+#: Words that a counting task holds before it sends them on.
+HELD = 1_000_000
 PRIOR = 50.0
 #: The number of the end token; no other word has it but by a chance of 2**-64.
 END = 1
@@ -54,6 +56,13 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(number.view(np.int64), ends, END), np.insert(shape.astype(np.int64), ends, -1), row + np.arange(len(row))
 
 
+def many(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tokens() of a larger batch, taken in parts."""
+    parts = [tokens(x.column("text")) for x in slices(iter([batch]), "text", SLICE_BYTES)]
+    rows = np.concatenate([np.diff(p[2]) for p in parts])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.r_[0, np.cumsum(rows)]
+
+
 def count(train: DataFrame) -> DataFrame:
     """(word, shape, n) of all tokens of the texts."""
 
@@ -71,10 +80,10 @@ def count(train: DataFrame) -> DataFrame:
             u, first, n = np.unique(number, return_index=True, return_counts=True)
             held.append((u, shape[first], n))
             size += len(u)
-            if size > 3_000_000:
+            if size > 2 * HELD:
                 held = [added()]
                 size = len(held[0][0])
-                if size > 1_500_000:
+                if size > HELD:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["word", "shape", "n"])
                     held, size = [], 0
         if held:
@@ -255,8 +264,8 @@ def score(docs: DataFrame, training: str = "NOT held_out", id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, model = sent.value
         row_id = TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text", 4 * SLICE_BYTES):
-            number, shape, row = tokens(batch.column("text"))
+        for batch in slices(batches, "text", SCORED_BYTES):
+            number, shape, row = many(batch)
             symbol, n, head = lexicon.look(number, shape)
             shaped = symbol < SHAPES
             logs = np.log10(n + 1.0)
