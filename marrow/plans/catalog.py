@@ -4,9 +4,323 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marrow.functions import text as X
+from marrow.operators import bm25, dense, fuse, notes
+from marrow.plans.index import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+QUESTION = "the and of retion"
+REPEATED = "retion the retion retion"
+TOP = 10
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def one_query(spark: SparkSession, text: str) -> DataFrame:
+    return spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(text).alias("query"))
+
+
+def plain_index(spark: SparkSession, sf_dir: str) -> bm25.Postings:
+    return bm25.build(table(spark, sf_dir, "documents").select("doc_id", "text"), ("doc_id",), bm25.plain(F.col("text")))
+
+
+# --- Sparse leg
+
+TOKENS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')"
+WORDS = f"words AS (SELECT doc_id, {TOKENS.format('text')} AS w FROM documents)"
+COUNTS = f"""{WORDS}, lengths AS (SELECT doc_id, len(w) AS dl FROM words),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM words) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+stats AS (SELECT count(*) AS doc_count, sum(dl) / count(*) AS avgdl FROM lengths)"""
+IDF = "ln((doc_count - df + 0.5) / (df + 0.5) + 1)"
+
+
+def bm25_sql(questions: str, limit: int) -> str:
+    """questions: SQL for (query_id, query)."""
+    return f"""{COUNTS}, questions AS ({questions}),
+asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.format('query')}) AS term FROM questions) GROUP BY query_id, term),
+scored AS (SELECT query_id, doc_id, round(sum(times * {IDF} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
+           FROM asked JOIN df USING (term) JOIN tf USING (term) JOIN lengths USING (doc_id), stats GROUP BY query_id, doc_id),
+sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM scored WHERE score > 0
+           QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= {limit})"""
+
+
+@query(f"WITH {WORDS} SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_terms FROM words")
+def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("w"))
+    return words.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_terms"))
+
+
+@query(f"WITH {COUNTS} SELECT doc_id, dl, term, tf FROM tf JOIN lengths USING (doc_id)")
+def term_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_index(spark, sf_dir).postings
+
+
+@query(f"WITH {COUNTS} SELECT term, df FROM df")
+def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_index(spark, sf_dir).terms
+
+
+@query(f"WITH {COUNTS} SELECT doc_count, round(avgdl, 6) AS avgdl FROM stats")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plain_index(spark, sf_dir).stats.select("doc_count", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"WITH {COUNTS} SELECT term, round({IDF}, 6) AS idf FROM df, stats")
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = plain_index(spark, sf_dir)
+    joined = index.terms.crossJoin(F.broadcast(index.stats))  # stats is one row
+    return joined.select("term", F.round(bm25.idf(F.col("doc_count"), F.col("df")), 6).alias("idf"))
+
+
+@query(f"WITH {bm25_sql(f'SELECT 0 AS query_id, $${QUESTION}$$ AS query', TOP)} SELECT query_id, doc_id, score, rank FROM sparse")
+def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(plain_index(spark, sf_dir), one_query(spark, QUESTION), TOP)
+
+
+@query(f"WITH {bm25_sql(f'SELECT 0 AS query_id, $${REPEATED}$$ AS query', TOP)} SELECT query_id, doc_id, score, rank FROM sparse")
+def bm25_dup_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(plain_index(spark, sf_dir), one_query(spark, REPEATED), TOP)
+
+
+@query(f"WITH {bm25_sql('SELECT item_id AS query_id, text AS query FROM benchmark', TOP)} SELECT query_id, doc_id, score, rank FROM sparse")
+def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25.search(plain_index(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), TOP)
+
+
+FIELDED_SQL = f"""
+WITH words AS (
+    SELECT doc_id, unnest(list_concat({TOKENS.format('text')}, {TOKENS.format('source')}, {TOKENS.format('lang')}, {TOKENS.format('lang')}, {TOKENS.format('lang')})) AS term FROM documents
+) SELECT doc_id, (sum(tf) OVER (PARTITION BY doc_id))::BIGINT AS dl, term, tf FROM (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term)
+"""
+
+
+@query(FIELDED_SQL)
+def bm25_fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return bm25.term_counts(docs, ("doc_id",), X.weighted_tokens([(F.col("text"), 1), (F.col("source"), 1), (F.col("lang"), 3)]))
+
+
+# --- Dense leg
+
+
+def dense_sql(questions: str, limit: int) -> str:
+    """questions: SQL for (query_id, q)."""
+    return f"""asked AS ({questions}),
+near AS (SELECT query_id, vec_id, round(list_inner_product(embedding::DOUBLE[], q::DOUBLE[]), 5) AS score FROM embeddings, asked),
+dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) - 1 AS rank FROM near
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {limit})"""
+
+
+FIRST = "SELECT 0 AS query_id, embedding AS q FROM embeddings WHERE vec_id = 0"
+
+
+def first_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), "embedding")
+
+
+@query(f"WITH {dense_sql(FIRST, 50)} SELECT query_id, vec_id, score, rank FROM dense")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense.topk(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), 50, ("vec_id",))
+
+
+@query(f"WITH {dense_sql('SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0', TOP)} SELECT query_id, vec_id, score, rank FROM dense")
+def dense_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return dense.topk(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), TOP, ("vec_id",))
+
+
+# --- Fusion and ranking: vectors stand for the documents of the same id, sources for notes
+
+LIMIT = 50
+LEGS = f"{bm25_sql(f'SELECT 0 AS query_id, $${QUESTION}$$ AS query', LIMIT)}, {dense_sql(FIRST, LIMIT).replace('asked AS', 'vectors AS').replace(', asked)', ', vectors)')}"
+UNION = f"""{LEGS}, candidates AS (
+    SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.vec_id, s.doc_id) AS doc_id, d.rank AS dense_rank, s.rank AS sparse_rank
+    FROM dense d FULL OUTER JOIN sparse s ON d.query_id = s.query_id AND d.vec_id = s.doc_id
+)"""
+LEG = "coalesce(1::FLOAT / (60 + {})::FLOAT, 0::FLOAT)"
+RRF = f"""{UNION}, fused AS (
+    SELECT *, ({LEG.format('dense_rank')} + {LEG.format('sparse_rank')})::FLOAT AS score FROM candidates
+)"""
+#: The whole query against names: sources are names, langs tags.
+BOOST = "(CASE WHEN '{q}' = source THEN 1.5 WHEN '{q}' = '#' || lang THEN 1.25 ELSE 1 END)::FLOAT"
+SATURATED = """halved AS (
+    SELECT *, (score * power(0.5, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) - 1)::FLOAT)::FLOAT AS adjusted FROM named
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY adjusted DESC, source, doc_id) AS place FROM halved
+)"""
+
+
+def legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    near = dense.topk(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), LIMIT, ("vec_id",)).withColumnRenamed("vec_id", "doc_id")
+    return near, bm25.search(plain_index(spark, sf_dir), one_query(spark, QUESTION), LIMIT)
+
+
+def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuse.rrf(fuse.union(*legs(spark, sf_dir), ("doc_id",)))
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+
+
+@query(f"WITH {LEGS} SELECT 'dense' AS leg, query_id, vec_id AS doc_id, score, rank FROM dense UNION ALL SELECT 'sparse', query_id, doc_id, score, rank FROM sparse")
+def rank_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near, sparse = legs(spark, sf_dir)
+    return near.withColumn("leg", F.lit("dense")).unionByName(sparse.withColumn("leg", F.lit("sparse")))
+
+
+@query(f"WITH {UNION} SELECT query_id, doc_id, coalesce(dense_rank, -1) AS dense_rank, coalesce(sparse_rank, -1) AS sparse_rank FROM candidates")
+def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A leg that does not have a document gives the rank -1."""
+    return fuse.union(*legs(spark, sf_dir), ("doc_id",)).fillna(-1, ["dense_rank", "sparse_rank"])
+
+
+@query(f"WITH {RRF} SELECT query_id, doc_id, coalesce(dense_rank, -1) AS dense_rank, coalesce(sparse_rank, -1) AS sparse_rank, round(score::DOUBLE, 9) AS score FROM fused")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused(spark, sf_dir).withColumn("score", F.round(F.col("score").cast("double"), 9)).fillna(-1, ["dense_rank", "sparse_rank"])
+
+
+def boosts(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    nothing = F.lit(None).cast("string")
+    factor = fuse.boost(F.lit(text), F.col("source"), nothing, nothing, F.array().cast("array<string>"), F.array("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", factor.cast("double").alias("boost"))
+
+
+@query(f"SELECT doc_id, {BOOST.format(q='src3')}::DOUBLE AS boost FROM documents")
+def boost_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosts(spark, sf_dir, "src3")
+
+
+@query(f"SELECT doc_id, {BOOST.format(q='#fr')}::DOUBLE AS boost FROM documents")
+def boost_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosts(spark, sf_dir, "#fr")
+
+
+@query(f"WITH {RRF}, named AS (SELECT f.*, source FROM fused f JOIN documents USING (doc_id)), {SATURATED} SELECT doc_id, source, place, round(adjusted::DOUBLE, 9) AS score FROM placed WHERE place <= {TOP}")
+def saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = fuse.saturate(named(spark, sf_dir), "source", ("doc_id",), TOP)
+    return best.select("doc_id", "source", "place", F.round(F.col("score").cast("double"), 9).alias("score"))
+
+
+@query(
+    f"""WITH {RRF}, named AS (SELECT f.query_id, f.doc_id, source, (score * {BOOST.format(q=QUESTION)})::FLOAT AS score FROM fused f JOIN documents USING (doc_id)), {SATURATED}
+SELECT doc_id, source, place, round(adjusted::DOUBLE, 9) AS score FROM placed WHERE place <= {TOP}"""
+)
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both legs, fusion, boosts and saturation in one plan."""
+    nothing = F.lit(None).cast("string")
+    factor = fuse.boost(F.lit(QUESTION), F.col("source"), nothing, nothing, F.array().cast("array<string>"), F.array("lang"))
+    rows = named(spark, sf_dir).withColumn("score", fuse.boosted(F.col("score"), factor))
+    best = fuse.saturate(rows, "source", ("doc_id",), TOP)
+    return best.select("doc_id", "source", "place", F.round(F.col("score").cast("double"), 9).alias("score"))
+
+
+# --- Notes: markdown rendered from columns
+
+def note_files(df: DataFrame, path: Column, text: Column) -> DataFrame:
+    return df.select(path.alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+@query(
+    """
+WITH turns AS (SELECT conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM conversations WHERE text IS NOT NULL AND regexp_matches(text, '[^ \\t\\r\\n]') AND strlen(text) < 900)
+SELECT 'conv-' || conv_id || '-' || turn || '.md' AS path, ['Conversation ' || conv_id, role] AS heading_trail, 'Conversation ' || conv_id || ' > ' || role AS breadcrumb, 3 AS start_line, 3 + len(body) - len(replace(body, chr(10), '')) AS end_line, body FROM turns
+"""
+)
+def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a note `# Conversation n`, `## role`, text; texts that are one chunk by their size are compared."""
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND text RLIKE '[^ \\\\t\\\\r\\\\n]' AND octet_length(text) < 900")
+    body = F.btrim(F.col("text"), F.lit(" \t\n\r"))
+    files = note_files(turns, F.concat(F.lit("conv-"), "conv_id", F.lit("-"), "turn", F.lit(".md")), F.concat(F.lit("# Conversation "), "conv_id", F.lit("\n## "), "role", F.lit("\n"), body, F.lit("\n")))
+    rows = notes.chunk_rows(notes.parse(files))
+    return rows.select("path", "heading_trail", X.breadcrumb(F.col("heading_trail")).alias("breadcrumb"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "body")
+
+
+@query("SELECT 'doc-' || doc_id || '.md' AS path, [source, lang] AS tags, 'doc-' || doc_id AS name FROM documents")
+def inline_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes with one tag in the frontmatter, the same and another in the text, and one in a code span and a fence."""
+    docs = table(spark, sf_dir, "documents")
+    text = F.concat(F.lit("---\ntags: ["), "source", F.lit("]\n---\n`#code` #"), "source", F.lit(" #"), "lang", F.lit("\n```\n#fenced\n```\n"))
+    parsed = notes.parse(note_files(docs, F.concat(F.lit("doc-"), "doc_id", F.lit(".md")), text))
+    return parsed.select("path", "tags", "name")
+
+
+@query(
+    """
+SELECT 'customers/' || c_custkey || '.md' AS path, c_custkey::VARCHAR AS name, 'customers' AS parent_folder, c_name AS title, [c_mktsegment, n_name || ', nation'] AS aliases, [n_name] AS tags, 'Customer' AS h1
+FROM customer JOIN nation ON c_nationkey = n_nationkey
+"""
+)
+def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    text = F.concat(
+        F.lit('---\ntitle: "'), "c_name", F.lit('"\naliases: ['), "c_mktsegment", F.lit(', "'), "n_name", F.lit(', nation"]\nbalance:\n  - '), F.col("c_acctbal").cast("string"), F.lit("\ntags:\n  - "), "n_name", F.lit("\n---\n# Customer\ntext\n")
+    )
+    parsed = notes.parse(note_files(rows, F.concat(F.lit("customers/"), "c_custkey", F.lit(".md")), text))
+    return parsed.select("path", "name", "parent_folder", "title", "aliases", "tags", "h1")
+
+
+@query(
+    r"""
+SELECT doc_id, strlen(regexp_replace(coalesce(text, ''), '[ \t\r\n]', '', 'g')) AS solid_bytes, true AS all_fit, true AS ordered FROM documents
+"""
+)
+def chunk_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks hold all that is not blank, none has over 1000 bytes, and their lines ascend."""
+    docs = table(spark, sf_dir, "documents")
+    parsed = notes.parse(note_files(docs, F.col("doc_id").cast("string"), F.concat(F.lit("# Text\n"), F.coalesce("text", F.lit("")))))
+    solid = F.octet_length(F.regexp_replace(F.concat_ws("", F.transform("chunks", lambda c: c["body"])), r"[ \t\r\n]", ""))
+    fit = F.forall("chunks", lambda c: F.octet_length(c["body"]) <= notes.HARD_MAX)
+    lines = F.transform("chunks", lambda c: c["start_line"])
+    return parsed.select(F.col("path").cast("long").alias("doc_id"), solid.cast("long").alias("solid_bytes"), fit.alias("all_fit"), (F.array_sort(lines) == lines).alias("ordered"))
+
+
+@query(
+    r"""
+WITH bare AS (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS b FROM documents),
+cuts AS (SELECT doc_id, b, list_max(list_filter(range(0, 201), lambda i: strlen(b[1:i]) <= 200)) AS n FROM bare)
+SELECT doc_id, CASE WHEN strlen(b) <= 200 THEN b ELSE b[1:n] END AS snippet FROM cuts
+"""
+)
+def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", X.snippet(F.col("text"), 200).alias("snippet"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter([source, lang, '', source, 'Top > ' || lang, text], lambda x: x IS NOT NULL AND x <> ''), ' ') AS dense_text FROM documents")
+def dense_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trail = F.array(F.lit("Top"), F.col("lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.dense_text(F.col("source"), F.col("lang"), F.array(F.lit(""), F.col("source")), F.lit(None).cast("string"), trail, F.col("text")).alias("dense_text"))
+
+
+@query(
+    """
+WITH before AS (SELECT 'doc-' || doc_id AS path, n_chars AS size, 1 AS mtime FROM documents WHERE doc_id % 10 <> 3),
+after AS (SELECT 'doc-' || doc_id AS path, n_chars + CASE WHEN doc_id % 10 = 5 THEN 1 ELSE 0 END AS size, 1 AS mtime FROM documents WHERE doc_id % 10 <> 7)
+SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM before b FULL OUTER JOIN after a USING (path) WHERE b.path IS NULL OR a.path IS NULL OR b.size <> a.size OR b.mtime <> a.mtime
+"""
+)
+def file_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two listings of files: some were added, some removed, some have another size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("path"), F.col("n_chars").alias("size"), F.lit(1).cast("long").alias("mtime_ns"))
+    after = docs.where("doc_id % 10 <> 7").withColumn("size", F.col("size") + F.when(F.col("doc_id") % 10 == 5, 1).otherwise(0))
+    return changes(docs.where("doc_id % 10 <> 3"), after)
