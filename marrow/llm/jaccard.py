@@ -16,7 +16,7 @@ the next foremost set of the smaller components as pivot; then the rest is compa
 between different components is thus found, nothing is capped, and components are exact.
 
 Only numbers move: 64-bit shingles, and classes as (64-bit number, size). Texts are read where they
-lie, three times. The ids of the texts whose sets are compared are broadcast if there are at most
+lie, once more for each round of comparisons. The ids of the texts whose sets are compared are broadcast if there are at most
 `MAX_BROADCAST_IDS` of them, else joined by shuffle. Hot shingles, copies and pivots are summed before
 they are exchanged, or joined so that Spark can split them.
 
@@ -26,11 +26,13 @@ its own id. A null id is never the smallest unless all are. Repeated rows are co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,12 +43,17 @@ from marrow.llm.components import components
 
 SIZE, PERCENT = 4, 85
 SLICE_BYTES = 2_000_000
-SKETCH_BITS = 20
 #: Larger counts are all as frequent. Any order of the shingles gives the same links, this one is fast.
 MOST = (1 << 16) - 1
 MAX_BROADCAST_IDS = 2_000_000
+MAX_BROADCAST_ROWS = 1_000_000
+#: Of the sets of one task, about.
+REGION_BYTES = 32_000_000
 #: Recursion goes on while so many times more pairs than rows might have to be compared.
-PAIRS_A_ROW = 8
+PAIRS_A_ROW = 500
+
+Content = Callable[[np.ndarray], bytes]
+Compare = Callable[[bytes, bytes], tuple[int, int]]
 
 
 def sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -63,17 +70,22 @@ def name_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0
 
 
-def describe(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def sketch_bits(rows: int) -> int:
+    """Of the sketch's index: it grows with the rows, from 2**18 up to 2**24 counts of two bytes."""
+    return min(24, max(18, rows.bit_length()))
+
+
+def describe(docs: DataFrame, size: int, bits: int) -> tuple[DataFrame, DataFrame]:
     """(id, n, name) of each row, and the sketch: partial counts of shingles by their first bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.int64)
         names = ["id", "n", "name", "sketch"]
         kind = None
         for batch, found in sets(batches, size):
             kind = batch.column("id").type
             if found:
-                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
             n = pa.array([len(s) for s in found], pa.int64())
             name = signed(np.array([name_of(s) for s in found], np.uint64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), n, name, pa.nulls(len(found), pa.binary())], names=names)
@@ -85,18 +97,24 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     return both.where("n >= 0").select("id", "n", "name"), both.where("n < 0").select("sketch")
 
 
-def ranks(parts: DataFrame) -> np.ndarray:
+def ranks(parts: DataFrame, bits: int) -> np.ndarray:
     """For each first bits of a shingle how frequent its kind is, as half powers of two; a byte each, so of fixed size."""
-    total = tree_sum(parts.select("sketch"), 1 << SKETCH_BITS, "u2", MOST)
+    total = tree_sum(parts.select("sketch"), 1 << bits, "u2", MOST)
     return np.minimum(63, np.round(2 * np.log2(total + 1))).astype(np.uint8)
 
 
-def places(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(key, name, n, place) of the foremost shingles of each row's set; a set that a task has had is left out."""
-    sent = docs.sparkSession.sparkContext.broadcast(rank)
+def foremost(s: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set in the common order, as many as sets that link must meet in, and their places in that order as numbers."""
+    first = len(s) - (percent * len(s) + 99) // 100 + 1
+    at = rank[(s >> np.uint64(65 - len(rank).bit_length())).astype(np.int64)].astype(np.uint64) << np.uint64(58) | (s >> np.uint64(6))
+    order = np.argsort(at, kind="stable")[:first]
+    return s[order], at[order]
+
+
+def places(docs: DataFrame, sent: Broadcast, size: int, percent: int) -> DataFrame:
+    """(key, name, size_place) of the foremost shingles of each row's set; a set that a task has had is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = sent.value.astype(np.uint64) << np.uint64(58)
         had: set[int] = set()
         for _, found in sets(batches, size):
             keys, name, n, place = [], [], [], []
@@ -107,12 +125,11 @@ def places(docs: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFr
                 had.add(me)
                 if len(had) > 1_000_000:
                     had.clear()
-                first = len(s) - (percent * len(s) + 99) // 100 + 1
-                at = order[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] | (s >> np.uint64(6))
-                keys.append(s[np.argsort(at, kind="stable")[:first]])
-                name.append(np.full(first, me, np.uint64))
-                n.append(np.full(first, len(s), np.int64))
-                place.append(np.arange(first, dtype=np.int64))
+                first = foremost(s, sent.value, percent)[0]
+                keys.append(first)
+                name.append(np.full(len(first), me, np.uint64))
+                n.append(np.full(len(first), len(s), np.int64))
+                place.append(np.arange(len(first), dtype=np.int64))
             if keys:
                 columns = [signed(np.concatenate(keys)), signed(np.concatenate(name)), pa.array(np.concatenate(n) << 32 | np.concatenate(place))]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "name", "size_place"])
@@ -130,80 +147,130 @@ def may_link(n1, at1, n2, at2, percent: int):
     return 100 * F.least(n1 - at1, n2 - at2) >= percent * F.greatest(n1 + at2, n2 + at1)
 
 
-def compared(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """pairs (a, b) with the size of the intersection and of the union; held: (name, members)."""
-    left = held.select(F.col("name").alias("a"), F.col("members").alias("x"))
-    right = held.join(pairs.select(F.col("b").alias("name")).distinct(), "name", "left_semi").select(F.col("name").alias("b"), F.col("members").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y") - both).alias("either"))
+def meet(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, content: Content, compare: Compare) -> DataFrame:
+    """(a, b, both, either) for pairs (a, b, region): compare() of what content() says of both sets.
+
+    A set goes once to each region that it is in, not once for each pair. A region of more than
+    REGION_BYTES of sets is dealt to several tasks, each for the pairs between two of its parts.
+    """
+    pairs = settled(pairs, "jaccard-pairs")
+    sides = pairs.select("region", F.col("a").alias("name")).union(pairs.select("region", F.col("b").alias("name"))).distinct()
+    sides = settled(sides.join(classes, "name"), "jaccard-sides")
+    parts = near(sides.groupBy("region").agg(F.ceil(F.sum("n") * 8 / REGION_BYTES).cast("int").alias("parts")))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+    dealt = pairs.join(parts, "region").withColumn("p", part("a")).withColumn("q", part("b"))
+    dealt = dealt.select("a", "b", "region", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+    mine = sides.join(parts, "region").withColumn("own", part("name"))
+    # all tasks of a region that a part of it takes part in
+    mine = mine.select("id", "region", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))).alias("t"))
+    wanted = mine.groupBy("id").agg(F.collect_list(F.struct("region", "t.p", "t.q")).alias("tasks"))
+    wanted = settled(wanted, "jaccard-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in sets(batches, size):
+            rows = [(t["region"], t["p"], t["q"], name_of(s), content(s)) for tasks, s in zip(batch.column("tasks").to_pylist(), found, strict=True) for t in tasks]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            name = signed(np.array(columns[3], np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), name, pa.array(columns[4], pa.binary())], names=["region", "p", "q", "name", "content"])
 
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        held = dict(zip(right.column("name").to_pylist(), right.column("content").to_pylist(), strict=True))
+        a, b = left.column("a").to_pylist(), left.column("b").to_pylist()
+        found = [compare(held[x], held[y]) for x, y in zip(a, b, strict=True)]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array([f[0] for f in found], pa.int64()), "either": pa.array([f[1] for f in found], pa.int64())})
 
-def members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(name, members) of the sets of the rows with the wanted ids; one row stands for each set."""
+    sent = docs.join(wanted, "id").select("tasks", "text").mapInArrow(send, "region bigint, p int, q int, name bigint, content binary")
+    task = ["region", "p", "q"]
+    return dealt.groupBy(*task).cogroup(sent.groupBy(*task)).applyInArrow(judge, "a bigint, b bigint, both bigint, either bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in sets(batches, size):
-            name = signed(np.array([name_of(s) for s in found], np.uint64))
-            flat = signed(np.concatenate(found)) if found else pa.array([], pa.int64())
-            offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in found])].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([name, pa.ListArray.from_arrays(offsets, flat)], names=["name", "members"])
 
-    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
-    return docs.join(wanted, "id", "left_semi").mapInArrow(run, "name bigint, members array<bigint>").dropDuplicates(["name"])
+def overlap(a: bytes, b: bytes) -> tuple[int, int]:
+    """The size of the intersection and of the union of two sets."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both, len(x) + len(y) - both
+
 
+def at_best(a: bytes, b: bytes) -> tuple[int, int]:
+    """What two sets could share at most, and would then have together, from their sizes and foremost shingles.
 
-def links(docs: DataFrame, classes: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFrame | None:
+    Of the stretch of the order that both foremost parts cover, all is known.
+    """
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    n, m, x, y = int(x[0]), int(y[0]), x[1:], y[1:]
+    end = min(x[-1], y[-1])
+    x, y = x[x <= end], y[y <= end]
+    both = len(np.intersect1d(x, y))
+    most = min(n - (len(x) - both), m - (len(y) - both))
+    return most, n + m - most
+
+
+def compared(docs: DataFrame, classes: DataFrame, pairs: DataFrame, sent: Broadcast, size: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b, region) that may link, with the exact sizes of intersection and union. Most drop out by their foremost shingles."""
+
+    def front(s: np.ndarray) -> bytes:
+        return np.r_[np.uint64(len(s)), foremost(s, sent.value, percent)[1]].tobytes()
+
+    each = pairs.groupBy("a", "b").agg(F.min("region").alias("region"))
+    may = settled(meet(docs, classes, each, size, front, at_best).where(100 * F.col("both") >= percent * F.col("either")), "jaccard-candidates")
+    exact = meet(docs, classes, may.join(each, ["a", "b"]).select("a", "b", "region"), size, lambda s: s.tobytes(), overlap)
+    return settled(exact, "jaccard-known")
+
+
+def near(df: DataFrame) -> DataFrame:
+    """A table of few numbers a row for a join: broadcast while it has at most MAX_BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
+def links(docs: DataFrame, classes: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFrame:
     """Edges (a, b) between names of classes, which connect all that links connect."""
-    rows = places(docs, rank, size, percent)
-    # The pivot of each place, where at least two sets meet.
-    first = F.min(F.struct(F.col("size_place").bitwiseAND(F.lit((1 << 32) - 1)).alias("at"), "size_place", "name")).alias("p")
-    pivots = rows.groupBy("key").agg(first, F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo <> hi").select("key", F.col("p.name").alias("pivot"), F.col("p.size_place").alias("pivot_at"))
+    sent = docs.sparkSession.sparkContext.broadcast(rank)
+    rows = places(docs, sent, size, percent)
+    # The pivot of each place, where at least two sets meet (or two tasks have the same one).
+    at = F.col("size_place").bitwiseAND(F.lit((1 << 32) - 1)) * (1 << 31) + F.shiftright("size_place", 32)  # by place, then size
+    firsts = rows.groupBy("key").agg(F.min_by("name", at).alias("pivot"), F.min(at).alias("at"), F.count("*").alias("k")).where("k > 1")
+    pivots = firsts.select("key", "pivot", "k", F.shiftleft(F.col("at").bitwiseAND(F.lit((1 << 31) - 1)), 32).bitwiseOR(F.shiftright("at", 31)).alias("pivot_at"))
     n1, at1 = numbers("size_place")
     n2, at2 = numbers("pivot_at")
-    is_pivot = F.col("name") == F.col("pivot")
     # What a set could share at most with another of its place: none has a place before the pivot's.
-    reachable = 100 * (n1 - at1) >= percent * (n1 + at2)
-    met = settled(rows.join(pivots, "key").where(is_pivot | reachable).distinct(), "jaccard-met")
-    pairs = settled(met.where(~is_pivot & may_link(n1, at1, n2, at2, percent)).select(F.col("name").alias("a"), F.col("pivot").alias("b")).distinct(), "jaccard-pairs")
-    open_rows = met.select("key", "name", "size_place", "pivot")
-    need = pairs.select(F.col("a").alias("name")).union(pairs.select(F.col("b").alias("name"))).union(open_rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 2").join(open_rows, "key").select("name")).distinct()
-    ids = classes.join(need, "name", "left_semi").select("id")
-    held = settled(members(docs, ids, size), "jaccard-sets")
-    known = settled(compared(pairs, held), "jaccard-known")
+    met = rows.join(pivots, "key").where((F.col("name") != F.col("pivot")) & (100 * (n1 - at1) >= percent * (n1 + at2)))
+    met = settled(met.distinct(), "jaccard-met")
+    close = met.where(may_link(n1, at1, n2, at2, percent)).select(F.col("name").alias("a"), F.col("pivot").alias("b"), F.col("pivot").alias("region"))
+    known = compared(docs, classes, close, sent, size, percent)
     edges = known.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
+    # The pivots are done; where three or more met, the others may link among themselves.
+    others = met.where("k > 2").select("key", "name", "size_place", "pivot")
     radius = (100 - percent) / 100
+    m1, p1 = numbers("size_place")
+    m2, p2 = numbers("size_place2")
+    close = (F.col("root") != F.col("root2")) & may_link(m1, p1, m2, p2, percent)
+    # Distances to the common pivot bound the distance within a region from below.
+    close = close & (F.col("d").isNull() | F.col("d2").isNull() | (F.abs(F.col("d") - F.col("d2")) <= radius + 1e-9))
     while True:
-        labels = components(edges)
-        # Distances to the pivot bound the distances within a region.
-        far = known.select(F.col("a").alias("name"), F.col("b").alias("pivot"), (1 - F.col("both") / F.col("either")).alias("d"))
-        here = open_rows.join(labels.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        here = here.join(far, ["name", "pivot"], "left").withColumn("d", F.when(F.col("name") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")))
-        mixed = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        here = settled(here.join(mixed, "key", "left_semi"), "jaccard-open")
-        by_root = here.groupBy("key", "root").agg(F.count("*").cast("double").alias("k"))
-        size_of = by_root.groupBy("key").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "root"))["root"].alias("main"))
-        left, total = size_of.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0.0))).first()
+        labels = near(components(edges).select(F.col("node").alias("name"), "root"))
+        far = near(known.select(F.col("a").alias("name"), F.col("b").alias("pivot"), (1 - F.col("both") / F.col("either")).alias("d")))
+        here = others.join(labels, "name", "left").withColumn("root", F.coalesce("root", "name")).join(far, ["name", "pivot"], "left")
+        stats = here.groupBy("key", "root").agg(F.count("*").cast("double").alias("k")).groupBy("key")
+        stats = stats.agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max(F.struct("k", "root"))["root"].alias("main"))
+        stats = settled(stats.where(F.col("all") * F.col("all") > F.col("same")), "jaccard-places")
+        left, total = stats.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0.0))).first()
         if not left:
             return edges
+        here = settled(here.join(near(stats.select("key", "main")), "key"), "jaccard-open")
         other = here.select("key", *[F.col(c).alias(f"{c}2") for c in ("name", "size_place", "root", "d")])
-        m1, p1 = numbers("size_place")
-        m2, p2 = numbers("size_place2")
-        close = (F.col("root") != F.col("root2")) & may_link(m1, p1, m2, p2, percent) & (F.col("d").isNull() | F.col("d2").isNull() | (F.abs(F.col("d") - F.col("d2")) <= radius + 1e-9))
-        done = left <= PAIRS_A_ROW * total + 100_000
+        done = left <= PAIRS_A_ROW * total
         if done:
             pairs = here.join(other, "key").where(close & (F.col("name") < F.col("name2")))
         else:
             # The foremost set outside the largest component of each place becomes its pivot, and is then done there.
-            outside = here.join(size_of.select("key", "main"), "key").where("root <> main")
-            pick = outside.groupBy("key").agg(F.min(F.struct(p1.alias("at"), "name"))["name"].alias("next"))
-            chosen = other.join(pick, "key").where("name2 = next").drop("next")
-            pairs = here.join(chosen, "key").where(close)
-            open_rows = settled(here.join(pick, "key", "left").where("next IS NULL OR name <> next").select("key", "name", "size_place", "pivot"), "jaccard-open")
-        pairs = pairs.select(F.greatest("name", "name2").alias("a"), F.least("name", "name2").alias("b")).distinct()
+            pick = near(settled(here.where("root <> main").groupBy("key").agg(F.min(F.struct(p1.alias("at"), "name"))["name"].alias("next")), "jaccard-next"))
+            pairs = here.join(other.join(pick, "key").where("name2 = next"), "key").where(close)
+            others = settled(here.join(pick, "key", "left").where("next IS NULL OR name <> next").select("key", "name", "size_place", "pivot"), "jaccard-open")
+        pairs = pairs.select(F.greatest("name", "name2").alias("a"), F.least("name", "name2").alias("b"), F.col("pivot").alias("region"))
         seen = known.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = settled(compared(pairs.join(seen, ["a", "b"], "left_anti"), held), "jaccard-known")
-        found = more.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
-        edges = settled(edges.union(found), "jaccard-edges")
+        more = compared(docs, classes, pairs.join(seen, ["a", "b"], "left_anti"), sent, size, percent)
+        edges = settled(edges.union(more.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")), "jaccard-edges")
         known = known.unionByName(more)
         if done:
             return edges
@@ -212,9 +279,10 @@ def links(docs: DataFrame, classes: DataFrame, rank: np.ndarray, size: int, perc
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per row: id_col, n_shingles, class_id (smallest id with the same set), component_id (smallest id that links reach)."""
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    named, sketch = describe(df, size)
+    bits = sketch_bits(df.count())
+    named, sketch = describe(df, size, bits)
     classes = settled(named.where("n > 0").groupBy("name", "n").agg(F.min("id").alias("id")), "jaccard-classes")
-    edges = links(df, classes, ranks(sketch), size, percent)
+    edges = links(df, classes, ranks(sketch, bits), size, percent)
     labels = components(edges)
     rooted = classes.join(labels.select(F.col("node").alias("name"), "root"), "name")
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
@@ -222,3 +290,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     places_of = classes.join(linked, ["name", "n"], "left").select("name", "n", F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
     out = named.join(places_of, ["name", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs without those whose component has a smaller id; of equal rows one stays. Rows without an id stay."""
+    found = settled(join(docs, id_col, text_col, size, percent).select(F.col(id_col).alias("id"), F.col("component_id").alias("of")), "jaccard-components")
+    each = settled(found.where("id IS NOT NULL").groupBy("id").agg(F.min("of").alias("of"), F.count("*").alias("rows")), "jaccard-ids")
+    key = f"id_{uuid.uuid4().hex}"  # clashes with no column of docs
+    gone, again = (each.where(c).select(F.col("id").alias(key)) for c in ("id <> of", "id = of AND rows > 1"))
+
+    def small(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+
+    same = F.col(f"`{id_col}`") == F.col(key)
+    rest = docs.join(small(gone), same, "left_anti")
+    if not again.limit(1).count():
+        return rest
+    ids = small(again)
+    return rest.join(ids, same, "left_anti").union(rest.join(ids, same, "left_semi").dropDuplicates([id_col, text_col]))
