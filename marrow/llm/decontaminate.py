@@ -93,8 +93,8 @@ def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(chars[place[a][0]]), int(chars[place[b][1]])) for a, b in runs]
 
 
-def _pass(df: DataFrame, id_type, items: list, size: int, last: bool) -> DataFrame:
-    """df (id, text, hits, items) scanned for the items; the last pass gives spans instead of the text."""
+def _pass(df: DataFrame, kept: list, items: list, size: int, last: bool) -> DataFrame:
+    """df (the kept columns, text, hits, items) scanned for the items; the last pass gives spans instead of the text."""
     sent = df.sparkSession.sparkContext.broadcast(items)
     cache: list = []
 
@@ -117,25 +117,27 @@ def _pass(df: DataFrame, id_type, items: list, size: int, last: bool) -> DataFra
                     if last:
                         where.append([{"start": a, "end": b} for a, b in spans(text, runs)] if runs else [])
                 columns = [pa.array(where, PA_SPANS) if last else batch.column("text"), pa.array(hits, PA_HITS), pa.array(ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts, pa.int64()), *columns], names=["id", "n_words", "spans" if last else "text", "hits", "items"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k.name) for k in kept), pa.array(counts, pa.int64()), *columns], names=[*(k.name for k in kept), "n_words", "spans" if last else "text", "hits", "items"])
 
     text = T.StructField("spans", SPANS) if last else T.StructField("text", T.StringType())
-    schema = [T.StructField("id", id_type), T.StructField("n_words", T.LongType()), text, T.StructField("hits", HITS), T.StructField("items", T.ArrayType(T.StringType()))]
-    return df.select("id", "text", "hits", "items").mapInArrow(run, T.StructType(schema))
+    schema = [*kept, T.StructField("n_words", T.LongType()), text, T.StructField("hits", HITS), T.StructField("items", T.ArrayType(T.StringType()))]
+    return df.select(*(k.name for k in kept), "text", "hits", "items").mapInArrow(run, T.StructType(schema))
 
 
 def scan(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, shard_bytes: int = SHARD_BYTES
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Per row of docs: id_col, n_words, n_hit, items (ids as text, sorted), spans (code points of the original)."""
+    """Per row of docs: id_col, the columns to keep, n_words, n_hit, items (ids as text, sorted), spans (code points of the original)."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 if total <= shard_bytes else 2 * -(-total // shard_bytes)
-    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast(HITS).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    own = [id_col, *keep]
+    kept = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(own)]
+    df = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col(text_col).cast("string").alias("text"), F.lit(None).cast(HITS).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
-        df = _pass(df, docs.schema[id_col].dataType, [tuple(r) for r in part.collect()], size, k == shards - 1)
+        df = _pass(df, kept, [tuple(r) for r in part.collect()], size, k == shards - 1)
         if k < shards - 1:
             df = settled(df, "decontaminate")
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"] + 1)
-    return df.select(F.col("id").alias(id_col), "n_words", hit.alias("n_hit"), "items", "spans")
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "n_words", hit.alias("n_hit"), "items", "spans")

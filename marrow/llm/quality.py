@@ -47,16 +47,22 @@ def occurrences(text: Column, marks: str) -> Column:
     return reduce(lambda s, c: s + F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))), marks, F.lit(0)).cast("long")
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals of every row's whole text."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", whole: bool = False) -> DataFrame:
+    """id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals of every row's whole text.
+
+    whole: also `row`, a structure of all columns of docs by their place (k0, k1 and so on).
+    """
     text = F.col("text")
-    df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kept = ["row"] if whole else []
+    row = [F.struct(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(docs.columns)]).alias("row")] if whole else []
+    df = docs.select(*row, F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     df = df.withColumn("bare", F.btrim(text, F.lit(BLANKS)))
     df = df.withColumn("w", F.when(F.col("bare") == "", F.array().cast("array<string>")).otherwise(F.split("bare", r"[\x20\x09-\x0D]+")))
     df = df.withColumn("n_words", F.size("w").cast("long"))
     lines = F.when(F.instr(text, "\n") == 0, F.array().cast("array<string>")).otherwise(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("lines", lines)
     shape = df.select(
+        *kept,
         "id",
         "stratum",
         "n_words",
@@ -75,7 +81,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     shape = shape.withColumn("starts", F.sort_array(F.array_compact(F.transform("sorted", again))))
     none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate("starts", none, lambda s, p: F.struct((p + 5).alias("end"), (s["n"] + F.least(F.lit(5), p + 5 - s["end"])).alias("n")), lambda s: s["n"])
-    return shape.select("id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_capitals")
+    return shape.select(*kept, "id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_capitals")
 
 
 def base_failed() -> Column:
@@ -115,21 +121,30 @@ def thresholds(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     return strata.select("stratum", "n", *chosen)
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """id_col, the features, base_failed, the first rule that rejects (`rejected_by`) and kept, for every row."""
-    feats = settled(features(docs, id_col, text_col, stratum_col), "quality-features")
-    cut = settled(thresholds(feats, labels, risk, delta), "quality-thresholds").drop("n")
-    rows = cut.count()
-    cut = F.broadcast(cut) if rows <= MAX_BROADCAST_STRATA else cut
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")
+
+
+def verdicts(feats: DataFrame, cut: DataFrame) -> DataFrame:
+    """feats with base_failed, the first rule that rejects (`rejected_by`) and kept."""
+    cut = cut.drop("n")
+    cut = F.broadcast(cut) if cut.count() <= MAX_BROADCAST_STRATA else cut
     fails = [F.when(F.expr(f"{feature} > `{rule}`"), rule) for rule, (feature, _) in RULES.items()]
     judged = feats.join(cut, "stratum", "left").withColumn("base_failed", base_failed())
     # a feature is defined where there are words, which the base rules ask for
     judged = judged.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(F.coalesce(*fails)))
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals"]
-    return judged.select(F.col("id").alias(id_col), *counts, "base_failed", "rejected_by", F.col("rejected_by").isNull().alias("kept"))
+    return judged.withColumn("kept", F.col("rejected_by").isNull())
 
 
-def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
-    """The rows of docs that are kept, by id: a semi join on ids, whose few hot ones (none, if unique) may be split."""
-    kept = judge(docs, labels, id_col, **columns).where("kept").select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """id_col, the features, base_failed, the first rule that rejects (`rejected_by`) and kept, for every row."""
+    feats = settled(features(docs, id_col, text_col, stratum_col), "quality-features")
+    judged = verdicts(feats, settled(thresholds(feats, labels, risk, delta), "quality-thresholds"))
+    return judged.select(F.col("id").alias(id_col), *COUNTS, "base_failed", "rejected_by", "kept")
+
+
+def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of docs that are kept. Features are worked out a second time rather than moving texts to a join."""
+    feats = settled(features(docs, id_col, text_col, stratum_col), "quality-features")
+    cut = settled(thresholds(feats, labels, risk, delta), "quality-thresholds")
+    kept = verdicts(features(docs, id_col, text_col, stratum_col, whole=True), cut).where("kept")
+    return kept.select(*[F.col(f"row.k{i}").alias(c) for i, c in enumerate(docs.columns)])
