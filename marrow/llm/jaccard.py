@@ -162,14 +162,21 @@ def meet(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, conte
     dealt = dealt.select("a", "b", "region", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
     mine = sides.join(parts, "region").withColumn("own", part("name"))
     # all tasks of a region that a part of it takes part in
-    mine = mine.select("id", "region", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))).alias("t"))
-    wanted = mine.groupBy("id").agg(F.collect_list(F.struct("region", "t.p", "t.q")).alias("tasks"))
+    mine = mine.select("id", "name", "region", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))).alias("t"))
+    # Rows may share an id, or have none: the set's name says which of them is meant.
+    wanted = mine.groupBy(F.col("id").alias("want")).agg(F.collect_list(F.struct("name", "region", "t.p", "t.q")).alias("tasks"))
     wanted = settled(wanted, "jaccard-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in sets(batches, size):
-            rows = [(t["region"], t["p"], t["q"], name_of(s), content(s)) for tasks, s in zip(batch.column("tasks").to_pylist(), found, strict=True) for t in tasks]
+            rows = []
+            for tasks, s in zip(batch.column("tasks").to_pylist(), found, strict=True):
+                me, what = name_of(s), None
+                for t in tasks:
+                    if t["name"] % (1 << 64) == me:
+                        what = content(s) if what is None else what
+                        rows.append((t["region"], t["p"], t["q"], me, what))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             name = signed(np.array(columns[3], np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), name, pa.array(columns[4], pa.binary())], names=["region", "p", "q", "name", "content"])
@@ -180,7 +187,7 @@ def meet(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, conte
         found = [compare(held[x], held[y]) for x, y in zip(a, b, strict=True)]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array([f[0] for f in found], pa.int64()), "either": pa.array([f[1] for f in found], pa.int64())})
 
-    sent = docs.join(wanted, "id").select("tasks", "text").mapInArrow(send, "region bigint, p int, q int, name bigint, content binary")
+    sent = docs.join(wanted, F.col("id").eqNullSafe(F.col("want"))).select("tasks", "text").mapInArrow(send, "region bigint, p int, q int, name bigint, content binary")
     task = ["region", "p", "q"]
     return dealt.groupBy(*task).cogroup(sent.groupBy(*task)).applyInArrow(judge, "a bigint, b bigint, both bigint, either bigint")
 
