@@ -2,12 +2,13 @@
 
 Every letter has a random vector of +1 and -1. The vectors of three neighbouring letters, the first
 rotated by two places and the second by one, are multiplied into the vector of that trigram; a text
-is the sum of its trigrams' vectors, a language the sum of its training texts. The answer is the
+is the sum of its trigrams' vectors, a language the sum of its training texts, each scaled to the same
+length so that no long one outweighs the others. The answer is the
 language whose vector has the largest cosine with the text's.
 
 Everything that is not a letter counts as one boundary symbol. Letters other than a-z share a fixed
 number of vectors by a hash of their code point, so tables stay bounded in any script. All sums are
-sums of integers: results do not depend on how rows are dealt out. Training gathers one row of
+sums of integers (scaled texts are rounded): results do not depend on how rows are dealt out. Training gathers one row of
 `DIMENSIONS` integers for each language and task; prediction broadcasts that for each language
 (`MAX_LANGUAGES` at most, which is checked).
 
@@ -31,6 +32,7 @@ from marrow.llm.common import slices, texts
 DIMENSIONS = 1024
 SYMBOLS = 128
 SEED = 20240611
+SCALE = 1 << 20
 SLICE_BYTES, SLICE_ROWS = 1_500_000, 400
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
@@ -100,9 +102,13 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
             langs = batch.column("lang").to_pylist()
             names = sorted(set(langs))
             index = {x: i for i, x in enumerate(names)}
-            sums = bundles(texts(batch), np.array([index[x] for x in langs]), len(names), dimensions)
+            each = bundles(texts(batch), np.arange(batch.num_rows), batch.num_rows, dimensions).astype(np.float64)
+            size = np.linalg.norm(each, axis=1, keepdims=True)
+            each = np.rint(each * (SCALE / np.where(size > 0, size, 1))).astype(np.int64)
+            sums = np.zeros((len(names), dimensions), np.int64)
+            np.add.at(sums, [index[x] for x in langs], each)
             for x, row in zip(names, sums, strict=True):
-                total[x] = total.get(x, 0) + row.astype(np.int64)
+                total[x] = total.get(x, 0) + row
         yield pa.RecordBatch.from_arrays([pa.array([*total], pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], names=["lang", "vector"])
 
     parts = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
