@@ -1,0 +1,123 @@
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from marrow.llm import hmm
+from marrow.llm.queries import QUERIES
+
+
+def toy(states=3, symbols=5, seed=1):
+    rng = np.random.default_rng(seed)
+    return hmm.Model(rng.random(states) * 5, rng.random((states, states)) * 5, rng.random((states, symbols)) * 9)
+
+
+def paths(model, symbols):
+    """The probability of each sequence of states with the symbols."""
+    k = len(model.start)
+    for way in itertools.product(range(k), repeat=len(symbols)):
+        p = model.start[way[0]] * model.emit[symbols[0], way[0]]
+        for t in range(1, len(way)):
+            p *= model.move[way[t - 1], way[t]] * model.emit[symbols[t], way[t]]
+        yield way, p
+
+
+def test_forward_is_the_sum_over_all_paths():
+    model, rows = toy(), [[0], [4, 1, 1], [2, 3, 0, 4, 1], [1, 2]]
+    got = hmm.forward(model, np.array(sum(rows, [])), np.r_[0, np.cumsum([len(r) for r in rows])])
+    for r, x in zip(rows, got, strict=True):
+        assert math.isclose(x, math.log10(sum(p for _, p in paths(model, r))), rel_tol=1e-12)
+
+
+def test_expected_counts_are_those_of_all_paths():
+    model, rows = toy(), [[0, 2, 2, 4], [3], [1, 0, 3]]
+    starts, moves, emissions = hmm.expected(model, np.array(sum(rows, [])), np.array([0, 4, 5, 8]), np.array([True, True, True]), 5)
+    s, m, e = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))
+    for r in rows:
+        every = list(paths(model, r))
+        total = sum(p for _, p in every)
+        for way, p in every:
+            s[way[0]] += p / total
+            for a, b in itertools.pairwise(way):
+                m[a, b] += p / total
+            for state, symbol in zip(way, r, strict=True):
+                e[state, symbol] += p / total
+    assert np.allclose(starts, s)
+    assert np.allclose(moves, m)
+    assert np.allclose(emissions, e)
+
+
+def test_long_rows_do_not_underflow():
+    assert np.isfinite(hmm.forward(toy(), np.zeros(50_000, int), np.array([0, 50_000]))).all()
+
+
+def test_a_round_never_lowers_the_likelihood():
+    rng = np.random.default_rng(3)
+    symbol, start = rng.integers(0, 5, 400), np.arange(0, 401, 20)
+    symbol[: 200] %= 2
+    model, last = toy(), -np.inf
+    for _ in range(6):
+        now = hmm.forward(model, symbol, start).sum()
+        assert now >= last - 0.5  # the prior moves it a little
+        last = now
+        model = hmm.Model(*hmm.expected(model, symbol, start, np.ones(20, bool), 5))
+
+
+def test_tokens():
+    number, shape, row = hmm.tokens(pa.array(["The the", None, "", " a\tb "]))
+    assert row.tolist() == [0, 3, 4, 5, 8]
+    assert number[0] == number[1] != number[5]
+    assert [i for i, x in enumerate(number) if x == hmm.END] == [2, 3, 4, 7]
+    assert shape[0] == shape[1]
+
+
+def test_query_against_plain_counts(spark, tables):
+    path, docs = tables
+    got = {r["doc_id"]: r for r in QUERIES["op8_hmm"](spark, path).collect()}
+    words = {d["doc_id"]: [*re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in d["text"] or "")), None] for d in docs}
+    held = {i for i in words if zlib.crc32(str(i).encode()) % 7 == 2}
+    c = Counter(w for i, ws in words.items() if i not in held for w in ws)
+    n, v = sum(c.values()), len(c)
+    for i, ws in words.items():
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (i in held, len(ws), sum(w in c for w in ws), n)
+        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
+    assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)
+
+
+def test_the_model_is_a_distribution(spark, tables):
+    """Over next tokens: all known words, and one unknown for each shape, have probabilities that sum to one."""
+    path, _ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("text")
+    lexicon = hmm.Lexicon(hmm.count(docs))
+    model = hmm.train(docs, lexicon)
+    assert np.allclose(model.emit.sum(axis=0), 1)
+    assert np.allclose(model.move.sum(axis=1), 1)
+
+
+def test_words_beyond_the_head(spark, tables, monkeypatch):
+    """With a head of few words the same counts come from the join."""
+    path, _ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").withColumn("held_out", F.col("doc_id") % 5 == 0)
+    key = lambda r: r["doc_id"]
+    before = sorted(hmm.score(docs).collect(), key=key)
+    monkeypatch.setattr(hmm, "HEAD", 10)
+    after = sorted(hmm.score(docs).collect(), key=key)
+    for a, b in zip(before, after, strict=True):
+        assert (a["n_known"], a["n_tokens"]) == (b["n_known"], b["n_tokens"])
+        assert math.isclose(a["base_score"], b["base_score"], rel_tol=1e-9)
+
+
+def test_edges(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (None, None, "x")], "doc_id bigint, text string, score string").withColumn("held_out", F.lit(True)).withColumn("n", F.lit(1)).withColumn("base", F.lit(1))
+    got = hmm.score(df).collect()
+    assert sorted(r["n_tokens"] for r in got) == [1, 2, 2]
+    assert {r["n_known"] for r in got} == {0}
+    assert {r["base_score"] for r in got} == {0.0}
+    assert hmm.score(df.limit(0)).count() == 0

@@ -1,0 +1,76 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from marrow.llm import toxicity
+from marrow.llm.queries import QUERIES
+
+
+def graded(n, seed):
+    """Texts with grades 0, 1 and 3: no bad word, mild ones, strong ones."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randint(5, 200))]
+        grade = rng.choice([0, 0, 0, 1, 3])
+        words += rng.sample(["silly", "daft", "goose"], 2) if grade == 1 else rng.sample(["vile", "scum", "filth"], 2) if grade == 3 else []
+        rng.shuffle(words)
+        rows.append((" ".join(words), grade))
+    return rows
+
+
+def test_ordered_grades_on_held_out_texts():
+    train, test = graded(1500, 1), graded(400, 2)
+    found = lambda rows: toxicity.features(pa.array([t for t, _ in rows]))
+    model = toxicity.fit(found(train), [g for _, g in train])
+    assert model.grades == [0, 1, 3]
+    assert model.cuts[0] < model.cuts[1]
+    p = model.probabilities(found(test))
+    assert np.allclose(p.sum(axis=1), 1)
+    right = np.array(model.grades)[p.argmax(axis=1)] == [g for _, g in test]
+    assert right.mean() > 0.95
+    severity = p @ model.grades
+    means = [severity[[i for i, (_, g) in enumerate(test) if g == k]].mean() for k in (0, 1, 3)]
+    assert means[0] < means[1] < means[2]
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    flat, row, y = rng.integers(0, 6, 40), np.arange(0, 41, 4), rng.integers(0, 4, 10)
+    p = rng.normal(size=6 + 3)
+
+    def loss(p):
+        c = toxicity.at_most(toxicity.sums(p[:6], flat, row), toxicity.cuts_of(p[6:]))
+        return -np.log(c[np.arange(10), y + 1] - c[np.arange(10), y]).mean()
+
+    step = np.eye(9) * 1e-6
+    assert np.allclose(toxicity.gradient(p, 6, flat, row, y), [(loss(p + s) - loss(p - s)) / 2e-6 for s in step], atol=1e-6)
+
+
+def test_words_are_told_apart_whole():
+    a, b = toxicity.features(pa.array(["Idiot, idiot! x", "idiot x lengthy"]))
+    assert len(a) == 2
+    assert set(a) < set(b)
+    assert len(b) == 4  # a longer word's start is one more
+    assert [len(f) for f in toxicity.features(pa.array([None, "", "!!"]))] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("labels", [[], [(1, None), (None, 1)], [(1, 0)]])
+def test_few_labels(spark, labels):
+    docs = spark.createDataFrame([(1, "a", 3), (2, None, 3)], "doc_id bigint, text string, grade int").withColumn("severity", F.lit(1))
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    got = toxicity.rate(docs, model).collect()
+    assert {r["grade"] for r in got} == ({0} if labels == [(1, 0)] else {None})
+    assert toxicity.rate(docs.limit(0), model).count() == 0
+
+
+def test_query(spark, tables):
+    path, docs = tables
+    got = {r["doc_id"]: r for r in QUERIES["op5_toxicity"](spark, path).collect()}
+    assert len(got) == len(docs)
+    bad = [d["doc_id"] for d in docs if "idiot" in (d["text"] or "")]
+    assert sum(got[i]["toxic"] for i in bad) >= 0.7 * len(bad)  # from forty labels
+    assert sum(got[d["doc_id"]]["toxic"] for d in docs if d["doc_id"] not in set(bad)) <= 2
