@@ -62,7 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the length of the text that the ids decode to."""
     ship(spark)
     df, at = placed(docs)
-    coded = bpe.decode(bpe.encode(df, None, at["doc_id"], at["text"]))
+    coded = bpe.encode(df, None, at["doc_id"], at["text"], decoded="decoded")
     return coded.select(F.col(at["doc_id"]).alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", F.char_length("decoded").cast("long").alias("n_chars"))
 
 

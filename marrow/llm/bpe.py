@@ -16,9 +16,12 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,9 @@ from pyspark.sql import types as T
 
 from marrow.llm.common import slices, texts
 
-SLICE_BYTES = 12_000_000
+SLICE_BYTES, HELD = 4_000_000, 250_000
+#: Texts of Latin letters and usual signs and blanks, where Python's own patterns find the same words, faster.
+PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\u024f]*")
 # The word pattern of this family of byte-level vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -40,6 +45,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def latin(pattern: str) -> str:
+    """A pattern with the letters and numbers of Latin texts spelt out."""
+    for kind in "LN":
+        found = "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+        pattern = re.sub(rf"(\[[^\]]*)\\p\{{{kind}\}}", lambda m: m[1] + found, pattern).replace(rf"\p{{{kind}}}", f"[{found}]")
+    return pattern
+
+
 def byte_letters() -> list[str]:
     """The visible letter that stands for each byte: itself if printable in Latin-1, else the next from U+0100 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -73,7 +86,7 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = regex.compile(WORDS)
+        self.words, self.latin = regex.compile(WORDS), re.compile(latin(WORDS))
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it does not merge."""
@@ -167,50 +180,81 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
     return index.sym[left], np.r_[0, np.searchsorted(left, ends)]
 
 
+class Encoder:
+    """Encodes texts; keeps up to about HELD words that it has met, so that each is merged once."""
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.forget()
+
+    def forget(self) -> None:
+        self.index: defaultdict = defaultdict()
+        self.index.default_factory = self.index.__len__
+        self.ids, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def words(self, text: str) -> list:
+        """The words of a text; a special text is a tuple, which never equals a word."""
+        find = (self.v.latin if PLAIN.fullmatch(text) else self.v.words).findall
+        if not self.v.split or not any(s in text for s in self.v.special):
+            return find(text)
+        out: list = []
+        for part in self.v.split.split(text):
+            out += [(part,)] if part in self.v.special else find(part)
+        return out
+
+    def learn(self, new: list) -> None:
+        plain = [w for w in new if isinstance(w, str)]
+        ids, starts = encode_words(self.v, plain)
+        size = np.diff(starts)
+        if len(plain) < len(new):
+            parts = iter(np.split(ids, starts[1:-1]) if plain else [])
+            each = [next(parts) if isinstance(w, str) else np.array([self.v.special[w[0]]], np.int32) for w in new]
+            ids, size = np.concatenate(each), np.array([len(x) for x in each], np.int64)
+        self.ids, self.size = np.r_[self.ids, ids], np.r_[self.size, size]
+
+    def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, and where each text starts (one entry more than texts)."""
+        if len(self.index) > HELD:
+            self.forget()
+        known, found, counts = len(self.index), [], []
+        for text in batch:
+            words = self.words(text)
+            found.append(np.fromiter(map(self.index.__getitem__, words), np.int32, len(words)))
+            counts.append(len(words))
+        if len(self.index) > known:
+            self.learn(list(islice(self.index, known, None)))
+        where = np.concatenate(found) if found else np.zeros(0, np.int32)
+        sizes = self.size[where]
+        starts = np.cumsum(self.size) - self.size
+        stops = np.cumsum(sizes)
+        flat = self.ids[np.repeat(starts[where] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+        return flat, np.r_[0, stops][np.r_[0, np.cumsum(counts)].astype(np.int64)]
+
+
 def encode_texts(v: Vocabulary, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts end to end, and where each text starts (one entry more than texts)."""
-    index: defaultdict = defaultdict()
-    index.default_factory = index.__len__
-    found: list[np.ndarray] = []
-    counts = []
-    for text in batch:
-        if v.split and any(s in text for s in v.special):
-            words = []
-            for part in v.split.split(text):
-                words += [(part,)] if part in v.special else v.words.findall(part)  # a tuple never equals a word
-        else:
-            words = v.words.findall(text)
-        found.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
-        counts.append(len(words))
-    plain = [w for w in index if isinstance(w, str)]
-    ids, starts = encode_words(v, plain)
-    if len(plain) < len(index):  # special texts stand behind the others
-        extra = [w for w in index if not isinstance(w, str)]
-        place = {w: i for i, w in enumerate([*plain, *extra])}
-        to = np.fromiter((place[w] for w in index), np.int32, len(index))
-        found = [to[x] for x in found]
-        ids = np.r_[ids, np.array([v.special[w[0]] for w in extra], np.int32)]
-        starts = np.r_[starts, starts[-1] + 1 + np.arange(len(extra))]
-    where = np.concatenate(found) if found else np.zeros(0, np.int32)
-    sizes = np.diff(starts)[where]
-    stops = np.cumsum(sizes)
-    flat = ids[np.repeat(starts[where] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)].astype(np.int32)
-    bounds = np.r_[0, stops][np.r_[0, np.cumsum(counts)].astype(np.int64)]
-    return flat, bounds
-
-
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids array<int>) of each row's whole text; no special ids are added, special texts become their id."""
+    return Encoder(v).encode(batch)
+
+
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
+    """(id_col, ids array<int>) of each row's whole text; no special ids are added, special texts become their id.
+
+    decoded: also this column, the text that the ids decode to, in the same pass.
+    """
     path = path or tokenizer_path()
+    names = [id_col, "ids", *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
+        coder = Encoder(v)
         for batch in slices(batches, "text", SLICE_BYTES):
-            flat, bounds = encode_texts(v, texts(batch))
-            ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), ids], names=[id_col, "ids"])
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+            flat, bounds = coder.encode(texts(batch))
+            columns = [batch.column("id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
+            if decoded:
+                columns.append(pa.array([decode_ids(v, flat[a:b].tolist()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([*fields, *([T.StructField(decoded, T.StringType())] if decoded else [])])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 

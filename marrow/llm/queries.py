@@ -21,7 +21,7 @@ def query(f):
 
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    coded = bpe.encode(table(spark, sf_dir, "documents"), decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
