@@ -9,7 +9,8 @@ An id is coded in two parts. The id last seen after the last two ids (order 2) a
 after the last id (order 1) are predictions with a confidence each; for every pair of confidences the
 block mixes a distribution over "order 2 is right", "order 1 is right" and "neither", which adapts with
 each id. If neither, order 0 codes the id by halves of a byte, each with a distribution that adapts in the
-context of the halves before. These frequencies drive one range coder a block, of 48 bits and 16-bit words.
+context of the halves before (of many
+contexts some share one). These frequencies drive one range coder a block, of 48 bits and 16-bit words.
 
 The rows are Parquet rows written by Spark (its commit makes a lost task harmless): shard, frame,
 at (ids of the shard before the frame), doc_ids, sizes and the binary frame. Shards are ranges of
@@ -32,63 +33,72 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marrow.llm.bpe import tokenizer_path
+from marrow.llm.bpe import latin, tokenizer_path
 from marrow.llm.common import settled, slices, texts
 
-BLOCK, LANES = 4096, 512
+BLOCK, LANES = 1024, 2048
 END = 1
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 10_000_000
 TOTAL_BITS, RATE, EVENT_RATE = 14, 4, 4
-SLOTS = 4096
+#: Places for predictions in a block, and contexts of a half byte (more share a place).
+SLOTS, CONTEXTS = 2048, 512
 MAGIC = b"MRWF"
 HEAD = struct.Struct("<4sIIII")
 MAX_BROADCAST_SHARDS = 1_000_000
 
 TOTAL = 1 << TOTAL_BITS
-#: Where a distribution moves when a half byte, or an event, has come: nearly all of it there, one for every other.
-TOWARDS = np.array([[k if k <= s else TOTAL - 16 + k for k in range(16)] for s in range(16)], np.int16)
-EVENTS = np.array([[k if k <= s else TOTAL - 3 + k for k in range(3)] for s in range(3)], np.int16)
+
+
+def towards(size: int) -> np.ndarray:
+    """Where a distribution (the starts of its parts, and TOTAL) moves when a part has come: nearly all to it, one to every other."""
+    return np.array([[*(k if k <= s else TOTAL - size + k for k in range(size)), TOTAL] for s in range(size)], np.int16)
+
+
+HALF, EVENT = towards(16), towards(3)
 
 
 class Blocks:
     """The models of many blocks, one lane each; lanes are independent."""
 
     def __init__(self, lanes: int, halves: int):
-        self.halves = halves
-        self.rows = [sum(16**i for i in range(k)) for k in range(halves)]
-        size = sum(16**k for k in range(halves))
-        self.base = np.arange(lanes) * size
-        self.order0 = np.tile(np.arange(16, dtype=np.int16) * (TOTAL // 16), (lanes * size, 1))
-        self.events = np.tile(np.array([0, TOTAL // 8, TOTAL // 4], np.int16), (lanes * 16, 1))
+        self.sizes = [min(16**k, CONTEXTS) for k in range(halves)]
+        self.rows = [sum(self.sizes[:k]) for k in range(halves)]
+        self.spare = sum(self.sizes)  # a row that lanes use which code nothing
+        self.base = np.arange(lanes) * (self.spare + 1)
+        self.order0 = np.tile(np.r_[np.arange(16) * (TOTAL // 16), TOTAL].astype(np.int16), (lanes * (self.spare + 1), 1))
+        self.events = np.tile(np.array([0, TOTAL // 8, TOTAL // 4, TOTAL], np.int16), (lanes * 16, 1))
+        self.event_base = np.arange(lanes) * 16
         self.slots = np.arange(lanes) * SLOTS
-        self.guess = np.zeros((2, lanes * SLOTS), np.int32)
-        self.trust = np.zeros((2, lanes * SLOTS), np.int8)
+        self.guess = np.zeros((2, lanes * SLOTS), np.int32)  # an id and, in the last two bits, the trust in it
         self.last = np.zeros(lanes, np.int64)
         self.before = np.zeros(lanes, np.int64)
-        self.event_base = np.arange(lanes) * 16
-
-    def look(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the first n lanes the places of both predictions, the predictions, and the event distribution's row."""
-        last = self.last[:n]
-        two = self.slots[:n] + (((last * 0x9E3779B1 + self.before[:n] * 0x85EBCA6B) >> 13) & (SLOTS - 1))
-        one = self.slots[:n] + (((last * 0x9E3779B1) >> 15) & (SLOTS - 1))
-        row = self.event_base[:n] + self.trust[0, two] * 4 + self.trust[1, one]
-        return two, one, self.guess[0, two], self.guess[1, one], row
-
-    def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray, guess2: np.ndarray, guess1: np.ndarray) -> None:
-        n = len(ids)
-        for k, at, guess in ((0, two, guess2), (1, one, guess1)):
-            self.trust[k, at] = np.where(guess == ids, np.minimum(self.trust[k, at] + 1, 3), 0)
-            self.guess[k, at] = ids
+        self.at16, self.at3 = np.arange(lanes) * 17, np.arange(lanes) * 4
+
+    def look(self, n: int) -> tuple[np.ndarray, ...]:
+        """For the first n lanes the places of both predictions, what stands there, and the event distribution's row."""
+        last = self.last[:n] * 0x9E3779B1
+        two = self.slots[:n] + (((last + self.before[:n] * 0x85EBCA6B) >> 13) & (SLOTS - 1))
+        one = self.slots[:n] + ((last >> 15) & (SLOTS - 1))
+        held2, held1 = self.guess[0].take(two), self.guess[1].take(one)
+        return two, one, held2, held1, self.event_base[:n] + (held2 & 3) * 4 + (held1 & 3)
+
+    def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray, held2: np.ndarray, held1: np.ndarray) -> None:
+        n, fresh = len(ids), (ids << 2).astype(np.int32)
+        for k, at, held in ((0, two, held2), (1, one, held1)):
+            self.guess[k][at] = np.where(held >> 2 == ids, np.minimum(held + 1, fresh | 3), fresh)
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
+    def place(self, k: int, context: np.ndarray, coded: np.ndarray) -> np.ndarray:
+        """The row of each lane's k-th half in the context of the halves before; lanes that are not coded have the spare row."""
+        own = self.rows[k] + (context if self.sizes[k] < CONTEXTS else (context * 0x9E3779B1 >> 12) & (CONTEXTS - 1))
+        return self.base[: len(context)] + np.where(coded, own, self.spare)
+
 
 def halves_of(size: int) -> int:
     return max(1, -(-max(1, (size - 1).bit_length()) // 4))
@@ -119,55 +129,52 @@ def encode_frame(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
     words, used = np.zeros((lanes, 64), np.uint16), np.zeros(lanes, np.int64)
     top, below = np.uint64(1 << 48), np.uint64((1 << 48) - 1)
 
-    def put(at: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        """Narrow the ranges of the lanes `at` to a part of TOTAL; send a word where a range has become small."""
+    def put(start: np.ndarray, width: np.ndarray) -> None:
+        """Narrow the ranges of the first lanes to a part of TOTAL; send a word where a range has become small."""
         nonlocal words
-        step = span[at] >> np.uint64(TOTAL_BITS)
-        l, s = low[at] + step * start.astype(np.uint64), step * width.astype(np.uint64)
-        over = np.flatnonzero(l >= top)
-        if len(over):
-            lane = at[over]
-            l[over] &= below
+        l, s = low[: len(start)], span[: len(start)]
+        step = s >> np.uint64(TOTAL_BITS)
+        l += step * start.astype(np.uint64)
+        np.multiply(step, width.astype(np.uint64), out=s)
+        lane = np.flatnonzero(l >= top)
+        if len(lane):
+            l[lane] &= below
             place = used[lane] - 1
             while len(lane):  # carry into the words before
                 words[lane, place] += np.uint16(1)
                 again = words[lane, place] == 0
                 lane, place = lane[again], place[again] - 1
-        small = np.flatnonzero(s < np.uint64(1 << 32))
-        if len(small):
-            lane = at[small]
+        lane = np.flatnonzero(s < np.uint64(1 << 32))
+        if len(lane):
             if int(used[lane].max()) == words.shape[1]:
                 words = np.hstack([words, np.zeros_like(words)])
-            words[lane, used[lane]] = (l[small] >> np.uint64(32)).astype(np.uint16)
+            words[lane, used[lane]] = (l[lane] >> np.uint64(32)).astype(np.uint16)
             used[lane] += 1
-            l[small] = (l[small] << np.uint64(16)) & below
-            s[small] <<= np.uint64(16)
-        low[at], span[at] = l, s
+            l[lane] = (l[lane] << np.uint64(16)) & below
+            s[lane] <<= np.uint64(16)
 
-    every = np.arange(lanes)
     for t, k in enumerate(active.tolist()):
         here = grid[t, :k]
-        two, one, guess2, guess1, row = m.look(k)
-        event = np.where(guess2 == here, 0, np.where(guess1 == here, 1, 2))
-        start = m.events[row]
-        first = start[every[:k], event]
-        after = np.where(event == 2, TOTAL, start[every[:k], np.minimum(event + 1, 2)])
-        put(every[:k], first, after - first)
-        m.events[row] = start + ((EVENTS[event] - start) >> EVENT_RATE)
-        rest = np.flatnonzero(event == 2)
-        if len(rest):
-            value, base, context = here[rest], m.base[rest], np.zeros(len(rest), np.int64)
-            mine = every[: len(rest)]
+        two, one, held2, held1, row = m.look(k)
+        event = np.where(held2 >> 2 == here, 0, np.where(held1 >> 2 == here, 1, 2))
+        dist = m.events.take(row, axis=0)
+        flat, at = dist.ravel(), m.at3[:k] + event
+        first = flat.take(at)
+        put(first, flat.take(at + 1) - first)
+        m.events[row] = dist + ((EVENT.take(event, axis=0) - dist) >> EVENT_RATE)
+        coded = event == 2
+        if coded.any():
+            context = np.zeros(k, np.int64)
             for j in range(halves):
-                half = (value >> (4 * (halves - 1 - j))) & 15
-                at = base + m.rows[j] + context
-                start = m.order0[at]
-                first = start[mine, half]
-                after = np.where(half == 15, TOTAL, start[mine, np.minimum(half + 1, 15)])
-                put(rest, first, after - first)
-                m.order0[at] = start + ((TOWARDS[half] - start) >> RATE)
+                half = (here >> (4 * (halves - 1 - j))) & 15
+                row = m.place(j, context, coded)
+                dist = m.order0.take(row, axis=0)
+                flat, at = dist.ravel(), m.at16[:k] + half
+                first = flat.take(at)
+                put(np.where(coded, first, 0), np.where(coded, flat.take(at + 1) - first, TOTAL))
+                m.order0[row] = dist + ((HALF.take(half, axis=0) - dist) >> RATE)
                 context = context * 16 + half
-        m.learn(here, two, one, guess2, guess1)
+        m.learn(here, two, one, held2, held1)
     out = [HEAD.pack(MAGIC, n, vocabulary, block, lanes)]
     sums, bodies = [], []
     for i in range(lanes):
@@ -201,51 +208,50 @@ def decode_frame(data: bytes) -> np.ndarray:
         code = (code << np.uint64(16)) | words[at_word]
         at_word = at_word + 1
     grid = np.zeros((min(n, block), lanes), np.int64)
-    every = np.arange(lanes)
     last_word = len(words) - 1
 
-    def value(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        step = span[at] >> np.uint64(TOTAL_BITS)
-        return step, np.minimum(code[at] // step, np.uint64(TOTAL - 1)).astype(np.int64)
-
-    def take(at: np.ndarray, step: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        c, s = code[at] - step * start.astype(np.uint64), step * width.astype(np.uint64)
-        small = np.flatnonzero(s < np.uint64(1 << 32))
-        if len(small):
-            lane = at[small]
-            c[small] = (c[small] << np.uint64(16)) | words[np.minimum(at_word[lane], last_word)]
+    def take(step: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        c, s = code[: len(step)], span[: len(step)]
+        c -= step * start.astype(np.uint64)
+        np.multiply(step, width.astype(np.uint64), out=s)
+        lane = np.flatnonzero(s < np.uint64(1 << 32))
+        if len(lane):
+            c[lane] = (c[lane] << np.uint64(16)) | words[np.minimum(at_word[lane], last_word)]
             at_word[lane] += 1
-            s[small] <<= np.uint64(16)
-        code[at], span[at] = c, s
+            s[lane] <<= np.uint64(16)
+
+    def seen(k: int) -> tuple[np.ndarray, np.ndarray]:
+        step = span[:k] >> np.uint64(TOTAL_BITS)
+        return step, np.minimum(code[:k] // step, np.uint64(TOTAL - 1)).astype(np.int16)
 
     for t, k in enumerate(active.tolist()):
-        two, one, guess2, guess1, row = m.look(k)
-        mine = every[:k]
-        start = m.events[row]
-        step, seen = value(mine)
-        event = (seen >= start[:, 1]).astype(np.int64) + (seen >= start[:, 2])
-        first = start[mine, event]
-        take(mine, step, first, np.where(event == 2, TOTAL, start[mine, np.minimum(event + 1, 2)]) - first)
-        m.events[row] = start + ((EVENTS[event] - start) >> EVENT_RATE)
-        ids = np.where(event == 0, guess2, guess1).astype(np.int64)
-        rest = np.flatnonzero(event == 2)
-        if len(rest):
-            base, context, mine = m.base[rest], np.zeros(len(rest), np.int64), every[: len(rest)]
+        two, one, held2, held1, row = m.look(k)
+        dist = m.events.take(row, axis=0)
+        step, value = seen(k)
+        event = (value >= dist[:, 1]).astype(np.int64) + (value >= dist[:, 2])
+        flat, at = dist.ravel(), m.at3[:k] + event
+        first = flat.take(at)
+        take(step, first, flat.take(at + 1) - first)
+        m.events[row] = dist + ((EVENT.take(event, axis=0) - dist) >> EVENT_RATE)
+        ids = np.where(event == 0, held2, held1).astype(np.int64) >> 2
+        coded = event == 2
+        if coded.any():
+            context = np.zeros(k, np.int64)
             for j in range(halves):
-                at = base + m.rows[j] + context
-                start = m.order0[at]
-                step, seen = value(rest)
-                half = (start <= seen[:, None].astype(np.int16)).sum(axis=1) - 1
-                first = start[mine, half]
-                take(rest, step, first, np.where(half == 15, TOTAL, start[mine, np.minimum(half + 1, 15)]) - first)
-                m.order0[at] = start + ((TOWARDS[half] - start) >> RATE)
+                row = m.place(j, context, coded)
+                dist = m.order0.take(row, axis=0)
+                step, value = seen(k)
+                half = (dist[:, :16] <= value[:, None]).sum(axis=1) - 1
+                half = np.where(coded, half, (ids >> (4 * (halves - 1 - j))) & 15)  # as the encoder has them
+                flat, at = dist.ravel(), m.at16[:k] + half
+                first = flat.take(at)
+                take(step, np.where(coded, first, 0), np.where(coded, flat.take(at + 1) - first, TOTAL))
+                m.order0[row] = dist + ((HALF.take(half, axis=0) - dist) >> RATE)
                 context = context * 16 + half
-            ids[rest] = context
-        m.learn(ids, two, one, guess2, guess1)
+            ids = np.where(coded, context, ids)
+        m.learn(ids, two, one, held2, held1)
         grid[t, :k] = ids
-    found = np.ascontiguousarray(grid.T).ravel().astype(np.uint32)
-    if lanes:
-        found = found[: n] if lanes == 1 else np.concatenate([grid[:, :-1].T.ravel(), grid[: size[-1], -1]]).astype(np.uint32)
+    found = np.concatenate([grid[:, :-1].T.ravel(), grid[: size[-1], -1]]).astype(np.uint32) if lanes else np.zeros(0, np.uint32)
     for i in range(lanes):
         if zlib.crc32(found[i * block : i * block + int(size[i])].tobytes()) != sums[i]:
             raise ValueError(f"block {i}: its checksum differs")
@@ -272,7 +278,7 @@ class Words:
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
         self.pattern = None
         if [s["type"] for s in steps] == ["Split", "ByteLevel"] and "Lowercase" in json.dumps(spec["normalizer"]):
-            self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
+            self.pattern = re.compile(latin(steps[0]["pattern"]["Regex"]))
             self.special = [x["content"] for x in spec["added_tokens"]]
             word = {**spec, "normalizer": None, "pre_tokenizer": steps[1], "added_tokens": []}
             self.word = Tokenizer.from_str(json.dumps(word))
