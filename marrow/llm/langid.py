@@ -33,7 +33,7 @@ DIMENSIONS = 1024
 SYMBOLS = 128
 SEED = 20240611
 SCALE = 1 << 20
-SLICE_BYTES, SLICE_ROWS = 1_500_000, 400
+SLICE_BYTES, SLICE_ROWS = 800_000, 200
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
 
