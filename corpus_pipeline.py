@@ -12,12 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.llm import bpe, decontaminate, jaccard, langid, quality
-from marrow.llm.common import settled, table
+from marrow.llm.common import fold, settled, table
 from marrow.session import ship
 
-#: Below this cosine with its nearest language a text is in none.
-LEAST_SCORE = 0.02
-
 
 def placed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs with columns k0, k1 and so on, and which of them have the names that the stages use."""
@@ -26,13 +23,15 @@ def placed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and those near no learned language."""
+    """Drops texts without a letter and those near no learned language: further from all than labelled texts of their length are from what the others teach."""
     ship(spark)
     df, at = placed(docs)
-    profiles = langid.learn(df, at["text"], at["lang"])
+    halves = [df.where(fold(at["text"], 2) == k) for k in (0, 1)]  # by text, so that no copy of a text is in the other half
+    profiles = [langid.learn(x, at["text"], at["lang"]) for x in halves]
+    least = langid.cutoffs(*zip(halves, reversed(profiles), strict=True), text_col=at["text"], lang_col=at["lang"])
     rest = tuple(c for c in df.columns if c != at["doc_id"])
-    found = langid.predict(df, profiles, at["doc_id"], at["text"], keep=rest)
-    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    found = langid.predict(df, langid.added(*profiles), at["doc_id"], at["text"], keep=rest, size_col="size")
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= F.get(F.array(*map(F.lit, least)), langid.length_of(F.col("size")))))
     return kept.select(*df.columns).toDF(*docs.columns)
 
 

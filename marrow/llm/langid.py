@@ -14,6 +14,9 @@ sums of integers (scaled texts are rounded): results do not depend on how rows a
 
 A text that is null or has no letter is `und` with score 0, as is every text if nothing was learned.
 Ties go to the language that sorts first. Rows with a null language are not trained on.
+
+`cutoffs` says which score a text of some length needs to be in a learned language at all: the score that all but
+`MISSED` of the held-out labelled texts of that length reach, and in no case less than `FLOOR`.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +39,13 @@ SCALE = 1 << 20
 SLICE_BYTES, SLICE_ROWS = 800_000, 200
 MAX_LANGUAGES = 4096
 UNKNOWN = "und"
+#: Lengths count as powers of two of trigrams; each has a cutoff.
+LENGTHS = 40
+#: A cutoff loses so many of the labelled texts that it is taken from, which are so many at least (or all that are not longer).
+MISSED, LEAST_HELD = 0.001, 200
+#: Twice the standard deviation of the cosine of unrelated vectors.
+FLOOR = 2 / DIMENSIONS**0.5
+STEPS = 4096
 
 
 @lru_cache(maxsize=1)
@@ -82,7 +92,10 @@ def trigram_vectors(distinct: np.ndarray, dimensions: int) -> np.ndarray:
 
 def bundles(batch: list[str], group: np.ndarray, groups: int, dimensions: int) -> np.ndarray:
     """The sum of the trigram vectors of the texts of each group."""
-    doc, at, distinct = trigram_counts(batch)
+    return bundled(*trigram_counts(batch), group, groups, dimensions)
+
+
+def bundled(doc: np.ndarray, at: np.ndarray, distinct: np.ndarray, group: np.ndarray, groups: int, dimensions: int) -> np.ndarray:
     counts = np.bincount(group[doc] * len(distinct) + at, minlength=groups * len(distinct)).reshape(groups, -1)
     return counts.astype(np.float32) @ trigram_vectors(distinct, dimensions) if len(distinct) else np.zeros((groups, dimensions), np.float32)
 
@@ -120,8 +133,14 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", d
     return {r["lang"]: r["vector"] for r in rows if any(r["vector"])}
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id_col, the columns to keep, lang_pred and score (the cosine, 0 at least) of each row's whole text."""
+def added(*parts: dict[str, list[int]]) -> dict[str, list[int]]:
+    """The vectors learned from all rows from those learned from parts of them."""
+    names = sorted({x for p in parts for x in p})
+    return {x: [sum(v) for v in zip(*(p[x] for p in parts if x in p), strict=True)] for x in names}
+
+
+def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), size_col: str | None = None) -> DataFrame:
+    """id_col, the columns to keep, lang_pred and score (the cosine, 0 at least) of each row's whole text; size_col: its number of trigrams."""
     names = sorted(profiles)
     matrix = np.array([profiles[x] for x in names], np.float64)
     matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if names else np.zeros((0, DIMENSIONS))
@@ -131,7 +150,8 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in _small(batches):
-            sums = bundles(texts(batch), np.arange(batch.num_rows), batch.num_rows, known.shape[1]).astype(np.float64)
+            doc, at, distinct = trigram_counts(texts(batch))
+            sums = bundled(doc, at, distinct, np.arange(batch.num_rows), batch.num_rows, known.shape[1]).astype(np.float64)
             size = np.linalg.norm(sums, axis=1)
             cosine = sums @ known.T / np.where(size > 0, size, 1)[:, None]
             some = (size > 0) & (len(names) > 0)
@@ -139,8 +159,36 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
             lang = [names[k] if yes else UNKNOWN for k, yes in zip(best, some, strict=True)]
             score = np.where(some, np.clip(cosine[np.arange(len(best)), best] if names else 0.0, 0, 1), 0.0)
             kept = [batch.column(f"c{i}") for i in range(len(own))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*own, "lang_pred", "score"])
+            more = [pa.array(np.bincount(doc, minlength=batch.num_rows), pa.int64())] if size_col else []
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lang, pa.string()), pa.array(score, pa.float64()), *more], names=[*own, "lang_pred", "score", *sized])
 
-    schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    sized = [size_col] if size_col else []
+    schema = T.StructType([*(docs.schema[c] for c in own), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *(T.StructField(c, T.LongType()) for c in sized)])
     cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]
     return docs.select(*cols, F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def length_of(size: Column) -> Column:
+    return F.least(F.floor(F.log2(size + 1)), F.lit(LENGTHS - 1)).cast("int")
+
+
+def cutoffs(*held: tuple[DataFrame, dict[str, list[int]]], text_col: str = "text", lang_col: str = "lang") -> list[float]:
+    """The least score of a text in a language, for each length, from labelled texts and profiles that have not learned them.
+
+    A length with few texts takes the next shorter ones in, whose scores are lower.
+    """
+    seen = np.zeros((LENGTHS, STEPS + 1), np.int64)  # of fixed size, as are the rows that come back
+    step = F.floor(F.col("score") * STEPS).cast("int")
+    for docs, profiles in held:
+        found = predict(docs.where(F.col(lang_col).isNotNull()), profiles, lang_col, text_col, size_col="size").where(F.col("lang_pred") != UNKNOWN)
+        for r in found.groupBy(length_of(F.col("size")).alias("length"), step.alias("step")).agg(F.count("*").alias("k")).collect():
+            seen[r["length"], r["step"]] += r["k"]
+    out = []
+    for i in range(LENGTHS):
+        first = i
+        while first and seen[first : i + 1].sum() < LEAST_HELD:
+            first -= 1
+        below = np.cumsum(seen[first : i + 1].sum(axis=0))
+        reached = int(np.searchsorted(below, int(MISSED * below[-1]), side="right")) if below[-1] else 0
+        out.append(max(FLOOR, reached / STEPS))
+    return out

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marrow.llm import bpe, jaccard
+from marrow.llm import bpe, jaccard, langid
+from tests.llm.conftest import text_of
 from tests.llm.test_jaccard import brute
 
 
@@ -64,3 +67,33 @@ def test_an_empty_table(spark, tables, name):
 def test_representatives_of_repeated_rows(spark):
     df = spark.createDataFrame([(3, "a b c d e f"), (3, "a b c d e f"), (5, "a b c d e f"), (6, "z y x w v u")], "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in jaccard.representatives(df).collect()) == [3, 6]
+
+
+def test_texts_in_no_learned_language_are_dropped(spark, tables):
+    """Longer texts of unlearned scripts and gibberish go, texts in the learned languages stay."""
+    path, _ = tables
+    rng = random.Random(3)
+    letters = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    letters += ["".join(map(chr, range(a, b))) for a, b in ((0x430, 0x450), (0x3B1, 0x3CA), (0x627, 0x64B), (0x4E00, 0x5E00))]
+    made = lambda s, n: " ".join("".join(rng.choice(s) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    foreign = [(1000 + i, made(s, n), None, "s", 1) for i, (s, n) in enumerate((s, n) for s in letters for n in (100, 300) for _ in range(10))]
+    own = [(i, text_of(rng, lang, n), lang, "s", 1) for i, (lang, n) in enumerate((lang, n) for lang in ("en", "de", "fr") for n in (12, 40, 100, 300) for _ in range(40))]
+    df = spark.createDataFrame(own + foreign, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, df, path).collect()}
+    assert not {i for i in kept if i >= 1000}
+    assert len(kept) >= 0.99 * len(own)
+
+
+def test_cutoffs_keep_all_but_few_of_the_held_out_texts(spark):
+    rng = random.Random(4)
+    rows = [(i, text_of(rng, "en", rng.choice([2, 20, 200])), "en") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    profiles = langid.learn(df.where("doc_id < 300"))
+    least = langid.cutoffs((df.where("doc_id >= 300"), profiles))
+    got = langid.predict(df.where("doc_id >= 300"), profiles, size_col="size").withColumn("length", langid.length_of(F.col("size"))).collect()
+    assert all(r["score"] >= least[r["length"]] for r in got)  # one in a thousand of fewer than that is none
+    assert min(least) >= langid.FLOOR
+    assert least[max(r["length"] for r in got)] > 0.5
+    assert set(langid.cutoffs((df.limit(0), {}))) == {langid.FLOOR}
+    halves = [langid.learn(df.where(f"doc_id % 2 = {k}")) for k in (0, 1)]
+    assert langid.added(*halves) == langid.learn(df)
