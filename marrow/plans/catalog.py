@@ -255,6 +255,17 @@ def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "heading_trail", X.breadcrumb(F.col("heading_trail")).alias("breadcrumb"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "body")
 
 
+@query()
+def turn_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns as such notes, cut into chunks however long they are: SQL has no chunker. What is null counts as empty; a turn without text is one chunk without a body."""
+    turns = table(spark, sf_dir, "conversations")
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("conv_id", "turn", "role", "text"))
+    path = F.concat(F.lit("conv-"), conv, F.lit("-"), turn, F.lit(".md"))
+    files = note_files(turns, path, F.concat(F.lit("# Conversation "), conv, F.lit("\n## "), role, F.lit("\n"), F.btrim(text, F.lit(" \t\n\r")), F.lit("\n")))
+    rows = notes.chunk_rows(notes.parse(files))
+    return rows.select("path", F.col("chunk_seq").cast("long").alias("chunk_seq"), "heading_trail", X.breadcrumb(F.col("heading_trail")).alias("breadcrumb"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "body")
+
+
 @query("SELECT 'doc-' || doc_id || '.md' AS path, [source, lang] AS tags, 'doc-' || doc_id AS name FROM documents")
 def inline_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with one tag in the frontmatter, the same and another in the text, and one in a code span and a fence."""
