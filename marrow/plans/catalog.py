@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -234,6 +235,40 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "source", "place", F.round(F.col("score").cast("double"), 9).alias("score"))
 
 
+# --- The same two with legs as deep as the reference's rule asks for a top k; those above are held at LIMIT by their SQL
+
+DEPTH = fuse.over_fetch(sys.maxsize, TOP)
+DEEP_LEGS = f"{bm25_sql(f'SELECT 0 AS query_id, $${QUESTION}$$ AS query', DEPTH)}, {dense_sql(FIRST, DEPTH).replace('asked AS', 'vectors AS').replace(', asked)', ', vectors)')}"
+DEEP_RRF = RRF.replace(LEGS, DEEP_LEGS)
+
+
+def deep_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
+    limit = fuse.over_fetch(max(docs.count(), vectors.count()), TOP)
+    near = dense.topk(vectors, first_vector(spark, sf_dir), limit, ("vec_id",)).withColumnRenamed("vec_id", "doc_id")
+    found = fuse.rrf(fuse.union(near, bm25.search(plain_index(spark, sf_dir), one_query(spark, QUESTION), limit), ("doc_id",)))
+    return found.join(docs.select("doc_id", "source", "lang"), "doc_id")
+
+
+@query(f"WITH {DEEP_RRF}, named AS (SELECT f.*, source FROM fused f JOIN documents USING (doc_id)), {SATURATED} SELECT doc_id, source, place, round(adjusted::DOUBLE, 9) AS score FROM placed WHERE place <= {TOP}")
+def saturation_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = fuse.saturate(deep_named(spark, sf_dir), "source", ("doc_id",), TOP)
+    return best.select("doc_id", "source", "place", F.round(F.col("score").cast("double"), 9).alias("score"))
+
+
+@query(
+    f"""WITH {DEEP_RRF}, named AS (SELECT f.query_id, f.doc_id, source, (score * {BOOST.format(q=QUESTION)})::FLOAT AS score FROM fused f JOIN documents USING (doc_id)), {SATURATED}
+SELECT doc_id, source, place, round(adjusted::DOUBLE, 9) AS score FROM placed WHERE place <= {TOP}"""
+)
+def hybrid_search_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both legs, fusion, boosts and saturation in one plan; no document of the reference's depth is lost."""
+    nothing = F.lit(None).cast("string")
+    factor = fuse.boost(F.lit(QUESTION), F.col("source"), nothing, nothing, F.array().cast("array<string>"), F.array("lang"))
+    rows = deep_named(spark, sf_dir).withColumn("score", fuse.boosted(F.col("score"), factor))
+    best = fuse.saturate(rows, "source", ("doc_id",), TOP)
+    return best.select("doc_id", "source", "place", F.round(F.col("score").cast("double"), 9).alias("score"))
+
+
 # --- Notes: markdown rendered from columns
 
 def note_files(df: DataFrame, path: Column, text: Column) -> DataFrame:

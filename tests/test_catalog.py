@@ -1,7 +1,10 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
+from marrow.operators import fuse
 from marrow.operators.notes import HARD_MAX, MERGE_UNDER, TARGET
 from marrow.plans import catalog
 
@@ -80,3 +83,27 @@ def test_every_turn_is_cut_into_chunks(spark, tmp_path):
     assert short.count() == 4
     assert short.exceptAll(got.select(*short.columns)).count() == 0
     assert got.where(F.octet_length("body") > HARD_MAX).count() == 0
+
+
+@pytest.mark.parametrize("name", ["saturation_deep", "hybrid_search_deep"])
+def test_both_legs_send_what_the_reference_asks_for(spark, tmp_path, name):
+    """Documents at rank 50 of both legs or deeper beat the first of one leg that is alone there, and those of a source that is halved."""
+    import duckdb
+
+    # the words' count falls with the id, so that the sparse rank is the id; the dense rank too, but for 0 to 49, which have no good vector
+    n = 90
+    docs = [(i, " ".join(["retion"] * (2 * n - i) + ["x"] * (i + 20)), "hot" if i < 50 else f"s{i}", "en") for i in range(n)]
+    vectors = [(i, [1.0 if i == 0 else 0.0 if 0 < i < 50 else 1 - i / 100, 0.0]) for i in range(n)]
+    vectors += [(1000 + i, [0.99 - i / 1000, 0.0]) for i in range(49)]  # of no document
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = [(r["doc_id"], r["place"], r["score"]) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).orderBy("place").collect()]
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLES[name]).order("place").fetchall()
+    assert got == [(r[0], r[2], r[3]) for r in want]
+    shallow = [r["doc_id"] for r in catalog.QUERIES[name.removesuffix("_deep")](spark, str(tmp_path)).collect()]
+    assert {d for d, *_ in got} > {50, 51, 52, 53}
+    assert not {50, 51, 52, 53} <= set(shallow)
+    assert catalog.DEPTH == fuse.over_fetch(10**9, catalog.TOP) == 100
