@@ -14,6 +14,7 @@ radius (triangle inequality), or whose sizes or places of the shared shingle rul
 left. While more pairs than a few times the rows could remain, regions are joined recursively, with
 the next foremost set of the smaller components as pivot; then the rest is compared. Every link
 between different components is thus found, nothing is capped, and components are exact.
+`with_links` then compares all sets of each component, as no link leaves it, and counts every link.
 
 Only numbers move: 64-bit shingles, and classes as (64-bit number, size). Texts are read where they
 lie, once more for each round of comparisons. The ids of the texts whose sets are compared are broadcast if there are at most
@@ -49,6 +50,8 @@ MAX_BROADCAST_IDS = 2_000_000
 MAX_BROADCAST_ROWS = 1_000_000
 #: Of the sets of one task, about.
 REGION_BYTES = 32_000_000
+#: Sets of one part where all pairs of a component are compared, about; shingles that are compared at once.
+REGION_SETS, COLUMNS = 1_000, 4_096
 #: Recursion goes on while so many times more pairs than rows might have to be compared.
 PAIRS_A_ROW = 500
 
@@ -147,6 +150,31 @@ def may_link(n1, at1, n2, at2, percent: int):
     return 100 * F.least(n1 - at1, n2 - at2) >= percent * F.greatest(n1 + at2, n2 + at1)
 
 
+def deal(docs: DataFrame, mine: DataFrame, size: int, content: Content) -> DataFrame:
+    """(region, p, q, own, name, content) of the sets of mine (id, name, region, parts, own): one row for each task of the region that the part takes part in."""
+    tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
+    mine = mine.select("id", "name", "region", "own", F.explode(tasks).alias("t"))
+    # Rows may share an id, or have none: the set's name says which of them is meant.
+    wanted = mine.groupBy(F.col("id").alias("want")).agg(F.collect_list(F.struct("name", "region", "t.p", "t.q", "own")).alias("tasks"))
+    wanted = settled(wanted, "jaccard-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in sets(batches, size):
+            rows = []
+            for tasks, s in zip(batch.column("tasks").to_pylist(), found, strict=True):
+                me, what = name_of(s), None
+                for t in tasks:
+                    if t["name"] % (1 << 64) == me:
+                        what = content(s) if what is None else what
+                        rows.append((t["region"], t["p"], t["q"], t["own"], me, what))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            numbers = [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:4])]
+            yield pa.RecordBatch.from_arrays([*numbers, signed(np.array(columns[4], np.uint64)), pa.array(columns[5], pa.binary())], names=["region", "p", "q", "own", "name", "content"])
+
+    return docs.join(wanted, F.col("id").eqNullSafe(F.col("want"))).select("tasks", "text").mapInArrow(send, "region bigint, p int, q int, own int, name bigint, content binary")
+
+
 def meet(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, content: Content, compare: Compare) -> DataFrame:
     """(a, b, both, either) for pairs (a, b, region): compare() of what content() says of both sets.
 
@@ -161,25 +189,7 @@ def meet(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, conte
     dealt = pairs.join(parts, "region").withColumn("p", part("a")).withColumn("q", part("b"))
     dealt = dealt.select("a", "b", "region", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
     mine = sides.join(parts, "region").withColumn("own", part("name"))
-    # all tasks of a region that a part of it takes part in
-    mine = mine.select("id", "name", "region", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))).alias("t"))
-    # Rows may share an id, or have none: the set's name says which of them is meant.
-    wanted = mine.groupBy(F.col("id").alias("want")).agg(F.collect_list(F.struct("name", "region", "t.p", "t.q")).alias("tasks"))
-    wanted = settled(wanted, "jaccard-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in sets(batches, size):
-            rows = []
-            for tasks, s in zip(batch.column("tasks").to_pylist(), found, strict=True):
-                me, what = name_of(s), None
-                for t in tasks:
-                    if t["name"] % (1 << 64) == me:
-                        what = content(s) if what is None else what
-                        rows.append((t["region"], t["p"], t["q"], me, what))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            name = signed(np.array(columns[3], np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), name, pa.array(columns[4], pa.binary())], names=["region", "p", "q", "name", "content"])
+    sent = deal(docs, mine, size, content)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         held = dict(zip(right.column("name").to_pylist(), right.column("content").to_pylist(), strict=True))
@@ -187,7 +197,6 @@ def meet(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, conte
         found = [compare(held[x], held[y]) for x, y in zip(a, b, strict=True)]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array([f[0] for f in found], pa.int64()), "either": pa.array([f[1] for f in found], pa.int64())})
 
-    sent = docs.join(wanted, F.col("id").eqNullSafe(F.col("want"))).select("tasks", "text").mapInArrow(send, "region bigint, p int, q int, name bigint, content binary")
     task = ["region", "p", "q"]
     return dealt.groupBy(*task).cogroup(sent.groupBy(*task)).applyInArrow(judge, "a bigint, b bigint, both bigint, either bigint")
 
@@ -283,20 +292,79 @@ def links(docs: DataFrame, classes: DataFrame, rank: np.ndarray, size: int, perc
             return edges
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Per row: id_col, n_shingles, class_id (smallest id with the same set), component_id (smallest id that links reach)."""
-    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+def shared(held: list[np.ndarray]) -> np.ndarray:
+    """The size of the intersection of each two sets, by products of the rows that say which shingles a set has."""
+    out = np.zeros((len(held), len(held)), np.int64)
+    who = np.repeat(np.arange(len(held)), [len(s) for s in held])
+    _, column, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+    order = np.argsort(column[times[column] > 1], kind="stable")
+    who, column = who[times[column] > 1][order], column[times[column] > 1][order]
+    at = np.cumsum(np.r_[False, column[1:] != column[:-1]]) if len(column) else column
+    for first in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+        a, b = np.searchsorted(at, [first, first + COLUMNS])
+        has = np.zeros((len(held), int(at[b - 1]) + 1 - first), np.float32)
+        has[who[a:b], at[a:b] - first] = 1
+        out += np.rint(has @ has.T).astype(np.int64)
+    return out
+
+
+def link_counts(docs: DataFrame, classes: DataFrame, labels: DataFrame, size: int, percent: int) -> DataFrame:
+    """(name, n_links) of the classes that link: with how many others each does. All pairs of a component are compared, those of a large one in several tasks."""
+    sides = settled(classes.join(labels.select(F.col("node").alias("name"), F.col("root").alias("region")), "name"), "jaccard-members")
+    parts = F.greatest(F.ceil(F.sum("n") * 8 / REGION_BYTES), F.ceil(F.count("*") / REGION_SETS)).cast("int")
+    mine = sides.join(near(sides.groupBy("region").agg(parts.alias("parts"))), "region").withColumn("own", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+
+    def count(members: pa.Table) -> pa.Table:
+        first = members.column("name").to_numpy()
+        _, once = np.unique(first, return_index=True)  # copies of a text may share an id
+        name, own, both_parts = first[once], members.column("own").to_numpy()[once], members.column("p")[0].as_py() != members.column("q")[0].as_py()
+        content = members.column("content")
+        held = [np.frombuffer(content[int(i)].as_buffer(), np.uint64) for i in once]
+        both = shared(held)
+        n = np.array([len(s) for s in held])
+        link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        np.fill_diagonal(link, False)
+        if both_parts:
+            link &= own[:, None] != own[None, :]
+        return pa.table({"name": pa.array(name), "n_links": pa.array(link.sum(axis=1), pa.int64())})
+
+    sent = deal(docs, mine, size, lambda s: s.tobytes())
+    counts = sent.groupBy("region", "p", "q").applyInArrow(count, "name bigint, n_links bigint")
+    return counts.groupBy("name").agg(F.sum("n_links").alias("n_links"))
+
+
+def solved(df: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, n, name) of each row, the classes (name, n, id), and the component (node, root) of those that link."""
     bits = sketch_bits(df.count())
     named, sketch = describe(df, size, bits)
     classes = settled(named.where("n > 0").groupBy("name", "n").agg(F.min("id").alias("id")), "jaccard-classes")
-    edges = links(df, classes, ranks(sketch, bits), size, percent)
-    labels = components(edges)
+    return named, classes, components(links(df, classes, ranks(sketch, bits), size, percent))
+
+
+def told(named: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """The columns of join() from what solved() gives, and more columns of classes."""
     rooted = classes.join(labels.select(F.col("node").alias("name"), "root"), "name")
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     linked = rooted.join(least, "root").select("name", "n", "component_id")
-    places_of = classes.join(linked, ["name", "n"], "left").select("name", "n", F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
+    places_of = classes.join(linked, ["name", "n"], "left").select("name", "n", F.col("id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), *more)
     out = named.join(places_of, ["name", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component_id", "id").alias("component_id"), *more)
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """Per row: id_col, n_shingles, class_id (smallest id with the same set), component_id (smallest id that links reach)."""
+    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return told(*solved(df, size, percent), id_col)
+
+
+def with_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """join() with n_links: how many other classes the row's class links with, every one counted."""
+    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    named, classes, labels = solved(df, size, percent)
+    counts = link_counts(df, classes, labels, size, percent)
+    counted = settled(classes.join(counts, "name", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))), "jaccard-links")
+    out = told(named, counted, labels, id_col, "n_links")
+    return out.withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:

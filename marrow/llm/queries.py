@@ -193,6 +193,19 @@ FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN components USING (cl
 """
 
 
+@query
+def op2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2_jaccard with the number of links of each document's class."""
+    return jaccard.with_links(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_links"] = f"""
+SELECT j.*, coalesce(n_links, 0) AS n_links
+FROM ({ORACLES["op2_jaccard"]}) j
+LEFT JOIN ({ORACLES["op2_jaccard"].rpartition("SELECT doc_id, len(sets.s)")[0]} SELECT a AS class_id, count(*) AS n_links FROM both_ways GROUP BY a) USING (class_id)
+"""
+
+
 @query
 def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", fold("doc_id", 7) == 2)

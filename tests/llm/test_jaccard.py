@@ -98,3 +98,37 @@ def test_components_of_chains_and_stars(spark):
     for part in (nodes[:100], nodes[100:200], nodes[200:]):
         assert {got[x] for x in part} == {min(part)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def plain_links(rows, size=4, percent=85):
+    """Of each id, with how many other sets its own links, by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets.append(frozenset({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()}))
+    kinds = set(sets) - {frozenset()}
+    counts = {a: sum(a != b and 100 * len(a & b) >= percent * len(a | b) for b in kinds) for a in kinds}
+    return {doc: counts.get(s, 0) for (doc, _), s in zip(rows, sets, strict=True)}
+
+
+@pytest.mark.parametrize(("seed", "sets", "columns"), [(1, 1000, 4096), (5, 3, 7)])
+def test_every_link_is_counted(spark, monkeypatch, seed, sets, columns):
+    """Links within one component too; components dealt to one task or to many."""
+    monkeypatch.setattr(jaccard, "REGION_SETS", sets)
+    monkeypatch.setattr(jaccard, "COLUMNS", columns)
+    rows = clouds(seed, 4, 20)
+    got = jaccard.with_links(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    want = plain_links(rows)
+    assert {r["doc_id"]: r["n_links"] for r in got} == want
+    assert max(want.values()) > 2
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute(rows)
+
+
+def test_links_of_the_query_and_edges(spark, check_sql):
+    got = check_sql(spark, "op2_links")
+    assert got.where("n_links > 0").count()
+    assert jaccard.with_links(spark.createDataFrame([], SCHEMA)).count() == 0
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(base)), (None, " ".join([*base, "x"])), (4, " ".join([*base, "x"])), (4, " ".join([*base, "x", "y"])), (4, "unlike the rest here"), (None, None)]
+    got = jaccard.with_links(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["n_shingles"], r["n_links"]) for r in got) == [(0, 0), (1, 0), (57, 2), (58, 2), (58, 2), (59, 2)]
