@@ -368,11 +368,17 @@ def with_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs without those whose component has a smaller id; of equal rows one stays. Rows without an id stay."""
-    found = settled(join(docs, id_col, text_col, size, percent).select(F.col(id_col).alias("id"), F.col("component_id").alias("of")), "jaccard-components")
-    each = settled(found.where("id IS NOT NULL").groupBy("id").agg(F.min("of").alias("of"), F.count("*").alias("rows")), "jaccard-ids")
-    key = f"id_{uuid.uuid4().hex}"  # clashes with no column of docs
-    gone, again = (each.where(c).select(F.col("id").alias(key)) for c in ("id <> of", "id = of AND rows > 1"))
+    """One row of docs for each component: that of the smallest id, and of its smallest name where sets share an id. Rows without an id stay, as do, once each, those without a word."""
+    df = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    named, _, labels = solved(df, size, percent)
+    found = named.where("id IS NOT NULL").join(labels.select(F.col("node").alias("name"), F.col("root").alias("of")), "name", "left")
+    found = settled(found.withColumn("of", F.coalesce("of", "name")), "jaccard-components")
+    best = settled(found.where("n > 0").groupBy("of").agg(F.min(F.struct("id", "name")).alias("best")).select("best.id", "best.name"), "jaccard-best")
+    each = found.groupBy("id").agg(F.count("*").alias("rows"), F.count_if(F.col("n") == 0).alias("empty"))
+    each = each.join(best.groupBy("id").agg(F.count("*").alias("best")), "id", "left").withColumn("kept", F.coalesce("best", F.lit(0)) + F.col("empty"))
+    each = settled(each.select("id", "rows", "kept"), "jaccard-ids")
+    key, what = (f"{c}_{uuid.uuid4().hex}" for c in ("id", "text"))  # clash with no column of docs
+    gone, again = (each.where(c).select(F.col("id").alias(key)) for c in ("kept = 0", "kept > 0 AND rows > 1"))
 
     def small(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
@@ -381,5 +387,18 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = docs.join(small(gone), same, "left_anti")
     if not again.limit(1).count():
         return rest
+    # Where rows share an id, their sets' names tell which of them stay.
     ids = small(again)
-    return rest.join(ids, same, "left_anti").union(rest.join(ids, same, "left_semi").dropDuplicates([id_col, text_col]))
+    mine = df.join(ids.withColumnRenamed(key, "key"), F.col("id") == F.col("key"), "left_semi").distinct()
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in sets(batches, size):
+            columns = [batch.column("id"), batch.column("text"), pa.array([len(s) for s in found], pa.int64()), signed(np.array([name_of(s) for s in found], np.uint64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text", "n", "name"])
+
+    texts = mine.mapInArrow(name, T.StructType([df.schema["id"], df.schema["text"], T.StructField("n", T.LongType()), T.StructField("name", T.LongType())]))
+    texts = settled(texts, "jaccard-texts")
+    first = texts.where("n > 0").join(best, ["id", "name"], "left_semi").groupBy("id", "name").agg(F.min("text").alias("text"))
+    stay = texts.where("n = 0").select("id", "text").union(first.select("id", "text")).toDF(key, what)
+    row = same & F.col(f"`{text_col}`").cast("string").eqNullSafe(F.col(what))
+    return rest.join(ids, same, "left_anti").union(rest.join(stay, row, "left_semi").dropDuplicates([id_col, text_col]))

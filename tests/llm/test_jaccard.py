@@ -132,3 +132,16 @@ def test_links_of_the_query_and_edges(spark, check_sql):
     rows = [(None, " ".join(base)), (None, " ".join([*base, "x"])), (4, " ".join([*base, "x"])), (4, " ".join([*base, "x", "y"])), (4, "unlike the rest here"), (None, None)]
     got = jaccard.with_links(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((r["n_shingles"], r["n_links"]) for r in got) == [(0, 0), (1, 0), (57, 2), (58, 2), (58, 2), (59, 2)]
+
+
+def test_one_row_of_each_component_where_ids_clash(spark):
+    base = [f"w{i}" for i in range(60)]
+    b, near_b, alone = " ".join(base), " ".join([*base, "x"]), "a text that has no copy at all"
+    rows = [(2, b), (5, alone), (5, near_b), (7, "one and the same here"), (7, "ONE and the same here"), (8, near_b), (9, " ".join(f"v{i}" for i in range(60))), (9, " ".join(f"v{i}" for i in range(61))), (11, None), (11, None), (11, ""), (None, b)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(0)).withColumn("best", F.lit(1))
+    kept = jaccard.representatives(df)
+    assert kept.columns == df.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(str(i) for i, _ in got) == ["11", "11", "2", "5", "7", "9", "None"]
+    assert (5, alone) in got
+    assert (2, b) in got
