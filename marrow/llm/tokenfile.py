@@ -1,23 +1,30 @@
 """Token ids in binary files: an adaptive context-mixing range coder in reset, checksummed blocks.
 
-Ids are written in ascending order of document id. A file row is a frame of up to `LANES` blocks of
-`BLOCK` ids (documents do not cross frames; a longer one has a longer frame). A block starts from an
-empty model and has its own crc32, so that each can be decoded, and checked, alone. All blocks of a
-frame are coded side by side, a step of each at a time, as vectors.
-
-An id is coded in two parts. The id last seen after the last two ids (order 2) and the one last seen
-after the last id (order 1) are predictions with a confidence each; for every pair of confidences the
-block mixes a distribution over "order 2 is right", "order 1 is right" and "neither", which adapts with
-each id. If neither, order 0 codes the id by halves of a byte, each with a distribution that adapts in the
-context of the halves before (of many
-contexts some share one). These frequencies drive one range coder a block, of 48 bits and 16-bit words.
+Ids are written in ascending order of document id. A file row is a frame of whole documents, up to
+`BLOCK` times `LANES` ids (a longer document has a longer frame). A frame's head holds the alphabet of
+its ids; its ids are cut into blocks. A block starts from the same model as every other, has its own crc32, and
+can be decoded, and checked, alone. All blocks of a frame are coded side by side, a step of each at a
+time, as vectors.
+
+Three orders of context predict an id. The id last seen after the last two ids (order 2) and the one last
+seen after the last id (order 1) are predictions with a confidence each; for every pair of confidences
+the block mixes a distribution over "order 2 is right", "order 1 is right" and "neither", which adapts
+with each id. Where neither is right, the ids' frequencies in the frame (order 0) are weighed by a
+distribution over `CLASSES` classes of ids. That is a mixture of three which adapt within the block:
+of order 0, of order 1 (given the class of the last id) and of order 2 (given the classes of the last two). Ids
+often found side by side are in one class, so classes tell languages and parts of words apart. Only the lanes where
+neither prediction is right go through the classes. Both choices together narrow the range of the block's coder
+once, whose low end and span have 64 bits and which sends words of 16.
 
 The rows are Parquet rows written by Spark (its commit makes a lost task harmless): shard, frame,
 at (ids of the shard before the frame), doc_ids, sizes and the binary frame. Shards are ranges of
-document ids; the ids before a shard are a sum over one row a shard.
+document ids, and of text hashes within one id, so that rows of one id can be dealt to many; the ids
+before a shard are a sum over one row a shard.
 
 Nulls: a null text is empty and has only the end id; null document ids come first. Rows with the same
-id stand next to each other. A block whose checksum differs, or a frame that is cut short, raises.
+id stand next to each other, in the order of a hash of their texts. An empty table gives no frame and
+reads back empty. Very long texts are one frame. Only id and text are read, so further columns may have
+any names. A block whose checksum differs, or a frame that is cut short, raises.
 """
 
 from __future__ import annotations
@@ -41,67 +48,169 @@ from pyspark.sql import types as T
 from marrow.llm.bpe import latin, tokenizer_path
 from marrow.llm.common import settled, slices, texts
 
-BLOCK, LANES = 1024, 2048
+#: Ids of a block at most, and blocks that a frame has where it can; a smaller frame has smaller blocks, of LEAST ids at least.
+BLOCK, LANES, LEAST = 4096, 1024, 512
 END = 1
-SLICE_BYTES = 10_000_000
-TOTAL_BITS, RATE, EVENT_RATE = 14, 4, 4
-#: Places for predictions in a block, and contexts of a half byte (more share a place).
-SLOTS, CONTEXTS = 2048, 512
-MAGIC = b"MRWF"
-HEAD = struct.Struct("<4sIIII")
+SLICE_BYTES = 5_000_000
+#: Places for predictions in a block (a power of two).
+SLOTS = 2048
+CLASSES = 8
+#: Totals of the three kinds of distributions; ids of a class share 2**INNER_BITS, or more where it has many ids.
+EVENT_BITS, CLASS_BITS, INNER_BITS = 12, 13, 13
+RATE = 4
+#: Order 0, 1 and 2 count so many times in the mixture of classes; the sum is 4.
+MIX_BITS = CLASS_BITS + 2
+MAX_VOCABULARY = 1 << 22
+#: Neighbours from which the order of the alphabet is found; any order decodes alike.
+NEIGHBOURS, TURNS = 1 << 18, 8
+MAGIC = b"MRWG"
+HEAD = struct.Struct("<4sIIIIII")
 MAX_BROADCAST_SHARDS = 1_000_000
 
-TOTAL = 1 << TOTAL_BITS
 
-
-def towards(size: int) -> np.ndarray:
-    """Where a distribution (the starts of its parts, and TOTAL) moves when a part has come: nearly all to it, one to every other."""
-    return np.array([[*(k if k <= s else TOTAL - size + k for k in range(size)), TOTAL] for s in range(size)], np.int16)
-
-
-HALF, EVENT = towards(16), towards(3)
+def towards(size: int, width: int, total: int) -> np.ndarray:
+    """Where a distribution (the starts of its parts) moves when a part has come: nearly all to it, one to every other."""
+    out = np.zeros((size, width), np.int16)
+    for s in range(size):
+        out[s, :size] = [k if k <= s else total - size + k for k in range(size)]
+    return out
+
+
+EVENT = towards(3, 4, 1 << EVENT_BITS).view(np.int64).ravel()
+CLASS = towards(CLASSES, CLASSES, 1 << CLASS_BITS).view(np.complex128).ravel()
+EVENT_START = np.array([0, 1 << EVENT_BITS - 3, 1 << EVENT_BITS - 2, 0], np.int16).view(np.int64)[0]
+CLASS_START = (np.arange(CLASSES) << CLASS_BITS - 3).astype(np.int16).view(np.complex128)[0]
+SHIFT16, WORD = np.uint64(16), np.uint64(48)
+SMALL = np.uint64(1 << 48)
+
+
+def moved(rows: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Distributions, each in one number of rows, moved towards others."""
+    a, b = rows.view(np.int16), target.view(np.int16)
+    return (a + ((b - a) >> RATE)).view(rows.dtype)
+
+
+class Alphabet:
+    """The ids of a frame in an order where neighbours in texts are near each other, their classes, and where each stands in its class's share."""
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray, count: np.ndarray):
+        """count: how many ids each class has; size: the share of each id, which add up to one power of two in each class."""
+        self.ids, self.size, self.count = ids, size, count
+        self.klass = np.repeat(np.arange(CLASSES), count)
+        self.bits = max(INNER_BITS, int(size[self.klass == self.klass[0]].sum()).bit_length() - 1) if len(ids) else INNER_BITS
+        total = np.r_[0, np.cumsum(size)]
+        self.start = total[:-1] - total[np.r_[0, np.cumsum(count)]][self.klass]
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Alphabet, np.ndarray]:
+        """The alphabet of ids, and each id's place in it."""
+        times = np.bincount(ids)
+        own = np.flatnonzero(times)
+        place = np.zeros(len(times), np.int32)
+        place[own] = np.arange(len(own))
+        n = times[own]
+        every = max(1, len(ids) // NEIGHBOURS)
+        a, b = place[ids[:-1:every]], place[ids[1::every]]
+        # the slowest wave of a walk between neighbours: clusters of ids have values alike
+        met = np.bincount(a, minlength=len(own)) + np.bincount(b, minlength=len(own)) + 1e-9
+        wave = np.random.default_rng(1).standard_normal(len(own))
+        for _ in range(TURNS):
+            wave = (np.bincount(a, wave[b], len(own)) + np.bincount(b, wave[a], len(own))) / met
+            wave -= (wave * met).sum() / met.sum()
+            wave /= np.sqrt((wave * wave * met).sum() / met.sum()) + 1e-9
+        order = np.argsort(wave, kind="stable")
+        own, n = own[order], n[order]
+        # by mass, and by number so that no class has most of the ids
+        middle = (3 * (np.cumsum(n) - n / 2) / n.sum() + (np.arange(len(n)) + 0.5) / len(n)) / 4
+        klass = np.minimum((middle * CLASSES).astype(np.int64), CLASSES - 1)
+        count = np.bincount(klass, minlength=CLASSES)
+        bits = max(INNER_BITS, int(count.max()).bit_length() + 1)
+        mass = np.bincount(klass, n, CLASSES)
+        free = (1 << bits) - count  # each id has 1, the rest goes by frequency
+        size = 1 + np.floor(n * (free / np.maximum(mass, 1))[klass]).astype(np.int64)
+        first = np.r_[0, np.cumsum(count)[:-1]]
+        for k in np.flatnonzero(count):
+            part = size[first[k] : first[k] + count[k]]
+            part[n[first[k] : first[k] + count[k]].argmax()] += (1 << bits) - part.sum()
+        place[own] = np.arange(len(own))
+        return cls(own, size, count), place[ids]
+
+    def packed(self) -> bytes:
+        return zlib.compress(np.r_[self.count, self.ids, self.size].astype("<u4").tobytes())
+
+    @classmethod
+    def read(cls, data: bytes) -> Alphabet:
+        numbers = np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64)
+        count, rest = numbers[:CLASSES], numbers[CLASSES:]
+        if int(count.sum()) * 2 != len(rest):
+            raise ValueError("an alphabet is broken")
+        ids, size = np.split(rest, 2)
+        return cls(ids, size, count)
 
 
 class Blocks:
     """The models of many blocks, one lane each; lanes are independent."""
 
-    def __init__(self, lanes: int, halves: int):
-        self.sizes = [min(16**k, CONTEXTS) for k in range(halves)]
-        self.rows = [sum(self.sizes[:k]) for k in range(halves)]
-        self.spare = sum(self.sizes)  # a row that lanes use which code nothing
-        self.base = np.arange(lanes) * (self.spare + 1)
-        self.order0 = np.tile(np.r_[np.arange(16) * (TOTAL // 16), TOTAL].astype(np.int16), (lanes * (self.spare + 1), 1))
-        self.events = np.tile(np.array([0, TOTAL // 8, TOTAL // 4, TOTAL], np.int16), (lanes * 16, 1))
-        self.event_base = np.arange(lanes) * 16
-        self.slots = np.arange(lanes) * SLOTS
-        self.guess = np.zeros((2, lanes * SLOTS), np.int32)  # an id and, in the last two bits, the trust in it
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-        self.at16, self.at3 = np.arange(lanes) * 17, np.arange(lanes) * 4
+    def __init__(self, lanes: int):
+        rows = 1 + CLASSES + CLASSES * CLASSES
+        self.classes = np.full(lanes * rows, CLASS_START)
+        self.events = np.full(lanes * 16, EVENT_START)
+        self.guess = np.zeros((2, lanes * SLOTS), np.int32)  # a place in the alphabet, from 1, and in the last two bits the trust in it
+        self.row, self.event_row, self.slots = np.arange(lanes) * rows, np.arange(lanes) * 16, np.arange(lanes) * SLOTS
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.last_class, self.before_class = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.eights = np.arange(lanes + 1) * CLASSES
+        self.fours = np.arange(lanes + 1) * 4
 
     def look(self, n: int) -> tuple[np.ndarray, ...]:
-        """For the first n lanes the places of both predictions, what stands there, and the event distribution's row."""
+        """For the first n lanes the places of both predictions, what stands there, and the event distribution's row and itself."""
         last = self.last[:n] * 0x9E3779B1
         two = self.slots[:n] + (((last + self.before[:n] * 0x85EBCA6B) >> 13) & (SLOTS - 1))
         one = self.slots[:n] + ((last >> 15) & (SLOTS - 1))
         held2, held1 = self.guess[0].take(two), self.guess[1].take(one)
-        return two, one, held2, held1, self.event_base[:n] + (held2 & 3) * 4 + (held1 & 3)
-
-    def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray, held2: np.ndarray, held1: np.ndarray) -> None:
-        n, fresh = len(ids), (ids << 2).astype(np.int32)
+        row = self.event_row[:n] + ((held2 & 3) * 4 + (held1 & 3))
+        return two, one, held2, held1, row, self.events.take(row)
+
+    def happened(self, row: np.ndarray, dist: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Learn the events; where each one's part starts, and how wide it is."""
+        flat, at = dist.view(np.int16), self.fours[: len(event)] + event
+        start = flat.take(at)
+        width = (flat.take(at + 1) - start) & ((1 << EVENT_BITS) - 1)
+        self.events[row] = moved(dist, EVENT.take(event))
+        return start, width
+
+    def mixture(self, lanes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The rows of the three orders for some lanes, what they hold, and their mixture: the starts of the classes, and a last 0."""
+        first, c = self.row[lanes], self.last_class[lanes]
+        rows = first, first + 1 + c, first + 1 + CLASSES + c * CLASSES + self.before_class[lanes]
+        held = [self.classes.take(r) for r in rows]
+        zero, one, two = (h.view(np.int16) for h in held)
+        mixed = np.zeros(len(zero) + 1, np.int16)
+        np.add(zero, two, out=mixed[:-1])
+        mixed[:-1] += one
+        mixed[:-1] += one
+        return rows, held, mixed
+
+    def part(self, mixed: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the part of each lane's class starts, and how wide it is."""
+        at = self.eights[: len(klass)] + klass
+        start = mixed.take(at)
+        return start, (mixed.take(at + 1) - start) & ((1 << MIX_BITS) - 1)
+
+    def classed(self, rows: tuple, held: list, klass: np.ndarray) -> None:
+        target = CLASS.take(klass)
+        for r, h in zip(rows, held, strict=True):
+            self.classes[r] = moved(h, target)
+
+    def learn(self, place: np.ndarray, klass: np.ndarray, two: np.ndarray, one: np.ndarray, held2: np.ndarray, held1: np.ndarray) -> None:
+        n, fresh = len(place), (place + 1).astype(np.int32) << 2
+        sure = fresh | 3
         for k, at, held in ((0, two, held2), (1, one, held1)):
-            self.guess[k][at] = np.where(held >> 2 == ids, np.minimum(held + 1, fresh | 3), fresh)
+            self.guess[k][at] = np.where((held ^ fresh) < 4, np.minimum(held + 1, sure), fresh)
         self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-    def place(self, k: int, context: np.ndarray, coded: np.ndarray) -> np.ndarray:
-        """The row of each lane's k-th half in the context of the halves before; lanes that are not coded have the spare row."""
-        own = self.rows[k] + (context if self.sizes[k] < CONTEXTS else (context * 0x9E3779B1 >> 12) & (CONTEXTS - 1))
-        return self.base[: len(context)] + np.where(coded, own, self.spare)
-
-
-def halves_of(size: int) -> int:
-    return max(1, -(-max(1, (size - 1).bit_length()) // 4))
+        self.last[:n] = place
+        self.before_class[:n] = self.last_class[:n]
+        self.last_class[:n] = klass
 
 
 def lanes_of(n: int, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,74 +222,87 @@ def lanes_of(n: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     return size, np.where(np.arange(min(n, block)) < (size[-1] if count else 0), count, count - 1)
 
 
-def encode_frame(ids: np.ndarray, vocabulary: int, block: int = BLOCK) -> bytes:
+def block_of(n: int) -> int:
+    return min(BLOCK, max(LEAST, -(-n // LANES)))
+
+
+def encode_frame(ids: np.ndarray, vocabulary: int, block: int | None = None) -> bytes:
     """A frame of ids below `vocabulary`."""
     ids = np.ascontiguousarray(ids, np.uint32)
+    if vocabulary > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary has {MAX_VOCABULARY} ids at most")
     if len(ids) and int(ids.max()) >= vocabulary:
         raise ValueError(f"id {int(ids.max())} is not below {vocabulary}")
-    n, halves = len(ids), halves_of(vocabulary)
+    n = len(ids)
+    block = block or block_of(n)
     size, active = lanes_of(n, block)
     lanes = len(size)
-    grid = np.zeros(lanes * block, np.int64)
-    grid[:n] = ids
+    alphabet, place = Alphabet.of(ids.astype(np.int64)) if n else (Alphabet(*[np.zeros(0, np.int64)] * 2, np.zeros(CLASSES, np.int64)), np.zeros(0, np.int32))
+    grid = np.zeros(lanes * block, np.int32)
+    grid[:n] = place
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
-    m = Blocks(lanes, halves)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << 48, np.uint64)
+    del place
+    m = Blocks(lanes)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     words, used = np.zeros((lanes, 64), np.uint16), np.zeros(lanes, np.int64)
-    top, below = np.uint64(1 << 48), np.uint64((1 << 48) - 1)
-
-    def put(start: np.ndarray, width: np.ndarray) -> None:
-        """Narrow the ranges of the first lanes to a part of TOTAL; send a word where a range has become small."""
-        nonlocal words
-        l, s = low[: len(start)], span[: len(start)]
-        step = s >> np.uint64(TOTAL_BITS)
-        l += step * start.astype(np.uint64)
-        np.multiply(step, width.astype(np.uint64), out=s)
-        lane = np.flatnonzero(l >= top)
-        if len(lane):
-            l[lane] &= below
-            place = used[lane] - 1
-            while len(lane):  # carry into the words before
-                words[lane, place] += np.uint16(1)
-                again = words[lane, place] == 0
-                lane, place = lane[again], place[again] - 1
-        lane = np.flatnonzero(s < np.uint64(1 << 32))
+    inner = alphabet.bits + MIX_BITS
+    total = np.uint64(EVENT_BITS + inner)
+
+    def carry(lane: np.ndarray) -> None:
+        """One more in the words before."""
+        at = used[lane] - 1
+        while len(lane):
+            words[lane, at] += np.uint16(1)
+            again = words[lane, at] == 0
+            lane, at = lane[again], at[again] - 1
+
+    for t, k in enumerate(active.tolist()):
+        here = grid[t, :k].astype(np.int64)
+        klass = alphabet.klass.take(here)
+        two, one, held2, held1, row, dist = m.look(k)
+        mark = (here + 1) << 2
+        event = np.where((held2 ^ mark) < 4, 0, np.where((held1 ^ mark) < 4, 1, 2))
+        begin, wide = m.happened(row, dist, event)
+        start, width = begin.astype(np.int64) << inner, wide.astype(np.int64) << inner
+        lane = np.flatnonzero(event == 2)
         if len(lane):
+            rows, held, mixed = m.mixture(lane)
+            what, its = here[lane], klass[lane]
+            first, broad = m.part(mixed, its)
+            each = wide[lane].astype(np.int64)
+            start[lane] += each * ((first.astype(np.int64) << alphabet.bits) + alphabet.start.take(what) * broad)
+            width[lane] = each * (alphabet.size.take(what) * broad)
+            m.classed(rows, held, its)
+        m.learn(here, klass, two, one, held2, held1)
+        l, s = low[:k], span[:k]
+        step = s >> total
+        move = step * start.view(np.uint64)
+        l += move
+        np.multiply(step, width.view(np.uint64), out=s)
+        over = np.flatnonzero(l < move)
+        if len(over):
+            carry(over)
+        lane = np.flatnonzero(s < SMALL)
+        while len(lane):
             if int(used[lane].max()) == words.shape[1]:
                 words = np.hstack([words, np.zeros_like(words)])
-            words[lane, used[lane]] = (l[lane] >> np.uint64(32)).astype(np.uint16)
+            mine = l[lane]
+            words[lane, used[lane]] = mine >> WORD
             used[lane] += 1
-            l[lane] = (l[lane] << np.uint64(16)) & below
-            s[lane] <<= np.uint64(16)
-
-    for t, k in enumerate(active.tolist()):
-        here = grid[t, :k]
-        two, one, held2, held1, row = m.look(k)
-        event = np.where(held2 >> 2 == here, 0, np.where(held1 >> 2 == here, 1, 2))
-        dist = m.events.take(row, axis=0)
-        flat, at = dist.ravel(), m.at3[:k] + event
-        first = flat.take(at)
-        put(first, flat.take(at + 1) - first)
-        m.events[row] = dist + ((EVENT.take(event, axis=0) - dist) >> EVENT_RATE)
-        coded = event == 2
-        if coded.any():
-            context = np.zeros(k, np.int64)
-            for j in range(halves):
-                half = (here >> (4 * (halves - 1 - j))) & 15
-                row = m.place(j, context, coded)
-                dist = m.order0.take(row, axis=0)
-                flat, at = dist.ravel(), m.at16[:k] + half
-                first = flat.take(at)
-                put(np.where(coded, first, 0), np.where(coded, flat.take(at + 1) - first, TOTAL))
-                m.order0[row] = dist + ((HALF.take(half, axis=0) - dist) >> RATE)
-                context = context * 16 + half
-        m.learn(here, two, one, held2, held1)
-    out = [HEAD.pack(MAGIC, n, vocabulary, block, lanes)]
+            l[lane] = mine << SHIFT16
+            narrow = s[lane] << SHIFT16
+            s[lane] = narrow
+            lane = lane[narrow < SMALL]
+    # a number of one word that lies in each range; zeros follow it
+    last = low + (SMALL - np.uint64(1))
+    carry(np.flatnonzero(last < low))
+    last >>= WORD
     sums, bodies = [], []
     for i in range(lanes):
-        tail = int(low[i])
         sums.append(zlib.crc32(ids[i * block : i * block + int(size[i])].tobytes()))
-        bodies.append(words[i, : used[i]].tobytes() + struct.pack("<3H", tail >> 32, (tail >> 16) & 0xFFFF, tail & 0xFFFF))
+        bodies.append(words[i, : used[i]].tobytes() + struct.pack("<H", int(last[i])))
+    head = alphabet.packed()
+    out = [HEAD.pack(MAGIC, n, vocabulary, block, lanes, len(head), zlib.crc32(head)), head]
     out.append(np.array([len(b) // 2 for b in bodies], "<u4").tobytes())
     out.append(np.array(sums, "<u4").tobytes())
     return b"".join(out + bodies)
@@ -190,68 +312,81 @@ def decode_frame(data: bytes) -> np.ndarray:
     """The ids of a frame; raises ValueError if it is cut short or a block's checksum is not that of its ids."""
     if len(data) < HEAD.size or data[:4] != MAGIC:
         raise ValueError("no frame")
-    _, n, vocabulary, block, lanes = HEAD.unpack_from(data)
-    halves = halves_of(vocabulary)
+    _, n, vocabulary, block, lanes, head, sum_of_head = HEAD.unpack_from(data)
     size, active = lanes_of(n, block)
-    if lanes != len(size) or len(data) < HEAD.size + 8 * lanes:
+    at = HEAD.size + head
+    if lanes != len(size) or len(data) < at + 8 * lanes:
         raise ValueError("frame cut short")
-    length = np.frombuffer(data, "<u4", lanes, HEAD.size).astype(np.int64)
-    sums = np.frombuffer(data, "<u4", lanes, HEAD.size + 4 * lanes)
-    start = HEAD.size + 8 * lanes
-    if len(data) != start + 2 * int(length.sum()):
+    if zlib.crc32(data[HEAD.size : at]) != sum_of_head:
+        raise ValueError("alphabet: its checksum differs")
+    alphabet = Alphabet.read(data[HEAD.size : at])
+    length = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
+    sums = np.frombuffer(data, "<u4", lanes, at + 4 * lanes)
+    start_of = at + 8 * lanes
+    if len(data) != start_of + 2 * int(length.sum()):
         raise ValueError("frame cut short")
-    words = np.r_[np.frombuffer(data, "<u2", -1, start), np.zeros(4, np.uint16)].astype(np.uint64)
-    at_word = np.r_[0, np.cumsum(length)][:-1]
-    m = Blocks(lanes, halves)
-    span, code = np.full(lanes, 1 << 48, np.uint64), np.zeros(lanes, np.uint64)
-    for _ in range(3):
-        code = (code << np.uint64(16)) | words[at_word]
-        at_word = at_word + 1
-    grid = np.zeros((min(n, block), lanes), np.int64)
-    last_word = len(words) - 1
-
-    def take(step: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        c, s = code[: len(step)], span[: len(step)]
-        c -= step * start.astype(np.uint64)
-        np.multiply(step, width.astype(np.uint64), out=s)
-        lane = np.flatnonzero(s < np.uint64(1 << 32))
-        if len(lane):
-            c[lane] = (c[lane] << np.uint64(16)) | words[np.minimum(at_word[lane], last_word)]
-            at_word[lane] += 1
-            s[lane] <<= np.uint64(16)
-
-    def seen(k: int) -> tuple[np.ndarray, np.ndarray]:
-        step = span[:k] >> np.uint64(TOTAL_BITS)
-        return step, np.minimum(code[:k] // step, np.uint64(TOTAL - 1)).astype(np.int16)
+    words = np.r_[np.frombuffer(data, "<u2", -1, start_of), np.zeros(1, np.uint16)].astype(np.uint64)
+    end = np.cumsum(length)
+    at_word = end - length
+    nothing = len(words) - 1  # past its end a block reads zeros
+
+    def word(lane: np.ndarray) -> np.ndarray:
+        place = at_word[lane]
+        at_word[lane] = place + 1
+        return words.take(np.where(place < end[lane], place, nothing))
+
+    m = Blocks(lanes)
+    every = np.arange(lanes)
+    span, code = np.full(lanes, (1 << 64) - 1, np.uint64), np.zeros(lanes, np.uint64)
+    for _ in range(4):
+        code = (code << SHIFT16) | word(every)
+    grid = np.zeros((min(n, block), lanes), np.int32)
+    inner = alphabet.bits + MIX_BITS
+    total = np.uint64(EVENT_BITS + inner)
+    most = np.uint64((1 << EVENT_BITS + inner) - 1)
+    # which id has each place of the classes' shares
+    share = np.zeros(CLASSES << alphabet.bits, np.int32)
+    share_of = np.repeat(np.arange(len(alphabet.ids), dtype=np.int32), alphabet.size)
+    share[np.repeat(np.arange(CLASSES)[alphabet.count > 0] << alphabet.bits, 1 << alphabet.bits) + np.tile(np.arange(1 << alphabet.bits), int((alphabet.count > 0).sum()))] = share_of
 
     for t, k in enumerate(active.tolist()):
-        two, one, held2, held1, row = m.look(k)
-        dist = m.events.take(row, axis=0)
-        step, value = seen(k)
-        event = (value >= dist[:, 1]).astype(np.int64) + (value >= dist[:, 2])
-        flat, at = dist.ravel(), m.at3[:k] + event
-        first = flat.take(at)
-        take(step, first, flat.take(at + 1) - first)
-        m.events[row] = dist + ((EVENT.take(event, axis=0) - dist) >> EVENT_RATE)
-        ids = np.where(event == 0, held2, held1).astype(np.int64) >> 2
-        coded = event == 2
-        if coded.any():
-            context = np.zeros(k, np.int64)
-            for j in range(halves):
-                row = m.place(j, context, coded)
-                dist = m.order0.take(row, axis=0)
-                step, value = seen(k)
-                half = (dist[:, :16] <= value[:, None]).sum(axis=1) - 1
-                half = np.where(coded, half, (ids >> (4 * (halves - 1 - j))) & 15)  # as the encoder has them
-                flat, at = dist.ravel(), m.at16[:k] + half
-                first = flat.take(at)
-                take(step, np.where(coded, first, 0), np.where(coded, flat.take(at + 1) - first, TOTAL))
-                m.order0[row] = dist + ((HALF.take(half, axis=0) - dist) >> RATE)
-                context = context * 16 + half
-            ids = np.where(coded, context, ids)
-        m.learn(ids, two, one, held2, held1)
-        grid[t, :k] = ids
-    found = np.concatenate([grid[:, :-1].T.ravel(), grid[: size[-1], -1]]).astype(np.uint32) if lanes else np.zeros(0, np.uint32)
+        two, one, held2, held1, row, dist = m.look(k)
+        c, s = code[:k], span[:k]
+        step = s >> total
+        value = np.minimum(c // step, most).view(np.int64)
+        coarse = (value >> inner).astype(np.int16)
+        parts = dist.view(np.int16).reshape(k, 4)
+        event = (coarse >= parts[:, 1]).astype(np.int64) + (coarse >= parts[:, 2])
+        here = (np.where(event == 0, held2, held1).astype(np.int64) >> 2) - 1
+        begin, wide = m.happened(row, dist, event)
+        start, width = begin.astype(np.int64) << inner, wide.astype(np.int64) << inner
+        lane = np.flatnonzero(event == 2)
+        if len(lane):
+            rows, held, mixed = m.mixture(lane)
+            each = wide[lane].astype(np.int64)
+            # quotients below 2**40 by numbers of 15 bits at most: exact in doubles
+            rest = ((value[lane] - start[lane]) / each).astype(np.int64)
+            coarse = (rest >> alphabet.bits).astype(np.int16)
+            its = np.bitwise_count((mixed[:-1].reshape(-1, CLASSES) <= coarse[:, None]).view(np.uint64).ravel()).astype(np.int64) - 1
+            first, broad = m.part(mixed, its)
+            base = first.astype(np.int64) << alphabet.bits
+            what = share.take((its << alphabet.bits) + ((rest - base) / broad).astype(np.int64)).astype(np.int64)
+            here[lane] = what
+            start[lane] += each * (base + alphabet.start.take(what) * broad)
+            width[lane] = each * (alphabet.size.take(what) * broad)
+            m.classed(rows, held, its)
+        m.learn(here, alphabet.klass.take(here, mode="clip"), two, one, held2, held1)
+        grid[t, :k] = here
+        c -= step * start.view(np.uint64)
+        np.multiply(step, width.view(np.uint64), out=s)
+        lane = np.flatnonzero(s < SMALL)
+        while len(lane):
+            c[lane] = (c[lane] << SHIFT16) | word(lane)
+            narrow = s[lane] << SHIFT16
+            s[lane] = narrow
+            lane = lane[narrow < SMALL]
+    found = np.concatenate([grid[:, :-1].T.ravel(), grid[: size[-1], -1]]) if lanes else np.zeros(0, np.int32)
+    found = alphabet.ids.astype(np.uint32).take(found, mode="clip") if len(alphabet.ids) else found.astype(np.uint32)
     for i in range(lanes):
         if zlib.crc32(found[i * block : i * block + int(size[i])].tobytes()) != sums[i]:
             raise ValueError(f"block {i}: its checksum differs")
@@ -343,13 +478,14 @@ def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, id_col:
                 if held and total + b - a > BLOCK * LANES:
                     yield packed()
                     frame, at, held, total = frame + 1, at + total, [], 0
-                held.append((doc, ids[a:b]))
+                held.append((doc, ids[a:b].astype(np.uint32)))
                 total += b - a
         if held:
             yield packed()
 
     schema = "shard bigint, frame bigint, at bigint, doc_ids array<bigint>, sizes array<bigint>, data binary"
-    dealt = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
+    df = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    dealt = df.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
     dealt.mapInArrow(run, schema).write.option("compression", "none").parquet(path)
 
 

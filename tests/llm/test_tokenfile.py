@@ -31,9 +31,22 @@ def test_blocks_are_reset():
     """The same ids as two blocks have the same words twice."""
     rng = np.random.default_rng(5)
     one = rng.integers(0, 1000, 256)
-    alone, twice = (tokenfile.encode_frame(x, 1000, 256) for x in (one, np.r_[one, one]))
-    body = alone[tokenfile.HEAD.size + 8 :]
-    assert twice[tokenfile.HEAD.size + 16 :] == body + body
+    frame = tokenfile.encode_frame(np.r_[one, one], 1000, 256)
+    start = tokenfile.HEAD.size + tokenfile.HEAD.unpack_from(frame)[5] + 16  # after the alphabet, lengths and checksums
+    body = frame[start:]
+    assert body[: len(body) // 2] == body[len(body) // 2 :]
+
+
+def test_real_ids_beat_static_frequencies():
+    """Fewer bits than the frequencies of the ids could give, alphabet and checksums included, and than order 0 over a blind order."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")
+    ids, _ = tokenfile.tokenizer(tokenizer_path("word_bpe_49k.json")).encode([x or "" for x in table.column("text").to_pylist()], 1)
+    frame = tokenfile.encode_frame(ids, 49408)
+    assert (tokenfile.decode_frame(frame) == ids).all()
+    share = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    assert 8 * len(frame) / len(ids) < -(share * np.log2(share)).sum() - 0.3
 
 
 def test_damage_is_found():
@@ -74,6 +87,17 @@ def test_files_in_order_of_ids(spark, tables):
         start += len(ids)
 
 
+def test_rows_of_one_id_are_dealt(spark):
+    """Half of the rows have one id, a quarter none: no shard has most of the ids."""
+    rows = [(7 if i % 2 else None if i % 4 else i, f"word {i} " * 20) for i in range(2000)]
+    path = f"{shared_dir(spark)}/hot-{random.random()}"
+    tokenfile.write(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8), path)
+    files = spark.read.parquet(path).selectExpr("shard", "aggregate(sizes, 0L, (s, x) -> s + x) AS n").groupBy("shard").sum("n").collect()
+    each = [r[1] for r in files]
+    assert len(each) < 2 or max(each) < 0.6 * sum(each)
+    assert tokenfile.read(spark, path).selectExpr("sum(size(ids))").first()[0] == sum(each)
+
+
 def test_edges(spark, monkeypatch):
     monkeypatch.setattr(tokenfile, "BLOCK", 4)
     monkeypatch.setattr(tokenfile, "LANES", 2)
