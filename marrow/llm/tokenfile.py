@@ -33,10 +33,11 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,15 +46,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marrow.llm.bpe import latin, tokenizer_path
-from marrow.llm.common import settled, slices, texts
+from marrow.llm import words as word_numbers
+from marrow.llm.bpe import byte_letters, tokenizer_path
+from marrow.llm.common import settled, slices
 
 #: Ids of a block at most, and blocks that a frame has where it can; a smaller frame has smaller blocks, of LEAST ids at least.
-BLOCK, LANES, LEAST = 4096, 1024, 512
+BLOCK, LANES, LEAST = 2048, 2048, 512
 END = 1
 SLICE_BYTES = 5_000_000
+#: Distinct pieces of texts whose ids a worker holds, about, and the size of their table.
+PIECES, PIECE_BITS = 500_000, 21
+#: The number of the end of a text; pieces have others.
+ENDS = np.uint64(1)
+PART_BYTES = 1_000_000
+#: Pieces that the word pattern of this family of files cuts in two at most: letters, then a run of signs (an apostrophe may join letters).
+STEM = re.compile("([" + "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c)) in ("Ll", "Lo")) + "]+)([!-/:-@\\[-`{-~]*)(?<!')")
 #: Places for predictions in a block (a power of two).
-SLOTS = 2048
+SLOTS = 1024
 CLASSES = 8
 #: Totals of the three kinds of distributions; ids of a class share 2**INNER_BITS, or more where it has many ids.
 EVENT_BITS, CLASS_BITS, INNER_BITS = 12, 13, 13
@@ -149,68 +158,82 @@ class Alphabet:
 
 
 class Blocks:
-    """The models of many blocks, one lane each; lanes are independent."""
+    """The models of many blocks, one lane each; lanes are independent. What is done for several orders is done in one array."""
 
     def __init__(self, lanes: int):
         rows = 1 + CLASSES + CLASSES * CLASSES
         self.classes = np.full(lanes * rows, CLASS_START)
         self.events = np.full(lanes * 16, EVENT_START)
-        self.guess = np.zeros((2, lanes * SLOTS), np.int32)  # a place in the alphabet, from 1, and in the last two bits the trust in it
-        self.row, self.event_row, self.slots = np.arange(lanes) * rows, np.arange(lanes) * 16, np.arange(lanes) * SLOTS
+        self.guess = np.zeros(2 * lanes * SLOTS, np.int32)  # of order 2, then of order 1: a place in the alphabet, from 1, and in the last two bits the trust in it
+        self.row, self.event_row = np.arange(lanes) * rows, np.arange(lanes) * 16
+        self.two, self.one = np.arange(lanes) * SLOTS, (np.arange(lanes) + lanes) * SLOTS
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.last_class, self.before_class = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.context = np.zeros(lanes, np.int64)  # the class of the last id, times CLASSES, and that of the one before
         self.eights = np.arange(lanes + 1) * CLASSES
         self.fours = np.arange(lanes + 1) * 4
 
     def look(self, n: int) -> tuple[np.ndarray, ...]:
         """For the first n lanes the places of both predictions, what stands there, and the event distribution's row and itself."""
-        last = self.last[:n] * 0x9E3779B1
-        two = self.slots[:n] + (((last + self.before[:n] * 0x85EBCA6B) >> 13) & (SLOTS - 1))
-        one = self.slots[:n] + ((last >> 15) & (SLOTS - 1))
-        held2, held1 = self.guess[0].take(two), self.guess[1].take(one)
-        row = self.event_row[:n] + ((held2 & 3) * 4 + (held1 & 3))
-        return two, one, held2, held1, row, self.events.take(row)
+        at = np.empty(2 * n, np.int64)
+        last = self.last[:n]
+        np.add(self.two[:n], (last * 37 ^ self.before[:n] * 0x2F5) & (SLOTS - 1), out=at[:n])
+        np.add(self.one[:n], last & (SLOTS - 1), out=at[n:])
+        held = self.guess.take(at)
+        trust = held & 3
+        row = self.event_row[:n] + ((trust[:n] << 2) + trust[n:])
+        return at, held, row, self.events.take(row)
 
     def happened(self, row: np.ndarray, dist: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Learn the events; where each one's part starts, and how wide it is."""
         flat, at = dist.view(np.int16), self.fours[: len(event)] + event
-        start = flat.take(at)
-        width = (flat.take(at + 1) - start) & ((1 << EVENT_BITS) - 1)
+        start = flat.take(at).astype(np.int64)
+        at += 1
+        width = (flat.take(at) - start) & ((1 << EVENT_BITS) - 1)
         self.events[row] = moved(dist, EVENT.take(event))
         return start, width
 
     def mixture(self, lanes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The rows of the three orders for some lanes, what they hold, and their mixture: the starts of the classes, and a last 0."""
-        first, c = self.row[lanes], self.last_class[lanes]
-        rows = first, first + 1 + c, first + 1 + CLASSES + c * CLASSES + self.before_class[lanes]
-        held = [self.classes.take(r) for r in rows]
-        zero, one, two = (h.view(np.int16) for h in held)
-        mixed = np.zeros(len(zero) + 1, np.int16)
-        np.add(zero, two, out=mixed[:-1])
-        mixed[:-1] += one
-        mixed[:-1] += one
+        """The rows of orders 0, 1 and 2 for some lanes, what they hold, and their mixture: the starts of the classes, and a last 0."""
+        n, context = len(lanes), self.context.take(lanes)
+        rows = np.empty(3 * n, np.int64)
+        first = rows[:n]
+        self.row.take(lanes, out=first)
+        np.add(first, (context >> 3) + 1, out=rows[n : 2 * n])
+        np.add(first, context + (1 + CLASSES), out=rows[2 * n :])
+        held = self.classes.take(rows)
+        zero, one, two = held.view(np.int16).reshape(3, -1)
+        mixed = np.zeros(n * CLASSES + 1, np.int16)
+        sums = mixed[:-1]
+        np.add(one, one, out=sums)
+        sums += zero
+        sums += two
         return rows, held, mixed
 
     def part(self, mixed: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the part of each lane's class starts, and how wide it is."""
         at = self.eights[: len(klass)] + klass
-        start = mixed.take(at)
-        return start, (mixed.take(at + 1) - start) & ((1 << MIX_BITS) - 1)
-
-    def classed(self, rows: tuple, held: list, klass: np.ndarray) -> None:
-        target = CLASS.take(klass)
-        for r, h in zip(rows, held, strict=True):
-            self.classes[r] = moved(h, target)
-
-    def learn(self, place: np.ndarray, klass: np.ndarray, two: np.ndarray, one: np.ndarray, held2: np.ndarray, held1: np.ndarray) -> None:
-        n, fresh = len(place), (place + 1).astype(np.int32) << 2
-        sure = fresh | 3
-        for k, at, held in ((0, two, held2), (1, one, held1)):
-            self.guess[k][at] = np.where((held ^ fresh) < 4, np.minimum(held + 1, sure), fresh)
+        start = mixed.take(at).astype(np.int64)
+        at += 1
+        return start, (mixed.take(at) - start) & ((1 << MIX_BITS) - 1)
+
+    def classed(self, rows: np.ndarray, held: np.ndarray, klass: np.ndarray) -> None:
+        target = CLASS.take(klass).view(np.int16)
+        a = held.view(np.int16).reshape(3, -1)
+        self.classes[rows] = (a + ((target - a) >> RATE)).view(np.complex128).ravel()
+
+    def learn(self, place: np.ndarray, klass: np.ndarray, mark: np.ndarray, hit: np.ndarray, at: np.ndarray, held: np.ndarray) -> None:
+        """mark: the places as predictions have them, twice; hit: which predictions were right."""
+        n = len(place)
+        self.guess[at] = np.where(hit, np.minimum(held + 1, mark | 3), mark)
         self.before[:n] = self.last[:n]
         self.last[:n] = place
-        self.before_class[:n] = self.last_class[:n]
-        self.last_class[:n] = klass
+        self.context[:n] = (self.context[:n] >> 3) + (klass << 3)
+
+
+def twice(x: np.ndarray) -> np.ndarray:
+    out = np.empty((2, len(x)), np.int32)
+    out[:] = x
+    return out.ravel()
 
 
 def lanes_of(n: int, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,21 +282,23 @@ def encode_frame(ids: np.ndarray, vocabulary: int, block: int | None = None) ->
     for t, k in enumerate(active.tolist()):
         here = grid[t, :k].astype(np.int64)
         klass = alphabet.klass.take(here)
-        two, one, held2, held1, row, dist = m.look(k)
-        mark = (here + 1) << 2
-        event = np.where((held2 ^ mark) < 4, 0, np.where((held1 ^ mark) < 4, 1, 2))
+        at, held, row, dist = m.look(k)
+        mark = twice((grid[t, :k] + 1) << 2)
+        hit = (held ^ mark) < 4
+        right = hit.view(np.int8)
+        event = (2 - right[k:]) * (1 - right[:k])  # 0: order 2 is right; 1: order 1 is
         begin, wide = m.happened(row, dist, event)
-        start, width = begin.astype(np.int64) << inner, wide.astype(np.int64) << inner
+        start, width = begin << inner, wide << inner
         lane = np.flatnonzero(event == 2)
         if len(lane):
-            rows, held, mixed = m.mixture(lane)
-            what, its = here[lane], klass[lane]
+            rows, old, mixed = m.mixture(lane)
+            what, its = here.take(lane), klass.take(lane)
             first, broad = m.part(mixed, its)
-            each = wide[lane].astype(np.int64)
-            start[lane] += each * ((first.astype(np.int64) << alphabet.bits) + alphabet.start.take(what) * broad)
+            each = wide.take(lane)
+            start[lane] += each * ((first << alphabet.bits) + alphabet.start.take(what) * broad)
             width[lane] = each * (alphabet.size.take(what) * broad)
-            m.classed(rows, held, its)
-        m.learn(here, klass, two, one, held2, held1)
+            m.classed(rows, old, its)
+        m.learn(here, klass, mark, hit, at, held)
         l, s = low[:k], span[:k]
         step = s >> total
         move = step * start.view(np.uint64)
@@ -350,32 +375,33 @@ def decode_frame(data: bytes) -> np.ndarray:
     share[np.repeat(np.arange(CLASSES)[alphabet.count > 0] << alphabet.bits, 1 << alphabet.bits) + np.tile(np.arange(1 << alphabet.bits), int((alphabet.count > 0).sum()))] = share_of
 
     for t, k in enumerate(active.tolist()):
-        two, one, held2, held1, row, dist = m.look(k)
+        at, held, row, dist = m.look(k)
         c, s = code[:k], span[:k]
         step = s >> total
         value = np.minimum(c // step, most).view(np.int64)
         coarse = (value >> inner).astype(np.int16)
         parts = dist.view(np.int16).reshape(k, 4)
-        event = (coarse >= parts[:, 1]).astype(np.int64) + (coarse >= parts[:, 2])
-        here = (np.where(event == 0, held2, held1).astype(np.int64) >> 2) - 1
+        event = (coarse >= parts[:, 1]).view(np.int8) + (coarse >= parts[:, 2]).view(np.int8)
+        here = (np.where(event == 0, held[:k], held[k:]).astype(np.int64) >> 2) - 1
         begin, wide = m.happened(row, dist, event)
-        start, width = begin.astype(np.int64) << inner, wide.astype(np.int64) << inner
+        start, width = begin << inner, wide << inner
         lane = np.flatnonzero(event == 2)
         if len(lane):
-            rows, held, mixed = m.mixture(lane)
-            each = wide[lane].astype(np.int64)
+            rows, old, mixed = m.mixture(lane)
+            each = wide.take(lane)
             # quotients below 2**40 by numbers of 15 bits at most: exact in doubles
-            rest = ((value[lane] - start[lane]) / each).astype(np.int64)
+            rest = ((value.take(lane) - start.take(lane)) / each).astype(np.int64)
             coarse = (rest >> alphabet.bits).astype(np.int16)
             its = np.bitwise_count((mixed[:-1].reshape(-1, CLASSES) <= coarse[:, None]).view(np.uint64).ravel()).astype(np.int64) - 1
             first, broad = m.part(mixed, its)
-            base = first.astype(np.int64) << alphabet.bits
+            base = first << alphabet.bits
             what = share.take((its << alphabet.bits) + ((rest - base) / broad).astype(np.int64)).astype(np.int64)
             here[lane] = what
             start[lane] += each * (base + alphabet.start.take(what) * broad)
             width[lane] = each * (alphabet.size.take(what) * broad)
-            m.classed(rows, held, its)
-        m.learn(here, alphabet.klass.take(here, mode="clip"), two, one, held2, held1)
+            m.classed(rows, old, its)
+        mark = twice((here + 1) << 2)
+        m.learn(here, alphabet.klass.take(here, mode="clip"), mark, (held ^ mark) < 4, at, held)
         grid[t, :k] = here
         c -= step * start.view(np.uint64)
         np.multiply(step, width.view(np.uint64), out=s)
@@ -396,11 +422,44 @@ def decode_frame(data: bytes) -> np.ndarray:
 # --- Ids of texts
 
 
-class Words:
-    """A tokenizer file's ids of texts; most texts go word by word, each distinct word of a slice once."""
+class Held:
+    """A table of 64-bit numbers, none of them 0, and where each is kept; open addresses, many at a time."""
+
+    def __init__(self, bits: int):
+        self.key, self.value = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.size, self.mask = 0, np.uint64((1 << bits) - 1)
+
+    def find(self, number: np.ndarray) -> np.ndarray:
+        """The value of each number, -1 if it is not here."""
+        at = (number & self.mask).view(np.int64)
+        key = self.key.take(at)
+        out = np.where(key == number, self.value.take(at), np.int32(-1))
+        left = np.flatnonzero((key != number) & (key != 0))
+        at, number = at[left], number[left]
+        while len(left):
+            at = (at + 1) & int(self.mask)
+            key = self.key.take(at)
+            same = key == number
+            out[left[same]] = self.value.take(at[same])
+            more = ~same & (key != 0)
+            left, at, number = left[more], at[more], number[more]
+        return out
+
+    def add(self, number: np.ndarray) -> None:
+        """New distinct numbers, which get the next values."""
+        value = np.arange(self.size, self.size + len(number), dtype=np.int32)
+        self.size += len(number)
+        at = (number & self.mask).view(np.int64)
+        while len(number):
+            free = self.key[at] == 0
+            self.key[at[free]] = number[free]
+            mine = free & (self.key[at] == number)  # of two at one place the later has it
+            self.value[at[mine]] = value[mine]
+            number, value, at = number[~mine], value[~mine], (at[~mine] + 1) & int(self.mask)
 
-    #: Latin texts, where lower case and word limits are the same for the library and for Python.
-    PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ɏ]*")
+
+class Words:
+    """A tokenizer file's ids of texts, by pieces between ASCII blanks. A worker holds the ids of many distinct pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -410,43 +469,76 @@ class Words:
             spec = json.load(f)
         spec["truncation"] = spec["padding"] = None
         self.whole = Tokenizer.from_str(json.dumps(spec))
-        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.pattern = None
-        if [s["type"] for s in steps] == ["Split", "ByteLevel"] and "Lowercase" in json.dumps(spec["normalizer"]):
-            self.pattern = re.compile(latin(steps[0]["pattern"]["Regex"]))
-            self.special = [x["content"] for x in spec["added_tokens"]]
-            word = {**spec, "normalizer": None, "pre_tokenizer": steps[1], "added_tokens": []}
-            self.word = Tokenizer.from_str(json.dumps(word))
-        self.size = self.whole.get_vocab_size()
-
-    def encode(self, batch: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        steps = [s["type"] for s in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        # this family of files drops blanks between words, whatever the words beside them
+        self.by_piece = steps == ["Split", "ByteLevel"] and spec["pre_tokenizer"]["pretokenizers"][0]["behavior"] == "Removed" and not spec["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]
+        self.lower = "Lowercase" in json.dumps(spec["normalizer"])
+        self.size, self.model = self.whole.get_vocab_size(), self.whole.model
+        self.letters = dict(enumerate(byte_letters()))
+        self.forget()
+
+    def forget(self) -> None:
+        """Value 0 is the end of a text."""
+        self.held = Held(PIECE_BITS)
+        self.held.add(np.array([ENDS], np.uint64))
+        self.begin, self.length, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.uint32)
+        self.stems: dict[str, list[int]] = {}
+
+    def ids(self, piece: str) -> list[int]:
+        return self.whole.encode(piece, add_special_tokens=False).ids
+
+    def ids_of(self, piece: str) -> list[int]:
+        """Ids of a piece; Latin letters before a run of signs are looked up, or split, alone."""
+        found = STEM.fullmatch(piece.lower()) if self.lower else None
+        if not found:
+            return self.ids(piece)
+        stem, signs = found.groups()
+        out = self.stems.get(stem) or self.split(stem)
+        return out + (self.stems.get(signs) or self.split(signs)) if signs else out
+
+    def split(self, word: str) -> list[int]:
+        out = self.stems[word] = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
+        return out
+
+    def learn(self, number: np.ndarray, pieces: list[str]) -> None:
+        new = list(map(self.ids_of, pieces))
+        length = np.fromiter(map(len, new), np.int64, len(new))
+        self.begin = np.r_[self.begin, len(self.flat) + np.cumsum(length) - length]
+        self.length = np.r_[self.length, length]
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(new), np.uint32, int(length.sum()))]
+        self.held.add(number)
+
+    def encode(self, column: pa.Array | list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each with the end id behind it, and where each starts."""
-        index: defaultdict = defaultdict()
-        index.default_factory = index.__len__
-        found, counts, odd = [], [], {}
-        for i, text in enumerate(batch):
-            if self.pattern is None or not self.PLAIN.fullmatch(text) or any(s in text for s in self.special):
-                odd[i] = self.whole.encode(text, add_special_tokens=False).ids
-                words: list[str] = []
-            else:
-                words = self.pattern.findall(text.lower())
-            found.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
-            counts.append(len(words))
-        pieces = [e.ids for e in self.word.encode_batch_fast(list(index), add_special_tokens=False)] if index else []
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = np.fromiter((x for p in pieces for x in p), np.int64, int(size.sum()))
-        where = np.concatenate(found) if found else np.zeros(0, np.int64)
-        each = size[where]
+        column = column if isinstance(column, pa.Array) else pa.array(column, pa.string())
+        if not self.by_piece:
+            found = [np.array([*self.ids(x or ""), end], np.uint32) for x in column.to_pylist()]
+            return np.concatenate([np.zeros(0, np.uint32), *found]), np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64)
+        parts = [self.part(x, end) for x in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text", PART_BYTES)]
+        starts = np.concatenate([np.diff(p[1]) for p in parts]) if parts else np.zeros(0, np.int64)
+        return np.concatenate([np.zeros(0, np.uint32), *(p[0] for p in parts)]), np.r_[0, np.cumsum(starts)]
+
+    def part(self, batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray]:
+        data, rows = word_numbers.raw(batch.column("text"))
+        number, first, stop, row = word_numbers.numbers(data, rows, lower=self.lower)
+        number[number <= ENDS] += np.uint64(2)  # 0 is no piece and ENDS is the end
+        if self.held.size > PIECES:
+            self.forget()
+        where = self.held.find(number)
+        missing = np.flatnonzero(where < 0)
+        if len(missing):
+            new, at = np.unique(number[missing], return_index=True)
+            at = missing[at]
+            raw = data.tobytes()
+            self.learn(new, [raw[a:b].decode() for a, b in zip(first[at].tolist(), stop[at].tolist(), strict=True)])
+            where[missing] = self.held.find(number[missing])
+        where = np.insert(where, row[1:], 0)
+        self.flat[0] = end
+        each = self.length.take(where)
         stops = np.cumsum(each)
-        begin = np.r_[0, np.cumsum(size)][:-1]
-        ids = flat[np.repeat(begin[where] - (stops - each), each) + np.arange(int(each.sum()))]
-        bounds = np.r_[0, stops][np.r_[0, np.cumsum(counts)].astype(np.int64)]
-        if odd:
-            parts = [np.array(odd[i], np.int64) if i in odd else ids[bounds[i] : bounds[i + 1]] for i in range(len(batch))]
-            bounds = np.r_[0, np.cumsum([len(p) for p in parts])]
-            ids = np.concatenate(parts)
-        ends = bounds[1:]
-        return np.insert(ids, ends, end), bounds + np.arange(len(bounds))
+        total = int(stops[-1]) if len(stops) else 0
+        ids = self.flat.take(np.repeat(self.begin.take(where) - (stops - each), each) + np.arange(total))
+        return ids, np.r_[0, stops][row + np.arange(len(row))]
 
 
 @lru_cache(maxsize=2)
@@ -473,12 +565,12 @@ def write(docs: DataFrame, path: str, tokenizer_file: str | None = None, id_col:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in slices(batches, "text", SLICE_BYTES):
-            ids, row = words.encode(texts(batch), end)
+            ids, row = words.encode(batch.column("text"), end)
             for doc, a, b in zip(batch.column("id").to_pylist(), row[:-1].tolist(), row[1:].tolist(), strict=True):
                 if held and total + b - a > BLOCK * LANES:
                     yield packed()
                     frame, at, held, total = frame + 1, at + total, [], 0
-                held.append((doc, ids[a:b].astype(np.uint32)))
+                held.append((doc, ids[a:b]))
                 total += b - a
         if held:
             yield packed()
