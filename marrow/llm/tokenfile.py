@@ -35,9 +35,9 @@ import re
 import struct
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,18 +51,18 @@ from marrow.llm.bpe import byte_letters, tokenizer_path
 from marrow.llm.common import settled, slices
 
 #: Ids of a block at most, and blocks that a frame has where it can; a smaller frame has smaller blocks, of LEAST ids at least.
-BLOCK, LANES, LEAST = 2048, 2048, 512
+BLOCK, LANES, LEAST = 2048, 1024, 512
 END = 1
-SLICE_BYTES = 5_000_000
-#: Distinct pieces of texts whose ids a worker holds, about, and the size of their table.
-PIECES, PIECE_BITS = 500_000, 21
+SLICE_BYTES = 2_000_000
+#: Distinct pieces of texts whose ids a worker holds, about, the size of their table, and words that it holds besides.
+PIECES, PIECE_BITS, STEMS = 400_000, 20, 150_000
 #: The number of the end of a text; pieces have others.
 ENDS = np.uint64(1)
 PART_BYTES = 1_000_000
 #: Pieces that the word pattern of this family of files cuts in two at most: letters, then a run of signs (an apostrophe may join letters).
 STEM = re.compile("([" + "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c)) in ("Ll", "Lo")) + "]+)([!-/:-@\\[-`{-~]*)(?<!')")
 #: Places for predictions in a block (a power of two).
-SLOTS = 1024
+SLOTS = 512
 CLASSES = 8
 #: Totals of the three kinds of distributions; ids of a class share 2**INNER_BITS, or more where it has many ids.
 EVENT_BITS, CLASS_BITS, INNER_BITS = 12, 13, 13
@@ -260,25 +260,19 @@ def encode_frame(ids: np.ndarray, vocabulary: int, block: int | None = None) ->
     block = block or block_of(n)
     size, active = lanes_of(n, block)
     lanes = len(size)
-    alphabet, place = Alphabet.of(ids.astype(np.int64)) if n else (Alphabet(*[np.zeros(0, np.int64)] * 2, np.zeros(CLASSES, np.int64)), np.zeros(0, np.int32))
+    alphabet, place = Alphabet.of(ids) if n else (Alphabet(*[np.zeros(0, np.int64)] * 2, np.zeros(CLASSES, np.int64)), np.zeros(0, np.int32))
     grid = np.zeros(lanes * block, np.int32)
     grid[:n] = place
     grid = np.ascontiguousarray(grid.reshape(lanes, block).T)
     del place
     m = Blocks(lanes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    words, used = np.zeros((lanes, 64), np.uint16), np.zeros(lanes, np.int64)
+    room = 64  # words that each lane has place for, from its second on: a carry into the first goes nowhere
+    words, put = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room + 1
+    limit = room - 8
     inner = alphabet.bits + MIX_BITS
     total = np.uint64(EVENT_BITS + inner)
 
-    def carry(lane: np.ndarray) -> None:
-        """One more in the words before."""
-        at = used[lane] - 1
-        while len(lane):
-            words[lane, at] += np.uint16(1)
-            again = words[lane, at] == 0
-            lane, at = lane[again], at[again] - 1
-
     for t, k in enumerate(active.tolist()):
         here = grid[t, :k].astype(np.int64)
         klass = alphabet.klass.take(here)
@@ -305,27 +299,32 @@ def encode_frame(ids: np.ndarray, vocabulary: int, block: int | None = None) ->
         l += move
         np.multiply(step, width.view(np.uint64), out=s)
         over = np.flatnonzero(l < move)
-        if len(over):
-            carry(over)
+        if len(over):  # carries are added up and spread at the end
+            words[put[over] - 1] += np.uint32(1)
         lane = np.flatnonzero(s < SMALL)
         while len(lane):
-            if int(used[lane].max()) == words.shape[1]:
-                words = np.hstack([words, np.zeros_like(words)])
-            mine = l[lane]
-            words[lane, used[lane]] = mine >> WORD
-            used[lane] += 1
+            mine, to = l[lane], put[lane]
+            words[to] = mine >> WORD
+            put[lane] = to + 1
             l[lane] = mine << SHIFT16
             narrow = s[lane] << SHIFT16
             s[lane] = narrow
             lane = lane[narrow < SMALL]
+        if t % 2 == 1 and int((put - np.arange(lanes) * room).max()) > limit:  # a step sends three words at most
+            words, put = np.hstack([words.reshape(lanes, room), np.zeros((lanes, room), np.uint32)]).ravel(), put + np.arange(lanes) * room
+            room, limit = 2 * room, 2 * room - 8
     # a number of one word that lies in each range; zeros follow it
     last = low + (SMALL - np.uint64(1))
-    carry(np.flatnonzero(last < low))
-    last >>= WORD
+    words[put[last < low] - 1] += np.uint32(1)
+    words[put] = last >> WORD
+    while len(over := np.flatnonzero(words > 0xFFFF)):
+        words[over - 1] += words[over] >> np.uint32(16)
+        words[over] &= np.uint32(0xFFFF)
+    words = words.astype("<u2")
     sums, bodies = [], []
     for i in range(lanes):
         sums.append(zlib.crc32(ids[i * block : i * block + int(size[i])].tobytes()))
-        bodies.append(words[i, : used[i]].tobytes() + struct.pack("<H", int(last[i])))
+        bodies.append(words[i * room + 1 : int(put[i]) + 1].tobytes())
     head = alphabet.packed()
     out = [HEAD.pack(MAGIC, n, vocabulary, block, lanes, len(head), zlib.crc32(head)), head]
     out.append(np.array([len(b) // 2 for b in bodies], "<u4").tobytes())
@@ -482,13 +481,13 @@ class Words:
         self.held = Held(PIECE_BITS)
         self.held.add(np.array([ENDS], np.uint64))
         self.begin, self.length, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.uint32)
-        self.stems: dict[str, list[int]] = {}
+        self.stems: dict[str, bytes] = {}
 
-    def ids(self, piece: str) -> list[int]:
-        return self.whole.encode(piece, add_special_tokens=False).ids
+    def ids(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids_of(self, piece: str) -> list[int]:
-        """Ids of a piece; Latin letters before a run of signs are looked up, or split, alone."""
+    def ids_of(self, piece: str) -> bytes:
+        """Ids of a piece, four bytes each; Latin letters before a run of signs are looked up, or split, alone."""
         found = STEM.fullmatch(piece.lower()) if self.lower else None
         if not found:
             return self.ids(piece)
@@ -496,23 +495,26 @@ class Words:
         out = self.stems.get(stem) or self.split(stem)
         return out + (self.stems.get(signs) or self.split(signs)) if signs else out
 
-    def split(self, word: str) -> list[int]:
-        out = self.stems[word] = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]
+    def split(self, word: str) -> bytes:
+        if len(self.stems) > STEMS:
+            self.stems.clear()
+        found = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        out = self.stems[word] = array("I", [t.id for t in found]).tobytes()
         return out
 
     def learn(self, number: np.ndarray, pieces: list[str]) -> None:
         new = list(map(self.ids_of, pieces))
-        length = np.fromiter(map(len, new), np.int64, len(new))
+        length = np.fromiter(map(len, new), np.int64, len(new)) >> 2
         self.begin = np.r_[self.begin, len(self.flat) + np.cumsum(length) - length]
         self.length = np.r_[self.length, length]
-        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(new), np.uint32, int(length.sum()))]
+        self.flat = np.r_[self.flat, np.frombuffer(b"".join(new), np.uint32)]
         self.held.add(number)
 
     def encode(self, column: pa.Array | list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, each with the end id behind it, and where each starts."""
         column = column if isinstance(column, pa.Array) else pa.array(column, pa.string())
         if not self.by_piece:
-            found = [np.array([*self.ids(x or ""), end], np.uint32) for x in column.to_pylist()]
+            found = [np.append(np.frombuffer(self.ids(x or ""), np.uint32), np.uint32(end)) for x in column.to_pylist()]
             return np.concatenate([np.zeros(0, np.uint32), *found]), np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64)
         parts = [self.part(x, end) for x in slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), "text", PART_BYTES)]
         starts = np.concatenate([np.diff(p[1]) for p in parts]) if parts else np.zeros(0, np.int64)
