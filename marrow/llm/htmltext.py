@@ -12,9 +12,14 @@ all pages is no burden. The templates come as one list a host; the lists are bro
 at most `MAX_BROADCAST_HASHES` hashes in all, else joined to the pages by host, where Spark may
 split the pages of a large host.
 
+Of a class or id only whole names count that are known marks, or a mark and a part of a page
+(`FORMS`); words of other names say nothing. What is in a dropped element is dropped, articles too.
+
 Nulls: null html gives the empty text; a null url has the empty host, which is a host like any
 other. Repeated pages count as several pages of their host. Broken markup is read as browsers do in
-the main: a block start closes an open paragraph, unclosed elements end with their parent.
+the main: a block start closes an open paragraph, unclosed elements end with their parent. Empty
+tables give empty tables. Pages of any length are parsed whole, one at a time, without recursion. Only
+id, url and html are read, so further columns may have any names. Ties: a subtree on just `MIN_SHARE` of the pages is template.
 """
 
 from __future__ import annotations
@@ -45,10 +50,16 @@ BLOCK = frozenset(
 DROPPED = frozenset("head script style noscript template svg canvas iframe object nav aside footer form menu button select textarea dialog search title xmp noembed noframes".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-#: Words of a class or id that mark what is not main text.
+#: Names of a class, or an id, that say as they stand that the element is no main text.
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer header masthead cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login comment comments comentarios disqus respond replies share sharing social related recommended pagination pager skip toolbar copyright".split()
+    "ad ads advert adverts advertisement advertisements advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs sidebar aside widget footer masthead cookie cookies consent notice notices alert popup modal newsletter subscribe subscription signup login comment comments comentarios disqus respond replies share sharing social related recommended pagination pager skip toolbar copyright".split()
 )
+#: Names of two words and more: what it is, then what part of a page; or where it is, then what it is. Others, such as related-work, say nothing.
+_WHAT = "ads?|advert(?:isement)?s?|banner|sponsored|promo|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|footer|header|masthead|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|comments?|disqus|repl(?:y|ies)|shar(?:e|ing)|social|related|recommended|pagination"
+_PART = "[0-9]+|area|articles|author|background|banner|bar|block|body|bottom|box|buttons?|col|column|consent|container|content|feed|footer|form|frame|group|header|icons?|image|inner|inline|item|items|label|left|links?|list|main|media|menu|meta|modal|nav|notice|outer|overlay|panel|popup|posts|primary|right|row|secondary|section|slot|stories|text|thread|title|toggle|top|unit|widgets?|wrap|wrapper|zone"
+_WHERE = "bottom|footer|global|header|inline|in-?article|left|main|mobile|page|primary|right|secondary|side|site|sticky|sub|top|user"
+_THERE = "ads?|advert(?:isement)?|banner|breadcrumbs?|comments|footer|menu|nav|navbar|navigation|sidebar"
+FORMS = re.compile(f"(?:{_WHAT})(?:[-_]+(?:{_PART}))+|(?:{_WHERE})[-_]+(?:{_THERE})|(?:{_WHERE}|post|article|entry)[-_]+(?:share|sharing|social|related|comments)|(?:global|site|top)[-_]+header")
 #: An element of the first kind ends an open one of these kinds, if no element of the last kinds is between.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -62,32 +73,38 @@ CLOSES = {
     "body": (("head",), ()),
 }
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/\"']|\Z)", re.I)
+#: An attribute after another, so that a value is never taken for a name.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TELLING = re.compile("class|id|role|hidden|style", re.I)
 RAW_END = {tag: re.compile(f"</{tag}", re.I) for tag in RAW}
 SPACE = re.compile(r"\s+")
-PART = re.compile(r"[a-z]+")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("children", "dropped", "hash", "tag")
+    __slots__ = ("children", "dropped", "hash", "header", "tag")
 
-    def __init__(self, tag: str, dropped: bool = False):
-        self.tag, self.dropped, self.children, self.hash = tag, dropped, [], 0
+    def __init__(self, tag: str, dropped: bool = False, header: bool = False):
+        self.tag, self.dropped, self.header, self.children, self.hash = tag, dropped, header, [], 0
 
 
-def marked(tag: str, attributes: str) -> bool:
-    """Whether the element's own attributes say that it is no main text."""
-    if tag in ("html", "body", "main", "article") or not attributes.strip():
-        return False
+def told(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether the element's tag and own attributes say that it is no main text, and that it is a header."""
+    dropped, header = tag in DROPPED, tag == "header"
+    if tag in ("html", "body", "main") or not TELLING.search(attributes):
+        return dropped, header
     for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and MARKS.intersection(PART.findall(value)):
-            return True
-        if name == "role" and value.strip() in DROPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+        name = m[1].lower()
+        if name in ("class", "id"):
+            for word in (m[2] or m[3] or m[4] or "").lower().split():
+                header = header or word == "header"
+                dropped = dropped or word in MARKS or FORMS.fullmatch(word) is not None
+        elif name == "hidden":
+            dropped = True
+        elif name in ("role", "aria-hidden", "style"):
+            value = (m[2] or m[3] or m[4] or "").lower().strip()
+            dropped = dropped or (value in DROPPED_ROLES if name == "role" else value == "true" if name == "aria-hidden" else UNSEEN.search(value) is not None)
+    return dropped, header
 
 
 def parse(page: str) -> Node:
@@ -143,7 +160,7 @@ def parse(page: str) -> Node:
             close(("p",), ("button", "table", "td", "th", "caption"))
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
             stack.pop()
-        node = Node(tag, tag in DROPPED or marked(tag, m[3] or ""))
+        node = Node(tag, *told(tag, m[3] or ""))
         stack[-1].children.append(node)
         if tag not in VOID and not (m[3] or "").endswith("/"):
             stack.append(node)
@@ -187,8 +204,12 @@ def blocks(page: str, template: frozenset[int] | set[int] = frozenset()) -> list
                 n.dropped = True
     whole = order(root)
     for n in whole:  # a header that holds a heading of its article is kept, others go
-        if n.tag == "header":
-            n.dropped = n.dropped or not any(c.tag in HEADINGS for c in order(n)) or n in root.children
+        if n.header and not n.dropped:
+            n.dropped = n in root.children or not any(c.tag in HEADINGS for c in order(n))
+        if n.dropped:  # and all that is in it
+            for c in n.children:
+                if isinstance(c, Node):
+                    c.dropped = True
     out: list[str] = []
     text: list[str] = []
 
@@ -214,10 +235,11 @@ def blocks(page: str, template: frozenset[int] | set[int] = frozenset()) -> list
             flush()
         elif isinstance(n, str):
             text.append(n)
-        elif n.dropped or n.tag == "header" and header_outside:
-            text.append(" ")
-        elif n.tag == "br":
-            text.append(" ")
+        elif n.dropped or n.header and header_outside or n.tag == "br":
+            if n.tag in BLOCK:  # what it stood between are two blocks
+                flush()
+            else:
+                text.append(" ")
         else:
             if n.tag in BLOCK:
                 flush()

@@ -1,3 +1,6 @@
+import random
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +24,13 @@ from marrow.llm.queries import QUERIES
         ("<article></article><p>outside</p>", ["outside"]),
         ("<main><p>m</p></main><p>o</p><article>a</article>", ["m", "a"]),
         ("<div class='header-image'>h</div><div class='main shadow'>k</div>", ["k"]),
+        ("<aside><article>TEASER</article></aside><section class='related'><article>TEASER 2</article></section><article>t<section id='comments'><article class='comment'>READER</article></section></article>", ["t"]),
+        ("<article class='comment'>c</article><article class=post>p</article>", ["p"]),
+        ("<div data-hidden='false'>a</div><div data-id='nav' title='what is hidden'>b</div><p title='class=ad' alt=hidden>c</p>", ["a", "b", "c"]),
+        ("<article><header class='entry-header'><h1>T</h1></header><div class='entry-header'>s</div><p class='ad-hoc'>1<div class='social-history'>2</div><div id=related-work>3</div></article>", ["T", "s", "1", "2", "3"]),
+        ("<div class='ad-slot'>a</div><div id='site-nav'>b</div><div class='x comment-list'>c</div><p class='share_buttons'>d</p><div class='page-footer'>e</div><div class='with-sidebar no-comments'>k</div>", ["k"]),
+        ("<article>a<div class='ad'>x</div>b<span class=ad>y</span>c</article>", ["a", "b c"]),
+        ("<article>a<div hidden=''>x</div><p hidden>y</p></article>", ["a"]),
         ("<script>never closed <p>x", []),
         ("", []),
     ],
@@ -29,6 +39,64 @@ def test_blocks(page, blocks):
     assert htmltext.blocks(page) == blocks
 
 
+def test_built_pages_give_what_went_in():
+    """Pages built of parts whose text is known, nested at random: the blocks that belong to the article come out, all and in order."""
+    rng = random.Random(8)
+    keep = [
+        lambda w: (f"<p>{w} one &amp; <b>two</b></p>", [f"{w} one & two"]),
+        lambda w: (f"<h2 class='ad-hoc title'>{w}</h2>", [w]),
+        lambda w: (f"<ul data-menu='x'><li>{w}<li id=li-{w}>b</ul>", [w, "b"]),
+        lambda w: (f"<blockquote title='hidden'><p>{w}\n  x</p></blockquote>", [f"{w} x"]),
+        lambda w: (f"<table><tr><td>{w}<td data-hidden=true>2</table>", [w, "2"]),
+        lambda w: (f"<div class='social-history related-work'>{w}</div>", [w]),
+    ]
+    drop = ["<nav><ul><li>n</ul></nav>", "<aside><article>teaser</article></aside>", "<div class='x ad-box'>ad</div>", "<form><p>f</p></form>", "<section id=comments><article class=comment><p>r</p></article></section>", "<script>if (a < b) '</p>'</script>", "<style>p{}</style>", "<div role=navigation>m</div>", "<p class=notice>c</p>", "<footer><p>f</footer>", "<!-- <p>x</p> -->", "<div style='display: none'>h</div>"]
+
+    def part(depth: int) -> tuple[str, list[str]]:
+        if rng.random() < 0.4:
+            return rng.choice(drop), []
+        if depth and rng.random() < 0.4:
+            inner = [part(depth - 1) for _ in range(rng.randint(1, 4))]
+            tag = rng.choice(["div", "section", "div class='content with-sidebar'", "div hidden-x"])
+            return f"<{tag}>{''.join(x for x, _ in inner)}</{tag.split()[0]}>", [b for _, bs in inner for b in bs]
+        return rng.choice(keep)(f"w{rng.randint(0, 99)}")
+
+    for _ in range(300):
+        parts = [part(3) for _ in range(rng.randint(1, 8))]
+        body, want = "".join(x for x, _ in parts), [b for _, bs in parts for b in bs]
+        page = f"<html><head><title>t</title></head><body><header><h1>Site</h1></header>{rng.choice(drop)}<article><h1>A</h1>{body}</article>{rng.choice(drop)}<footer>f</footer></body></html>"
+        assert htmltext.blocks(page) == ["A", *want], page
+
+
+class Plain(HTMLParser):
+    """Another reading of the given pages: text of the article, blocks ended by every tag but b."""
+
+    def __init__(self, page: str):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.found = False, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        self.found[-1] += " " if tag == "br" else ""
+        self.found += [""] if tag not in ("b", "br") else []
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        self.found += [""] if tag not in ("b", "br") else []
+
+    def handle_data(self, data):
+        self.found[-1] += data if self.inside else ""
+
+
+def test_all_given_pages_against_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    want = {r["page_id"]: "\n\n".join(b for x in Plain(r["html"] or "").found if (b := " ".join(x.split()))) for r in pages}
+    got = {r["page_id"]: r["text"] for r in QUERIES["op3_html"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == want
+
+
 def test_deep_and_long_pages():
     assert htmltext.blocks("<div>" * 5000 + "x" + "</div>" * 5000) == ["x"]
     assert htmltext.blocks("<p>a</p>" * 20000) == ["a"] * 20000
