@@ -1,21 +1,29 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule rejects a text whose feature exceeds a cutoff. Labelled texts are the holdout: the grid of
-cutoffs is fixed beforehand, so labels are used for certification alone. In every stratum and for
-every rule the cutoffs are tried from the loosest on; a cutoff is certified if the exact binomial
-probability of seeing so few false rejections, were the true rate `risk / rules`, is at most
-`delta / (strata * rules)`, and the first that fails ends its sequence. Fixed sequences need no
-correction within themselves, the division corrects over strata and rules, and rates add up over
-rules: with probability 1 - delta every stratum loses at most `risk` of its good texts. A stratum
-with too few labels to certify anything rejects nothing beyond the base rules.
+Each rule rejects a text whose feature exceeds a cutoff. Labelled texts are the holdout: the rules'
+cutoffs and the order in which they are tried (`PATH`) are fixed beforehand, so labels are used for
+certification alone. A step of the path adds a rule or makes one tighter; after it, a text is rejected if any of the
+rules so far rejects it. A step is certified if the exact binomial probability of seeing so few false
+rejections among the stratum's good texts, were the true rate of all rules together `risk`, is at
+most the stratum's level, and the first step that fails ends the stratum's sequence. The rate is that of the
+rules together, so no share of it is set aside for rules that no text breaks; the steps are nested and
+in fixed order, so they need no correction among themselves. Over strata `delta` is dealt in proportion to
+their numbers of good texts, which say nothing of rejections; what strata that get through the whole
+path had is dealt once more to the others (a step-down). With probability 1 - delta every stratum loses
+at most `risk` of its good texts to the rules. A stratum with too few labels to certify anything rejects
+nothing beyond the base rules.
+
+A trial is a distinct text of a stratum: rows that repeat an id, or copies under other ids, are one.
 
 Texts are read once; features (a few numbers a row) are written to the shared folder, joined with the
 labels by id, and judged by a table of one row a stratum. That table is broadcast while it has at
-most `MAX_BROADCAST_STRATA` rows, else joined by shuffle.
+most `MAX_BROADCAST_STRATA` rows, else joined by shuffle. accept() writes the rows with their features instead.
 
 Nulls: a null text has no words and fails the base rules; a null stratum is the stratum ''; labels
-without id or quality are left out; of several labels of one id the best counts. A null id matches
-no label. Repeated rows are judged alike.
+without id or quality are left out; of several labels of one id, or of one text, the best counts. A null id matches
+no label. Repeated rows are judged alike. Ties: a feature equal to a cutoff passes, a probability equal to the level
+certifies. Empty tables: no rows, and without labels no cutoffs. Texts of any length are taken whole. Further
+columns may have any names: judge() reads three, accept() handles all by place.
 """
 
 from __future__ import annotations
@@ -32,14 +40,16 @@ RISK, DELTA = 0.02, 0.05
 MAX_BROADCAST_STRATA = 10_000
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Rule: its feature, and the cutoffs from the loosest on.
+#: Rule: its feature, and its cutoffs: the first ones from the loosest on, then those that are tried last.
 RULES = {
-    "symbols": ("n_symbols / word_chars", (0.3, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03)),
-    "capitals": ("n_capitals / word_chars", (0.8, 0.6, 0.5, 0.4, 0.3, 0.25)),
-    "repeats": ("n_repeat_words / n_words", (0.19, 0.17, 0.15, 0.12, 0.1)),
-    "lines": ("n_dup_lines / n_words", (0.2, 0.15, 0.1, 0.07, 0.05)),
-    "length": ("word_chars / n_words", (20.0, 15.0, 12.0, 10.0, 9.0)),
+    "symbols": ("n_symbols / word_chars", (0.3, 0.2, 0.15, 0.1, 0.07, 0.05), (0.03,)),
+    "length": ("word_chars / n_words", (20.0, 15.0, 12.0, 10.0), (9.0,)),
+    "capitals": ("n_capitals / word_chars", (0.8, 0.6, 0.5, 0.4, 0.3), (0.25,)),
+    "lines": ("n_dup_lines / n_words", (0.2, 0.15, 0.1, 0.07), (0.05,)),
+    "repeats": ("n_repeat_words / n_words", (0.19, 0.17), (0.15, 0.12, 0.1)),
 }
+#: The steps in the order in which they are tried: (rule, cutoff).
+PATH = tuple((rule, c) for part in (1, 2) for rule, spec in RULES.items() for c in spec[part])
 
 
 def occurrences(text: Column, marks: str) -> Column:
@@ -48,7 +58,7 @@ def occurrences(text: Column, marks: str) -> Column:
 
 
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", whole: bool = False) -> DataFrame:
-    """id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals of every row's whole text.
+    """id, stratum, a hash of the text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals of every row's whole text.
 
     whole: also `row`, a structure of all columns of docs by their place (k0, k1 and so on).
     """
@@ -65,6 +75,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         *kept,
         "id",
         "stratum",
+        F.xxhash64(text).alias("hash"),
         "n_words",
         (F.char_length(text) - occurrences(text, BLANKS)).cast("long").alias("word_chars"),
         occurrences(text, SYMBOLS).alias("n_symbols"),
@@ -81,7 +92,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     shape = shape.withColumn("starts", F.sort_array(F.array_compact(F.transform("sorted", again))))
     none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate("starts", none, lambda s, p: F.struct((p + 5).alias("end"), (s["n"] + F.least(F.lit(5), p + 5 - s["end"])).alias("n")), lambda s: s["n"])
-    return shape.select(*kept, "id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_capitals")
+    return shape.select(*kept, "id", "stratum", "hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_capitals")
 
 
 def base_failed() -> Column:
@@ -101,24 +112,41 @@ def log_binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.aggregate(steps, F.struct(start.alias("term"), start.alias("sum")), more, lambda s: s["sum"])
 
 
+def rejects(steps: int) -> Column:
+    """Whether any rule of the first steps of the path rejects; each rule has its latest cutoff there."""
+    cuts = dict(PATH[:steps])
+    return reduce(lambda x, y: x | y, [F.expr(f"{RULES[rule][0]} > {c}D") for rule, c in cuts.items()])
+
+
 def thresholds(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """One row a stratum: its certified cutoff for each rule, null where none is."""
+    """One row a stratum: n (its good texts) and its certified cutoff for each rule, null where none is."""
     good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality")).where("quality = 1")
-    held = feats.where(~base_failed()).join(good, "id")
-    counts = [F.count_if(F.expr(f"{feature} > {c}D")).alias(f"{rule}_{i}") for rule, (feature, grid) in RULES.items() for i, c in enumerate(grid)]
-    strata = held.groupBy("stratum").agg(F.count("*").alias("n"), *counts)
-    strata = settled(strata, "quality-strata")  # a row a stratum
-    rate, tests = risk / len(RULES), max(1, strata.count()) * len(RULES)
-    chosen = []
-    for rule, (_, grid) in RULES.items():
-        ok, best = F.lit(True), F.lit(None).cast("double")
-        for i, c in enumerate(grid):
-            k = F.col(f"{rule}_{i}")
-            # more than the expected number is never significant, and would only make the sum long
-            ok = ok & F.when(k > F.col("n") * rate, F.lit(False)).otherwise(log_binomial_cdf(k, F.col("n"), rate) <= math.log(delta / tests))
-            best = F.when(ok, F.lit(c)).otherwise(best)
-        chosen.append(best.alias(rule))
-    return strata.select("stratum", "n", *chosen)
+    held = feats.where(~base_failed()).join(good, "id").select("stratum", "hash", *COUNTS).distinct()
+    counts = [F.count_if(rejects(i + 1)).alias(f"k{i}") for i in range(len(PATH))]
+    strata = settled(held.groupBy("stratum").agg(F.count("*").alias("n"), *counts), "quality-strata")  # a row a stratum
+
+    def probability(i: int) -> Column:
+        k = F.col(f"k{i}")
+        # more than the expected number is never significant, and would only make the sum long
+        return F.when(k > F.col("n") * risk, F.lit(0.0)).otherwise(log_binomial_cdf(k, F.col("n"), risk))
+
+    logs = settled(strata.select("stratum", "n", F.array(*map(probability, range(len(PATH)))).alias("p")), "quality-probabilities")
+
+    def through(level: Column) -> Column:
+        """How many steps from the first on are certified at the level."""
+        return F.array_position(F.array_append(F.transform("p", lambda p: F.coalesce(p <= F.ln(level), F.lit(False))), F.lit(False)), F.lit(False)) - 1
+
+    def dealt(whole: int) -> Column:
+        return delta * F.col("n") / F.lit(float(max(1, whole)))
+
+    whole = logs.agg(F.sum("n")).first()[0] or 0
+    once = logs.withColumn("steps", through(dealt(whole)))
+    rest = once.where(F.col("steps") < len(PATH)).agg(F.sum("n")).first()[0] or 0
+    steps = once.withColumn("steps", F.when(F.col("steps") == len(PATH), F.col("steps")).otherwise(through(dealt(rest))))
+    latest = {rule: F.lit(None).cast("double") for rule in RULES}
+    for i, (rule, c) in enumerate(PATH):
+        latest[rule] = F.when(F.col("steps") > i, F.lit(c)).otherwise(latest[rule])
+    return steps.select("stratum", "n", *[cut.alias(rule) for rule, cut in latest.items()])
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")
@@ -128,7 +156,7 @@ def verdicts(feats: DataFrame, cut: DataFrame) -> DataFrame:
     """feats with base_failed, the first rule that rejects (`rejected_by`) and kept."""
     cut = cut.drop("n")
     cut = F.broadcast(cut) if cut.count() <= MAX_BROADCAST_STRATA else cut
-    fails = [F.when(F.expr(f"{feature} > `{rule}`"), rule) for rule, (feature, _) in RULES.items()]
+    fails = [F.when(F.expr(f"{feature} > `{rule}`"), rule) for rule, (feature, *_) in RULES.items()]
     judged = feats.join(cut, "stratum", "left").withColumn("base_failed", base_failed())
     # a feature is defined where there are words, which the base rules ask for
     judged = judged.withColumn("rejected_by", F.when(F.col("base_failed"), "base").otherwise(F.coalesce(*fails)))
@@ -143,8 +171,8 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that are kept. Features are worked out a second time rather than moving texts to a join."""
-    feats = settled(features(docs, id_col, text_col, stratum_col), "quality-features")
-    cut = settled(thresholds(feats, labels, risk, delta), "quality-thresholds")
-    kept = verdicts(features(docs, id_col, text_col, stratum_col, whole=True), cut).where("kept")
+    """The rows of docs that are kept. They are written with their features once, so that neither is a text moved to a join nor a feature worked out twice."""
+    rows = settled(features(docs, id_col, text_col, stratum_col, whole=True), "quality-rows")
+    cut = settled(thresholds(rows.drop("row"), labels, risk, delta), "quality-thresholds")
+    kept = verdicts(rows, cut).where("kept")
     return kept.select(*[F.col(f"row.k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -83,15 +83,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quality_sql() -> str:
-    tests = f"(SELECT greatest(1, count(*)) * {len(quality.RULES)} FROM strata)"
-    rate = quality.RISK / len(quality.RULES)
-    tried = "\n    UNION ALL ".join(
-        f"SELECT stratum, '{rule}' AS rule, {i} AS step, {c}::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER (WHERE {feature} > {c}::DOUBLE) AS k FROM held GROUP BY stratum"
-        for rule, (feature, grid) in quality.RULES.items()
-        for i, c in enumerate(grid)
-    )
-    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}) + (n - i) * ln(1 - {rate!r}))"
-    rejects = " OR ".join(f"coalesce({feature} > (SELECT cutoff FROM chosen c WHERE c.stratum = j.stratum AND c.rule = '{rule}'), false)" for rule, (feature, _) in quality.RULES.items())
+    def broken(i: int) -> str:
+        return " OR ".join(f"{quality.RULES[rule][0]} > {c}::DOUBLE" for rule, c in dict(quality.PATH[: i + 1]).items())
+
+    steps = len(quality.PATH)
+    tried = "\n    UNION ALL ".join(f"SELECT stratum, {i} AS step, count(*) AS n, count(*) FILTER (WHERE {broken(i)}) AS k FROM held GROUP BY stratum" for i in range(steps))
+    term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.RISK!r}) + (n - i) * ln(1 - {quality.RISK!r}))"
+
+    def latest(rule: str) -> str:
+        return "CASE " + " ".join(f"WHEN steps > {i} THEN {c}::DOUBLE" for i, (r, c) in reversed(list(enumerate(quality.PATH))) if r == rule) + " END"
+
+    rejects = " OR ".join(f"coalesce({feature} > {latest(rule)}, false)" for rule, (feature, *_) in quality.RULES.items())
     return rf"""
 WITH split AS (
     SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -102,7 +104,7 @@ WITH split AS (
 ), repeated AS (
     SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM again) GROUP BY doc_id
 ), features AS (
-    SELECT doc_id, stratum, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    SELECT doc_id, stratum, text, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
            len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
            len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
            coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_extract_all(text, '[A-Z]')) AS n_capitals
@@ -112,17 +114,21 @@ WITH split AS (
 ), good AS (
     SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1
 ), held AS (
-    SELECT judged.* FROM judged JOIN good USING (doc_id) WHERE NOT base_failed
-), strata AS (
-    SELECT DISTINCT stratum FROM held
+    SELECT DISTINCT stratum, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals FROM judged JOIN good USING (doc_id) WHERE NOT base_failed
 ), tried AS (
     {tried}
-), tested AS (
-    SELECT *, list_sum([{term} for i in range(0, k + 1)]) <= {quality.DELTA} / {tests} AS ok FROM tried
+), sums AS (
+    SELECT stratum, step, n, list_sum([{term} for i in range(0, k + 1)]) AS p FROM tried
+), first_dealt AS (
+    SELECT stratum, n, coalesce(min(step) FILTER (WHERE p > {quality.DELTA} * n / (SELECT sum(n) FROM sums WHERE step = 0)), {steps}) AS steps FROM sums GROUP BY stratum, n
+), unfinished AS (
+    SELECT stratum FROM first_dealt WHERE steps < {steps}
+), dealt_again AS (
+    SELECT stratum, coalesce(min(step) FILTER (WHERE p > {quality.DELTA} * n / (SELECT sum(n) FROM first_dealt WHERE steps < {steps})), {steps}) AS steps FROM sums WHERE stratum IN (FROM unfinished) GROUP BY stratum
 ), chosen AS (
-    SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY step) AS so_far FROM tested) WHERE so_far GROUP BY stratum, rule
+    FROM dealt_again UNION ALL SELECT stratum, steps FROM first_dealt WHERE steps = {steps}
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejects}) AS kept FROM judged j
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejects}) AS kept FROM judged LEFT JOIN chosen USING (stratum)
 """
 
 

@@ -66,6 +66,43 @@ def test_false_rejections_stay_limited(spark):
     assert quality.judge(df, labels).where("NOT kept").count() <= quality.RISK * 3000
 
 
+def test_a_repeated_text_is_one_trial(spark):
+    """Neither rows that repeat an id nor copies under other ids certify anything."""
+    text = " ".join(f"x{j}" for j in range(20))
+    for rows in ([(1, "en", text)] * 3000, [(i, "en", text) for i in range(3000)]):
+        df = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+        cut = quality.thresholds(quality.features(df), df.select("doc_id", F.lit(1).alias("quality")).distinct()).collect()
+        assert [r["n"] for r in cut] == [1]
+        assert all(cut[0][rule] is None for rule in quality.RULES)
+
+
+def test_levels_are_dealt_by_labels_and_handed_on(spark):
+    """How many clean texts a stratum needs: alone the whole delta is its own; beside one that gets through, that one's is handed on."""
+    def rows(lang, n):
+        return [(lang, i, 20, 100, 0, 0, 0, 0) for i in range(n)]
+
+    def certified(*parts):
+        data = [(100_000 * j + i, *r) for j, p in enumerate(parts) for i, r in enumerate(p)]
+        feats = spark.createDataFrame(data, "id bigint, stratum string, hash bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_capitals bigint")
+        cut = quality.thresholds(feats, feats.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))).collect()
+        return {r["stratum"]: r["symbols"] for r in cut}
+
+    least = math.ceil(math.log(quality.DELTA) / math.log1p(-quality.RISK))
+    assert certified(rows("en", least)) == {"en": 0.03}
+    assert certified(rows("en", least - 1)) == {"en": None}
+    assert certified(rows("en", 3000), rows("de", least), rows("fr", 5)) == {"en": 0.03, "de": 0.03 if (1 - quality.RISK) ** least <= quality.DELTA * least / (least + 5) else None, "fr": None}
+    assert certified(rows("en", 3000), rows("de", least)) == {"en": 0.03, "de": 0.03}
+
+
+def test_cutoffs_bind_where_the_sql_checks_them(spark):
+    from marrow.llm.queries import QUERIES
+
+    got = QUERIES["op1_quality"](spark, "/root/testdata/sf0.01")
+    assert got.where("NOT base_failed AND NOT kept").count() > 0
+    bad = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 0")
+    assert got.join(bad, "doc_id").where("kept").count() < got.join(bad, "doc_id").where("NOT base_failed").count()
+
+
 def test_edges(spark, check_sql):
     check_sql(spark, "op1_quality")
     none = spark.createDataFrame([], "doc_id bigint, text string, lang string, quality int")
