@@ -1,34 +1,42 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the word windows of all benchmark items.
 
 Texts are normalised byte by byte (A-Z to a-z, other ASCII that is no letter or digit to a blank), so
-an offset in the normalised text is the offset in the original. Words are then joined by single
-blanks, each window stands between two blanks, and one scan of a text finds every occurrence of every
-window. Runs of hit words come back as code point spans of the original text.
+an offset in the normalised text is the offset in the original. The automaton's letters are words: those
+of the benchmark have numbers, all others one. One scan of a text's numbers finds every occurrence of every
+window; runs of hit words come back as code point spans of the original text.
 
-The windows are broadcast. Their bytes are counted first; beyond `shard_bytes` the items are dealt to
+A node takes about `NODE_BYTES`, a word of a window is at most one, so a benchmark has at most ten times as many nodes
+as words. Its words are counted first; beyond `max_nodes` the windows are dealt to
 several automata, which scan the texts one after the other with the hits carried along, so that
-memory stays bounded and the result is the same.
+memory stays bounded, on the driver as well, and the result is the same; long items are cut for that, with
+overlapping ends, so that no window is lost. A worker builds an automaton once, whatever tasks it has.
 
 Nulls: a null text has no words; an item with a null text or no word has no window; the hits of an
-item with a null id count, its id is not listed. Repeated items count once, repeated rows stay.
+item with a null id count, its id is not listed. Repeated items count once, repeated rows stay; of a window that
+several items have all are listed. Empty tables: no rows, or no hits. Texts of any length are scanned whole, one at a
+time. Columns are handled by place, so those to keep may have any names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marrow.llm.common import settled
+from marrow.llm.common import settled, slices
 
 WINDOW = 10
-SHARD_BYTES = 16_000_000
+MAX_NODES, NODE_BYTES = 3_000_000, 48
+#: Words of an item in one piece, and bytes of texts in one slice.
+PIECE, SLICE_BYTES = 10_000, 4_000_000
 #: What each byte becomes: letters in lower case, digits and bytes of other characters themselves, the rest a blank.
 FOLDED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 RUN = re.compile(rb"[^ ]+")
@@ -42,37 +50,54 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(FOLDED).split()
 
 
-def windows(text: str | None, size: int = WINDOW) -> set[bytes]:
-    """All runs of `size` words; a text of fewer words, but not none, is one run."""
-    w = words(text)
-    return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
-
-
-def automaton(items: list[tuple[str | None, str | None]], size: int):
-    """Finds each window between blanks; its value: how many words it has and the ids of its items."""
-    of: dict[bytes, set] = {}
-    for item, text in items:
-        for w in windows(text, size):
-            of.setdefault(w, set()).add(item)
-    found = ahocorasick.Automaton()
-    for w, ids in of.items():
-        found.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, len(w) + 2, tuple(x for x in ids if x is not None)))
-    if of:
-        found.make_automaton()
-    return found if of else None
-
-
-def find(machine, folded: list[bytes]) -> tuple[list[tuple[int, int]], set]:
-    """Runs of hit words (first, last, counted from 0) and the ids of the items that occur."""
-    text = f" {b' '.join(folded).decode('latin-1')} "
-    hits, ids = [], set()
-    for end, (n, chars, items) in machine.iter(text):
-        hits.append((end - chars + 1, n))
-        ids.update(items)
-    if not hits:
-        return [], ids
-    before = np.cumsum(np.frombuffer(text.encode("latin-1"), np.uint8) == 32)
-    return merged([(int(before[at]) - 1, int(before[at]) + n - 2) for at, n in hits]), ids
+class Machine:
+    """Finds the windows of items in texts."""
+
+    def __init__(self, pieces: list[tuple[str | None, str]], size: int):
+        """pieces: an item's id and normalised words of its text; all its runs of `size` words are windows, or all words if they are fewer."""
+        self.number: dict[bytes, int] = {}
+        self.items = sorted({item for item, _ in pieces if item is not None})
+        which = {item: i for i, item in enumerate(self.items)}
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        #: Of each window how many words it has, and which items.
+        self.words: list[int] = []
+        self.of: list[tuple[int, ...]] = []
+        for item, text in pieces:
+            w = tuple(self.number.setdefault(x, len(self.number) + 1) for x in text.encode().split(b" "))
+            own = () if item is None else (which[item],)
+            for i in range(max(1, len(w) - size + 1)):
+                window = w[i : i + size]
+                at = self.found.get(window, -1)
+                if at < 0:
+                    self.found.add_word(window, len(self.of))
+                    self.words.append(len(window))
+                    self.of.append(own)
+                elif own and own[0] not in self.of[at]:
+                    self.of[at] += own
+        if self.of:
+            self.found.make_automaton()
+
+    def find(self, folded: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Runs of hit words (first, last, counted from 0) and the ids of the items that occur."""
+        if not self.of:
+            return [], set()
+        number = self.number.get
+        runs, which = [], set()
+        for end, at in self.found.iter(tuple([number(w, 0) for w in folded])):
+            runs.append((end - self.words[at] + 1, end))
+            which.add(at)
+        return merged(runs), {self.items[i] for at in which for i in self.of[at]}
+
+
+_machines: dict[str, Machine] = {}
+
+
+def machine(key: str, pieces: list, size: int) -> Machine:
+    """The machine of a worker, built when the first of its tasks asks for it; only the last one is kept."""
+    if key not in _machines:
+        _machines.clear()
+        _machines[key] = Machine(pieces, size)
+    return _machines[key]
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -93,51 +118,67 @@ def spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(chars[place[a][0]]), int(chars[place[b][1]])) for a, b in runs]
 
 
-def _pass(df: DataFrame, kept: list, items: list, size: int, last: bool) -> DataFrame:
+def cut(benchmark: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
+    """(item, text, n) of the normalised words of every item, long ones in pieces that overlap by all but one word of a window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                w = words(text)
+                for at in range(0, max(1, len(w) - size + 1) if w else 0, PIECE):
+                    part = w[at : at + PIECE + size - 1]
+                    out.append((item, b" ".join(part).decode(), len(part)))
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64())], names=["item", "text", "n"])
+
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    return items.mapInArrow(run, "item string, text string, n bigint").distinct()
+
+
+def _pass(df: DataFrame, kept: list, pieces: list, size: int, last: bool) -> tuple[DataFrame, Broadcast]:
     """df (the kept columns, text, hits, items) scanned for the items; the last pass gives spans instead of the text."""
-    sent = df.sparkSession.sparkContext.broadcast(items)
-    cache: list = []
+    sent = df.sparkSession.sparkContext.broadcast(pieces)
+    key = hashlib.sha256(repr((size, pieces)).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not cache:
-            cache.append(automaton(sent.value, size))
-        machine = cache[0]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                counts, hits, ids, where = [], [], [], []
-                old = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
-                for text, (runs, known) in zip(batch.column("text").to_pylist(), old, strict=True):
-                    folded = words(text)
-                    new, found = find(machine, folded) if machine and folded else ([], set())
-                    runs = merged([*((x["first"], x["last"]) for x in runs or []), *new])
-                    counts.append(len(folded))
-                    hits.append([{"first": a, "last": b} for a, b in runs])
-                    ids.append(sorted(found.union(known or [])))
-                    if last:
-                        where.append([{"start": a, "end": b} for a, b in spans(text, runs)] if runs else [])
-                columns = [pa.array(where, PA_SPANS) if last else batch.column("text"), pa.array(hits, PA_HITS), pa.array(ids, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k.name) for k in kept), pa.array(counts, pa.int64()), *columns], names=[*(k.name for k in kept), "n_words", "spans" if last else "text", "hits", "items"])
+        found = machine(key, sent.value, size)
+        for batch in slices(batches, "text", SLICE_BYTES):
+            counts, hits, ids, where = [], [], [], []
+            old = zip(batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True)
+            for text, (runs, known) in zip(batch.column("text").to_pylist(), old, strict=True):
+                folded = words(text)
+                new, items = found.find(folded)
+                runs = merged([*((x["first"], x["last"]) for x in runs or []), *new])
+                counts.append(len(folded))
+                hits.append([{"first": a, "last": b} for a, b in runs])
+                ids.append(sorted(items.union(known or [])))
+                if last:
+                    where.append([{"start": a, "end": b} for a, b in spans(text, runs)] if runs else [])
+            columns = [pa.array(where, PA_SPANS) if last else batch.column("text"), pa.array(hits, PA_HITS), pa.array(ids, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k.name) for k in kept), pa.array(counts, pa.int64()), *columns], names=[*(k.name for k in kept), "n_words", "spans" if last else "text", "hits", "items"])
 
     text = T.StructField("spans", SPANS) if last else T.StructField("text", T.StringType())
     schema = [*kept, T.StructField("n_words", T.LongType()), text, T.StructField("hits", HITS), T.StructField("items", T.ArrayType(T.StringType()))]
-    return df.select(*(k.name for k in kept), "text", "hits", "items").mapInArrow(run, T.StructType(schema))
+    return df.select(*(k.name for k in kept), "text", "hits", "items").mapInArrow(run, T.StructType(schema)), sent
 
 
 def scan(
-    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, shard_bytes: int = SHARD_BYTES, keep: tuple[str, ...] = ()
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW, max_nodes: int = MAX_NODES, keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Per row of docs: id_col, the columns to keep, n_words, n_hit, items (ids as text, sorted), spans (code points of the original)."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text IS NOT NULL").distinct()
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 if total <= shard_bytes else 2 * -(-total // shard_bytes)
+    pieces = settled(cut(benchmark, item_col, item_text_col, size), "benchmark-words")
+    total = size * (pieces.agg(F.sum("n")).first()[0] or 0)
+    shards = 1 if total <= max_nodes else 2 * -(-total // max_nodes)
     own = [id_col, *keep]
     kept = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(own)]
     df = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.col(text_col).cast("string").alias("text"), F.lit(None).cast(HITS).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
     for k in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k) if shards > 1 else items
-        df = _pass(df, kept, [tuple(r) for r in part.collect()], size, k == shards - 1)
+        part = pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k)
+        # a shard has max_nodes / size words, about: safe to gather and broadcast
+        df, sent = _pass(df, kept, sorted(((r["item"], r["text"]) for r in part.collect()), key=str), size, k == shards - 1)
         if k < shards - 1:
             df = settled(df, "decontaminate")
+            sent.destroy()
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"] + 1)
     return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], "n_words", hit.alias("n_hit"), "items", "spans")
