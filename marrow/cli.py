@@ -1,4 +1,4 @@
-"""python -m marrow.cli ask --vault PATH QUERY [--top-k N] [--json]"""
+"""python -m marrow.cli ask --vault PATH QUERY [--top-k N] [--json] [--model FOLDER]"""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import re
 import sys
 from dataclasses import dataclass
 
-USAGE = "usage: marrow ask --vault PATH QUERY [--top-k N] [--json]"
+USAGE = "marrow ask --vault PATH QUERY [--top-k N] [--json] [--model FOLDER]"
 
 
 class Usage(Exception):
@@ -19,12 +19,13 @@ class Request:
     query: str
     top_k: int = 5
     as_json: bool = False
+    model: str | None = None
 
 
 def arguments(argv: list[str]) -> Request:
     """Words in any order; `ask` is always the command, and anything else that begins with a dash is an error."""
     words = iter(argv)
-    asked, path, query, top_k, as_json = False, None, None, 5, False
+    asked, path, query, top_k, as_json, model = False, None, None, 5, False, None
     for word in words:
         if word == "ask":
             asked = True
@@ -35,23 +36,27 @@ def arguments(argv: list[str]) -> Request:
         elif word == "--top-k":
             value = next(words, None)
             if value is None:
-                raise Usage("--top-k requires a value")
+                raise Usage("--top-k takes a number")
             if not re.fullmatch(r"[0-9]+", value):
-                raise Usage("invalid --top-k")
+                raise Usage(f"--top-k takes a number, not {value}")
             top_k = int(value)
             if not 1 <= top_k <= 50:
-                raise Usage("--top-k must be 1..50")
+                raise Usage("--top-k takes 1 to 50")
+        elif word == "--model":
+            model = next(words, None)
+            if model is None:
+                raise Usage("--model takes a folder")
         elif word == "--json":
             as_json = True
         elif word.startswith("-"):
-            raise Usage(f"unknown flag: {word}")
+            raise Usage(f"no such option: {word}")
         elif query is not None:
-            raise Usage(f"unexpected argument: {word}")
+            raise Usage(f"one query only, not {word} as well")
         else:
             query = word
     if not asked or path is None or not query:
         raise Usage(USAGE)
-    return Request(path, query, top_k, as_json)
+    return Request(path, query, top_k, as_json, model)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -64,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         from pyspark.sql import SparkSession
 
-        from marrow.operators.embed import HashEmbedder
+        from marrow.operators.embed import HashEmbedder, StaticEmbedder
         from marrow.plans.index import load_or_build
         from marrow.plans.search import search, with_snippets
         from marrow.session import ship
@@ -72,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
 
         spark = SparkSession.builder.appName("marrow").getOrCreate()
         ship(spark)
-        embedder = HashEmbedder()
+        embedder = StaticEmbedder(request.model) if request.model else HashEmbedder()
         index, status = load_or_build(spark, request.vault, embedder)
         if status.kind == "rebuild":
             print(f"rebuilding index ({status.reason}) in {status.ms}ms", file=sys.stderr)

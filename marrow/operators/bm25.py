@@ -3,6 +3,7 @@
 Postings hold the length of their text, so a search touches them once: the query tokens, with idf from
 `terms` and `stats`, are broadcast to the scan of the postings (they are as many as the queries' words,
 which is checked), scores are summed per query and key, and each task keeps its best before the rank.
+Where there is no index, `search_texts` scans the texts once and keeps no word that no query asks for.
 """
 
 from __future__ import annotations
@@ -68,6 +69,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def asked_of(docs: DataFrame, key: tuple[str, ...], words: Column, terms: DataFrame) -> Postings:
+    """What build() gives, for the words of the queries alone; terms (query_id, term, times) are few.
+
+    The words are told apart before anything is exchanged. Each text has a row with the term '' besides, so
+    that one exchange has all that lengths, frequencies and scores are made from.
+    """
+    each = docs.select(*key, words.alias("w")).select(*key, F.size("w").cast("long").alias("dl"), F.explode(F.array_append("w", F.lit(""))).alias("x"))
+    each = each.select(*key, "dl", F.coalesce("x", F.lit("")).alias("term"))
+    wanted = terms.select(F.coalesce("term", F.lit("")).alias("t")).distinct().union(docs.sparkSession.range(1).select(F.lit("").alias("t")))
+    rows = each.join(F.broadcast(wanted), F.col("term") == F.col("t")).groupBy(*key, "dl", "term").agg(F.count("*").alias("tf"))
+    # All three read every column, so that they share the exchange.
+    whole = F.col("term") == ""
+    stats = rows.agg(F.count_if(whole & (F.col("tf") > 0)).alias("doc_count"), F.sum(F.when(whole, F.col("dl"))).alias("total"))
+    stats = stats.select("doc_count", F.coalesce(F.col("total") / F.col("doc_count"), F.lit(0.0)).alias("avgdl"))
+    df = rows.groupBy("term").agg(F.count_if((F.col("dl") >= 0) & (F.col("tf") > 0)).alias("df"))
+    return Postings(key, rows, rows, df, stats)
+
+
+def search_texts(docs: DataFrame, key: tuple[str, ...], text: Column, queries: DataFrame, limit: Column | int) -> DataFrame:
+    """search() of texts that have no index, in one scan and one exchange while the queries' words are few."""
+    terms = query_terms(queries)
+    index = asked_of(docs, key, tokens(text), terms) if terms.count() <= MAX_BROADCAST_TERMS else build(docs, key, plain(text))
+    return search(index, queries, limit)
+
+
 def score(index: Postings, queries: DataFrame) -> DataFrame:
     """(query_id, key, score) of every text that shares a term; scores to six decimals, so that ties are ties anywhere."""
     terms = query_terms(queries)

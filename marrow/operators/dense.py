@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marrow.operators.bm25 import ranked
 
@@ -53,7 +54,7 @@ def topk(vectors: DataFrame, queries: DataFrame, limit: int, key: tuple[str, ...
             yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query.tolist()], pa_id), *kept, pa.array(scores[row, query])], names=names)
 
     id_type = rows.schema["query_id"].dataType
-    pa_id = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[id_type]
+    pa_id = to_arrow_type(id_type)
     schema = T.StructType([T.StructField("query_id", id_type), *(vectors.schema[c] for c in key), T.StructField("score", T.DoubleType())])
     cols = [F.col(c).alias(f"c{i}") for i, c in enumerate(key)]
     return ranked(vectors.select(*cols, F.col(embedding).cast("array<float>").alias("v")).mapInArrow(run, schema), key, limit)

@@ -12,9 +12,13 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marrow.operators.batches import slices
+
 DIMENSIONS = 256
+SLICE_BYTES = 4_000_000
 
 
 class Embedder(Protocol):
@@ -81,11 +85,11 @@ def embed(df: DataFrame, keys: tuple[str, ...], text: Column, embedder: Embedder
     """(keys, embedding array<float>), a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", SLICE_BYTES):
             vectors = embedder.embed([x or "" for x in batch.column(len(keys)).to_pylist()])
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * vectors.shape[1])
             lists = pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], lists], names=[*keys, "embedding"])
 
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("embedding", T.ArrayType(T.FloatType()))])
-    return df.select(*keys, text.alias("text")).mapInArrow(run, schema)
+    return df.select(*keys, F.coalesce(text.cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)

@@ -14,8 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marrow.operators.batches import slices
+
 # Sizes in bytes.
 TARGET, HARD_MAX, MERGE_UNDER = 750, 1000, 250
+SLICE_BYTES = 8_000_000
 BLANKS = b" \t\r\n"
 OPENING = re.compile(rb"---\r?\n")
 CLOSING = re.compile(rb"^---\r?\n?", re.M)
@@ -46,20 +49,20 @@ def unquote(s: bytes) -> bytes:
 def flow_list(value: bytes, line: int) -> list[bytes]:
     """`[a, "b, c"]` on one line; empty items are skipped."""
     if not value.endswith(b"]"):
-        raise _Bad(line, "unterminated flow list")
+        raise _Bad(line, "a list without its closing bracket")
     rest, items = value[1:-1].strip(b" \t"), []
     while rest:
         if rest[:1] in (b'"', b"'"):
             end = rest.find(rest[:1], 1)
             if end < 0:
-                raise _Bad(line, "unterminated quoted value")
+                raise _Bad(line, "a quotation that does not end")
             item, rest = rest[: end + 1], rest[end + 1 :]
         else:
             item, comma, rest = rest.partition(b",")
             rest = comma + rest
         item = item.strip(b" \t")
         if item[:1] in (b"[", b"{"):
-            raise _Bad(line, "nested structures unsupported")
+            raise _Bad(line, "a list within a list")
         if item:
             items.append(unquote(item))
         rest = rest.strip(b" \t")
@@ -80,22 +83,22 @@ def frontmatter(text: bytes) -> tuple[bytes | None, list[bytes], list[bytes]]:
             item = line[2:].strip(b" \t")
             if taking is not None:
                 if not item or item[:1] in (b"[", b"{"):
-                    raise _Bad(number, "unsupported list item form")
+                    raise _Bad(number, "a list item that is no plain text")
                 taking.append(unquote(item))
             continue
         taking, skipping = None, False
         if line.startswith(b"- "):
-            raise _Bad(number, "orphaned list item (expected under aliases/tags)")
+            raise _Bad(number, "a list item that belongs to no key")
         key, colon, value = line.partition(b":")
         if not colon:
-            raise _Bad(number, "expected key: value")
+            raise _Bad(number, "a line without a key")
         key, value = key.strip(b" \t"), value.strip(b" \t")
         block = value[:1] == b"{" or value in (b"|", b">")
         if key == b"title":
             if not value:
-                raise _Bad(number, "title must be a scalar string")
+                raise _Bad(number, "a title without text")
             if block or value[:1] == b"[":
-                raise _Bad(number, "unsupported title form")
+                raise _Bad(number, "a title that is no plain text")
             title = unquote(value)
         elif key in lists:
             if not value:
@@ -103,7 +106,7 @@ def frontmatter(text: bytes) -> tuple[bytes | None, list[bytes], list[bytes]]:
             elif value[:1] == b"[":
                 lists[key] += flow_list(value, number)
             elif block:
-                raise _Bad(number, "unsupported aliases/tags form")
+                raise _Bad(number, "aliases or tags that are no plain list")
             else:
                 lists[key].append(unquote(value))
         else:
@@ -226,7 +229,7 @@ def parse_note(path: str, raw: bytes) -> dict:
         if opening := OPENING.match(raw):
             closing = CLOSING.search(raw, opening.end())
             if not closing:
-                raise _Bad(1, "missing frontmatter closing ---")
+                raise _Bad(1, "frontmatter that does not end")
             title, aliases, tags = frontmatter(raw[opening.end() : closing.start()])
             start = closing.end()
     except _Bad as e:
@@ -260,7 +263,7 @@ def parse(files: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(NOTE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "content", SLICE_BYTES):
             rows = []
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:

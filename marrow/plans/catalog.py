@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import sys
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.functions import text as X
-from marrow.operators import bm25, dense, fuse, notes
-from marrow.plans.index import changes
+from marrow.operators import bm25, dense, embed, fuse, notes
+from marrow.plans import index
+from marrow.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +45,10 @@ def plain_index(spark: SparkSession, sf_dir: str) -> bm25.Postings:
     return bm25.build(table(spark, sf_dir, "documents").select("doc_id", "text"), ("doc_id",), bm25.plain(F.col("text")))
 
 
+def text_search(spark: SparkSession, sf_dir: str, queries: DataFrame, limit: int) -> DataFrame:
+    return bm25.search_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ("doc_id",), F.col("text"), queries, limit)
+
+
 # --- Sparse leg
 
 TOKENS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+')"
@@ -87,24 +93,24 @@ def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COUNTS} SELECT term, round({IDF}, 6) AS idf FROM df, stats")
 def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = plain_index(spark, sf_dir)
-    joined = index.terms.crossJoin(F.broadcast(index.stats))  # stats is one row
+    found = plain_index(spark, sf_dir)
+    joined = found.terms.crossJoin(F.broadcast(found.stats))  # stats is one row
     return joined.select("term", F.round(bm25.idf(F.col("doc_count"), F.col("df")), 6).alias("idf"))
 
 
 @query(f"WITH {bm25_sql(f'SELECT 0 AS query_id, $${QUESTION}$$ AS query', TOP)} SELECT query_id, doc_id, score, rank FROM sparse")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.search(plain_index(spark, sf_dir), one_query(spark, QUESTION), TOP)
+    return text_search(spark, sf_dir, one_query(spark, QUESTION), TOP)
 
 
 @query(f"WITH {bm25_sql(f'SELECT 0 AS query_id, $${REPEATED}$$ AS query', TOP)} SELECT query_id, doc_id, score, rank FROM sparse")
 def bm25_dup_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.search(plain_index(spark, sf_dir), one_query(spark, REPEATED), TOP)
+    return text_search(spark, sf_dir, one_query(spark, REPEATED), TOP)
 
 
 @query(f"WITH {bm25_sql('SELECT item_id AS query_id, text AS query FROM benchmark', TOP)} SELECT query_id, doc_id, score, rank FROM sparse")
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bm25.search(plain_index(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), TOP)
+    return text_search(spark, sf_dir, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), TOP)
 
 
 FIELDED_SQL = f"""
@@ -151,7 +157,8 @@ def dense_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- Fusion and ranking: vectors stand for the documents of the same id, sources for notes
 
-LIMIT = 50
+#: What each leg sends to the fusion, by the rule for a top k.
+LIMIT = fuse.over_fetch(sys.maxsize, TOP)
 LEGS = f"{bm25_sql(f'SELECT 0 AS query_id, $${QUESTION}$$ AS query', LIMIT)}, {dense_sql(FIRST, LIMIT).replace('asked AS', 'vectors AS').replace(', asked)', ', vectors)')}"
 UNION = f"""{LEGS}, candidates AS (
     SELECT coalesce(d.query_id, s.query_id) AS query_id, coalesce(d.vec_id, s.doc_id) AS doc_id, d.rank AS dense_rank, s.rank AS sparse_rank
@@ -172,7 +179,7 @@ SATURATED = """halved AS (
 
 def legs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     near = dense.topk(table(spark, sf_dir, "embeddings"), first_vector(spark, sf_dir), LIMIT, ("vec_id",)).withColumnRenamed("vec_id", "doc_id")
-    return near, bm25.search(plain_index(spark, sf_dir), one_query(spark, QUESTION), LIMIT)
+    return near, text_search(spark, sf_dir, one_query(spark, QUESTION), LIMIT)
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +187,8 @@ def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+    # at most LIMIT candidates a leg
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(F.broadcast(fused(spark, sf_dir)), "doc_id")
 
 
 @query(f"WITH {LEGS} SELECT 'dense' AS leg, query_id, vec_id AS doc_id, score, rank FROM dense UNION ALL SELECT 'sparse', query_id, doc_id, score, rank FROM sparse")
@@ -235,69 +243,40 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("doc_id", "source", "place", F.round(F.col("score").cast("double"), 9).alias("score"))
 
 
-# --- The same two with legs as deep as the reference's rule asks for a top k; those above are held at LIMIT by their SQL
-
-DEPTH = fuse.over_fetch(sys.maxsize, TOP)
-DEEP_LEGS = f"{bm25_sql(f'SELECT 0 AS query_id, $${QUESTION}$$ AS query', DEPTH)}, {dense_sql(FIRST, DEPTH).replace('asked AS', 'vectors AS').replace(', asked)', ', vectors)')}"
-DEEP_RRF = RRF.replace(LEGS, DEEP_LEGS)
-
-
-def deep_named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    limit = fuse.over_fetch(max(docs.count(), vectors.count()), TOP)
-    near = dense.topk(vectors, first_vector(spark, sf_dir), limit, ("vec_id",)).withColumnRenamed("vec_id", "doc_id")
-    found = fuse.rrf(fuse.union(near, bm25.search(plain_index(spark, sf_dir), one_query(spark, QUESTION), limit), ("doc_id",)))
-    return found.join(docs.select("doc_id", "source", "lang"), "doc_id")
-
-
-@query(f"WITH {DEEP_RRF}, named AS (SELECT f.*, source FROM fused f JOIN documents USING (doc_id)), {SATURATED} SELECT doc_id, source, place, round(adjusted::DOUBLE, 9) AS score FROM placed WHERE place <= {TOP}")
-def saturation_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = fuse.saturate(deep_named(spark, sf_dir), "source", ("doc_id",), TOP)
-    return best.select("doc_id", "source", "place", F.round(F.col("score").cast("double"), 9).alias("score"))
-
-
-@query(
-    f"""WITH {DEEP_RRF}, named AS (SELECT f.query_id, f.doc_id, source, (score * {BOOST.format(q=QUESTION)})::FLOAT AS score FROM fused f JOIN documents USING (doc_id)), {SATURATED}
-SELECT doc_id, source, place, round(adjusted::DOUBLE, 9) AS score FROM placed WHERE place <= {TOP}"""
-)
-def hybrid_search_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both legs, fusion, boosts and saturation in one plan; no document of the reference's depth is lost."""
-    nothing = F.lit(None).cast("string")
-    factor = fuse.boost(F.lit(QUESTION), F.col("source"), nothing, nothing, F.array().cast("array<string>"), F.array("lang"))
-    rows = deep_named(spark, sf_dir).withColumn("score", fuse.boosted(F.col("score"), factor))
-    best = fuse.saturate(rows, "source", ("doc_id",), TOP)
-    return best.select("doc_id", "source", "place", F.round(F.col("score").cast("double"), 9).alias("score"))
-
-
 # --- Notes: markdown rendered from columns
 
 def note_files(df: DataFrame, path: Column, text: Column) -> DataFrame:
     return df.select(path.alias("path"), F.encode(text, "UTF-8").alias("content"))
 
 
+def turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a note `# Conversation n`, `## role`, text. What is null counts as empty."""
+    turns = table(spark, sf_dir, "conversations")
+    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("conv_id", "turn", "role", "text"))
+    path = F.concat(F.lit("conv-"), conv, F.lit("-"), turn, F.lit(".md"))
+    return note_files(turns, path, F.concat(F.lit("# Conversation "), conv, F.lit("\n## "), role, F.lit("\n"), F.btrim(text, F.lit(" \t\n\r")), F.lit("\n")))
+
+
 @query(
-    """
-WITH turns AS (SELECT conv_id, turn, role, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS body FROM conversations WHERE text IS NOT NULL AND regexp_matches(text, '[^ \\t\\r\\n]') AND strlen(text) < 900)
-SELECT 'conv-' || conv_id || '-' || turn || '.md' AS path, ['Conversation ' || conv_id, role] AS heading_trail, 'Conversation ' || conv_id || ' > ' || role AS breadcrumb, 3 AS start_line, 3 + len(body) - len(replace(body, chr(10), '')) AS end_line, body FROM turns
+    r"""
+WITH turns AS (SELECT coalesce(conv_id::VARCHAR, '') AS conv, coalesce(turn::VARCHAR, '') AS turn, coalesce(role, '') AS role, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS body FROM conversations)
+SELECT 'conv-' || conv || '-' || turn || '.md' AS path, CASE WHEN body = '' THEN [] ELSE ['Conversation ' || conv, role] END AS heading_trail, CASE WHEN body = '' THEN '' ELSE 'Conversation ' || conv || ' > ' || role END AS breadcrumb,
+       CASE WHEN body = '' THEN 1 ELSE 3 END AS start_line, CASE WHEN body = '' THEN 1 ELSE 3 + len(body) - len(replace(body, chr(10), '')) END AS end_line, regexp_replace(body, '[ \t\r\n]', '', 'g') AS solid FROM turns
 """
 )
 def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn as a note `# Conversation n`, `## role`, text; texts that are one chunk by their size are compared."""
-    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL AND text RLIKE '[^ \\\\t\\\\r\\\\n]' AND octet_length(text) < 900")
-    body = F.btrim(F.col("text"), F.lit(" \t\n\r"))
-    files = note_files(turns, F.concat(F.lit("conv-"), "conv_id", F.lit("-"), "turn", F.lit(".md")), F.concat(F.lit("# Conversation "), "conv_id", F.lit("\n## "), "role", F.lit("\n"), body, F.lit("\n")))
-    rows = notes.chunk_rows(notes.parse(files))
-    return rows.select("path", "heading_trail", X.breadcrumb(F.col("heading_trail")).alias("breadcrumb"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "body")
+    """Of each turn's note the section that its chunks make up: trail, first and last line, and all that is not blank. A turn without text is a note of one chunk without a body."""
+    parsed = notes.parse(turn_files(spark, sf_dir))
+    trail = F.get("chunks", F.lit(0))["heading_trail"]
+    lines = [F.array_min(F.transform("chunks", lambda c: c["start_line"])), F.array_max(F.transform("chunks", lambda c: c["end_line"]))]
+    solid = F.regexp_replace(F.concat_ws("", F.transform("chunks", lambda c: c["body"])), r"[ \t\r\n]", "")
+    return parsed.select("path", trail.alias("heading_trail"), X.breadcrumb(trail).alias("breadcrumb"), *[x.cast("long").alias(n) for x, n in zip(lines, ("start_line", "end_line"), strict=True)], solid.alias("solid"))
 
 
 @query()
 def turn_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All turns as such notes, cut into chunks however long they are: SQL has no chunker. What is null counts as empty; a turn without text is one chunk without a body."""
-    turns = table(spark, sf_dir, "conversations")
-    conv, turn, role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("conv_id", "turn", "role", "text"))
-    path = F.concat(F.lit("conv-"), conv, F.lit("-"), turn, F.lit(".md"))
-    files = note_files(turns, path, F.concat(F.lit("# Conversation "), conv, F.lit("\n## "), role, F.lit("\n"), F.btrim(text, F.lit(" \t\n\r")), F.lit("\n")))
-    rows = notes.chunk_rows(notes.parse(files))
+    """All turns cut into chunks however long they are: SQL has no chunker."""
+    rows = notes.chunk_rows(notes.parse(turn_files(spark, sf_dir)))
     return rows.select("path", F.col("chunk_seq").cast("long").alias("chunk_seq"), "heading_trail", X.breadcrumb(F.col("heading_trail")).alias("breadcrumb"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "body")
 
 
@@ -310,6 +289,15 @@ def inline_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("path", "tags", "name")
 
 
+def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer as a note with a title, aliases and tags."""
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    text = F.concat(
+        F.lit('---\ntitle: "'), "c_name", F.lit('"\naliases: ['), "c_mktsegment", F.lit(', "'), "n_name", F.lit(', nation"]\nbalance:\n  - '), F.col("c_acctbal").cast("string"), F.lit("\ntags:\n  - "), "n_name", F.lit("\n---\n# Customer\ntext\n")
+    )
+    return note_files(rows, F.concat(F.lit("customers/"), "c_custkey", F.lit(".md")), text)
+
+
 @query(
     """
 SELECT 'customers/' || c_custkey || '.md' AS path, c_custkey::VARCHAR AS name, 'customers' AS parent_folder, c_name AS title, [c_mktsegment, n_name || ', nation'] AS aliases, [n_name] AS tags, 'Customer' AS h1
@@ -317,12 +305,25 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey
 """
 )
 def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
-    text = F.concat(
-        F.lit('---\ntitle: "'), "c_name", F.lit('"\naliases: ['), "c_mktsegment", F.lit(', "'), "n_name", F.lit(', nation"]\nbalance:\n  - '), F.col("c_acctbal").cast("string"), F.lit("\ntags:\n  - "), "n_name", F.lit("\n---\n# Customer\ntext\n")
-    )
-    parsed = notes.parse(note_files(rows, F.concat(F.lit("customers/"), "c_custkey", F.lit(".md")), text))
-    return parsed.select("path", "name", "parent_folder", "title", "aliases", "tags", "h1")
+    return notes.parse(customer_files(spark, sf_dir)).select("path", "name", "parent_folder", "title", "aliases", "tags", "h1")
+
+
+def _customer_terms() -> str:
+    name = lambda column, times: ", ".join([TOKENS.format(column)] * times)
+    fields = (("'text'", 1), ("'customers'", 1), ("'Customer'", 2), ("c_custkey::VARCHAR", 3), ("c_name", 3), ("'Customer'", 3), ("c_mktsegment || ' ' || n_name || ', nation'", 3), ("n_name", 3))
+    return f"""
+WITH words AS (SELECT 'customers/' || c_custkey || '.md' AS path, list_concat({', '.join(name(c, n) for c, n in fields)}) AS w FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT path, 0::BIGINT AS chunk_seq, dl, term, count(*) AS tf FROM (SELECT path, len(w) AS dl, unnest(w) AS term FROM words) GROUP BY path, dl, term
+"""
+
+
+@query(_customer_terms())
+def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same notes as an index in the shared folder, written, checked and read back: its postings."""
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    index.write(spark, customer_files(spark, sf_dir), folder, embed.HashEmbedder())
+    return index.open_index(spark, folder).sparse.postings.select("path", F.col("chunk_seq").cast("long").alias("chunk_seq"), "dl", "term", "tf")
+
 
 
 @query(
@@ -369,4 +370,4 @@ def file_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two listings of files: some were added, some removed, some have another size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("path"), F.col("n_chars").alias("size"), F.lit(1).cast("long").alias("mtime_ns"))
     after = docs.where("doc_id % 10 <> 7").withColumn("size", F.col("size") + F.when(F.col("doc_id") % 10 == 5, 1).otherwise(0))
-    return changes(docs.where("doc_id % 10 <> 3"), after)
+    return index.changes(docs.where("doc_id % 10 <> 3"), after)

@@ -77,12 +77,18 @@ def write(spark: SparkSession, files: DataFrame, folder: str, embedder: embed.Em
 
 
 def open_index(spark: SparkSession, folder: str) -> Index:
-    """Raises if a table is missing or the counts disagree."""
+    """Raises if a table is missing or the tables disagree: one scan of a few columns each tells counts, sums and hashes of keys."""
     uri = f"file://{folder}" if folder.startswith("/") else folder
     get = lambda name: spark.read.parquet(f"{uri}/{name}")
     found = {name: get(name) for name in TABLES}
+    keys = [F.count("*"), F.bit_xor(F.xxhash64(*KEY))]
+    told = {name: found[name].agg(*keys, *more).first() for name, more in (("chunks", ()), ("vectors", ()), ("doc_len", (F.sum("dl"),)), ("postings", (F.sum("tf"),)))}
+    terms = found["terms"].agg(F.sum("df")).first()
     stats = found["stats"].first()
-    if not stats or stats["doc_count"] != found["chunks"].count():
+    whole = (tuple(told["chunks"]), tuple(told["chunks"]), told["doc_len"][2] or 0, told["postings"][0], told["chunks"][0])
+    if not stats or whole != (tuple(told["vectors"]), tuple(told["doc_len"])[:2], told["postings"][2] or 0, terms[0] or 0, stats["doc_count"]):
+        raise ValueError("index is damaged")
+    if found["chunks"].join(found["notes"], "path", "left_anti").limit(1).count():
         raise ValueError("index is damaged")
     sparse = bm25.Postings(KEY, found["postings"], found["doc_len"], found["terms"], found["stats"])
     return Index(found["notes"], found["chunks"], found["vectors"], sparse, stats["doc_count"])

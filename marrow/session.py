@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 from pathlib import Path
@@ -24,3 +25,15 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/marrow", "zip", f"{folder}/tree"))
     shutil.rmtree(f"{folder}/tree")
     _sent.add(key)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. One of its own where that is unset, which only a session on one machine may have."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='marrow-')}")
+        found = sc.getCheckpointDir()
+    return found.rstrip("/")

@@ -143,6 +143,6 @@ def test_random_notes_lose_nothing():
 def test_tables_of_notes(spark):
     files = spark.createDataFrame([("b.md", b"---\nx\n---\n"), ("a.md", b"---\n- y\n---\n"), ("c.md", b"# T\ntext"), ("d.md", None)], "path string, content binary")
     parsed = parse(files)
-    assert first_error(parsed) == "unsupported frontmatter in a.md:2: orphaned list item (expected under aliases/tags)"
+    assert first_error(parsed) == "unsupported frontmatter in a.md:2: a list item that belongs to no key"
     rows = {(r["path"], r["body"]) for r in chunk_rows(parsed.where("error IS NULL")).collect()}
     assert rows == {("c.md", "text"), ("d.md", "")}

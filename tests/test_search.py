@@ -43,6 +43,27 @@ def test_bm25_against_the_formula(spark):
     assert got == [w for w in want if w[0] < 0][:20]
 
 
+def test_texts_without_an_index_give_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(80, None), (81, "")]
+    asked = ask(spark, "a b b", "zz", None, "h", "")
+    want = sorted(map(tuple, bm25.search(index(spark, docs), asked, 20).collect()))
+    df = spark.createDataFrame(docs, "k int, text string")
+    assert want
+    for most in (bm25.MAX_BROADCAST_TERMS, 0):
+        monkeypatch.setattr(bm25, "MAX_BROADCAST_TERMS", most)
+        assert sorted(map(tuple, bm25.search_texts(df, ("k",), F.col("text"), asked, 20).collect())) == want
+    assert bm25.search_texts(df.limit(0), ("k",), F.col("text"), asked, 20).count() == 0
+
+
+def test_texts_are_scanned_and_exchanged_once(spark):
+    df = spark.range(50).selectExpr("id AS k", "concat('a b ', id) AS text")
+    found = bm25.search_texts(df, ("k",), F.col("text"), ask(spark, "a 7"), 5)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 2
+
+
 def test_idf_of_one_in_two(spark):
     assert spark.range(1).select(bm25.idf(F.lit(2), F.lit(1))).first()[0] == pytest.approx(math.log(2))
 

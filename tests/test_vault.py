@@ -1,12 +1,13 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 
 from marrow import cli
-from marrow.operators.embed import HashEmbedder
-from marrow.plans.index import VaultError, cache_key, load_or_build, read_manifest
+from marrow.operators.embed import HashEmbedder, StaticEmbedder
+from marrow.plans.index import VaultError, cache_key, load_or_build, open_index, read_manifest
 from marrow.plans.search import search, with_snippets
 from marrow.sources import vault
 from marrow.sources.sinks import json_string, result_json, result_text
@@ -74,6 +75,58 @@ def test_index_lifecycle_and_search(spark, folder, tmp_path):
     assert load_or_build(spark, str(folder), e, base)[1].kind == "hit"
 
 
+def test_tables_that_disagree_are_damage(spark, folder, tmp_path):
+    """Each table in turn loses its rows, or has one of them twice."""
+    e, base = HashEmbedder(), str(tmp_path / "cache")
+    load_or_build(spark, str(folder), e, base)
+    cache = os.path.join(base, "marrow", cache_key(os.path.realpath(folder)))
+    for name in ("notes", "chunks", "vectors", "postings", "doc_len", "terms", "stats"):
+        for change in (lambda df: df.limit(0), lambda df: df.limit(1).union(df)):
+            path = f"file://{cache}/{read_manifest(f'{cache}/manifest.json')['version']}"
+            if name in ("notes", "stats") and change(spark.range(1)).count() == 2:
+                continue  # a note twice has no effect on counts of chunks, nor has a second row of stats
+            spark.createDataFrame(change(spark.read.parquet(f"{path}/{name}")).collect(), spark.read.parquet(f"{path}/{name}").schema).write.mode("overwrite").parquet(f"{path}/{name}")
+            with pytest.raises(ValueError, match="damaged"):
+                open_index(spark, path)
+            assert load_or_build(spark, str(folder), e, base)[1].kind == "rebuild"
+
+
+def test_a_model_folder_gives_its_vectors(spark, folder, tmp_path, capsys):
+    """A small matrix and tokenizer as such models have them: the mean of the tokens' rows, each times its scale, of length one."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    model = tmp_path / "model"
+    model.mkdir()
+    words = ["[UNK]", "soil", "tomatoes", "herbs"]
+    t = Tokenizer(models.WordLevel({w: i for i, w in enumerate(words)}, unk_token="[UNK]"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    t.save(str(model / "tokenizer.json"))
+    matrix, scale = np.array([[0, 0, 1], [2, 0, 0], [0, 4, 0], [0, 4, 1]], np.int8), np.array([1, 0.5, 0.25, 1], np.float32)
+    head = json.dumps({"embeddings": {"dtype": "I8", "shape": [4, 3], "data_offsets": [0, 12]}, "scales": {"dtype": "F32", "shape": [4], "data_offsets": [12, 28]}}).encode()
+    (model / "model.safetensors").write_bytes(len(head).to_bytes(8, "little") + head + matrix.tobytes() + scale.tobytes())
+    e = StaticEmbedder(str(model))
+    got = e.embed(["soil tomatoes", "", "herbs"])
+    assert np.allclose(got, [[2**-0.5, 2**-0.5, 0], [0, 0, 0], [0, 4 / 17**0.5, 1 / 17**0.5]], atol=1e-6)
+    index, _ = load_or_build(spark, str(folder), e, str(tmp_path / "cache"))
+    assert index.vectors.selectExpr("max(size(embedding))").first()[0] == 3
+    assert load_or_build(spark, str(folder), HashEmbedder(), str(tmp_path / "cache"))[1].kind == "rebuild"
+    os.environ["XDG_CACHE_HOME"] = str(tmp_path / "home")
+    try:
+        assert cli.main(["ask", "--vault", str(folder), "tomatoes", "--model", str(model), "--json"]) == 0
+    finally:
+        del os.environ["XDG_CACHE_HOME"]
+    assert json.loads(capsys.readouterr().out)["results"][0]["path"] in ("Projects/Garden.md", "_x.md")
+
+
+def test_every_chunk_of_the_garden(spark, folder, tmp_path):
+    index, _ = load_or_build(spark, str(folder), HashEmbedder(), str(tmp_path / "cache"))
+    got = [(r["chunk_seq"], r["heading_trail"], r["start_line"], r["end_line"], r["body"]) for r in index.chunks.where("path = 'Projects/Garden.md'").orderBy("chunk_seq").collect()]
+    assert got == [
+        (0, ["Community Garden"], 10, 10, "Tomatoes and herbs grow here every summer."),
+        (1, ["Community Garden", "Soil prep"], 14, 14, "Turn the soil in spring for #gardening beds."),
+    ]
+
+
 def test_cache_keys_differ():
     assert cache_key("/a") == cache_key("/a") != cache_key("/b")
     assert len(cache_key("/a")) == 64
