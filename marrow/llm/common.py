@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marrow.operators.batches import slices
+from marrow.session import shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["fold", "settled", "shared_dir", "slices", "table", "texts", "tree_sum"]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='marrow-')}"
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -41,20 +33,6 @@ def fold(key: str, of: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(of))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, chars: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a slice has about so many bytes of the text column at most (one row at least)."""
-    for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
-        start = total = 0
-        for i, n in enumerate(sizes):
-            if total and total + n > chars:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += n
-        if batch.num_rows > start:
-            yield batch.slice(start)
-
-
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 

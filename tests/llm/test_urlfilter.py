@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,12 +43,32 @@ def test_cascade_is_exact_on_its_universe(spark, inside, outside):
     assert len(levels) > 1 or inside < 2 or outside < 100
 
 
-def test_a_list_too_long_is_joined(spark):
+def test_a_long_list_is_dealt_to_several_cascades(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "FILTERS", 2)
     pages = spark.createDataFrame([(i, f"http://h{i % 50}.x/") for i in range(200)] + [(999, None)], "page_id int, url string")
     listed = settled(spark.createDataFrame([(f"h{i}.x",) for i in range(0, 50, 3)] + [(None,), ("elsewhere",)], "key string"), "listed")
-    by_bits, by_join = (sorted(urlfilter.judge(pages, listed, max_bits=m).collect()) for m in (urlfilter.MAX_BITS, 0))
-    assert by_bits == by_join
-    assert sum(r["verdict"] == "block" for r in by_bits) == 17 * 4
+    one, several = (urlfilter.judge(pages, listed, max_bits=m) for m in (urlfilter.MAX_BITS, 0))
+    assert "Join" not in several._jdf.queryExecution().toString()
+    assert sorted(one.collect()) == sorted(several.collect())
+    assert one.where("verdict = 'block'").count() == 17 * 4
+
+
+def test_plan_has_no_bits(spark):
+    """The plan has no list of numbers; hosts of many labels and those under listed domains are told exactly."""
+    hosts = [f"{'w.' * (i % 4)}n{i}.com" for i in range(3000)]
+    pages = spark.createDataFrame([(i, f"https://{h}/") for i, h in enumerate(hosts)], "page_id int, url string")
+    listed = spark.createDataFrame([(f"n{i}.com",) for i in range(0, 3000, 2)] + [(f"w.n{i}.com",) for i in range(1, 3000, 6)], "key string")
+    got = urlfilter.judge(pages, listed)
+    assert not re.search(r"(-?[0-9]+, ?){30}", got._jdf.queryExecution().toString())
+    want = {i for i, h in enumerate(hosts) if i % 2 == 0 or (i % 6 == 1 and i % 4 > 0)}
+    assert {r["page_id"] for r in got.where("verdict = 'block'").collect()} == want
+
+
+def test_repeats_clashes_and_long_urls(spark):
+    long = "http://" + "a." * 20000 + "spam-farm.example.com/" + "x" * 100_000
+    rows = [(1, long, "x", True), (1, long, "x", True), (2, "http://" + "b" * 300_000, "y", False)]
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id int, url string, host string, blocked boolean")).collect()
+    assert sorted((r["page_id"], r["verdict"]) for r in got) == [(1, "block"), (1, "block"), (2, "allow")]
 
 
 def test_query(spark, check_sql):
