@@ -5,12 +5,15 @@ cuts. x says which words (runs of letters, digits and non-ASCII characters, A-Z
 which starts of longer words, a text has. Words are told apart by 64-bit numbers, not buckets, so that a long text does not collect other
 words' weights. The answer is the expected grade, the most probable grade and its probability.
 
-Fitted on the driver on at most `MAX_ROWS` labelled rows, those whose ids have the smallest hashes; the
-vocabulary has the at most `MAX_WORDS` words that most of these rows have, in `MIN_ROWS` rows at least.
-Both bound what is gathered and broadcast. Every row is then scored on its whole text, without a shuffle.
+Fitted on the driver on a sample of the labelled rows: in the order of a hash of their ids as many as `MAX_ROWS` and
+`MAX_BYTES` of text allow, one row an id. Both bound what is gathered and broadcast; the features that `MIN_ROWS` of these rows
+have are counted in Spark, and the driver gets those alone. Every row is then scored on its whole text, without a shuffle.
 
 Nulls: a null text has no words and gets the cuts' own grade; labels without id or grade are left
-out; of several grades of one id the highest counts. Without labels severity and grade are null.
+out; of several grades of one id the highest counts. Without labels severity and grade are null. Repeated rows are
+scored alike; of rows with one id the one whose features come first as bytes is fitted, whatever way they are dealt. Ties:
+of equally probable grades the lowest. Empty tables: no rows. Texts of any length are read whole; one that alone
+has more than `MAX_BYTES` is not fitted. Of documents only id and text are read, so further columns may have any names.
 """
 
 from __future__ import annotations
@@ -19,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marrow.llm import words
-from marrow.llm.common import slices
+from marrow.llm.common import settled, slices
 
-MAX_ROWS, MAX_WORDS, MIN_ROWS = 20_000, 131_072, 4
+MAX_ROWS, MAX_BYTES, MIN_ROWS = 20_000, 64_000_000, 4
 ROUNDS, RATE = 200, 0.05
+#: Bytes of a longer word's start, and those that end its last character.
 PREFIX = 5
 #: Weight of the absolute penalty, times one over the root of the number of rows, and of the square one.
 SPARSE, SMALL = 0.2, 3e-5
@@ -35,7 +39,7 @@ SLICE_BYTES = 4_000_000
 
 
 def features(column: pa.Array) -> list[np.ndarray]:
-    """The distinct words of each row as numbers, and those of longer words' first `PREFIX` bytes."""
+    """The distinct words of each row as numbers, and those of longer words' starts: `PREFIX` bytes, to the end of a character."""
     data, rows = words.raw(column)
     number, first, end, row = words.numbers(data, rows, blank=words.NO_LETTER)
     if not len(number):
@@ -45,8 +49,14 @@ def features(column: pa.Array) -> list[np.ndarray]:
         part = words.byte_numbers(True)
         for k in range(PREFIX):
             start = start * words.BASE + part[data[np.minimum(first + k, len(data) - 1)]]
+        stop, inside = first + PREFIX, np.ones(len(first), bool)
+        for k in range(PREFIX, PREFIX + 3):
+            byte = data[np.minimum(first + k, len(data) - 1)]
+            inside &= (first + k < end) & (byte & 0xC0 == 0x80)
+            start = np.where(inside, start * words.BASE + part[byte], start)
+            stop += inside
         start = words.mixed(start + np.uint64(1))
-    long = end - first > PREFIX
+    long = end > stop
     return [np.unique(np.concatenate([number[a:b], start[a:b][long[a:b]]])) for a, b in zip(row[:-1].tolist(), row[1:].tolist(), strict=True)]
 
 
@@ -109,15 +119,12 @@ def descend(p: np.ndarray, k: int, flat: np.ndarray, row: np.ndarray, y: np.ndar
     return p
 
 
-def fit(rows: list[np.ndarray], labels: list[int], max_words: int = MAX_WORDS, min_rows: int = MIN_ROWS, rounds: int = ROUNDS) -> Model:
+def fit(rows: list[np.ndarray], labels: list[int], min_rows: int = MIN_ROWS, rounds: int = ROUNDS) -> Model:
     """First with an absolute penalty, which picks words; then those alone, with a small square one."""
     grades = sorted(set(labels))
     y = np.searchsorted(grades, labels)
     word, n = np.unique(np.concatenate(rows), return_counts=True)
-    enough = n >= min_rows
-    word, n = word[enough], n[enough]
-    if len(word) > max_words:
-        word = np.sort(word[np.lexsort((word, -n))[:max_words]])
+    word = word[n >= min_rows]
     share = np.cumsum(np.bincount(y, minlength=len(grades)))[:-1] / len(y)
     start = np.log(share / (1 - share))
     weight, rest = np.zeros(len(word)), np.r_[start[:1], np.log(np.maximum(np.diff(start), 1e-3))]
@@ -130,22 +137,44 @@ def fit(rows: list[np.ndarray], labels: list[int], max_words: int = MAX_WORDS, m
     return Model(word, weight, cuts_of(rest) if len(grades) > 1 else np.zeros(0), [int(x) for x in grades])
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model | None:
-    """The model of the labelled rows of docs, or None without any."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_col: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """(id, grade, words) of the labelled rows to fit on, one an id: the same ones however the rows are dealt."""
     grades = labels.select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade")).where("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.max("grade").alias("grade"))
-    # max_rows ids and grades at most: safe to broadcast
-    some = F.broadcast(grades.orderBy(F.xxhash64("id"), "id").limit(max_rows))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    # max_rows ids and grades at most: safe to broadcast, and to add up in one task
+    some = settled(grades.join(text.select("id"), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_rows), "graded")
+    sizes = text.join(F.broadcast(some), "id").groupBy("id", "grade").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes"))
+    total = F.sum("bytes").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    some = settled(sizes.where(F.col("bytes") <= max_bytes).withColumn("total", total).where(F.col("total") <= max_bytes).select("id", "grade"), "graded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE_BYTES):
             found = pa.array([f.tobytes() for f in features(batch.column("text"))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("grade"), found], names=["id", "grade", "words"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(some, "id").select(F.col("id").cast("string").alias("id"), "grade", "text")
-    # repeated rows could make it more again
-    rows = chosen.mapInArrow(run, "id string, grade int, words binary").limit(max_rows).collect()
-    rows.sort(key=lambda r: (r["id"], r["words"]))
-    return fit([np.frombuffer(r["words"], np.uint64) for r in rows], [r["grade"] for r in rows]) if rows else None
+    chosen = text.join(F.broadcast(some), "id").select(F.col("id").cast("string").alias("id"), "grade", "text")
+    return settled(chosen.mapInArrow(run, "id string, grade int, words binary").groupBy("id", "grade").agg(F.min("words").alias("words")), "graded-words")
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, min_rows: int = MIN_ROWS) -> Model | None:
+    """The model of the labelled rows of docs, or None without any."""
+    rows = sample(docs, labels, id_col, text_col, grade_col, max_rows, max_bytes)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "words", SLICE_BYTES):
+            word, n = np.unique(np.frombuffer(b"".join(batch.column("words").to_pylist()), np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+
+    counts = rows.select("words").mapInArrow(counted, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    # at most max_bytes / min_rows features
+    often = np.array([r["word"] for r in counts.where(F.col("n") >= min_rows).select("word").toLocalIterator()], np.int64).view(np.uint64)
+    often.sort()
+    held = []
+    for r in rows.toLocalIterator():
+        mine = np.frombuffer(r["words"], np.uint64)
+        held.append((r["id"], r["grade"], mine[np.isin(mine, often, assume_unique=True)]))
+    held.sort(key=lambda h: h[0])
+    return fit([h[2] for h in held], [h[1] for h in held], min_rows) if held else None
 
 
 def rate(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

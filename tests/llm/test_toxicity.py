@@ -74,3 +74,57 @@ def test_query(spark, tables):
     bad = [d["doc_id"] for d in docs if "idiot" in (d["text"] or "")]
     assert sum(got[i]["toxic"] for i in bad) >= 0.7 * len(bad)  # from forty labels
     assert sum(got[d["doc_id"]]["toxic"] for d in docs if d["doc_id"] not in set(bad)) <= 2
+
+
+def model_of(m):
+    return (m.word.tolist(), m.weight.tolist(), m.cuts.tolist(), m.grades)
+
+
+def test_repeated_rows_do_not_move_the_model(spark):
+    """Rows that repeat, however they are dealt, give the model of one row an id."""
+    once = [(i, t, g) for i, (t, g) in enumerate(graded(60, 5))]
+    labels = spark.createDataFrame([(i, g) for i, _, g in once], "doc_id bigint, toxic int")
+    want = None
+    for rows, parts in ((once, 1), (once * 20, 3), (once[::-1] * 7 + [(3, "another text of the same id", 0)] * 5, 4)):
+        docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").repartition(parts)
+        got = toxicity.learn(docs.where("text NOT LIKE 'another%'"), labels, max_rows=40)
+        want = want or model_of(got)
+        assert model_of(got) == want
+    both = [model_of(toxicity.learn(docs.repartition(p), labels, max_rows=40)) for p in (1, 5)]
+    assert both[0] == both[1]
+
+
+def test_the_sample_is_bounded_by_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * (5 + i)) for i in range(50)] + [(99, "long " * 10_000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id bigint, toxic int")
+    size = lambda **k: toxicity.sample(docs, labels, "doc_id", "text", "toxic", **k).collect()
+    assert len(size(max_rows=20, max_bytes=10**6)) == 20
+    few = size(max_rows=1000, max_bytes=2000)
+    assert 0 < len(few) < 51
+    assert sum(5 * (5 + int(r["id"])) for r in few) <= 2000
+
+
+def test_starts_end_with_a_character():
+    two = toxicity.features(pa.array(["abcdébc abcdéde", "abcdèbc"]))
+    assert len(two[0]) == 3  # two words, one start of five characters
+    assert not set(two[0]) & set(two[1])  # é and è share their first byte
+
+
+def test_query_against_a_plain_version(spark, tables):
+    """The query's grades are those of fitting and summing word by word, without arrays of rows."""
+    path, docs = tables
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{path}/labels.parquet").collect()}
+    feats = {d["doc_id"]: toxicity.features(pa.array([d["text"]], pa.string()))[0].tolist() for d in docs}
+    seen = sorted((str(i), i) for i in labels if i in feats)
+    times = {}
+    for _, i in seen:
+        for w in feats[i]:
+            times[w] = times.get(w, 0) + 1
+    kept = lambda i: np.array([w for w in feats[i] if times.get(w, 0) >= toxicity.MIN_ROWS], np.uint64)
+    model = toxicity.fit([kept(i) for _, i in seen], [labels[i] for _, i in seen])
+    weight = dict(zip(model.word.tolist(), model.weight.tolist(), strict=True))
+    for r in QUERIES["op5_toxicity"](spark, path).collect():
+        score = sum(weight.get(w, 0.0) for w in feats[r["doc_id"]])
+        low = 1 / (1 + np.exp(score - model.cuts[0]))
+        assert abs(r["severity"] - (1 - low)) < 1e-6
+        assert r["grade"] == int(low < 0.5) or abs(low - 0.5) < 1e-6
