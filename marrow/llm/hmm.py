@@ -7,13 +7,17 @@ never had. The score of a text is the log10 of its probability, summed over all
 
 Counting words is a sum by key over all training texts. The most frequent `HEAD` words at most, a bounded
 table, are broadcast with their counts; occurrences of others meet their counts in a shuffle join.
-Training cuts texts into runs of `RUN` tokens, so that many advance side by side; the first states come
-from a random projection of each text's symbols, then come `ROUNDS` rounds of Baum-Welch. Each task sends
+The first states come from a random projection of each text's symbols, then come `ROUNDS` rounds of
+Baum-Welch over whole texts. So that many advance side by side, long ones are taken in runs of `RUN` tokens: the product
+of a run's matrices carries the forward and the backward distribution over it, so that every run starts and ends
+with what the text before and after it says, and the counts are those of the uncut text. Each task sends
 one row of expected counts, of fixed size, and rows are added up sixteen at a time. Scoring takes whole
 texts, however long.
 
 Nulls: a null text is empty and has one token, its end. Repeated rows are scored alike, and counted
-again in training. With no training text every known count is 0 and the model is uniform.
+again in training. Ties: of equally frequent words the smaller number comes first. With no training text every known
+count is 0 and the model is uniform. Empty tables: no rows. Columns to keep are handled by place, so they may have any
+names but those of the answers.
 """
 
 from __future__ import annotations
@@ -30,10 +34,10 @@ from pyspark.sql import types as T
 from marrow.llm import words
 from marrow.llm.common import settled, slices, tree_sum
 
-STATES, ROUNDS, RUN = 8, 3, 256
+STATES, ROUNDS, RUN = 8, 3, 1024
 OWN, SHAPES, HEAD = 16_384, 1_024, 262_144
 SLICE_BYTES, SCORED_BYTES = 2_000_000, 12_000_000
-RUN_TOKENS = 200_000
+RUN_TOKENS = 400_000
 #: Words that a counting task holds before it sends them on.
 HELD = 1_000_000
 PRIOR = 50.0
@@ -170,12 +174,16 @@ def forward(model: Model, symbol: np.ndarray, start: np.ndarray) -> np.ndarray:
     return back
 
 
-def expected(model: Model, symbol: np.ndarray, start: np.ndarray, first: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions over runs of symbols; first: which runs begin a text."""
+def expected(model: Model, symbol: np.ndarray, start: np.ndarray, first: np.ndarray, symbols: int, begin: np.ndarray | None = None, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions over runs of symbols; first: which runs begin a text.
+
+    begin: the states' distribution before each run's first symbol, tail: what follows each run says of its last state (one if nothing does).
+    """
     k = len(model.start)
     order, active = lanes(np.diff(start))
     at = start[:-1][order]
-    begin = np.where(first[order][:, None], model.start, 1 / k)
+    begin = np.tile(model.start, (len(at), 1)) if begin is None else begin[order]
+    tail = np.ones((len(at), k)) if tail is None else tail[order]
     steps = []
     a = begin
     for t, n in enumerate(active.tolist()):
@@ -189,7 +197,8 @@ def expected(model: Model, symbol: np.ndarray, start: np.ndarray, first: np.ndar
     back = np.ones((0, k))
     for t in range(len(steps) - 1, -1, -1):
         here, seen, a = steps[t]
-        b = np.ones_like(a)
+        b = tail[: len(a)].copy()
+        b[len(back) :] /= (a[len(back) :] * b[len(back) :]).sum(axis=1, keepdims=True)
         if len(back):
             b[: len(back)] = back @ model.move.T
             moves += a[: len(back)].T @ back
@@ -201,6 +210,58 @@ def expected(model: Model, symbol: np.ndarray, start: np.ndarray, first: np.ndar
     return starts, moves * model.move, emissions
 
 
+def products(model: Model, symbol: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run the matrix from the states before its first symbol to those after its last, up to a factor."""
+    order, active = lanes(size)
+    at, k = begin[order], len(model.start)
+    out = np.empty((len(at), k, k))
+    a = np.tile(np.eye(k), (len(at), 1, 1))
+    for t, n in enumerate(active.tolist()):
+        out[n : len(a)] = a[n:]
+        a = a[:n] if t == 0 else (a[:n].reshape(-1, k) @ model.move).reshape(-1, k, k)
+        a = a * model.emit[symbol[at[:n] + t]][:, None, :]
+        a /= a.sum(axis=(1, 2), keepdims=True)
+    out[: len(a)] = a
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def whole_counts(model: Model, symbol: np.ndarray, row: np.ndarray, symbols: int, run: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions over whole texts, long ones in runs that are chained exactly."""
+    run = run or RUN
+    runs = -(-np.diff(row) // run)
+    text = np.repeat(np.arange(len(runs)), runs)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
+    at = row[:-1][text] + place * run
+    stop = np.minimum(at + run, row[1:][text])
+    k = len(model.start)
+    begin, tail = np.tile(model.start, (len(text), 1)), np.ones((len(text), k))
+    crossing = np.zeros((k, k))
+    long = np.flatnonzero(runs[text] > 1)
+    if len(long):
+        matrix = np.zeros((len(text), k, k))
+        matrix[long] = products(model, symbol, at[long], (stop - at)[long])
+        by_place = long[np.argsort(place[long], kind="stable")]
+        steps = np.split(by_place, np.flatnonzero(np.diff(place[by_place])) + 1)
+        after, before = np.zeros((len(text), k)), np.zeros((len(text), k))
+        for here in steps:  # runs of one text stand side by side
+            later = here[place[here] > 0]
+            begin[later] = after[later - 1] @ model.move
+            found = np.einsum("ni,nij->nj", begin[here], matrix[here])
+            after[here] = found / found.sum(axis=1, keepdims=True)
+        for here in reversed(steps):
+            more = here[place[here] + 1 < runs[text[here]]]
+            tail[more] = before[more + 1] @ model.move.T
+            found = np.einsum("nij,nj->ni", matrix[here], tail[here])
+            before[here] = found / found.sum(axis=1, keepdims=True)
+        ends = long[place[long] + 1 < runs[text[long]]]
+        both = after[ends][:, :, None] * model.move * before[ends + 1][:, None, :]
+        crossing = (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    starts, moves, emissions = expected(model, symbol, np.r_[at, len(symbol)], place == 0, symbols, begin, tail)
+    return starts, moves + crossing, emissions
+
+
 def first_guess(symbol: np.ndarray, start: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts if each text had one state: the largest of random weights, summed over the symbols of the text."""
     weight = np.random.default_rng(11).standard_normal((symbols, STATES))
@@ -238,9 +299,7 @@ def train(texts: DataFrame, lexicon: Lexicon) -> Model:
                     if known.value is None:
                         found = first_guess(flat, row, symbols)
                     else:
-                        runs = -(-size // RUN)
-                        begins = np.repeat(row[:-1], runs) + (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)) * RUN
-                        found = expected(known.value, flat, np.r_[begins, len(flat)], np.isin(begins, row[:-1]), symbols)
+                        found = whole_counts(known.value, flat, row, symbols)
                     total += np.concatenate([x.ravel() for x in found])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["x"])
 
@@ -253,13 +312,13 @@ def train(texts: DataFrame, lexicon: Lexicon) -> Model:
 
 def score(docs: DataFrame, training: str = "NOT held_out", id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """id_col, the columns to keep, n_tokens, n_known, train_tokens, base_score, score; learns from the rows that `training` picks."""
-    text = docs.withColumn("text", F.col(text_col).cast("string"))
-    learn = text.where(training).select("text")
+    learn = docs.where(training).select(F.col(f"`{text_col}`").cast("string").alias("text"))
     counts = settled(count(learn), "lm-words")
     lexicon = Lexicon(counts)
     model = train(learn, lexicon)
     sent = docs.sparkSession.sparkContext.broadcast((lexicon, model))
     own = [id_col, *keep]
+    names = [f"c{i}" for i in range(len(own))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, model = sent.value
@@ -275,21 +334,23 @@ def score(docs: DataFrame, training: str = "NOT held_out", id_col: str = "doc_id
             known = np.add.reduceat((n > 0).astype(np.int64), row[:-1])
             rest = np.flatnonzero(~head)
             tail = pa.ListArray.from_arrays(pa.array(np.searchsorted(rest, row).astype(np.int32)), pa.array(number[rest]))
-            kept = [batch.column(f"c{i}") for i in range(len(own))]
+            kept = [batch.column(c) for c in names]
             ids = pa.array(row_id + np.arange(batch.num_rows))
             row_id += batch.num_rows
-            yield pa.RecordBatch.from_arrays([*kept, ids, pa.array(np.diff(row)), pa.array(known), pa.array(base), pa.array(whole), tail], names=[*own, "row_id", "n", "known", "base", "whole", "tail"])
+            yield pa.RecordBatch.from_arrays([*kept, ids, pa.array(np.diff(row)), pa.array(known), pa.array(base), pa.array(whole), tail], names=[*names, "row_id", "n", "known", "base", "whole", "tail"])
 
     fields = [T.StructField(c, k) for c, k in (("row_id", T.LongType()), ("n", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("whole", T.DoubleType()), ("tail", T.ArrayType(T.LongType())))]
-    cols = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)]
-    scored = settled(text.select(*cols, "text").mapInArrow(run, T.StructType([*(docs.schema[c] for c in own), *fields])), "lm-scores")
+    kinds = [T.StructField(c, docs.schema[o].dataType) for c, o in zip(names, own, strict=True)]
+    cols = [F.col(f"`{o}`").alias(c) for c, o in zip(names, own, strict=True)]
+    text = docs.select(*cols, F.col(f"`{text_col}`").cast("string").alias("text"))
+    scored = settled(text.mapInArrow(run, T.StructType([*kinds, *fields])), "lm-scores")
     rare = scored.select("row_id", F.explode("tail").alias("word")).join(counts.select("word", F.col("n").alias("c")), "word")
     rare = rare.groupBy("row_id").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("logs"))
     whole = scored.drop("tail").join(rare, "row_id", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     each = float(np.log10(lexicon.tokens + lexicon.kinds + 1))
     return whole.select(
-        *own,
+        *[F.col(c).alias(o) for c, o in zip(names, own, strict=True)],
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(lexicon.tokens)).cast("long").alias("train_tokens"),

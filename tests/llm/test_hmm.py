@@ -53,6 +53,59 @@ def test_expected_counts_are_those_of_all_paths():
     assert np.allclose(emissions, e)
 
 
+def test_runs_are_chained():
+    """Whatever the length of a run, the counts are those of uncut texts."""
+    model, rng = toy(4, 6, 2), np.random.default_rng(9)
+    row = np.r_[0, np.cumsum([1, 7, 2, 30, 5, 64, 3])]
+    symbol = rng.integers(0, 6, row[-1])
+    want = hmm.expected(model, symbol, row, np.ones(7, bool), 6)
+    for run in (1, 2, 3, 5, 8, 29, 64, 1000):
+        got = hmm.whole_counts(model, symbol, row, 6, run)
+        assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True)), run
+
+
+def plain_score(model, lexicon, counts, words):
+    """The log10 probability of a text, one token and one state after another; words (number, shape)."""
+    a, logs = None, 0.0
+    within = {}
+    for number, shape in words:
+        symbol, _, _ = (x[0] for x in lexicon.look(np.array([number]), np.array([shape])))
+        now = [0.0] * len(model.start)
+        for j in range(len(now)):
+            came = model.start[j] if a is None else sum(a[i] * model.move[i, j] for i in range(len(now)))
+            now[j] = came * model.emit[symbol, j]
+        total = sum(now)
+        logs += math.log10(total)
+        a = [x / total for x in now]
+        if symbol < hmm.SHAPES:
+            n = counts.get(number, 0)
+            within[symbol] = within.get(symbol) or 10 ** lexicon.within[symbol]
+            logs += math.log10((n + 1) / within[symbol])
+    return logs
+
+
+def test_scores_against_a_plain_version(spark, tables):
+    path, docs = tables
+    df = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text").withColumn("held_out", F.col("doc_id") % 5 == 0)
+    learn = df.where("NOT held_out").select("text")
+    table = hmm.count(learn)
+    counts = {r["word"]: r["n"] for r in table.collect()}
+    lexicon = hmm.Lexicon(table)
+    model = hmm.train(learn, lexicon)
+    got = {r["doc_id"]: r["score"] for r in hmm.score(df).collect()}
+    for d in docs:
+        if len(d["text"] or "") < 2000:
+            number, shape, _ = hmm.tokens(pa.array([d["text"]], pa.string()))
+            assert math.isclose(got[d["doc_id"]], plain_score(model, lexicon, counts, list(zip(number.tolist(), shape.tolist(), strict=True))), rel_tol=1e-9)
+
+
+def test_kept_columns_of_any_name(spark):
+    names = ["n", "row_id", "known", "base", "whole", "tail", "text2", "c0", "word"]
+    df = spark.createDataFrame([(1, "a b", *range(9)), (2, None, *range(9))], f"doc_id int, text string, {', '.join(f'{c} int' for c in names)}").withColumn("held_out", F.col("doc_id") == 2)
+    got = hmm.score(df, keep=tuple(names)).collect()
+    assert [[r[c] for c in names] for r in got] == [list(range(9))] * 2
+
+
 def test_long_rows_do_not_underflow():
     assert np.isfinite(hmm.forward(toy(), np.zeros(50_000, int), np.array([0, 50_000]))).all()
 
