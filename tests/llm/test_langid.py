@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -39,6 +41,43 @@ def test_query_on_held_out(spark, tables):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_query_against_a_plain_version(spark, tables):
+    """Every trigram bound and added by itself, every cosine worked out by itself."""
+    path, docs = tables
+    two, one, none = (v.astype(np.int64) for v in langid.letter_vectors(langid.DIMENSIONS))
+    number = langid.symbol_of()
+
+    def vector(text):
+        sym = [0]
+        for c in f"{(text or '').lower()} ":
+            if number[ord(c)] or sym[-1]:
+                sym.append(int(number[ord(c)]))
+        total, seen = np.zeros(langid.DIMENSIONS, np.int64), {}
+        for g in zip(sym, sym[1:], sym[2:], strict=False):
+            seen[g] = seen.get(g, 0) + 1
+        for (a, b, c), n in seen.items():
+            total += n * two[a] * one[b] * none[c]
+        return total.astype(np.float64)
+
+    held = {d["doc_id"]: zlib.crc32(str(d["doc_id"]).encode()) % 5 == 0 for d in docs}
+    each = {d["doc_id"]: vector(d["text"]) for d in docs}
+    profile = {}
+    for d in docs:
+        v = each[d["doc_id"]]
+        if d["lang"] is not None and not held[d["doc_id"]]:
+            scaled = np.rint(v * (langid.SCALE / (np.linalg.norm(v) or 1)))
+            profile[d["lang"]] = profile.get(d["lang"], 0) + scaled
+    for r in QUERIES["op9_langid"](spark, path).collect():
+        v = each[r["doc_id"]]
+        if not v.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cosine = {x: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for x, p in profile.items()}
+        best = max(cosine.values())
+        assert abs(r["score"] - max(0, best)) < 1e-6
+        assert cosine[r["lang_pred"]] > best - 1e-9
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "abc", "x", "s"), (2, None, None, "s"), (3, "123 !?", "y", "s"), (None, "日本", "ja", "s")], "doc_id bigint, text string, lang string, score string").withColumn("lang_pred", F.lit(3))
     profiles = langid.learn(docs)
@@ -51,7 +90,5 @@ def test_edges(spark):
 
 
 def test_folds(spark):
-    import zlib
-
     for r in spark.range(50).withColumn("f", fold("id", 7)).collect():
         assert r["f"] == zlib.crc32(str(r["id"]).encode()) % 7
