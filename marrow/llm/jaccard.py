@@ -17,9 +17,10 @@ between different components is thus found, nothing is capped, and components ar
 `with_links` then compares all sets of each component, as no link leaves it, and counts every link.
 
 Only numbers move: 64-bit shingles, and classes as (64-bit number, size). Texts are read where they
-lie, once more for each round of comparisons. The ids of the texts whose sets are compared are broadcast if there are at most
-`MAX_BROADCAST_IDS` of them, else joined by shuffle. Hot shingles, copies and pivots are summed before
-they are exchanged, or joined so that Spark can split them.
+lie, once more for each round of comparisons. The table that says where which set goes is broadcast up to
+`MAX_BROADCAST_BYTES`; beyond that a sieve of fixed size lets through the texts in question, and their sets meet the table in a
+shuffle. Hot shingles, copies and pivots are summed before they are exchanged, or joined so that Spark can split them; a
+hot region is dealt to several tasks by its bytes, its sets and its pairs.
 
 Nulls: a text that is null or has no word has the empty set and links with nothing, its component is
 its own id. A null id is never the smallest unless all are. Repeated rows are copies.
@@ -46,12 +47,14 @@ SIZE, PERCENT = 4, 85
 SLICE_BYTES = 2_000_000
 #: Larger counts are all as frequent. Any order of the shingles gives the same links, this one is fast.
 MOST = (1 << 16) - 1
-MAX_BROADCAST_IDS = 2_000_000
-MAX_BROADCAST_ROWS = 1_000_000
+#: Of tables with a few numbers a row; bytes of those that say which sets go where, about 50 a row of them and 50 a place.
+MAX_BROADCAST_ROWS, MAX_BROADCAST_BYTES, ROW_BYTES = 250_000, 24_000_000, 50
+#: Bits of the sieve for ids where that table is larger.
+SIEVE_BITS = 1 << 25
 #: Of the sets of one task, about.
 REGION_BYTES = 32_000_000
-#: Sets of one part where all pairs of a component are compared, about; shingles that are compared at once.
-REGION_SETS, COLUMNS = 1_000, 4_096
+#: Sets of one part of a region, and pairs of one task, about; shingles that are compared at once.
+REGION_SETS, REGION_PAIRS, COLUMNS = 1_000, 100_000, 4_096
 #: Recursion goes on while so many times more pairs than rows might have to be compared.
 PAIRS_A_ROW = 500
 
@@ -150,14 +153,44 @@ def may_link(n1, at1, n2, at2, percent: int):
     return 100 * F.least(n1 - at1, n2 - at2) >= percent * F.greatest(n1 + at2, n2 + at1)
 
 
+def sieve(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an id, as numbers of 64 bits; of fixed size whatever the ids are."""
+    at = hash_of("id")
+    words = ids.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {SIEVE_BITS}) & 63 AS int))")).alias("x")).toArrow()
+    out = np.zeros(SIEVE_BITS >> 6, np.int64)
+    out[words.column("w").to_numpy()] = words.column("x").to_numpy()
+    return out.view(np.uint64)
+
+
+def hash_of(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+
+
 def deal(docs: DataFrame, mine: DataFrame, size: int, content: Content) -> DataFrame:
-    """(region, p, q, own, name, content) of the sets of mine (id, name, region, parts, own): one row for each task of the region that the part takes part in."""
+    """(region, p, q, own, name, content) of the sets of mine (id, name, region, parts, own): one row for each task of the region that the part takes part in.
+
+    The texts of the ids are read where they lie. If the table that says what goes where is small it is broadcast, else the
+    contents of the texts that a sieve lets through meet it in a shuffle.
+    """
     tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
-    mine = mine.select("id", "name", "region", "own", F.explode(tasks).alias("t"))
+    mine = settled(mine.select("id", "name", "region", "own", F.explode(tasks).alias("t")).select("id", "name", "region", "t.p", "t.q", "own"), "jaccard-wanted")
+    names = ["region", "p", "q", "own", "name", "content"]
+    if mine.count() * 2 * ROW_BYTES > MAX_BROADCAST_BYTES:
+        sent = docs.sparkSession.sparkContext.broadcast(sieve(mine.select("id")))
+
+        def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = sent.value
+            for batch in batches:
+                at = batch.column("at").to_numpy().astype(np.uint64)
+                batch = batch.filter(pa.array((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1))
+                for part, found in sets(iter([batch.select(["id", "text"])]), size):
+                    yield pa.RecordBatch.from_arrays([part.column("id"), signed(np.array([name_of(s) for s in found], np.uint64)), pa.array([content(s) for s in found], pa.binary())], names=["of", "name", "content"])
+
+        schema = T.StructType([T.StructField("of", docs.schema["id"].dataType), T.StructField("name", T.LongType()), T.StructField("content", T.BinaryType())])
+        held = docs.select("id", "text", hash_of("id").alias("at")).mapInArrow(passed, schema).withColumnRenamed("name", "called")
+        return held.join(mine, F.col("id").eqNullSafe(F.col("of")) & (F.col("name") == F.col("called"))).select(*names)
     # Rows may share an id, or have none: the set's name says which of them is meant.
-    wanted = mine.groupBy(F.col("id").alias("want")).agg(F.collect_list(F.struct("name", "region", "t.p", "t.q", "own")).alias("tasks"))
-    wanted = settled(wanted, "jaccard-wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
+    wanted = F.broadcast(mine.groupBy(F.col("id").alias("want")).agg(F.collect_list(F.struct("name", "region", "p", "q", "own")).alias("tasks")))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in sets(batches, size):
@@ -170,7 +203,7 @@ def deal(docs: DataFrame, mine: DataFrame, size: int, content: Content) -> DataF
                         rows.append((t["region"], t["p"], t["q"], t["own"], me, what))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             numbers = [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:4])]
-            yield pa.RecordBatch.from_arrays([*numbers, signed(np.array(columns[4], np.uint64)), pa.array(columns[5], pa.binary())], names=["region", "p", "q", "own", "name", "content"])
+            yield pa.RecordBatch.from_arrays([*numbers, signed(np.array(columns[4], np.uint64)), pa.array(columns[5], pa.binary())], names=names)
 
     return docs.join(wanted, F.col("id").eqNullSafe(F.col("want"))).select("tasks", "text").mapInArrow(send, "region bigint, p int, q int, own int, name bigint, content binary")
 
@@ -179,12 +212,14 @@ def meet(docs: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, conte
     """(a, b, both, either) for pairs (a, b, region): compare() of what content() says of both sets.
 
     A set goes once to each region that it is in, not once for each pair. A region of more than
-    REGION_BYTES of sets is dealt to several tasks, each for the pairs between two of its parts.
+    REGION_BYTES of sets, REGION_SETS of them or many REGION_PAIRS is dealt to several tasks, each for the pairs between two of its parts.
     """
     pairs = settled(pairs, "jaccard-pairs")
     sides = pairs.select("region", F.col("a").alias("name")).union(pairs.select("region", F.col("b").alias("name"))).distinct()
     sides = settled(sides.join(classes, "name"), "jaccard-sides")
-    parts = near(sides.groupBy("region").agg(F.ceil(F.sum("n") * 8 / REGION_BYTES).cast("int").alias("parts")))
+    held = sides.groupBy("region").agg(F.greatest(F.ceil(F.sum("n") * 8 / REGION_BYTES), F.ceil(F.count("*") / REGION_SETS)).alias("parts"))
+    asked = pairs.groupBy("region").agg(F.ceil(F.sqrt(2 * F.count("*") / REGION_PAIRS)).alias("dealt"))
+    parts = near(held.join(asked, "region").select("region", F.greatest("parts", "dealt").cast("int").alias("parts")))
     part = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
     dealt = pairs.join(parts, "region").withColumn("p", part("a")).withColumn("q", part("b"))
     dealt = dealt.select("a", "b", "region", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
@@ -242,7 +277,7 @@ def near(df: DataFrame) -> DataFrame:
 def links(docs: DataFrame, classes: DataFrame, rank: np.ndarray, size: int, percent: int) -> DataFrame:
     """Edges (a, b) between names of classes, which connect all that links connect."""
     sent = docs.sparkSession.sparkContext.broadcast(rank)
-    rows = places(docs, sent, size, percent)
+    rows = settled(places(docs, sent, size, percent), "jaccard-places")
     # The pivot of each place, where at least two sets meet (or two tasks have the same one).
     at = F.col("size_place").bitwiseAND(F.lit((1 << 32) - 1)) * (1 << 31) + F.shiftright("size_place", 32)  # by place, then size
     firsts = rows.groupBy("key").agg(F.min_by("name", at).alias("pivot"), F.min(at).alias("at"), F.count("*").alias("k")).where("k > 1")
@@ -381,7 +416,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone, again = (each.where(c).select(F.col("id").alias(key)) for c in ("kept = 0", "kept > 0 AND rows > 1"))
 
     def small(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+        return near(ids)
 
     same = F.col(f"`{id_col}`") == F.col(key)
     rest = docs.join(small(gone), same, "left_anti")

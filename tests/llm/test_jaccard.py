@@ -64,14 +64,24 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, seed, size, perce
 
 
 def test_joins_without_broadcast(spark, monkeypatch):
-    for name in ("MAX_BROADCAST_IDS", "MAX_BROADCAST_ROWS"):
+    for name in ("MAX_BROADCAST_BYTES", "MAX_BROADCAST_ROWS"):
         monkeypatch.setattr(jaccard, name, -1)
     rows = clouds(4, 3, 10)
     got = jaccard.join(spark.createDataFrame(rows, SCHEMA))
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(rows)
 
 
-def test_rows_without_or_with_the_same_id(spark):
+def test_regions_dealt_to_many_tasks(spark, monkeypatch):
+    for name, few in (("REGION_SETS", 3), ("REGION_PAIRS", 4), ("SIEVE_BITS", 256), ("MAX_BROADCAST_BYTES", -1)):
+        monkeypatch.setattr(jaccard, name, few)
+    rows = clouds(6, 3, 14)
+    got = jaccard.join(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("most", [jaccard.MAX_BROADCAST_BYTES, -1])
+def test_rows_without_or_with_the_same_id(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "MAX_BROADCAST_BYTES", most)
     base = [f"w{i}" for i in range(60)]
     near = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in (0, 59)]
     rows = [(None, " ".join(base)), (None, near[0]), (None, near[1]), (None, "other words stand here"), (4, near[0]), (4, "unlike any of the rest")]
