@@ -52,11 +52,11 @@ from marrow.llm.bpe import byte_letters, tokenizer_path
 from marrow.llm.common import settled, slices
 
 #: Ids of a block at most, and blocks that a frame has where it can; a smaller frame has smaller blocks, of LEAST ids at least.
-BLOCK, LANES, LEAST = 2048, 1024, 512
+BLOCK, LANES, LEAST = 1024, 2048, 512
 END = 1
 SLICE_BYTES = 2_000_000
-#: Distinct pieces of texts whose ids a worker holds, about, the size of their table, and words that it holds besides.
-PIECES, PIECE_BITS, STEMS = 400_000, 20, 150_000
+#: Distinct pieces of texts whose ids a worker holds, about, the bits of their table's size, and words that it holds besides.
+PIECES, PIECE_BITS, STEMS = 600_000, 21, 150_000
 #: The number of the end of a text; pieces have others.
 ENDS = np.uint64(1)
 PART_BYTES = 1_000_000
@@ -480,10 +480,22 @@ class Words:
     def forget(self) -> None:
         """Value 0 is the end of a text."""
         self.held = Held(PIECE_BITS)
-        self.held.add(np.array([ENDS], np.uint64))
-        self.begin, self.length, self.flat = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.uint32)
+        self.number = np.array([ENDS], np.uint64)
+        self.held.add(self.number)
+        self.begin, self.length, self.flat, self.used = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.uint32), np.zeros(1, np.int64)
         self.stems: dict[str, bytes] = {}
 
+    def thin(self) -> None:
+        """Forget the pieces that were met least, half of all at least."""
+        edge = max(2, int(np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]) + 1)
+        kept = np.flatnonzero((self.used >= edge) | (np.arange(len(self.used)) == 0))
+        length = self.length[kept]
+        stops = np.cumsum(length)
+        self.flat = self.flat[np.repeat(self.begin[kept] - (stops - length), length) + np.arange(int(stops[-1]))]
+        self.number, self.begin, self.length, self.used = self.number[kept], stops - length, length, self.used[kept] // 2
+        self.held = Held(PIECE_BITS)
+        self.held.add(self.number)
+
     def ids(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -509,6 +521,8 @@ class Words:
         self.begin = np.r_[self.begin, len(self.flat) + np.cumsum(length) - length]
         self.length = np.r_[self.length, length]
         self.flat = np.r_[self.flat, np.frombuffer(b"".join(new), np.uint32)]
+        self.number = np.r_[self.number, number]
+        self.used = np.r_[self.used, np.zeros(len(number), np.int64)]
         self.held.add(number)
 
     def encode(self, column: pa.Array | list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -526,7 +540,7 @@ class Words:
         number, first, stop, row = word_numbers.numbers(data, rows, lower=self.lower)
         number[number <= ENDS] += np.uint64(2)  # 0 is no piece and ENDS is the end
         if self.held.size > PIECES:
-            self.forget()
+            self.thin()
         where = self.held.find(number)
         missing = np.flatnonzero(where < 0)
         if len(missing):
@@ -535,6 +549,7 @@ class Words:
             raw = data.tobytes()
             self.learn(new, [raw[a:b].decode() for a, b in zip(first[at].tolist(), stop[at].tolist(), strict=True)])
             where[missing] = self.held.find(number[missing])
+        self.used += np.bincount(where, minlength=len(self.used))
         where = np.insert(where, row[1:], 0)
         self.flat[0] = end
         each = self.length.take(where)
