@@ -2,8 +2,8 @@
 
 Texts are normalised byte by byte (A-Z to a-z, other ASCII that is no letter or digit to a blank), so
 an offset in the normalised text is the offset in the original. The automaton's letters are words: those
-of the benchmark have numbers, all others one. One scan of a text's numbers finds every occurrence of every
-window; runs of hit words come back as code point spans of the original text.
+of the benchmark have numbers. One scan of a text finds every occurrence of every window; stretches with fewer words of the
+benchmark side by side than a window has are passed over. Runs of hit words come back as code point spans of the original text.
 
 A node takes about `NODE_BYTES`, a word of a window is at most one, so a benchmark has at most ten times as many nodes
 as words. Its words are counted first; beyond `max_nodes` the windows are dealt to
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -59,12 +60,17 @@ class Machine:
         self.items = sorted({item for item, _ in pieces if item is not None})
         which = {item: i for i, item in enumerate(self.items)}
         self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        #: Of each word how many words the shortest window has that has it.
+        self.least: dict[bytes, int] = {}
         #: Of each window how many words it has, and which items.
         self.words: list[int] = []
         self.of: list[tuple[int, ...]] = []
         for item, text in pieces:
             w = tuple(self.number.setdefault(x, len(self.number) + 1) for x in text.encode().split(b" "))
             own = () if item is None else (which[item],)
+            n = min(255, len(w), size)
+            for x in set(text.encode().split(b" ")):
+                self.least[x] = min(n, self.least.get(x, n))
             for i in range(max(1, len(w) - size + 1)):
                 window = w[i : i + size]
                 at = self.found.get(window, -1)
@@ -76,16 +82,28 @@ class Machine:
                     self.of[at] += own
         if self.of:
             self.found.make_automaton()
+        #: A window of n words stands where n words side by side have n or less.
+        self.runs = [re.compile(b"[\\x01-\\x%02x]{%d,}" % (n, n)) for n in sorted({min(255, n) for n in self.words})]
+
+    def stretches(self, folded: list[bytes]) -> list[tuple[int, int]]:
+        """The stretches of words where a window can stand; all others have a word too few of the benchmark."""
+        level = bytes(map(self.least.get, folded, repeat(0)))
+        found = sorted(m.span() for run in self.runs for m in run.finditer(level))
+        out: list[tuple[int, int]] = []
+        for a, b in found:
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], max(b, out[-1][1]))
+            else:
+                out.append((a, b))
+        return out
 
     def find(self, folded: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Runs of hit words (first, last, counted from 0) and the ids of the items that occur."""
-        if not self.of:
-            return [], set()
-        number = self.number.get
-        runs, which = [], set()
-        for end, at in self.found.iter(tuple([number(w, 0) for w in folded])):
-            runs.append((end - self.words[at] + 1, end))
-            which.add(at)
+        number, runs, which = self.number, [], set()
+        for first, last in self.stretches(folded):
+            for end, at in self.found.iter(tuple([number[w] for w in folded[first:last]])):
+                runs.append((first + end - self.words[at] + 1, first + end))
+                which.add(at)
         return merged(runs), {self.items[i] for at in which for i in self.of[at]}
 
 

@@ -1,3 +1,4 @@
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -67,6 +68,25 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
     assert used < 400_000  # KB
 
 
+def test_windows_of_every_length_are_found():
+    """Against trying every place, with items of one to twelve words."""
+    rng = random.Random(6)
+    names = [f"w{i}" for i in range(12)]
+    for _ in range(200):
+        items = [(str(i), " ".join(rng.choices(names, k=rng.randint(1, 12)))) for i in range(rng.randint(1, 4))]
+        words = [w.encode() for w in rng.choices([*names, "x", "y"], k=rng.randint(0, 60))]
+        runs, ids = [], set()
+        for item, text in items:
+            w = text.encode().split()
+            for j in range(max(1, len(w) - 4)):
+                window = w[j : j + 5]
+                for k in range(len(words) - len(window) + 1):
+                    if words[k : k + len(window)] == window:
+                        runs.append((k, k + len(window) - 1))
+                        ids.add(item)
+        assert decontaminate.Machine(items, 5).find(words) == (decontaminate.merged(runs), ids)
+
+
 def test_a_worker_builds_a_machine_once():
     one = decontaminate.machine("k", [("1", "a b")], 10)
     assert decontaminate.machine("k", [("1", "a b")], 10) is one
