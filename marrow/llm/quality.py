@@ -13,6 +13,9 @@ path had is dealt once more to the others (a step-down). With probability 1 - de
 at most `risk` of its good texts to the rules. A stratum with too few labels to certify anything rejects
 nothing beyond the base rules.
 
+Of a rule's certified cutoffs the loosest one is taken that rejects as many of the stratum's bad texts as the tightest does, and
+none if that rejects no bad text: what is looser loses no more, so the bound holds, and good texts are not lost for nothing.
+
 A trial is a distinct text of a stratum: rows that repeat an id, or copies under other ids, are one.
 
 Texts are read once; features (a few numbers a row) are written to the shared folder, joined with the
@@ -120,17 +123,19 @@ def rejects(steps: int) -> Column:
 
 def thresholds(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """One row a stratum: n (its good texts) and its certified cutoff for each rule, null where none is."""
-    good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality")).where("quality = 1")
-    held = feats.where(~base_failed()).join(good, "id").select("stratum", "hash", *COUNTS).distinct()
-    counts = [F.count_if(rejects(i + 1)).alias(f"k{i}") for i in range(len(PATH))]
-    strata = settled(held.groupBy("stratum").agg(F.count("*").alias("n"), *counts), "quality-strata")  # a row a stratum
+    rated = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
+    held = feats.where(~base_failed()).join(rated, "id").select("stratum", "hash", (F.col("quality") == 1).alias("good"), *COUNTS).distinct()
+    counts = [F.count_if(F.col("good") & rejects(i + 1)).alias(f"k{i}") for i in range(len(PATH))]
+    caught = [F.count_if(~F.col("good") & F.expr(f"{RULES[rule][0]} > {c}D")).alias(f"b{i}") for i, (rule, c) in enumerate(PATH)]
+    strata = settled(held.groupBy("stratum").agg(F.count_if("good").alias("n"), *counts, *caught), "quality-strata")  # a row a stratum
 
     def probability(i: int) -> Column:
         k = F.col(f"k{i}")
         # more than the expected number is never significant, and would only make the sum long
         return F.when(k > F.col("n") * risk, F.lit(0.0)).otherwise(log_binomial_cdf(k, F.col("n"), risk))
 
-    logs = settled(strata.select("stratum", "n", F.array(*map(probability, range(len(PATH)))).alias("p")), "quality-probabilities")
+    bad = [f"b{i}" for i in range(len(PATH))]
+    logs = settled(strata.select("stratum", "n", *bad, F.array(*map(probability, range(len(PATH)))).alias("p")), "quality-probabilities")
 
     def through(level: Column) -> Column:
         """How many steps from the first on are certified at the level."""
@@ -143,10 +148,15 @@ def thresholds(feats: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     once = logs.withColumn("steps", through(dealt(whole)))
     rest = once.where(F.col("steps") < len(PATH)).agg(F.sum("n")).first()[0] or 0
     steps = once.withColumn("steps", F.when(F.col("steps") == len(PATH), F.col("steps")).otherwise(through(dealt(rest))))
-    latest = {rule: F.lit(None).cast("double") for rule in RULES}
-    for i, (rule, c) in enumerate(PATH):
-        latest[rule] = F.when(F.col("steps") > i, F.lit(c)).otherwise(latest[rule])
-    return steps.select("stratum", "n", *[cut.alias(rule) for rule, cut in latest.items()])
+    cuts = []
+    for rule in RULES:
+        at = [i for i, (r, _) in enumerate(PATH) if r == rule]  # from the loosest on
+        most = F.greatest(F.lit(0), *[F.when(F.col("steps") > i, F.col(f"b{i}")).otherwise(0) for i in at])
+        cut = F.when(most == 0, F.lit(None).cast("double"))
+        for i in at:
+            cut = cut.when((F.col("steps") > i) & (F.col(f"b{i}") == most), F.lit(PATH[i][1]))
+        cuts.append(cut.alias(rule))
+    return steps.select("stratum", "n", *cuts)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_capitals")

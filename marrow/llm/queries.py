@@ -90,10 +90,13 @@ def _quality_sql() -> str:
     tried = "\n    UNION ALL ".join(f"SELECT stratum, {i} AS step, count(*) AS n, count(*) FILTER (WHERE {broken(i)}) AS k FROM held GROUP BY stratum" for i in range(steps))
     term = f"exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.RISK!r}) + (n - i) * ln(1 - {quality.RISK!r}))"
 
-    def latest(rule: str) -> str:
-        return "CASE " + " ".join(f"WHEN steps > {i} THEN {c}::DOUBLE" for i, (r, c) in reversed(list(enumerate(quality.PATH))) if r == rule) + " END"
+    def cutoff(rule: str) -> str:
+        at = [i for i, (r, _) in enumerate(quality.PATH) if r == rule]
+        most = "greatest(0, " + ", ".join(f"CASE WHEN steps > {i} THEN b{i} ELSE 0 END" for i in at) + ")"
+        return f"CASE WHEN {most} = 0 THEN NULL " + " ".join(f"WHEN steps > {i} AND b{i} = {most} THEN {quality.PATH[i][1]}::DOUBLE" for i in at) + " END"
 
-    rejects = " OR ".join(f"coalesce({feature} > {latest(rule)}, false)" for rule, (feature, *_) in quality.RULES.items())
+    caught = ", ".join(f"count(*) FILTER (WHERE {quality.RULES[rule][0]} > {c}::DOUBLE) AS b{i}" for i, (rule, c) in enumerate(quality.PATH))
+    rejects = " OR ".join(f"coalesce({feature} > {cutoff(rule)}, false)" for rule, (feature, *_) in quality.RULES.items())
     return rf"""
 WITH split AS (
     SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -111,10 +114,14 @@ WITH split AS (
     FROM split LEFT JOIN repeated USING (doc_id)
 ), judged AS (
     SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM features
-), good AS (
-    SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1
+), rated AS (
+    SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), all_held AS (
+    SELECT DISTINCT stratum, text, good, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals FROM judged JOIN rated USING (doc_id) WHERE NOT base_failed
 ), held AS (
-    SELECT DISTINCT stratum, text, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_capitals FROM judged JOIN good USING (doc_id) WHERE NOT base_failed
+    FROM all_held WHERE good
+), bad AS (
+    SELECT stratum, {caught} FROM all_held WHERE NOT good GROUP BY stratum
 ), tried AS (
     {tried}
 ), sums AS (
@@ -128,7 +135,7 @@ WITH split AS (
 ), chosen AS (
     FROM dealt_again UNION ALL SELECT stratum, steps FROM first_dealt WHERE steps = {steps}
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejects}) AS kept FROM judged LEFT JOIN chosen USING (stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({rejects}) AS kept FROM judged LEFT JOIN chosen USING (stratum) LEFT JOIN bad USING (stratum)
 """
 
 

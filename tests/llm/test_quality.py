@@ -78,20 +78,31 @@ def test_a_repeated_text_is_one_trial(spark):
 
 def test_levels_are_dealt_by_labels_and_handed_on(spark):
     """How many clean texts a stratum needs: alone the whole delta is its own; beside one that gets through, that one's is handed on."""
-    def rows(lang, n):
-        return [(lang, i, 20, 100, 0, 0, 0, 0) for i in range(n)]
+    def rows(lang, n):  # and one bad text
+        return [(lang, i, 20, 100, 90 if i == n else 0, 0, 0, 0) for i in range(n + 1)]
 
     def certified(*parts):
         data = [(100_000 * j + i, *r) for j, p in enumerate(parts) for i, r in enumerate(p)]
         feats = spark.createDataFrame(data, "id bigint, stratum string, hash bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_capitals bigint")
-        cut = quality.thresholds(feats, feats.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))).collect()
+        cut = quality.thresholds(feats, feats.select(F.col("id").alias("doc_id"), (F.col("n_symbols") == 0).cast("int").alias("quality"))).collect()
         return {r["stratum"]: r["symbols"] for r in cut}
 
     least = math.ceil(math.log(quality.DELTA) / math.log1p(-quality.RISK))
-    assert certified(rows("en", least)) == {"en": 0.03}
+    assert certified(rows("en", least)) == {"en": 0.3}
     assert certified(rows("en", least - 1)) == {"en": None}
-    assert certified(rows("en", 3000), rows("de", least), rows("fr", 5)) == {"en": 0.03, "de": 0.03 if (1 - quality.RISK) ** least <= quality.DELTA * least / (least + 5) else None, "fr": None}
-    assert certified(rows("en", 3000), rows("de", least)) == {"en": 0.03, "de": 0.03}
+    assert certified(rows("en", 3000), rows("de", least), rows("fr", 5)) == {"en": 0.3, "de": 0.3 if (1 - quality.RISK) ** least <= quality.DELTA * least / (least + 5) else None, "fr": None}
+    assert certified(rows("en", 3000), rows("de", least)) == {"en": 0.3, "de": 0.3}
+
+
+def test_the_loosest_cutoff_that_rejects_as_much(spark):
+    """A rule goes as far as bad texts call for, and not at all where it meets none."""
+    feats = [(i, "en", i, 20, 100, 0, 0, 0, 0) for i in range(3000)] + [(5000 + i, "en", 5000 + i, 20, 100, s, 0, 0, 0) for i, s in enumerate((40, 12, 11, 4))]
+    df = spark.createDataFrame(feats, "id bigint, stratum string, hash bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_capitals bigint")
+    cut = quality.thresholds(df, df.select(F.col("id").alias("doc_id"), (F.col("id") < 5000).cast("int").alias("quality"))).first()
+    assert cut["symbols"] == 0.03
+    assert [cut[rule] for rule in ("length", "capitals", "lines", "repeats")] == [None] * 4
+    less = df.where("id < 5003")
+    assert quality.thresholds(less, less.select(F.col("id").alias("doc_id"), (F.col("id") < 5000).cast("int").alias("quality"))).first()["symbols"] == 0.1
 
 
 def test_cutoffs_bind_where_the_sql_checks_them(spark):
