@@ -60,6 +60,14 @@ def features(column: pa.Array) -> list[np.ndarray]:
     return [np.unique(np.concatenate([number[a:b], start[a:b][long[a:b]]])) for a, b in zip(row[:-1].tolist(), row[1:].tolist(), strict=True)]
 
 
+def held(found: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of a row's features are in word, which ascends, and their places in it; the time is that of the row, not of word."""
+    at = np.searchsorted(word, found)
+    known = at < len(word)
+    known[known] = word[at[known]] == found[known]
+    return known, at[known]
+
+
 def sums(weight: np.ndarray, found: np.ndarray, row: np.ndarray) -> np.ndarray:
     """The sum of the weights of each row's features."""
     total = np.r_[0.0, np.cumsum(weight[found])]
@@ -129,7 +137,7 @@ def fit(rows: list[np.ndarray], labels: list[int], min_rows: int = MIN_ROWS, rou
     start = np.log(share / (1 - share))
     weight, rest = np.zeros(len(word)), np.r_[start[:1], np.log(np.maximum(np.diff(start), 1e-3))]
     for sparse, small in ((SPARSE / np.sqrt(len(y)), 0.0), (0.0, SMALL)) if len(grades) > 1 else ():
-        known = [np.searchsorted(word, r[np.isin(r, word, assume_unique=True)]) for r in rows]
+        known = [held(r, word)[1] for r in rows]
         flat, row = np.concatenate(known).astype(np.int64), np.r_[0, np.cumsum([len(k) for k in known])].astype(np.int64)
         p = descend(np.r_[weight, rest], len(word), flat, row, y, rounds, sparse, small)
         weight, rest = p[: len(word)], p[len(word) :]
@@ -169,12 +177,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most max_bytes / min_rows features
     often = np.array([r["word"] for r in counts.where(F.col("n") >= min_rows).select("word").toLocalIterator()], np.int64).view(np.uint64)
     often.sort()
-    held = []
+    kept = []
     for r in rows.toLocalIterator():
         mine = np.frombuffer(r["words"], np.uint64)
-        held.append((r["id"], r["grade"], mine[np.isin(mine, often, assume_unique=True)]))
-    held.sort(key=lambda h: h[0])
-    return fit([h[2] for h in held], [h[1] for h in held], min_rows) if held else None
+        kept.append((r["id"], r["grade"], mine[held(mine, often)[0]]))
+    kept.sort(key=lambda k: k[0])
+    return fit([k[2] for k in kept], [k[1] for k in kept], min_rows) if kept else None
 
 
 def rate(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
