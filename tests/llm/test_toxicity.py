@@ -128,3 +128,13 @@ def test_query_against_a_plain_version(spark, tables):
         low = 1 / (1 + np.exp(score - model.cuts[0]))
         assert abs(r["severity"] - (1 - low)) < 1e-6
         assert r["grade"] == int(low < 0.5) or abs(low - 0.5) < 1e-6
+
+
+def test_features_are_looked_up_as_a_set_would():
+    word = np.array([2, 3, 5, 2**63 + 1], np.uint64)
+    for found in ([], [1], [2, 4, 5], [5, 2**63 + 1, 2**64 - 1]):
+        known, at = toxicity.held(np.array(found, np.uint64), word)
+        assert known.tolist() == [x in word.tolist() for x in found]
+        assert word[at].tolist() == [x for x in found if x in word.tolist()]
+    known, at = toxicity.held(np.array([1, 2], np.uint64), word[:0])
+    assert not known.any() and not len(at)
