@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bpe, decontaminate, hmm, htmltext, jaccard, langid, quality, tokenfile, toxicity, urlfilter
+from marrow.llm import bpe, decontaminate, hmm, htmltext, jaccard, langid, quality, threshold, tokenfile, toxicity, urlfilter
 from marrow.llm.common import fold, shared_dir, table
 
 QUERIES: dict = {}
@@ -237,3 +237,23 @@ def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     tokenfile.write(table(spark, sf_dir, "documents"), path)
     return tokenfile.digests(tokenfile.read(spark, path))
+
+
+@query
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.topk(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+
+
+ORACLES["op12_topk"] = """
+WITH whole AS (
+    SELECT vec_id, v, row_number() OVER (PARTITION BY vec_id, v) AS copy FROM (SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings)
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), asked AS (
+    SELECT * FROM whole WHERE vec_id % 50 = 0 AND copy = 1
+), scored AS (
+    SELECT q.vec_id AS query_id, q.v, w.vec_id, list_sum(list_transform(list_zip(q.v, w.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM asked q JOIN whole w ON len(w.v) = len(q.v) AND (w.vec_id IS DISTINCT FROM q.vec_id OR w.v <> q.v OR w.copy > 1)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id NULLS LAST) <= 5
+"""
