@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import bpe, decontaminate, hmm, htmltext, jaccard, langid, quality, threshold, tokenfile, toxicity, urlfilter
+from marrow.llm import bpe, decontaminate, hmm, htmltext, impact, jaccard, langid, quality, threshold, tokenfile, toxicity, urlfilter
 from marrow.llm.common import fold, shared_dir, table
 
 QUERIES: dict = {}
@@ -257,3 +257,33 @@ WITH whole AS (
 SELECT query_id, row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id, v ORDER BY score DESC, vec_id NULLS LAST) <= 5
 """
+
+
+@query
+def op11_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.search(impact.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 50)
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLES["op11_impact"] = f"""
+WITH split AS (
+    SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents
+), held AS (
+    SELECT r, doc_id, t, len(t) AS n FROM split WHERE len(t) > 0
+), totals AS (
+    SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM held
+), lengths AS (
+    SELECT r, doc_id, 100 - 50 + (50 * n * docs) // terms AS m FROM held, totals
+), counts AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM held) GROUP BY r, term
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counts, totals GROUP BY term, docs
+), asked AS (
+    SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)
+), scored AS (
+    SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+    FROM asked JOIN weights USING (term) JOIN counts USING (term) JOIN lengths USING (r) GROUP BY item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) <= 50
+"""
