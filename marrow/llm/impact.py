@@ -34,6 +34,8 @@ from marrow.llm.common import settled, slices
 
 #: Documents and bytes of text in a segment, items in a block, pairs of item and term that may be broadcast.
 SEGMENT_DOCS, SEGMENT_BYTES, BLOCK, MAX_PAIRS = 16_384, 4_000_000, 256, 500_000
+#: Bytes of text whose words are told apart at a time.
+PIECE_BYTES = 500_000
 #: Bits of an impact.
 BITS = 20
 
@@ -51,8 +53,11 @@ class Index:
 
 def counted(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by term and row: the number of each term of each row, the row, how often it stands there; and the words of every row."""
-    number, _, _, starts = words.numbers(*words.raw(column), blank=words.NO_LETTER)
-    sizes = np.diff(starts)
+    parts = []
+    for part in slices(iter([pa.record_batch([column], names=["text"])]), "text", PIECE_BYTES):  # the numbers of a piece take many times its bytes
+        number, _, _, starts = words.numbers(*words.raw(part.column(0)), blank=words.NO_LETTER)
+        parts.append((number, np.diff(starts)))
+    number, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     row = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(number, kind="stable")
     number, row = number[order], row[order]
