@@ -1,7 +1,9 @@
-"""Exact dense top-k: a bounded set of query vectors against all rows, in blocks.
+"""Exact dense top-k of any number of query vectors.
 
-Each Arrow batch is one matrix product; a task sends on its best `limit` rows a query only, and those
-meet in the rank. Products are summed in double precision and rounded, so that ties are ties anywhere.
+Few queries are broadcast to the scan of the vectors. More are joined with them in blocks: both sides are dealt to
+cells, and a cell multiplies its rows with its queries a block at a time, in order of falling length, until no further block
+can give any query more than its last place has. A cell or task sends on its best `limit` rows a query only, and
+those meet in the rank. Products are summed in double precision and rounded, so that ties are ties anywhere.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +22,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from marrow.operators.bm25 import ranked
 
 MAX_QUERY_FLOATS = 4_000_000
+#: Vectors in a block as it is dealt, rows and queries of a cell, and how many of either are multiplied at a time.
+PACK, CELL_ROWS, CELL_QUERIES, BLOCK_ROWS, STEP = 256, 16_384, 4_096, 1_024, 256
 DIGITS = 5
 
 
@@ -25,13 +31,8 @@ def topk(vectors: DataFrame, queries: DataFrame, limit: int, key: tuple[str, ...
     """(query_id, key, score, rank) from vectors (key, embedding) and queries (query_id, embedding). Null vectors match nothing."""
     rows = queries.where(F.col("embedding").isNotNull()).select(F.col("query_id"), F.col("embedding").cast("array<float>"))
     size = rows.agg(F.sum(F.size("embedding"))).first()[0] or 0
-    if size > MAX_QUERY_FLOATS:  # as many rounds as keep the broadcast small
-        parts = -(-size // MAX_QUERY_FLOATS)
-        found = [topk(vectors, rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i), limit, key, embedding) for i in range(parts)]
-        out = found[0]
-        for f in found[1:]:
-            out = out.unionByName(f)
-        return out
+    if size > MAX_QUERY_FLOATS:
+        return block_topk(vectors, rows, limit, key, embedding)
     asked = rows.collect()
     sent = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], np.array([r["embedding"] for r in asked], np.float64)))
     names = ["query_id", *key, "score"]
@@ -58,3 +59,92 @@ def topk(vectors: DataFrame, queries: DataFrame, limit: int, key: tuple[str, ...
     schema = T.StructType([T.StructField("query_id", id_type), *(vectors.schema[c] for c in key), T.StructField("score", T.DoubleType())])
     cols = [F.col(c).alias(f"c{i}") for i, c in enumerate(key)]
     return ranked(vectors.select(*cols, F.col(embedding).cast("array<float>").alias("v")).mapInArrow(run, schema), key, limit)
+
+
+def packed(df: DataFrame, names: tuple[str, ...], rows: int) -> DataFrame:
+    """Vectors (names, v) of one length in blocks: their keys and numbers, and a number to deal the block by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sizes = np.asarray(pa.compute.list_value_length(batch.column("v")))
+            for dim in np.unique(sizes).tolist():
+                of = np.flatnonzero(sizes == dim)
+                for part in (batch.take(pa.array(of[i : i + rows])) for i in range(0, len(of), rows)):
+                    at += 1
+                    whole = pa.array([0, part.num_rows], pa.int32())
+                    keys = pa.ListArray.from_arrays(whole, pa.StructArray.from_arrays(part.columns[:-1], names=list(names)))
+                    numbers = np.asarray(part.column("v").flatten(), np.float32).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([dim], pa.int32()), keys, pa.array([numbers], pa.binary())], names=["block", "dim", "keys", "numbers"])
+
+    keys = T.ArrayType(T.StructType([df.schema[n] for n in names]))
+    fields = [("block", T.LongType()), ("dim", T.IntegerType()), ("keys", keys), ("numbers", T.BinaryType())]
+    return df.select(*names, "v").mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
+
+
+def foremost(vectors: np.ndarray, order: np.ndarray, queries: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(query, row, score) of each query's best rows, equal scores by order, and how many blocks of rows were multiplied.
+
+    Whole blocks of the rows, longest vectors first, are left out as soon as length times length is below every query's last place.
+    """
+    length = np.linalg.norm(vectors, axis=1)
+    by_length = np.argsort(-length, kind="stable")
+    reach = np.linalg.norm(queries, axis=1)
+    n = len(queries)
+    score, row = np.full((n, limit), -np.inf), np.full((n, limit), len(vectors))
+    place = np.append(order, np.iinfo(np.int64).max)  # of no row
+    blocks = 0
+    for i in range(0, len(vectors), BLOCK_ROWS):
+        some = by_length[i : i + BLOCK_ROWS]
+        if (length[some[0]] * reach * (1 + 1e-9) + 10.0**-DIGITS < score[:, -1]).all():
+            break
+        blocks += 1
+        some = some[np.argsort(order[some])]
+        new = np.round(queries @ vectors[some].T, DIGITS)
+        if len(some) > limit:  # the best of the block, of equal ones the first by order
+            edge = np.partition(new, len(some) - limit, axis=1)[:, len(some) - limit, None]
+            tied, room = new == edge, limit - (new > edge).sum(axis=1, keepdims=True)
+            of, at = np.nonzero((new > edge) | (tied & (np.cumsum(tied, axis=1) <= room)))
+            new, some = new[of, at].reshape(n, limit), some[at].reshape(n, limit)
+        else:
+            some = np.broadcast_to(some, new.shape)
+        score, row = np.c_[score, new], np.c_[row, some]
+        best = np.lexsort((place[row], -score), axis=1)[:, :limit]
+        score, row = np.take_along_axis(score, best, 1), np.take_along_axis(row, best, 1)
+    of, at = np.nonzero(row < len(vectors))
+    return of, row[of, at], score[of, at], blocks
+
+
+def block_topk(vectors: DataFrame, queries: DataFrame, limit: int, key: tuple[str, ...], embedding: str = "embedding") -> DataFrame:
+    """topk() of any number of queries, as a join of blocks. Vectors of different length do not meet."""
+    names = tuple(f"c{i}" for i in range(len(key)))
+    left = vectors.where(F.col(embedding).isNotNull()).select(*[F.col(c).alias(n) for c, n in zip(key, names, strict=True)], F.col(embedding).cast("array<float>").alias("v"))
+    right = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").cast("array<float>").alias("v"))
+    b, g = (max(1, -(-df.count() // most)) for df, most in ((left, CELL_ROWS), (right, CELL_QUERIES)))
+    deal = lambda df, of, n, other, m: df.withColumn(of, F.pmod(F.xxhash64("block"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    rows, asked = deal(packed(left, names, PACK), "b", b, "g", g), deal(packed(right, ("query_id",), PACK), "g", g, "b", b)
+    schema = T.StructType([queries.schema["query_id"], *(T.StructField(n, left.schema[n].dataType) for n in names), T.StructField("score", T.DoubleType())])
+    types = {f.name: to_arrow_type(f.dataType) for f in schema}
+
+    def unpack(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        keys = table["keys"].combine_chunks().flatten()
+        numbers = np.frombuffer(b"".join(table["numbers"].to_pylist()), np.float32).reshape(len(keys), -1 if len(keys) and table["dim"][0].as_py() else 0)
+        return pa.Table.from_arrays(keys.flatten(), names=[f.name for f in keys.type]), numbers.astype(np.float64)
+
+    def run(cell: tuple, rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not rows.num_rows or not asked.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in types.items()})
+        (keys, v), (ids, q) = unpack(rows), unpack(asked)
+        order = np.empty(len(v), np.int64)
+        order[np.asarray(pa.compute.sort_indices(keys, sort_keys=[(n, "ascending") for n in names], null_placement="at_start"))] = np.arange(len(v))
+        out = []
+        for i in range(0, len(q), STEP):
+            of, row, score, _ = foremost(v, order, q[i : i + STEP], limit)
+            out.append((of + i, row, score))
+        of, row, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        found = {"query_id": ids["query_id"].take(pa.array(of)), **{n: keys[n].take(pa.array(row)) for n in names}, "score": pa.array(score)}
+        return pa.table({n: found[n].cast(t) for n, t in types.items()})
+
+    cell = ["dim", "b", "g"]
+    best = rows.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(run, schema)
+    return ranked(best.select("query_id", *[F.col(n).alias(c) for c, n in zip(key, names, strict=True)], "score"), key, limit)

@@ -26,6 +26,8 @@ HEADING = re.compile(rb"(#{1,6}) (.*)", re.S)
 FENCE = re.compile(rb"[ \t]*(`{3,}|~{3,})")
 #: Ends of blank lines; the look-ahead lets one newline end one blank line and begin the next.
 BLANK_END = re.compile(rb"(?=\n[ \t\r]*(\n))")
+NEWLINES = re.compile(rb"[\r\n]*")
+FREE = re.compile(rb"[ \t]*")
 CODE_OR_TAG = re.compile(rb"(`+)|(?<![A-Za-z0-9_-])#([A-Za-z0-9_/-]+)")
 
 
@@ -50,23 +52,24 @@ def flow_list(value: bytes, line: int) -> list[bytes]:
     """`[a, "b, c"]` on one line; empty items are skipped."""
     if not value.endswith(b"]"):
         raise _Bad(line, "a list without its closing bracket")
-    rest, items = value[1:-1].strip(b" \t"), []
-    while rest:
-        if rest[:1] in (b'"', b"'"):
-            end = rest.find(rest[:1], 1)
-            if end < 0:
+    items, at, end = [], 1, len(value) - 1
+    while at < end:
+        at = FREE.match(value, at, end).end()
+        if value[at : at + 1] in (b'"', b"'") and at < end:
+            close = value.find(value[at : at + 1], at + 1, end)
+            if close < 0:
                 raise _Bad(line, "a quotation that does not end")
-            item, rest = rest[: end + 1], rest[end + 1 :]
+            item, at = value[at : close + 1], close + 1
         else:
-            item, comma, rest = rest.partition(b",")
-            rest = comma + rest
+            comma = value.find(b",", at, end)
+            item, at = value[at : end if comma < 0 else comma], end if comma < 0 else comma
         item = item.strip(b" \t")
         if item[:1] in (b"[", b"{"):
             raise _Bad(line, "a list within a list")
         if item:
             items.append(unquote(item))
-        rest = rest.strip(b" \t")
-        rest = rest[1:].lstrip(b" \t") if rest[:1] == b"," else rest
+        at = FREE.match(value, at, end).end()
+        at += value[at : at + 1] == b"," and at < end
     return items
 
 
@@ -163,13 +166,13 @@ def inline_tags(body: bytes) -> list[bytes]:
             if m[2]:
                 tags.append(m[2])
             else:
-                close = re.search(rb"(?<!`)" + m[1] + rb"(?!`)", line[at:])
-                at = at + close.end() if close else len(line)
+                close = re.compile(rb"(?<!`)" + m[1] + rb"(?!`)").search(line, at)
+                at = close.end() if close else len(line)
     return tags
 
 
 def cut(text: bytes) -> int:
-    """Where the next chunk of a text of more than HARD_MAX bytes ends: a blank line, a line, or a character near TARGET."""
+    """Where the next chunk ends of a text of which more than HARD_MAX bytes are given: a blank line, a line, or a character near TARGET."""
     window = text[:HARD_MAX]
     near = lambda at: abs(at - TARGET)
     blank = [m.end(1) for m in BLANK_END.finditer(window)]
@@ -197,16 +200,17 @@ def chunks(body: bytes, first_line: int) -> list[tuple[list[bytes], bytes, int,
         bare = text.strip(BLANKS)
         line += text[: len(text) - len(text.lstrip(BLANKS))].count(b"\n")
         last = line + bare.count(b"\n")
-        while bare:
-            if len(bare) <= HARD_MAX:
-                out.append((trail, bare, line, last))
+        at = 0  # an offset, so that a long text is not copied for every chunk
+        while at < len(bare):
+            if len(bare) - at <= HARD_MAX:
+                out.append((trail, bare[at:], line, last))
                 break
-            end = cut(bare)
-            piece = trim_end(bare[:end])
+            end = at + cut(bare[at : at + HARD_MAX + 1])
+            piece = trim_end(bare[at:end])
             out.append((trail, piece, line, line + piece.count(b"\n")))
-            rest = bare[end:].lstrip(b"\r\n")
-            line += bare[: len(bare) - len(rest)].count(b"\n")
-            bare = rest
+            rest = NEWLINES.match(bare, end).end()
+            line += bare.count(b"\n", at, rest)
+            at = rest
     merged = out[:1]
     for trail, text, start, end in out[1:]:
         before = merged[-1]
@@ -235,7 +239,8 @@ def parse_note(path: str, raw: bytes) -> dict:
     except _Bad as e:
         raise VaultParseError(path, e.line, e.message) from None
     body, first = raw[start:], raw[:start].count(b"\n") + 1
-    found = list(dict.fromkeys(inline_tags(body)))
+    known = set(tags)
+    found = [t for t in dict.fromkeys(inline_tags(body)) if t not in known]
     text = lambda b: b.decode("utf-8", "replace")
     return {
         "path": path,
@@ -243,7 +248,7 @@ def parse_note(path: str, raw: bytes) -> dict:
         "parent_folder": path.rpartition("/")[0],
         "title": None if title is None else text(title),
         "aliases": [text(a) for a in aliases],
-        "tags": [text(t) for t in [*tags, *(t for t in found if t not in tags)]],
+        "tags": [text(t) for t in [*tags, *found]],
         "h1": next((text(name) for level, name, *_ in sections(body, first) if level == 1), None),
         "chunks": [
             {"chunk_seq": i, "heading_trail": [text(h) for h in trail], "body": text(b), "start_line": a, "end_line": z} for i, (trail, b, a, z) in enumerate(chunks(body, first))

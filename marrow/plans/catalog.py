@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.functions import text as X
-from marrow.operators import bm25, dense, embed, fuse, notes
+from marrow.operators import blockmax, bm25, dense, embed, fuse, notes
 from marrow.plans import index
 from marrow.session import shared_dir
 
@@ -113,6 +113,22 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_search(spark, sf_dir, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), TOP)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@query(ORACLES["bm25_batch"])
+def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bm25_batch over postings that are written in blocks with their bounds, and read only where a bound reaches the last place."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = blockmax.opened(settled(blockmax.blocks(docs, ("doc_id",), bm25.plain(F.col("text"))), "blocks"), ("doc_id",))
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return blockmax.search(index, questions, TOP, settled)
+
+
 FIELDED_SQL = f"""
 WITH words AS (
     SELECT doc_id, unnest(list_concat({TOKENS.format('text')}, {TOKENS.format('source')}, {TOKENS.format('lang')}, {TOKENS.format('lang')}, {TOKENS.format('lang')})) AS term FROM documents
@@ -155,6 +171,13 @@ def dense_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.topk(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), TOP, ("vec_id",))
 
 
+@query(ORACLES["dense_batch"])
+def dense_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dense_batch with both sides dealt to blocks, as for any number of queries."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return dense.block_topk(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), TOP, ("vec_id",))
+
+
 # --- Fusion and ranking: vectors stand for the documents of the same id, sources for notes
 
 #: What each leg sends to the fusion, by the rule for a top k.

@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.functions.text import dense_text, sparse_fields, weighted_tokens
-from marrow.operators import bm25, embed, notes
+from marrow.operators import blockmax, bm25, embed, notes
 from marrow.sources import vault
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 KEY = ("path", "chunk_seq")
-TABLES = ("notes", "chunks", "vectors", "postings", "doc_len", "terms", "stats")
+TABLES = ("notes", "chunks", "vectors", "postings", "doc_len", "terms", "stats", "blocks")
 
 
 class VaultError(ValueError):
@@ -40,6 +40,7 @@ class Index:
     chunks: DataFrame
     vectors: DataFrame
     sparse: bm25.Postings
+    blocks: blockmax.Blocks
     chunk_count: int
 
 
@@ -73,6 +74,8 @@ def write(spark: SparkSession, files: DataFrame, folder: str, embedder: embed.Em
     put(bm25.doc_lengths(enriched, KEY, words), "doc_len")
     put(bm25.document_frequency(get("postings")), "terms")
     put(bm25.corpus_stats(get("doc_len")), "stats")
+    # in the order of the chunks, so that those of a note share their slabs
+    put(blockmax.blocks(enriched, KEY, words), "blocks")
     shutil.rmtree(f"{folder}/parsed", ignore_errors=True)
 
 
@@ -83,15 +86,19 @@ def open_index(spark: SparkSession, folder: str) -> Index:
     found = {name: get(name) for name in TABLES}
     keys = [F.count("*"), F.bit_xor(F.xxhash64(*KEY))]
     told = {name: found[name].agg(*keys, *more).first() for name, more in (("chunks", ()), ("vectors", ()), ("doc_len", (F.sum("dl"),)), ("postings", (F.sum("tf"),)))}
+    held = found["blocks"].agg(F.sum(F.when(F.col("term").isNull(), F.col("df"))), F.sum(F.when(F.col("term").isNotNull(), F.col("df")))).first()
     terms = found["terms"].agg(F.sum("df")).first()
     stats = found["stats"].first()
+    if (held[0] or 0, held[1] or 0) != (told["chunks"][0], told["postings"][0]):
+        raise ValueError("index is damaged")
     whole = (tuple(told["chunks"]), tuple(told["chunks"]), told["doc_len"][2] or 0, told["postings"][0], told["chunks"][0])
     if not stats or whole != (tuple(told["vectors"]), tuple(told["doc_len"])[:2], told["postings"][2] or 0, terms[0] or 0, stats["doc_count"]):
         raise ValueError("index is damaged")
     if found["chunks"].join(found["notes"], "path", "left_anti").limit(1).count():
         raise ValueError("index is damaged")
     sparse = bm25.Postings(KEY, found["postings"], found["doc_len"], found["terms"], found["stats"])
-    return Index(found["notes"], found["chunks"], found["vectors"], sparse, stats["doc_count"])
+    blocks = blockmax.Blocks(KEY, found["blocks"].where("term IS NOT NULL"), found["doc_len"], found["terms"], found["stats"])
+    return Index(found["notes"], found["chunks"], found["vectors"], sparse, blocks, stats["doc_count"])
 
 
 def cache_base() -> str:

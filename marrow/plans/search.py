@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marrow.functions.text import snippet
-from marrow.operators import bm25, dense, embed, fuse
+from marrow.operators import blockmax, dense, embed, fuse
 from marrow.plans.index import KEY, Index
 
 
@@ -19,7 +19,7 @@ def search(index: Index, queries: DataFrame, top_k: int, embedder: embed.Embedde
     limit = fuse.over_fetch(index.chunk_count, top_k)
     vectors = embed.embed(asked, ("query_id",), F.col("query"), embedder)
     near = dense.topk(index.vectors, vectors, limit, KEY)
-    found = fuse.rrf(fuse.union(near, bm25.search(index.sparse, asked, limit), KEY))
+    found = fuse.rrf(fuse.union(near, blockmax.search(index.blocks, asked, limit), KEY))
     # Candidates are at most twice the limit a query; chunks and notes are looked up for those alone.
     rows = index.chunks.join(F.broadcast(found) if limit <= 500 and asked.count() <= 1000 else found, list(KEY)).join(index.notes, "path").join(asked, "query_id")
     factor = fuse.boost(*(F.col(c) for c in ("query", "name", "title", "h1", "aliases", "tags")))

@@ -146,3 +146,13 @@ def test_tables_of_notes(spark):
     assert first_error(parsed) == "unsupported frontmatter in a.md:2: a list item that belongs to no key"
     rows = {(r["path"], r["body"]) for r in chunk_rows(parsed.where("error IS NULL")).collect()}
     assert rows == {("c.md", "text"), ("d.md", "")}
+
+
+@pytest.mark.parametrize("raw", [b"---\ntags: [" + b",".join(b"t%d" % i for i in range(100_000)) + b"]\n---\n" + b" ".join(b"#u%d" % i for i in range(100_000)), b"x" * 8_000_000, b"`a` " * 500_000, b"paragraph\n\n" * 100_000])
+def test_time_goes_with_the_length(raw):
+    import time
+
+    began = time.process_time()
+    note = parse_note("x.md", raw)
+    assert time.process_time() - began < 15  # seconds; in the square of the length it would be many minutes
+    assert all(len(c["body"].encode()) <= HARD_MAX for c in note["chunks"])
