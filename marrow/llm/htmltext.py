@@ -5,7 +5,12 @@ first pass counts, per host, on how many pages each subtree occurs; those on at
 pages and on `MIN_SHARE` of the host's pages are the site's template. The second pass parses again
 and drops them, and whatever tags, roles, classes or ids mark as menu, header, footer, sidebar, notice,
 advert, form, script, style or reader comment. If a page has an article or main element, the text is
-what is left inside those.
+what is left inside those, unless they are a small part of all that is left (`TEASER`): then it is that.
+
+A name may tell what an element is, or only what the layout is like around it. So names of adverts, comments and
+consent always count, while other marks, on an element with over half of the page's text and most of it not in links,
+say nothing if no article or main element stands outside it. A list of links under a heading that announces
+further reading goes too.
 
 Only hashes are shuffled, and they are counted before the exchange, so that a host with a third of
 all pages is no burden. The templates come as one list a host; the lists are broadcast if there are
@@ -13,12 +18,14 @@ at most `MAX_BROADCAST_HASHES` hashes in all, else joined to the pages by host,
 split the pages of a large host.
 
 Of a class or id only whole names count that are known marks, or a mark and a part of a page
-(`FORMS`); words of other names say nothing. What is in a dropped element is dropped, articles too.
+(`FORMS`), or that end with an advert or comments (`HARD`); words of other names say nothing. What is in a dropped
+element is dropped, articles too.
 
 Nulls: null html gives the empty text; a null url has the empty host, which is a host like any
 other. Repeated pages count as several pages of their host. Broken markup is read as browsers do in
 the main: a block start closes an open paragraph, unclosed elements end with their parent. Empty
-tables give empty tables. Pages of any length are parsed whole, one at a time, without recursion. Only
+tables give empty tables. Pages of any length are parsed whole, one at a time, in time of their length however deep
+they are nested, without recursion. Only
 id, url and html are read, so further columns may have any names. Ties: a subtree on just `MIN_SHARE` of the pages is template.
 """
 
@@ -26,7 +33,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -59,7 +66,18 @@ _WHAT = "ads?|advert(?:isement)?s?|banner|sponsored|promo|nav(?:bar|igation)?|me
 _PART = "[0-9]+|area|articles|author|background|banner|bar|block|body|bottom|box|buttons?|col|column|consent|container|content|feed|footer|form|frame|group|header|icons?|image|inner|inline|item|items|label|left|links?|list|main|media|menu|meta|modal|nav|notice|outer|overlay|panel|popup|posts|primary|right|row|secondary|section|slot|stories|text|thread|title|toggle|top|unit|widgets?|wrap|wrapper|zone"
 _WHERE = "bottom|footer|global|header|inline|in-?article|left|main|mobile|page|primary|right|secondary|side|site|sticky|sub|top|user"
 _THERE = "ads?|advert(?:isement)?|banner|breadcrumbs?|comments|footer|menu|nav|navbar|navigation|sidebar"
-FORMS = re.compile(f"(?:{_WHAT})(?:[-_]+(?:{_PART}))+|(?:{_WHERE})[-_]+(?:{_THERE})|(?:{_WHERE}|post|article|entry)[-_]+(?:share|sharing|social|related|comments)|(?:global|site|top)[-_]+header")
+#: Names of adverts, comments and consent, with whatever stands before, unless that says that there are none or only that there are some.
+HARD = re.compile("(?!(?:no|not|non|with|without|has|have|is|hide|show|un)[-_])(?:[a-z0-9]+[-_]+)*(?:ads?|adsbygoogle|adsense|adslot|adunit|adbox|advert(?:isement)?s?|comments?|comment-?lists?|commentary-list|disqus(?:-thread)?|cookie-?bars?|cookie-?banners?|cookie-?notices?|consent-?banners?|(?:gdpr|ccpa|privacy)-?(?:banner|bar|notice|popup|consent))|(?:[a-z0-9]+[-_]+)*ads?[-_](?:slot|unit|box|banner|container|wrapper|label|block|zone|frame|placeholder)(?:[-_]+[0-9a-z]+)?")
+#: Marks of one word made of two.
+_JOINED = "(?:top|sub|side|main|foot|head|page|site|global|mobile)(?:nav|menu|bar|navbar|navigation)|nav(?:menu|list|links)|(?:newsletter|email|mail)[-_]*(?:signup|sign-up|subscribe|optin|opt-in|form|box)|(?:more|read|further)[-_](?:stories|articles|reading|next)|(?:also|related)[-_](?:like|stories|articles|posts|links|content|news|reading)"
+FORMS = re.compile(f"{_JOINED}|(?:{_WHAT})(?:[-_]+(?:{_PART}))+|(?:{_WHERE})[-_]+(?:{_THERE})|(?:{_WHERE}|post|article|entry)[-_]+(?:share|sharing|social|related|comments)|(?:global|site|top)[-_]+header")
+#: Of these names an element is no main text whatever it holds.
+ALWAYS = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored cookie cookies consent comment comments comentarios disqus respond replies adsbygoogle adsense commentlist".split())
+#: Headings that announce further reading, in part of the languages that pages have; they count only over links.
+FURTHER = re.compile(r"\W*(?:related|recommended|more|read|you (?:may|might)|see also|further reading|also on|popular|trending|à lire|lire aussi|sur le même|articles? (?:liés|similaires)|mehr|weitere|lesen sie|das könnte|artículos relacionados|más|también|te puede|leia|veja)\b", re.I)
+LISTS = frozenset("ul ol div section menu table p".split())
+#: Share of a subtree's text in links from which it is a list of links, and of all text below which an article is a teaser.
+LINKS, TEASER = 0.6, 0.25
 #: An element of the first kind ends an open one of these kinds, if no element of the last kinds is between.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu", "dir")),
@@ -82,29 +100,35 @@ UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 class Node:
-    __slots__ = ("children", "dropped", "hash", "header", "tag")
+    """soft: marked by a name that may be of the layout. size, linked: letters and signs inside that are not dropped, and those of them in links.
+
+    tops: how many articles or main elements it is or holds; under: whether it is inside one.
+    """
+
+    __slots__ = ("children", "dropped", "hash", "header", "heading", "linked", "size", "soft", "tag", "tops", "under")
 
-    def __init__(self, tag: str, dropped: bool = False, header: bool = False):
-        self.tag, self.dropped, self.header, self.children, self.hash = tag, dropped, header, [], 0
+    def __init__(self, tag: str, dropped: bool = False, header: bool = False, soft: bool = False):
+        self.tag, self.dropped, self.header, self.soft, self.children, self.hash = tag, dropped, header, soft, [], 0
 
 
-def told(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether the element's tag and own attributes say that it is no main text, and that it is a header."""
-    dropped, header = tag in DROPPED, tag == "header"
+def told(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the element's tag and own attributes say that it is no main text, that it is a header, and, if nothing else, that a name of the layout says so."""
+    dropped, header, soft = tag in DROPPED, tag == "header", False
     if tag in ("html", "body", "main") or not TELLING.search(attributes):
-        return dropped, header
+        return dropped, header, soft
     for m in ATTRIBUTE.finditer(attributes):
         name = m[1].lower()
         if name in ("class", "id"):
             for word in (m[2] or m[3] or m[4] or "").lower().split():
                 header = header or word == "header"
-                dropped = dropped or word in MARKS or FORMS.fullmatch(word) is not None
+                dropped = dropped or word in ALWAYS or HARD.fullmatch(word) is not None
+                soft = soft or word in MARKS or FORMS.fullmatch(word) is not None
         elif name == "hidden":
             dropped = True
         elif name in ("role", "aria-hidden", "style"):
             value = (m[2] or m[3] or m[4] or "").lower().strip()
             dropped = dropped or (value in DROPPED_ROLES if name == "role" else value == "true" if name == "aria-hidden" else UNSEEN.search(value) is not None)
-    return dropped, header
+    return dropped, header, soft and not dropped
 
 
 def parse(page: str) -> Node:
@@ -112,14 +136,18 @@ def parse(page: str) -> Node:
     stack = [root]
     at = 0
     match, search = TOKEN.match, page.find
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
+
+    def last(tags: tuple) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            places[stack.pop().tag].pop()
 
     def close(kinds: tuple, walls: tuple) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in kinds:
-                del stack[i:]
-                return
-            if stack[i].tag in walls:
-                return
+        if (i := last(kinds)) > last(walls):
+            pop(i)
 
     while at < len(page):
         start = search("<", at)
@@ -129,11 +157,7 @@ def parse(page: str) -> Node:
         if m is None and start < len(page):  # a sign, not a tag
             start += 1
         if start > at:
-            kin = stack[-1].children
-            if kin and isinstance(kin[-1], str):
-                kin[-1] += page[at:start]
-            else:
-                kin.append(page[at:start])
+            stack[-1].children.append(page[at:start])
         at = start
         if m is None:
             continue
@@ -142,10 +166,8 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack[-1].tag != tag:
-                    stack.pop()
-                stack.pop()
+            if i := last((tag,)):
+                pop(i)
             continue
         if not m[0].endswith(">"):  # cut off inside the tag
             continue
@@ -159,10 +181,11 @@ def parse(page: str) -> Node:
         if tag in BLOCK:
             close(("p",), ("button", "table", "td", "th", "caption"))
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            pop(len(stack) - 1)
         node = Node(tag, *told(tag, m[3] or ""))
         stack[-1].children.append(node)
         if tag not in VOID and not (m[3] or "").endswith("/"):
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     return root
 
@@ -195,6 +218,79 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def outermost(root: Node, tags: tuple[str, ...], but: Callable[[Node], bool] = lambda n: False) -> list[Node]:
+    """The kept elements of these tags that have text and are in no other such, in page order; none in what `but` tells."""
+    found, work = [], [root]
+    while work:
+        n = work.pop()
+        if n.tag in tags and n.size:
+            found.append(n)
+        else:
+            work += [c for c in reversed(n.children) if isinstance(c, Node) and not c.dropped and not but(c)]
+    return found
+
+
+def measure(whole: list[Node]) -> None:
+    """size and linked of all elements, from the leaves up."""
+    for n in reversed(whole):
+        n.size = n.linked = 0
+        for c in n.children:
+            if isinstance(c, str):
+                n.size += len(c) - c.count(" ") - c.count("\n") - c.count("\t") - c.count("\r")
+            elif not c.dropped:
+                n.size += c.size
+                n.linked += c.linked
+        if n.tag == "a":
+            n.linked = n.size
+
+
+def drop(n: Node) -> None:
+    """Also what is in it, as soon as its turn comes."""
+    n.dropped = True
+    for c in n.children:
+        if isinstance(c, Node):
+            c.dropped = True
+
+
+def announced(n: Node) -> list[Node]:
+    """Headings of further reading right before links and little else, and these."""
+    kin = [c for c in n.children if isinstance(c, Node) and not c.dropped and c.size]
+    out = []
+    for head, links in zip(kin, kin[1:]):
+        if head.tag in HEADINGS and links.tag in LISTS and links.linked >= LINKS * links.size:
+            words = "".join(entities.unescape(c) for x in order(head) for c in x.children if isinstance(c, str))
+            if FURTHER.match(words.strip()):
+                out += [head, links]
+    return out
+
+
+def judge(root: Node, whole: list[Node]) -> None:
+    """Settle what is dropped, from the marks of the elements and what they hold. whole: as order() gives it."""
+    for n in reversed(whole):
+        n.heading = n.tag in HEADINGS or any(c.heading for c in n.children if isinstance(c, Node))
+    for n in whole:  # a header that holds a heading of its article is kept, others go
+        if n.header and not n.dropped:
+            n.dropped = n in root.children or not n.heading
+        if n.dropped:
+            drop(n)
+    measure(whole)
+    large = lambda n: 2 * n.size > root.size and 2 * n.linked < n.size
+    tops = {id(n) for n in outermost(root, ("article", "main"), lambda n: n.soft and not large(n))}
+    for n in reversed(whole):
+        n.tops = (id(n) in tops) + sum(c.tops for c in n.children if isinstance(c, Node))
+    root.under = False
+    for n in whole:
+        for c in n.children:
+            if isinstance(c, Node):
+                c.under = n.under or id(n) in tops
+        if n.dropped or n.soft and not (large(n) and len(tops) == (1 if n.under else n.tops)):
+            drop(n)
+        elif n.linked:
+            for c in announced(n):
+                c.dropped = True
+    measure(whole)
+
+
 def blocks(page: str, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
     """The blocks of main text in page order."""
     root = parse(page)
@@ -203,13 +299,7 @@ def blocks(page: str, template: frozenset[int] | set[int] = frozenset()) -> list
             if signed(n.hash) in template:
                 n.dropped = True
     whole = order(root)
-    for n in whole:  # a header that holds a heading of its article is kept, others go
-        if n.header and not n.dropped:
-            n.dropped = n in root.children or not any(c.tag in HEADINGS for c in order(n))
-        if n.dropped:  # and all that is in it
-            for c in n.children:
-                if isinstance(c, Node):
-                    c.dropped = True
+    judge(root, whole)
     out: list[str] = []
     text: list[str] = []
 
@@ -218,12 +308,9 @@ def blocks(page: str, template: frozenset[int] | set[int] = frozenset()) -> list
             out.append(block)
         text.clear()
 
-    def has_text(n: Node) -> bool:
-        return any(not c.dropped and any(isinstance(x, str) and not x.isspace() for x in c.children) for c in order(n))
-
-    tops = [n for n in whole if n.tag in ("article", "main") and not n.dropped and has_text(n)]
-    inside = {id(c) for n in tops for c in order(n)[1:]}
-    tops = [n for n in tops if id(n) not in inside] or [root]
+    tops = outermost(root, ("article", "main"))
+    if not tops or sum(n.size - n.linked for n in tops) < TEASER * (root.size - root.linked):
+        tops = [root]
     header_outside = tops == [root]
     # A walk without recursion: elements are entered and, if blocks, left.
     work: list = []

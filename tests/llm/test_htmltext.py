@@ -1,4 +1,5 @@
 import random
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -39,6 +40,45 @@ def test_blocks(page, blocks):
     assert htmltext.blocks(page) == blocks
 
 
+LONG = "<p>" + "Much of the story is told here. " * 8 + "</p>"
+STORY = ("Much of the story is told here. " * 8).strip()
+
+
+@pytest.mark.parametrize("name", ["sidebar-right", "layout sidebar-left", "nav-left content", "menu-content", "banner-content", "header-image", "social", "page-header", "widget"])
+@pytest.mark.parametrize("page", ["<body><nav>n</nav><div id=main class='{}'>{}</div><footer>f</footer>", "<body><div class='{}'><article><h1>T</h1>{}</article></div><div class=sidebar>s <p>more</p></div>", "<body><article class='post {}'>{}</article>", "<body><div class='{0}'><div class='{0}'>{1}</div></div>"])
+def test_names_of_the_layout_leave_the_main_text(page, name):
+    assert htmltext.blocks(page.format(name, LONG))[-1] == STORY
+
+
+@pytest.mark.parametrize("name", ["adsbygoogle", "google-ad", "dfp-ad", "adsense", "reader-comments", "post-comment", "commentlist", "gdpr-banner", "cookiebar", "newsletter-signup", "topnav", "xyz-ad-slot", "my-blog-comments", "ad-slot-17", "privacy-notice"])
+def test_names_of_adverts_and_comments(name):
+    soft = name in ("newsletter-signup", "topnav")
+    junk = f"<div class='{name}'>Buy this. {'Or that. ' * (9 if soft else 60)}</div>"
+    assert htmltext.blocks(f"<article><h1>T</h1>{LONG}{junk}<p>end</p></article>") == ["T", STORY, "end"]
+    if not soft:  # even where it is most of the page
+        assert htmltext.blocks(f"<body>{LONG}{junk}{junk}") == [STORY]
+
+
+@pytest.mark.parametrize("name", ["no-comments", "with-ads", "ad-hoc", "commentary", "load", "without-sidebar", "read-advice", "social-history", "navigation-in-birds", "xq-content-area", "uncommented"])
+def test_other_names_say_nothing(name):
+    assert htmltext.blocks(f"<article>{LONG}<div class='{name}'>kept</div></article>") == [STORY, "kept"]
+
+
+def test_further_reading():
+    links = "<ul><li><a href=1>One story</a><li><a href=2>Another story</a></ul>"
+    assert htmltext.blocks(f"<main><h1>T</h1>{LONG}<section><h2>Related stories</h2>{links}</section></main>") == ["T", STORY]
+    assert htmltext.blocks(f"<main>{LONG}<h3>You may also like</h3>{links}<p>end</p></main>") == [STORY, "end"]
+    assert htmltext.blocks(f"<main>{LONG}<h2>Sources</h2>{links}</main>") == [STORY, "Sources", "One story", "Another story"]
+    assert htmltext.blocks(f"<main>{LONG}<h2>Related work</h2><p>Told in <a href=x>one</a> and by many others.</p></main>")[1:] == ["Related work", "Told in one and by many others."]
+
+
+def test_a_teaser_is_not_the_article():
+    assert htmltext.blocks(f"<body><div class=post>{LONG}</div><article class=teaser>short</article>") == [STORY, "short"]
+    assert htmltext.blocks(f"<body><div class=post>{LONG}</div><section class=related><article>short</article></section>") == [STORY]
+    assert htmltext.blocks(f"<body><div class='layout sidebar-left'>{LONG}</div><section class=related><article>short</article></section>") == [STORY]
+    assert htmltext.blocks(f"<body><div>{LONG}</div><section id=comments><article>reader {'says ' * 99}</article></section>") == [STORY]
+
+
 def test_built_pages_give_what_went_in():
     """Pages built of parts whose text is known, nested at random: the blocks that belong to the article come out, all and in order."""
     rng = random.Random(8)
@@ -97,6 +137,28 @@ def test_all_given_pages_against_another_parser(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 200_000 + "x",
+        "<div class=sidebar>" * 60_000 + "x" + "</div>" * 60_000,
+        "<i>" * 100_000 + "</b>" * 100_000 + "x",
+        "<article>" * 100_000 + "x",
+        "<article><header><h2>" * 40_000 + "x",
+        "<p><i>" * 100_000 + "<div>x",
+        "<td><div>" * 100_000 + "x",
+        "a < b " * 200_000,
+        "<!-- c -->a" * 100_000,
+        "<section><h2>more</h2><ul><li><a>" * 30_000 + "x",
+    ],
+)
+def test_time_goes_with_the_length(page):
+    began = time.process_time()
+    htmltext.blocks(page)
+    htmltext.hashed(htmltext.parse(page))
+    assert time.process_time() - began < 10  # some seconds at most on a slow machine; in the square of the depth it would be hours
+
+
 def test_deep_and_long_pages():
     assert htmltext.blocks("<div>" * 5000 + "x" + "</div>" * 5000) == ["x"]
     assert htmltext.blocks("<p>a</p>" * 20000) == ["a"] * 20000
