@@ -1,13 +1,14 @@
 """BM25 over postings in blocks that tell beforehand how much they can give.
 
-Texts are read in segments, and a segment in slabs of a few texts. A term has one row in a segment: its postings, and
-for each slab the greatest tf and the least dl / tf there, from which no posting of the slab can score more than
+Texts are read in segments and put in order of their length there; a few that follow each other are a slab. A term has one row in a
+segment: its postings, and for each slab that has it the greatest tf and the least whole dl / tf, from which no posting of the
+slab can score more than
 
     (K1 + 1) / (1 + K1 * ((1 - B) / greatest tf + B * least (dl / tf) / avgdl))
 
-whatever the mean length is in the end, so that further segments can be added to what is written. A search sums these
-bounds for each query and slab, scores the postings of the foremost slabs in full, and then of those slabs alone whose bound
-reaches the score that the query's last place has by then. Nothing is exchanged to build the blocks.
+whatever the mean length is in the end, so that further segments can be added to what is written. Nothing is exchanged to
+build them. A search sends the rows of its words to where their segment meets a block of queries, sums the bounds of each slab, scores
+the foremost slabs in full, and then those slabs alone whose bound reaches the score that the query's last place has by then.
 """
 
 from __future__ import annotations
@@ -22,114 +23,172 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marrow.operators import bm25
 
-#: Texts of a slab, and of a segment unless its words are more.
-SLAB, SEGMENT, SEGMENT_WORDS = 32, 4096, 1_000_000
-#: Numbers that tell which slabs are asked for and may be broadcast.
-MAX_BROADCAST_NUMBERS = 3_000_000
+#: Texts of a slab, and of a segment unless its words are more; queries of a block.
+SLAB, SEGMENT, SEGMENT_WORDS, QUERIES = 8, 4096, 600_000, 256
 SLACK = 1e-5  # scores are rounded to six places
 
 
 @dataclass(frozen=True)
 class Blocks:
-    """blocks (term, segment, df, slabs, postings), doc_len (key, dl), terms (term, df), stats (doc_count, avgdl)."""
+    """blocks (term, segment, df, docs, tfs, most, per), texts (segment, keys, dls), doc_len (key, dl), stats (doc_count, avgdl)."""
 
     key: tuple[str, ...]
     blocks: DataFrame
+    texts: DataFrame
     doc_len: DataFrame
-    terms: DataFrame
     stats: DataFrame
 
+    def terms(self) -> DataFrame:
+        return self.blocks.groupBy("term").agg(F.sum("df").alias("df"))
 
-def blocks(docs: DataFrame, key: tuple[str, ...], weighted: Column) -> DataFrame:
-    """(term, segment, df, slabs, postings) of texts given as array<struct<term, weight>>; the row without a term has all texts, with tf 0.
 
-    slabs: array<struct<slab, tf, per>>, postings: array<struct<slab, key, tf, dl>>, in the order in which the texts are read.
+def cut(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Segments: so many rows, or words in a column of lists."""
+    for batch in batches:
+        ends, at = np.cumsum(np.asarray(pa.compute.list_value_length(batch.column(column)).fill_null(0), np.int64)), 0
+        while at < batch.num_rows:
+            n = max(1, min(most, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SEGMENT_WORDS, side="right")) - at))
+            yield batch.slice(at, n)
+            at += n
+
+
+def counted(batch: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of a batch; of each term and text, in order of both, the numbers and how often; and the lengths of the texts."""
+    lists = batch.column(column)
+    of = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(lists).fill_null(0)))
+    flat = lists.flatten()
+    words, times = (flat.field("term"), np.asarray(flat.field("weight"), np.int64)) if pa.types.is_struct(flat.type) else (flat, np.ones(len(flat), np.int64))
+    coded = pa.compute.dictionary_encode(words)
+    place = np.asarray(coded.indices, np.int64) * max(1, batch.num_rows) + of
+    order = np.argsort(place, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(place[order]) > 0][: len(place)])
+    code, doc = np.divmod(place[order][first], max(1, batch.num_rows))
+    tf = np.add.reduceat(times[order], first) if len(first) else times
+    return coded.dictionary.cast(pa.string()), code, doc, tf, np.bincount(of, times, batch.num_rows).astype(np.int64)
+
+
+def blocks(docs: DataFrame, key: tuple[str, ...], words: Column) -> DataFrame:
+    """(term, segment, df, docs, tfs, most, per, keys, dls) of texts given as array<string> or array<struct<term, weight>>.
+
+    docs: places in the segment's order of length. The row without a term has the keys and lengths of the segment's texts.
     """
-    width = len(key)
+    width, size, few = len(key), SEGMENT, SLAB
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, at = np.asarray(pa.compute.list_value_length(batch.column(width)).fill_null(0)), 0
-            while at < batch.num_rows:
-                n = max(1, min(SEGMENT, int(np.searchsorted(np.cumsum(sizes[at : at + SEGMENT]), SEGMENT_WORDS, side="right"))))
-                yield batch.slice(at, n)
-                at += n
+    def lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """A list a term, and one that is null."""
+        held = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(values.astype(np.int32)))
+        return pa.concat_arrays([held, pa.array([None], held.type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segment = TaskContext.get().partitionId() << 32
-        for batch in cut(batches):
+        for batch in cut(batches, width, size):
             segment += 1
-            lists = batch.column(width)
-            of = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(lists).fill_null(0)))
-            flat = lists.flatten()
-            times = np.asarray(flat.field("weight"), np.int64)
-            dl = np.bincount(of, times, batch.num_rows).astype(np.int64)
-            words = pa.compute.dictionary_encode(flat.field("term"))
-            place = np.asarray(words.indices, np.int64) * batch.num_rows + of  # by term, then text
-            order = np.argsort(place, kind="stable")
-            first = np.flatnonzero(np.r_[True, np.diff(place[order]) > 0][: len(place)])
-            code, doc = np.divmod(place[order][first], batch.num_rows)
-            tf = np.add.reduceat(times[order], first) if len(first) else times
+            dictionary, code, doc, tf, dl = counted(batch, width)
+            by_length = np.argsort(dl, kind="stable")
+            rank = np.empty(len(dl), np.int64)
+            rank[by_length] = np.arange(len(dl))
+            doc = rank[doc]
+            order = np.lexsort((doc, code))
+            code, doc, tf, dl = code[order], doc[order], tf[order], dl[by_length]
             new = np.r_[True, code[1:] != code[:-1]][: len(code)]
-            slab = (doc // SLAB).astype(np.int32)
-            begin = np.flatnonzero(new | np.r_[True, slab[1:] != slab[:-1]][: len(code)])  # of a slab of a term
-            terms = np.flatnonzero(new)
+            begin = np.flatnonzero(new | np.r_[True, doc[1:] // few != doc[:-1] // few][: len(code)])  # of a slab of a term
             most = np.maximum.reduceat(tf, begin) if len(begin) else tf
-            per = np.minimum.reduceat(dl[doc] / tf, begin) if len(begin) else dl[doc] / 1.0
-            # the texts themselves come last
-            every = np.arange(batch.num_rows)
-            rows = np.r_[doc, every]
-            fields = [pa.array((rows // SLAB).astype(np.int32)), *(batch.column(i).take(pa.array(rows)) for i in range(width)), pa.array(np.r_[tf, np.zeros(len(every), np.int64)]), pa.array(dl[rows])]
-            postings = pa.StructArray.from_arrays(fields, names=["slab", *key, "tf", "dl"])
-            slabs = pa.StructArray.from_arrays([pa.array(slab[begin]), pa.array(most), pa.array(per)], names=["slab", "tf", "per"])
-            n, ends = len(terms), np.r_[terms, len(doc), len(rows)].astype(np.int32)
-            slab_ends = np.r_[np.searchsorted(begin, terms), len(begin), len(begin)].astype(np.int32)
+            per = np.minimum.reduceat(dl[doc] // tf, begin) if len(begin) else tf
+            terms, n = np.flatnonzero(new), int(new.sum())
+            ends = np.r_[terms[1:], len(code)] if n else np.zeros(0, np.int64)
+            slab_ends = np.searchsorted(begin, ends)
+            keys = pa.StructArray.from_arrays([batch.column(i).take(pa.array(by_length)) for i in range(width)], names=list(key))
+            last = pa.array([0] * (n + 1) + [batch.num_rows], pa.int32())
             columns = [
-                pa.concat_arrays([words.dictionary.take(pa.array(code[terms])).cast(pa.string()), pa.array([None], pa.string())]),
+                pa.concat_arrays([dictionary.take(pa.array(code[terms])), pa.array([None], pa.string())]),
                 pa.array(np.full(n + 1, segment)),
-                pa.array(np.diff(ends).astype(np.int64)),
-                pa.ListArray.from_arrays(pa.array(slab_ends), slabs),
-                pa.ListArray.from_arrays(pa.array(ends), postings),
+                pa.array(np.r_[np.diff(np.r_[0, ends]), batch.num_rows].astype(np.int64)),
+                *(lists(x, e) for x, e in ((doc, ends), (tf, ends), (most, slab_ends), (per, slab_ends))),
+                pa.ListArray.from_arrays(last, keys),
+                pa.ListArray.from_arrays(last, pa.array(dl)),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["term", "segment", "df", "slabs", "postings"])
+            yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
-    posting = T.StructType([T.StructField("slab", T.IntegerType()), *(docs.schema[k] for k in key), T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType())])
-    slab = T.StructType([T.StructField("slab", T.IntegerType()), T.StructField("tf", T.LongType()), T.StructField("per", T.DoubleType())])
-    fields = (("term", T.StringType()), ("segment", T.LongType()), ("df", T.LongType()), ("slabs", T.ArrayType(slab)), ("postings", T.ArrayType(posting)))
-    # null words of a text are none
-    whole = F.filter(weighted, lambda x: x["term"].isNotNull() & (x["weight"] > 0))
-    return docs.select(*key, whole.alias("w")).mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in fields]))
+    ints = T.ArrayType(T.IntegerType())
+    kinds = (T.StringType(), T.LongType(), T.LongType(), ints, ints, ints, ints, T.ArrayType(T.StructType([docs.schema[k] for k in key])), T.ArrayType(T.LongType()))
+    read = docs.select(*key, words.alias("w"))
+    if isinstance(read.schema["w"].dataType.elementType, T.StructType):
+        read = read.withColumn("w", F.filter("w", lambda x: x["term"].isNotNull() & (x["weight"] > 0)))
+    return read.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(NAMES, kinds, strict=True)]))
 
 
-def opened(written: DataFrame, key: tuple[str, ...]) -> Blocks:
-    """What blocks() gave, as written and read back."""
-    texts = written.where("term IS NULL").select(F.explode("postings").alias("p"))
-    doc_len = texts.select(*[F.col(f"p.{k}").alias(k) for k in key], "p.dl")
-    held = written.where("term IS NOT NULL")
-    return Blocks(key, held, doc_len, held.groupBy("term").agg(F.sum("df").alias("df")), bm25.corpus_stats(doc_len))
+NAMES = ["term", "segment", "df", "docs", "tfs", "most", "per", "keys", "dls"]
 
 
-def bounds(index: Blocks, asked: DataFrame) -> DataFrame:
-    """(query_id, segment, slab, bound) of every slab that has a word of the query."""
-    each = index.blocks.select("term", "segment", "slabs").join(asked, "term").select("query_id", "segment", "weight", "avgdl", F.explode("slabs").alias("s"))
-    most = (bm25.K1 + 1) / (1 + bm25.K1 * ((1 - bm25.B) / F.col("s.tf") + bm25.B * F.col("s.per") / F.col("avgdl")))
-    return each.groupBy("query_id", "segment", "s.slab").agg(F.sum(F.col("weight") * most).alias("bound"))
+def opened(written: DataFrame, key: tuple[str, ...]) -> Blocks:
+    """What blocks() gave, as written and read back."""
+    texts = written.where("term IS NULL").select("segment", "keys", "dls")
+    doc_len = texts.select(F.explode(F.arrays_zip("keys", "dls")).alias("x")).select(*[F.col(f"x.keys.{k}").alias(k) for k in key], F.col("x.dls").alias("dl"))
+    held = written.where("term IS NOT NULL").drop("keys", "dls")
+    return Blocks(key, held, texts, doc_len, bm25.corpus_stats(doc_len))
 
 
-def scored(index: Blocks, asked: DataFrame, wanted: DataFrame, settle: Callable) -> DataFrame:
-    """(query_id, key, score) of the texts in the slabs wanted (query_id, segment, slab)."""
-    listed = settle(wanted.groupBy("query_id", "segment").agg(F.collect_set("slab").alias("slabs")).join(asked, "query_id"), "blockmax-listed")
-    few = (listed.agg(F.sum(F.size("slabs") + 10)).first()[0] or 0) <= MAX_BROADCAST_NUMBERS
-    held = index.blocks.select("term", "segment", "postings")
-    hits = held.join(F.broadcast(listed) if few else listed, ["term", "segment"])
-    hits = hits.select("query_id", "weight", "avgdl", F.explode(F.filter("postings", lambda p: F.array_contains(F.col("slabs"), p["slab"]))).alias("p"))
-    tf = F.col("p.tf")
-    part = F.col("weight") * tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * F.col("p.dl") / F.col("avgdl")))
-    keys = [F.col(f"p.{k}").alias(k) for k in index.key]
-    return hits.groupBy("query_id", *keys).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+@dataclass(frozen=True)
+class Segment:
+    """The words of a block of queries in one segment: their postings one after the other, and where each word's begin."""
+
+    size: int  # texts of a slab
+    avgdl: float
+    dl: np.ndarray
+    docs: np.ndarray
+    tfs: np.ndarray
+    start: np.ndarray
+    most: np.ndarray
+    per: np.ndarray
+    slab: np.ndarray
+    slab_start: np.ndarray
+
+    def foremost(self, terms: np.ndarray, weights: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(texts, scores) among which are the best of a query that has these words, all of the last score too; and of how many slabs postings were read."""
+
+        def ranges(start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            n = start[terms + 1] - start[terms]
+            return np.repeat(start[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum()), np.repeat(weights, n)
+
+        at, weight = ranges(self.slab_start)
+        most = (bm25.K1 + 1) / (1 + bm25.K1 * ((1 - bm25.B) / self.most[at] + bm25.B * self.per[at] / self.avgdl))
+        bound = np.bincount(self.slab[at], weight * most, -(-len(self.dl) // self.size))
+        at, weight = ranges(self.start)
+        slab = self.docs[at] // self.size
+
+        def scores(wanted: np.ndarray) -> np.ndarray:
+            read = wanted[slab]
+            some = at[read]
+            doc, tf = self.docs[some], self.tfs[some]
+            part = weight[read] * tf * (bm25.K1 + 1) / (tf + bm25.K1 * (1 - bm25.B + bm25.B * self.dl[doc] / self.avgdl))
+            return np.round(np.bincount(doc, part, len(self.dl)), 6)
+
+        wanted = np.zeros(len(bound), bool)
+        first = min(len(bound), -(-limit // self.size) + 1)
+        wanted[np.argpartition(bound, len(bound) - first)[len(bound) - first :]] = True
+        found = scores(wanted)
+        least = np.partition(found, len(found) - limit)[len(found) - limit] if len(found) > limit else 0.0
+        more = (bound + SLACK >= least) & (bound > 0) & ~wanted
+        if more.any():
+            found += scores(more)
+        if len(found) > limit:
+            least = max(least, np.partition(found, len(found) - limit)[len(found) - limit])
+        doc = np.flatnonzero((found > 0) & (found >= least))
+        return doc, found[doc], int(np.isin(self.slab[ranges(self.slab_start)[0]], np.flatnonzero(wanted | more)).sum())
+
+
+def segment(table: pa.Table, size: int, avgdl: float, dl: np.ndarray) -> Segment:
+    """Of rows (docs, tfs, most, per), one a word."""
+    flat = {c: np.asarray(table[c].combine_chunks().flatten(), np.int64) for c in ("docs", "tfs", "most", "per")}
+    start, slab_start = (np.r_[0, np.cumsum(np.asarray(pa.compute.list_value_length(table[c].combine_chunks()), np.int64))] for c in ("docs", "most"))
+    of = np.repeat(np.arange(table.num_rows), np.diff(start))
+    slab = flat["docs"] // size
+    new = np.r_[True, (slab[1:] != slab[:-1]) | (of[1:] != of[:-1])][: len(slab)]
+    return Segment(size, avgdl, dl, flat["docs"], flat["tfs"], start, flat["most"], flat["per"], slab[new], slab_start)
 
 
 def search(index: Blocks, queries: DataFrame, limit: int, settle: Callable = lambda df, name: df) -> DataFrame:
@@ -137,13 +196,42 @@ def search(index: Blocks, queries: DataFrame, limit: int, settle: Callable = lam
 
     settle: writes a small table and reads it back (else it is worked out again wherever it is needed).
     """
-    terms = bm25.query_terms(queries)
+    terms = settle(bm25.query_terms(queries), "blockmax-terms")
     few = terms.count() <= bm25.MAX_BROADCAST_TERMS
-    known = index.terms.join(F.broadcast(terms) if few else terms, "term").crossJoin(F.broadcast(index.stats))  # stats is one row
-    weight = bm25.idf(F.col("doc_count"), F.col("df")) * F.col("times")
-    asked = settle(known.select("query_id", "term", weight.alias("weight"), "avgdl"), "blockmax-asked")
-    slabs = settle(bounds(index, F.broadcast(asked) if few else asked), "blockmax-bounds")
-    first = bm25.ranked(slabs.withColumnRenamed("bound", "score"), ("segment", "slab"), limit)
-    last = bm25.ranked(scored(index, asked, first, settle), index.key, limit).where(F.col("rank") == limit - 1).select("query_id", F.col("score").alias("least"))
-    wanted = slabs.join(last, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + SLACK >= F.col("least"))).drop("least")
-    return bm25.ranked(scored(index, asked, wanted, settle), index.key, limit)
+    sent = F.broadcast if few else lambda df: df
+    held = index.blocks.join(sent(terms.select("term").distinct()), "term", "left_semi")
+    df = held.groupBy("term").agg(F.sum("df").alias("n"))
+    n_blocks = max(1, -(-queries.count() // QUERIES))
+    known = df.join(terms, "term").crossJoin(F.broadcast(index.stats))  # stats is one row
+    known = known.withColumn("weight", bm25.idf(F.col("doc_count"), F.col("n")) * F.col("times")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    asked = settle(known.groupBy("block", "term", "avgdl").agg(F.collect_list(F.struct("query_id", "weight")).alias("asked")), "blockmax-asked")  # a block's queries
+    rows = index.blocks.join(sent(asked), "term").select("block", "segment", "avgdl", "asked", "docs", "tfs", "most", "per")
+    texts = index.texts.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    fields = [queries.schema["query_id"], *(index.doc_len.schema[k] for k in index.key), T.StructField("score", T.DoubleType())]
+    types = [(f.name, to_arrow_type(f.dataType)) for f in fields]
+    key, size = index.key, SLAB
+
+    def run(cell: tuple, table: pa.Table) -> pa.Table:
+        own = table.filter(pa.compute.is_valid(table["keys"]))
+        words = table.filter(pa.compute.is_valid(table["docs"]))
+        if not words.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in types})
+        here = segment(words, size, words["avgdl"][0].as_py(), np.asarray(own["dls"].combine_chunks().flatten(), np.float64))
+        lists = words["asked"].combine_chunks()
+        ids = lists.flatten().field("query_id")
+        of = pa.compute.dictionary_encode(ids, null_encoding="encode")
+        query, weight = np.asarray(of.indices), np.asarray(lists.flatten().field("weight"))
+        term = np.repeat(np.arange(words.num_rows), np.asarray(pa.compute.list_value_length(lists)))
+        order = np.argsort(query, kind="stable")
+        found = []
+        for some in np.split(order, np.flatnonzero(np.diff(query[order])) + 1):
+            doc, score, _ = here.foremost(term[some], weight[some], limit)
+            found.append((np.full(len(doc), query[some[0]]), doc, score))
+        query, doc, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        keys = own["keys"].combine_chunks().flatten().take(pa.array(doc))
+        columns = [of.dictionary.take(pa.array(query)), *(keys.field(k) for k in key), pa.array(score)]
+        return pa.table({n: c.cast(t) for (n, t), c in zip(types, columns, strict=True)})
+
+    cells = rows.unionByName(texts, allowMissingColumns=True).groupBy("block", "segment")
+    best = cells.applyInArrow(run, T.StructType(fields))
+    return bm25.ranked(best, index.key, limit)

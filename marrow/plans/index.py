@@ -16,7 +16,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,7 +97,7 @@ def open_index(spark: SparkSession, folder: str) -> Index:
     if found["chunks"].join(found["notes"], "path", "left_anti").limit(1).count():
         raise ValueError("index is damaged")
     sparse = bm25.Postings(KEY, found["postings"], found["doc_len"], found["terms"], found["stats"])
-    blocks = blockmax.Blocks(KEY, found["blocks"].where("term IS NOT NULL"), found["doc_len"], found["terms"], found["stats"])
+    blocks = replace(blockmax.opened(found["blocks"], KEY), doc_len=found["doc_len"], stats=found["stats"])
     return Index(found["notes"], found["chunks"], found["vectors"], sparse, blocks, stats["doc_count"])
 
 
