@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.functions import text as X
-from marrow.operators import blockmax, bm25, dense, embed, fuse, notes
+from marrow.operators import blockmax, bm25, dense, embed, forward, fuse, learn, notes
 from marrow.plans import index
 from marrow.session import shared_dir
+from marrow.sources import vault
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,11 +127,28 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bm25_batch over postings that are written in blocks with their bounds, and read only where a bound reaches the last place."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = blockmax.opened(settled(blockmax.blocks(docs, ("doc_id",), bm25.plain(F.col("text"))), "blocks"), ("doc_id",))
+    index = blockmax.opened(settled(blockmax.blocks(docs, ("doc_id",), X.tokens(F.col("text"))), "blocks"), ("doc_id",))
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return blockmax.search(index, questions, TOP, settled)
 
 
+@query(
+    f"""WITH {bm25_sql('SELECT item_id AS query_id, text AS query FROM benchmark', TOP)}
+SELECT query_id, doc_id, any_value(score) AS score, count(*) AS n_terms, sum(tf)::BIGINT AS n_words FROM sparse JOIN asked USING (query_id) JOIN tf USING (doc_id, term) GROUP BY query_id, doc_id"""
+)
+def bm25_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of bm25_batch as pairs, scored anew from a forward index: the score, how many of the question's words are in the text, and how often."""
+    docs, key = table(spark, sf_dir, "documents").select("doc_id", "text"), ("doc_id",)
+    words = bm25.plain(F.col("text"))
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    index = settled(forward.build(docs, key, words), "forward")
+    terms = settled(index.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "forward-terms")
+    pairs = settled(bm25.search_texts(docs, key, F.col("text"), questions, TOP).select("query_id", *key), "pairs")
+    found = forward.score(index, key, terms, bm25.corpus_stats(index), questions, pairs)
+    tf = F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + x["tf"])
+    return found.select("query_id", "doc_id", "score", F.size("parts").cast("long").alias("n_terms"), tf.alias("n_words"))
+
+
 FIELDED_SQL = f"""
 WITH words AS (
     SELECT doc_id, unnest(list_concat({TOKENS.format('text')}, {TOKENS.format('source')}, {TOKENS.format('lang')}, {TOKENS.format('lang')}, {TOKENS.format('lang')})) AS term FROM documents
@@ -178,6 +198,17 @@ def dense_block_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.block_topk(vectors, vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), TOP, ("vec_id",))
 
 
+@query()
+def static_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all documents by a static model that is learned from them; no SQL for that, tests compare the model with a dense factorisation."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    coded = settled(learn.token_ids(table(spark, sf_dir, "documents"), ("doc_id",), "text", tokenizer), "token-ids")
+    return learn.learn(coded, tokenizer, settled).vectors(coded, ("doc_id",))
+
+
 # --- Fusion and ranking: vectors stand for the documents of the same id, sources for notes
 
 #: What each leg sends to the fusion, by the rule for a top k.
@@ -247,6 +278,38 @@ def boost_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosts(spark, sf_dir, "#fr")
 
 
+#: Questions put to every customer's note: in words that name it, or one of its tags, or nearly.
+ASKED = {
+    "name": ("c_custkey::VARCHAR", lambda c: c("name")),
+    "title": ("c_name", lambda c: c("title")),
+    "h1": ("'Customer'", lambda c: c("h1")),
+    "alias": ("c_mktsegment", lambda c: c("aliases")[0]),
+    "second alias": ("n_name || ', nation'", lambda c: c("aliases")[1]),
+    "tag": ("'#' || n_name", lambda c: F.concat(F.lit("#"), c("tags")[0])),
+    "tag within": ("'about (#' || n_name || '), please'", lambda c: F.concat(F.lit("about (#"), c("tags")[0], F.lit("), please"))),
+    "longer tag": ("'#' || n_name || '-coast'", lambda c: F.concat(F.lit("#"), c("tags")[0], F.lit("-coast"))),
+    "joined tag": ("'x#' || n_name", lambda c: F.concat(F.lit("x#"), c("tags")[0])),
+    "joined at first": ("'x#' || n_name || ' #' || n_name", lambda c: F.concat(F.lit("x#"), c("tags")[0], F.lit(" #"), c("tags")[0])),
+    "case": ("lower(c_name)", lambda c: F.lower(c("title"))),
+    "blank": ("c_name || ' '", lambda c: F.concat(c("title"), F.lit(" "))),
+}
+NAMES, TAGS = ("name", "title", "h1", "alias", "second alias"), ("tag", "tag within")
+
+
+@query(
+    "WITH asked AS ("
+    + " UNION ALL ".join(f"SELECT c_custkey, '{k}' AS how, {sql} AS question FROM customer JOIN nation ON c_nationkey = n_nationkey" for k, (sql, _) in ASKED.items())
+    + f") SELECT 'customers/' || c_custkey || '.md' AS path, how, question, CASE WHEN how IN {NAMES} THEN 1.5 WHEN how IN {TAGS} THEN 1.25 ELSE 1 END::DOUBLE AS boost FROM asked"
+)
+def boost_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's note, read from its markdown, asked for by each of its names and tags, and by what is nearly one: what the score is multiplied by."""
+    notes_of = notes.parse(customer_files(spark, sf_dir)).drop("chunks", "error")
+    asked = F.explode(F.array(*[F.struct(F.lit(k).alias("how"), f(F.col).alias("question")) for k, (_, f) in ASKED.items()]))
+    rows = notes_of.select("*", asked.alias("q")).select("path", "name", "title", "h1", "aliases", "tags", "q.how", "q.question")
+    factor = fuse.boost(*(F.col(c) for c in ("question", "name", "title", "h1", "aliases", "tags")))
+    return rows.select("path", "how", "question", factor.cast("double").alias("boost"))
+
+
 @query(f"WITH {RRF}, named AS (SELECT f.*, source FROM fused f JOIN documents USING (doc_id)), {SATURATED} SELECT doc_id, source, place, round(adjusted::DOUBLE, 9) AS score FROM placed WHERE place <= {TOP}")
 def saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = fuse.saturate(named(spark, sf_dir), "source", ("doc_id",), TOP)
@@ -394,3 +457,44 @@ def file_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), "doc_id").alias("path"), F.col("n_chars").alias("size"), F.lit(1).cast("long").alias("mtime_ns"))
     after = docs.where("doc_id % 10 <> 7").withColumn("size", F.col("size") + F.when(F.col("doc_id") % 10 == 5, 1).otherwise(0))
     return index.changes(docs.where("doc_id % 10 <> 3"), after)
+
+
+#: Files of a folder that are no notes, or in folders that are skipped.
+NO_NOTES = (".trash/old.md", ".git/x.md", "deep/node_modules/y.md", ".obsidian/z.md", "plain.txt", "md", "x.md.bak")
+
+
+def note_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A new folder below the shared one with a note for every document, by its source, and what a vault may hold besides."""
+    shared = shared_dir(spark).removeprefix("file://")
+    if not shared.startswith("/"):
+        raise ValueError("notes are files: the shared folder must be mounted where the executors are")
+    root = f"{shared}/notes-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                os.makedirs(os.path.dirname(f"{root}/{path}"), exist_ok=True)
+                with open(f"{root}/{path}", "wb") as f:  # again if the task is run again: the same
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("path")], names=["path"])
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("source", F.lit("none")).alias("source"))
+    # names of every kind that are notes: hidden ones, in upper case, with blanks
+    name = F.element_at(F.array(F.lit("doc-%d.md"), F.lit(".doc %d.md"), F.lit("_doc-%d.MD"), F.lit("d/e/\u00e9-%d.Md")), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    files = note_files(docs, F.concat("source", F.lit("/"), F.replace(name, F.lit("%d"), F.col("doc_id").cast("string"))), F.col("text"))
+    others = docs.select("source").distinct().select(F.explode(F.array(*[F.concat("source", F.lit(f"/{x}")) for x in NO_NOTES])).alias("path"))
+    files.unionByName(note_files(others, F.col("path"), F.lit("no note"))).mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
+@query(
+    """
+WITH docs AS (SELECT doc_id, coalesce(source, 'none') AS source, coalesce(text, '') AS text FROM documents)
+SELECT source || '/' || replace(['doc-%d.md', '.doc %d.md', '_doc-%d.MD', 'd/e/\u00e9-%d.Md'][doc_id % 4 + 1], '%d', doc_id::VARCHAR) AS path, strlen(text) AS size, sha256(text) AS sha256 FROM docs
+""".replace("\\u00e9", "\u00e9")
+)
+def vault_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file, found again by the vault source: paths, sizes and contents."""
+    vault.register(spark)
+    found = spark.read.format("vault").load(note_folder(spark, sf_dir))
+    return found.select("path", "size", F.sha2("content", 256).alias("sha256"))
