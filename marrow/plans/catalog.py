@@ -15,7 +15,7 @@ from marrow.functions import text as X
 from marrow.operators import blockmax, bm25, dense, embed, forward, fuse, learn, notes
 from marrow.plans import index
 from marrow.session import shared_dir
-from marrow.sources import vault
+from marrow.sources import sinks, vault
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -498,3 +498,49 @@ def vault_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vault.register(spark)
     found = spark.read.format("vault").load(note_folder(spark, sf_dir))
     return found.select("path", "size", F.sha2("content", 256).alias("sha256"))
+
+
+# --- Sinks
+
+
+def answer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers to all questions as results of a search, with names that are hard to write."""
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    hits = text_search(spark, sf_dir, questions, TOP)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n")).alias("b"))
+    few = table(spark, sf_dir, "benchmark").count() * TOP <= 400_000
+    rows = docs.join(F.broadcast(hits) if few else hits, "doc_id")
+    trail = F.when(F.col("rank") == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit('a "'), F.coalesce("lang", F.lit("?")), F.lit('"\\\x01\x08\x0c\x1f/')), F.lit("é\t\r")))
+    lines = (F.lit(1) + F.length("b") - F.length(F.replace("b", F.lit("\n"), F.lit("")))).cast("long")
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return rows.select("query_id", (F.col("rank") + 1).alias("place"), path.alias("path"), trail.alias("heading_trail"), F.lit(1).cast("long").alias("start_line"), lines.alias("end_line"), "score", X.snippet(F.col("b"), sinks.JSON_SNIPPET).alias("snippet"))
+
+
+ANSWERED = f"""WITH {bm25_sql('SELECT item_id AS query_id, text AS query FROM benchmark', TOP)},
+found AS (SELECT query_id, rank, score, coalesce(source, 'none') || '/' || doc_id || '.md' AS path, coalesce(lang, '?') AS lang, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) AS b FROM sparse JOIN documents USING (doc_id)),
+results AS (SELECT *, CASE WHEN rank = 0 THEN [] ELSE ['a "' || lang || '"' || chr(92) || chr(1) || chr(8) || chr(12) || chr(31) || '/', 'é' || chr(9) || chr(13)] END AS trail,
+       1 + len(b) - len(replace(b, chr(10), '')) AS last,
+       CASE WHEN strlen(b) <= 240 THEN b ELSE b[1 : list_max(list_filter(range(0, 241), lambda i: strlen(b[1:i]) <= 240))] END AS snippet FROM found)"""
+#: A JSON string of a column, in SQL; the control characters are those that the answers have.
+QUOTED = "'\"' || replace(replace(replace(replace(replace(replace(replace(replace(replace({}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't'), chr(1), chr(92) || 'u0001'), chr(8), chr(92) || 'u0008'), chr(12), chr(92) || 'u000c'), chr(31), chr(92) || 'u001f') || '\"'"
+
+
+@query(
+    f"""{ANSWERED}
+SELECT '{{"results":[' || string_agg('{{"path":' || {QUOTED.format('path')} || ',"heading_trail":[' || array_to_string(list_transform(trail, lambda h: {QUOTED.format('h')}), ',') || '],"start_line":1,"end_line":' || last
+    || ',"score":' || printf('%.6f', score) || ',"snippet":' || {QUOTED.format('snippet')} || '}}', ',' ORDER BY rank) || ']}}' AS line FROM results GROUP BY query_id"""
+)
+def answers_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers to all questions written as JSON lines in the shared folder, and read back."""
+    folder = f"{shared_dir(spark)}/answers-{uuid.uuid4().hex}"
+    sinks.write_json(answer_rows(spark, sf_dir), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "line")
+
+
+@query(
+    f"""{ANSWERED}
+SELECT query_id, string_agg(path || chr(10) || CASE WHEN len(trail) > 0 THEN '  ' || array_to_string(trail, ' > ') || chr(10) ELSE '' END || '  lines 1-' || last || chr(10) || '  ' || snippet || chr(10), chr(10) ORDER BY rank) AS block
+FROM results GROUP BY query_id"""
+)
+def answers_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.gathered(answer_rows(spark, sf_dir)).select("query_id", sinks.text_block(F.col("results")).alias("block"))
