@@ -7,13 +7,14 @@ import sys
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.functions import text as X
 from marrow.operators import blockmax, bm25, dense, embed, forward, fuse, learn, notes
-from marrow.plans import index
+from marrow.plans import index, search
 from marrow.session import shared_dir
 from marrow.sources import sinks, vault
 
@@ -412,6 +413,47 @@ def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+class NoVectors:
+    """An embedder of zeros: every chunk is as near as any other, so that the dense leg is the first chunks by key. For searches that SQL can follow."""
+
+    name = "zeros"
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        return np.zeros((len(texts), embed.DIMENSIONS), np.float32)
+
+
+def customer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What to ask the customers' notes: every nation as a tag, every segment by its name, which is an alias, and both."""
+    tags = table(spark, sf_dir, "nation").select(F.concat(F.lit("#"), "n_name").alias("query"))
+    names = table(spark, sf_dir, "customer").select("c_mktsegment").distinct()
+    both = table(spark, sf_dir, "nation").select(F.concat(F.lit("customer 00001 of "), "n_name").alias("query"))
+    return tags.union(names).union(both).select(F.col("query").alias("query_id"), "query")
+
+
+@query(
+    _customer_terms().strip().replace("SELECT path, 0::BIGINT", ", postings AS (SELECT path, 0::BIGINT")
+    + f"""), lengths AS (SELECT DISTINCT path, dl FROM postings), df AS (SELECT term, count(*) AS df FROM postings GROUP BY term), stats AS (SELECT count(*) AS doc_count, sum(dl) / count(*) AS avgdl FROM lengths),
+questions AS (SELECT '#' || n_name AS query FROM nation UNION ALL SELECT DISTINCT c_mktsegment FROM customer UNION ALL SELECT 'customer 00001 of ' || n_name FROM nation),
+asked AS (SELECT query, term, count(*) AS times FROM (SELECT query, unnest({TOKENS.format('query')}) AS term FROM questions) GROUP BY query, term),
+scored AS (SELECT query, path, round(sum(times * {IDF} * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN df USING (term) JOIN postings USING (term), stats GROUP BY query, path),
+sparse AS (SELECT query, path, row_number() OVER (PARTITION BY query ORDER BY score DESC, path) - 1 AS sparse_rank FROM scored WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, path) <= {LIMIT}),
+dense AS (SELECT query, path, dense_rank FROM questions, (SELECT path, row_number() OVER (ORDER BY path) - 1 AS dense_rank FROM lengths) WHERE dense_rank < {LIMIT}),
+fused AS (SELECT query, path, ({LEG.format('dense_rank')} + {LEG.format('sparse_rank')})::FLOAT AS score FROM dense FULL OUTER JOIN sparse USING (query, path)),
+boosted AS (
+    SELECT query, path, (score * (CASE WHEN query = c_name OR query = c_mktsegment THEN 1.5 WHEN query = '#' || n_name THEN 1.25 ELSE 1 END)::FLOAT)::FLOAT AS score
+    FROM fused JOIN customer ON path = 'customers/' || c_custkey || '.md' JOIN nation ON c_nationkey = n_nationkey
+)
+SELECT query, row_number() OVER (PARTITION BY query ORDER BY score DESC, path)::INTEGER AS place, path, ['Customer'] AS heading_trail, 10::INTEGER AS start_line, 10::INTEGER AS end_line, round(score::DOUBLE, 9) AS score, 'text' AS body
+FROM boosted QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, path) <= {TOP}"""
+)
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product's own search, of many questions at once, over an index of the customers' notes that is written, checked and read back."""
+    folder, zeros = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", NoVectors()
+    index.write(spark, customer_files(spark, sf_dir), folder, zeros)
+    found = search.search(index.open_index(spark, folder), customer_questions(spark, sf_dir), TOP, zeros)
+    return found.select(F.col("query_id").alias("query"), "place", "path", "heading_trail", "start_line", "end_line", F.round(F.col("score").cast("double"), 9).alias("score"), "body")
+
+
 @query(
     r"""
 SELECT doc_id, strlen(regexp_replace(coalesce(text, ''), '[ \t\r\n]', '', 'g')) AS solid_bytes, true AS all_fit, true AS ordered FROM documents

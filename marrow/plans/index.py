@@ -12,6 +12,7 @@ import hashlib
 import json
 import os
 import shutil
+import sys
 import time
 import uuid
 from collections.abc import Iterator
@@ -102,6 +103,9 @@ def open_index(spark: SparkSession, folder: str) -> Index:
 
 
 def cache_base() -> str:
+    """Where each system keeps caches."""
+    if sys.platform == "darwin":
+        return os.path.expanduser("~/Library/Caches")
     return os.environ.get("XDG_CACHE_HOME") or os.path.expanduser("~/.cache")
 
 
@@ -160,7 +164,7 @@ def why(folder: str, manifest: dict | None) -> str:
     if not os.path.exists(f"{folder}/manifest.json"):
         return "missing manifest"
     if manifest and not os.path.isdir(f"{folder}/{manifest['version']}"):
-        return "missing index"
+        return "missing index.bin"
     return "stale or incompatible cache"
 
 

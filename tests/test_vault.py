@@ -151,3 +151,26 @@ def test_usage_errors(argv, capsys):
 def test_arguments_in_any_order():
     assert cli.arguments(["--json", "q w", "--top-k", "7", "--vault", "v", "ask"]) == cli.Request("v", "q w", 7, True)
     assert cli.arguments(["ask", "--vault", "v", " "]).query == " "
+
+
+def test_the_cache_folder_of_each_system(monkeypatch):
+    from marrow.plans import index
+
+    monkeypatch.setenv("HOME", "/home/x")
+    monkeypatch.delenv("XDG_CACHE_HOME", raising=False)
+    assert index.cache_base() == "/home/x/.cache"
+    monkeypatch.setenv("XDG_CACHE_HOME", "/cache")
+    assert index.cache_base() == "/cache"
+    monkeypatch.setattr(index.sys, "platform", "darwin")
+    assert index.cache_base() == "/home/x/Library/Caches"
+
+
+def test_why_a_cache_is_not_used(tmp_path):
+    from marrow.plans import index
+
+    assert index.why(str(tmp_path), None) == "missing manifest"
+    (tmp_path / "manifest.json").write_text("{}")
+    assert index.why(str(tmp_path), None) == "stale or incompatible cache"
+    assert index.why(str(tmp_path), {"version": "v-1"}) == "missing index.bin"
+    (tmp_path / "v-1").mkdir()
+    assert index.why(str(tmp_path), {"version": "v-1"}) == "stale or incompatible cache"
