@@ -21,7 +21,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,19 +91,20 @@ def pair_counts(coded: DataFrame, size: int, window: int = WINDOW) -> DataFrame:
 
 
 def information(counts: DataFrame, totals: DataFrame) -> DataFrame:
-    """(i, js, weights) of the tokens' rows: ln(n * total / (n_i * n_j)) where that is above 0. totals (i, n): one row a token."""
+    """(i, js, weights) of the tokens' rows: ln(n * total / (n_i * n_j)) where that is above 0. totals (i, n, at): one row a token; here i and js are their places."""
     both = counts.select("n", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))).alias("p"))
     all_of = totals.agg(F.sum("n").alias("all"))
-    rows = both.select("p.i", "p.j", "n").join(F.broadcast(totals.withColumnRenamed("n", "n_i")), "i").join(F.broadcast(totals.select(F.col("i").alias("j"), F.col("n").alias("n_j"))), "j").crossJoin(F.broadcast(all_of))  # a row a token; one row
+    rows = both.select("p.i", "p.j", "n").join(F.broadcast(totals.select("i", F.col("n").alias("n_i"), F.col("at").alias("at_i"))), "i").join(F.broadcast(totals.select(F.col("i").alias("j"), F.col("n").alias("n_j"), F.col("at").alias("at_j"))), "j").crossJoin(F.broadcast(all_of))  # a row a token; one row
     weight = F.ln(F.col("n").cast("double") * F.col("all") / (F.col("n_i").cast("double") * F.col("n_j")))
-    held = rows.select("i", "j", weight.alias("w")).where("w > 0")
+    held = rows.select(F.col("at_i").alias("i"), F.col("at_j").alias("j"), weight.alias("w")).where("w > 0")
     return held.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", F.col("w").cast("float").alias("w")))).alias("x")).select("i", F.col("x.j").alias("js"), F.col("x.w").alias("weights"))  # a row has at most the vocabulary
 
 
 def token_totals(counts: DataFrame) -> DataFrame:
-    """(i, n): each token's sum over its row of the symmetric matrix."""
+    """(i, n, at): each token's sum over its row of the symmetric matrix, and its place among the tokens that occur."""
     ends = counts.select("n", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("i"))
-    return ends.groupBy("i").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.orderBy("i")) - 1  # of the vocabulary at most
+    return ends.groupBy("i").agg(F.sum("n").alias("n")).withColumn("at", place)
 
 
 def times(rows: DataFrame, x: np.ndarray) -> np.ndarray:
@@ -123,7 +124,7 @@ def times(rows: DataFrame, x: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(y.ravel()))], names=["i", "y"])
 
     got = rows.select("i", "js", "weights").mapInArrow(run, "i int, y array<float>").toArrow()
-    sent.unpersist()
+    sent.destroy()
     out = np.zeros(x.shape, np.float32)
     for batch in got.to_batches():
         out[np.asarray(batch.column("i"))] = np.asarray(batch.column("y").flatten()).reshape(batch.num_rows, -1)
@@ -145,9 +146,9 @@ def orthonormal(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def leading(rows: DataFrame, size: int, active: int, dims: int) -> np.ndarray:
+def leading(rows: DataFrame, size: int, dims: int) -> np.ndarray:
     """(size, dims): leading eigenvectors of the matrix times the roots of the eigenvalues' sizes, the largest first; zeros beyond its rank."""
-    wide = min(dims + EXTRA, active)
+    wide = min(dims + EXTRA, size)
     x = np.random.default_rng(17).standard_normal((size, wide), np.float32)
     for _ in range(ROUNDS):
         x = orthonormal(times(rows, x))
@@ -228,10 +229,11 @@ def learn(coded: DataFrame, tokenizer: str, settle: Settle, dims: int = DIMENSIO
     counts = settle(pair_counts(coded, size, window), "learn-pairs")
     totals = settle(token_totals(counts), "learn-totals")
     rows = settle(information(counts, totals), "learn-rows")
-    found = totals.toArrow()  # a row a token
-    n = np.zeros(size)
-    n[np.asarray(found["i"])] = np.asarray(found["n"], np.float64)
-    out = leading(rows, size, max(1, int((n > 0).sum())), dims) * (rare / (rare + n / max(n.sum(), 1)))[:, None]
+    found = totals.toArrow().sort_by("at")  # a row a token
+    token, n = np.asarray(found["i"]), np.asarray(found["n"], np.float64)
+    out = np.zeros((size, dims), np.float32)
+    if len(token):
+        out[token] = leading(rows, len(token), dims) * (rare / (rare + n / n.sum())).astype(np.float32)[:, None]
     top = np.abs(out).max(axis=1)
     scale = np.where(top > 0, top / 127, 1).astype(np.float32)
     return Model(tokenizer, np.round(out / scale[:, None]).astype(np.int8), scale)
