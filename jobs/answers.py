@@ -2,8 +2,8 @@
 
     python -m jobs.answers DOCUMENTS QUESTIONS OUT [--config FILE] [--label NAME]
 
-Every question gets its `top_k` best documents: BM25 over whole texts, as deep as the fusion asks, then reciprocal rank,
-then the boosts for a question that names the document's folder or one of its tags, then halving of further hits of a folder.
+Every question gets its `top_k` best documents: BM25 over whole texts, as deep as the fusion asks, from postings in blocks that are written
+to OUT/index by every run; then reciprocal rank, then the boosts for a question that names the document's folder or one of its tags, then halving of further hits of a folder.
 The report is OUT/run=LABEL, one folder of files for each folder of documents, and is written anew by every run of a label; other
 labels stay. Questions that are null or have no word have no answers; questions of one id are answered one by one.
 Null texts have no words but count as documents. An empty folder name counts as null.
@@ -15,13 +15,15 @@ import argparse
 import json
 import logging
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.functions.text import snippet
-from marrow.operators import bm25, fuse
+from marrow.functions.text import snippet, tokens
+from marrow.operators import blockmax, fuse
+from marrow.session import ship
 
 log = logging.getLogger("jobs.answers")
 
@@ -33,16 +35,16 @@ ANSWERS = "question_id long, question string, place int, id long, score float, s
 MAX_BROADCAST_ROWS = 400_000
 
 
-def answers(documents: DataFrame, questions: DataFrame, config: dict) -> DataFrame:
-    """(question_id, question, place, id, score, snippet, folder)."""
+def answers(documents: DataFrame, questions: DataFrame, config: dict, settle: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(question_id, question, place, id, score, snippet, folder). settle: writes a table and reads it back."""
     tags = F.array_compact(F.array(*[F.col(c).cast("string") for c in config["tags"]]))
     folder = F.nullif(F.col(config["folder"]), F.lit(""))
     docs = documents.select(F.col(config["id"]).cast("long").alias("id"), F.col(config["text"]).alias("text"), folder.alias("folder"), tags.alias("tags"))
     asked = questions.select(F.col(config["question_id"]).cast("long").alias("question_id"), F.col(config["question"]).alias("question"))
-    asked = asked.where("question IS NOT NULL").distinct().withColumn("query_id", F.struct("question_id", F.md5("question").alias("of")))
+    asked = asked.where("question IS NOT NULL").distinct().withColumn("query_id", F.md5(F.to_json(F.struct("question_id", "question"))))
     depth = fuse.over_fetch(sys.maxsize, config["top_k"])
-    hits = bm25.search_texts(docs.select("id", "text"), ("id",), F.col("text"), asked.select("query_id", F.col("question").alias("query")), depth)
-    hits = hits.select("query_id", "id", "rank")
+    index = blockmax.opened(settle(blockmax.blocks(docs.select("id", "text"), ("id",), tokens(F.col("text"))), "blocks"), ("id",))
+    hits = blockmax.search(index, asked.select("query_id", F.col("question").alias("query")), depth, settle).select("query_id", "id", "rank")
     # the texts stay where they are read: of those that are hit the snippet goes on
     rows = docs.join(F.broadcast(hits) if asked.count() * depth <= MAX_BROADCAST_ROWS else hits, "id")
     rows = rows.select("query_id", "id", "rank", "folder", "tags", snippet(F.col("text"), config["snippet_bytes"]).alias("snippet")).join(asked, "query_id")
@@ -55,9 +57,15 @@ def answers(documents: DataFrame, questions: DataFrame, config: dict) -> DataFra
 
 def run(spark: SparkSession, documents: str, questions: str, out: str, config: dict, label: str | None = None) -> DataFrame:
     """Write the report of a label and give all that is in it."""
+    ship(spark)
     folder = f"{out}/run={label or config['label']}"
     docs, asked = spark.read.parquet(documents), spark.read.parquet(questions)
-    answers(docs, asked, config).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("folder").parquet(folder)
+
+    def settle(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{out}/index/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out}/index/{name}")
+
+    answers(docs, asked, config, settle).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("folder").parquet(folder)
     wrote = spark.read.schema(ANSWERS).parquet(folder)
     log.info("read %d documents of %s and %d questions of %s", docs.count(), documents, asked.count(), questions)
     log.info("wrote %d answers to %s", wrote.count(), folder)

@@ -71,6 +71,14 @@ def counted(batch: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray, n
     return coded.dictionary.cast(pa.string()), code, doc, tf, np.bincount(of, times, batch.num_rows).astype(np.int64)
 
 
+def listed(docs: DataFrame, key: tuple[str, ...], words: Column) -> DataFrame:
+    """(key, w): the words as they are, or with weights those that count for something."""
+    read = docs.select(*key, words.alias("w"))
+    if isinstance(read.schema["w"].dataType.elementType, T.StructType):
+        read = read.withColumn("w", F.filter("w", lambda x: x["term"].isNotNull() & (x["weight"] > 0)))
+    return read
+
+
 def blocks(docs: DataFrame, key: tuple[str, ...], words: Column) -> DataFrame:
     """(term, segment, df, docs, tfs, most, per, keys, dls) of texts given as array<string> or array<struct<term, weight>>.
 
@@ -115,17 +123,14 @@ def blocks(docs: DataFrame, key: tuple[str, ...], words: Column) -> DataFrame:
 
     ints = T.ArrayType(T.IntegerType())
     kinds = (T.StringType(), T.LongType(), T.LongType(), ints, ints, ints, ints, T.ArrayType(T.StructType([docs.schema[k] for k in key])), T.ArrayType(T.LongType()))
-    read = docs.select(*key, words.alias("w"))
-    if isinstance(read.schema["w"].dataType.elementType, T.StructType):
-        read = read.withColumn("w", F.filter("w", lambda x: x["term"].isNotNull() & (x["weight"] > 0)))
-    return read.mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(NAMES, kinds, strict=True)]))
+    return listed(docs, key, words).mapInArrow(run, T.StructType([T.StructField(n, t) for n, t in zip(NAMES, kinds, strict=True)]))
 
 
 NAMES = ["term", "segment", "df", "docs", "tfs", "most", "per", "keys", "dls"]
 
 
 def opened(written: DataFrame, key: tuple[str, ...]) -> Blocks:
-    """What blocks() gave, as written and read back."""
+    """What blocks() gave, as written and read back: segments have their names by the task that makes them, so it must not be made twice."""
     texts = written.where("term IS NULL").select("segment", "keys", "dls")
     doc_len = texts.select(F.explode(F.arrays_zip("keys", "dls")).alias("x")).select(*[F.col(f"x.keys.{k}").alias(k) for k in key], F.col("x.dls").alias("dl"))
     held = written.where("term IS NOT NULL").drop("keys", "dls")

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marrow.operators import bm25
+from marrow.operators.blockmax import counted, listed
 
 #: Words counted at a time, pairs that may be broadcast.
 SLICE_WORDS, MAX_BROADCAST_PAIRS = 500_000, 200_000
 
 
 def build(docs: DataFrame, key: tuple[str, ...], weighted: Column) -> DataFrame:
-    """(key, dl, terms array<struct<term, tf>>) of texts given as array<struct<term, weight>>: a row each, terms in the order in which they come first in a batch."""
+    """(key, dl, terms array<struct<term, tf>>) of texts given as array<string> or array<struct<term, weight>>: a row each, terms in the order in which they come first in a batch."""
     width = len(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,24 +32,16 @@ def build(docs: DataFrame, key: tuple[str, ...], weighted: Column) -> DataFrame:
             while at < whole.num_rows:
                 n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_WORDS, side="right")) - at)
                 batch, at = whole.slice(at, n), at + n
-                lists = batch.column(width)
-                of = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(lists).fill_null(0)))
-                flat = lists.flatten()
-                times = np.asarray(flat.field("weight"), np.int64)
-                words = pa.compute.dictionary_encode(flat.field("term"))
-                place = of * np.int64(max(1, len(words.dictionary))) + np.asarray(words.indices)
-                order = np.argsort(place, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(place[order]) > 0][: len(place)])
-                tf = np.add.reduceat(times[order], first) if len(first) else times
-                terms = pa.StructArray.from_arrays([words.take(pa.array(order[first])).cast(pa.string()), pa.array(tf)], names=["term", "tf"])
-                starts = pa.array(np.searchsorted(of[order][first], np.arange(n + 1)).astype(np.int32))
-                dl = np.bincount(of, times, n).astype(np.int64)
+                dictionary, code, doc, tf, dl = counted(batch, width)
+                order = np.argsort(doc, kind="stable")
+                doc, code, tf = doc[order], code[order], tf[order]
+                terms = pa.StructArray.from_arrays([dictionary.take(pa.array(code)), pa.array(tf)], names=["term", "tf"])
+                starts = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(dl), pa.ListArray.from_arrays(starts, terms)], names=[*key, "dl", "terms"])
 
     term = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
     schema = T.StructType([*(docs.schema[k] for k in key), T.StructField("dl", T.LongType()), T.StructField("terms", term)])
-    held = F.filter(weighted, lambda x: x["term"].isNotNull() & (x["weight"] > 0))
-    return docs.select(*key, held.alias("w")).mapInArrow(run, schema)
+    return listed(docs, key, weighted).mapInArrow(run, schema)
 
 
 def score(index: DataFrame, key: tuple[str, ...], terms: DataFrame, stats: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -124,11 +124,15 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def document_blocks(spark: SparkSession, sf_dir: str) -> blockmax.Blocks:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return blockmax.opened(settled(blockmax.blocks(docs, ("doc_id",), X.tokens(F.col("text"))), "blocks"), ("doc_id",))
+
+
 @query(ORACLES["bm25_batch"])
 def bm25_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bm25_batch over postings that are written in blocks with their bounds, and read only where a bound reaches the last place."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = blockmax.opened(settled(blockmax.blocks(docs, ("doc_id",), X.tokens(F.col("text"))), "blocks"), ("doc_id",))
+    index = document_blocks(spark, sf_dir)
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return blockmax.search(index, questions, TOP, settled)
 
@@ -140,12 +144,14 @@ SELECT query_id, doc_id, any_value(score) AS score, count(*) AS n_terms, sum(tf)
 def bm25_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The answers of bm25_batch as pairs, scored anew from a forward index: the score, how many of the question's words are in the text, and how often."""
     docs, key = table(spark, sf_dir, "documents").select("doc_id", "text"), ("doc_id",)
-    words = bm25.plain(F.col("text"))
+    words = X.tokens(F.col("text"))
     questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    blocks = document_blocks(spark, sf_dir)
+    pairs = settled(blockmax.search(blocks, questions, TOP, settled).select("query_id", *key), "pairs")
     index = settled(forward.build(docs, key, words), "forward")
-    terms = settled(index.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "forward-terms")
-    pairs = settled(bm25.search_texts(docs, key, F.col("text"), questions, TOP).select("query_id", *key), "pairs")
-    found = forward.score(index, key, terms, bm25.corpus_stats(index), questions, pairs)
+    asked = settled(bm25.query_terms(questions).select("term").distinct(), "asked")
+    terms = blocks.blocks.join(F.broadcast(asked) if asked.count() <= bm25.MAX_BROADCAST_TERMS else asked, "term").groupBy("term").agg(F.sum("df").alias("df"))
+    found = forward.score(index, key, terms, blocks.stats, questions, pairs)
     tf = F.aggregate("parts", F.lit(0).cast("long"), lambda s, x: s + x["tf"])
     return found.select("query_id", "doc_id", "score", F.size("parts").cast("long").alias("n_terms"), tf.alias("n_words"))
 

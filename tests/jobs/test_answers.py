@@ -1,5 +1,6 @@
 import json
 import logging
+import uuid
 
 import duckdb
 import pytest
@@ -21,6 +22,16 @@ def tables(spark, tmp_path):
     return str(tmp_path)
 
 
+@pytest.fixture
+def settle(tmp_path):
+    def run(df, name):
+        path = f"{tmp_path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    return run
+
+
 def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=str)
 
@@ -51,18 +62,18 @@ def test_a_label_is_written_anew_and_others_stay(spark, tables, caplog):
     assert rows_of(again) == rows_of(few)
 
 
-def test_both_joins_give_the_same(spark, tables, monkeypatch):
+def test_both_joins_give_the_same(spark, tables, monkeypatch, settle):
     docs, asked = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "benchmark"))
-    small = rows_of(answers.answers(docs, asked, CONFIG))
+    small = rows_of(answers.answers(docs, asked, CONFIG, settle))
     monkeypatch.setattr(answers, "MAX_BROADCAST_ROWS", 0)
-    assert rows_of(answers.answers(docs, asked, CONFIG)) == small
+    assert rows_of(answers.answers(docs, asked, CONFIG, settle)) == small
     assert max(len(r[5].encode()) for r in small) <= 20
 
 
-def test_empty_tables(spark, tables):
+def test_empty_tables(spark, tables, settle):
     docs, asked = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "benchmark"))
-    assert rows_of(answers.answers(docs.limit(0), asked, CONFIG)) == []
-    assert rows_of(answers.answers(docs, asked.limit(0), CONFIG)) == []
+    assert rows_of(answers.answers(docs.limit(0), asked, CONFIG, settle)) == []
+    assert rows_of(answers.answers(docs, asked.limit(0), CONFIG, settle)) == []
 
 
 def test_the_command(spark, tables, monkeypatch):
