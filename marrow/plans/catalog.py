@@ -373,6 +373,54 @@ def turn_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", F.col("chunk_seq").cast("long").alias("chunk_seq"), "heading_trail", X.breadcrumb(F.col("heading_trail")).alias("breadcrumb"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "body")
 
 
+def _chunk_sql() -> str:
+    """The chunks of every turn, on the hexadecimal digits of its text: the cuts one after another, then what a short piece is joined to."""
+    target, hard, under = notes.TARGET, notes.HARD_MAX, notes.MERGE_UNDER
+    nearest = lambda xs, less: f"list_min(list_transform({xs}, lambda x: abs(x - {less + target}) * 10000 + x)) % 10000"
+    tail = "'((0A)|(0D))*$'"
+    steps = f"""SELECT *, regexp_replace(substr(h, 2 * a + 1, 2 * size), {tail}, '') AS p FROM (
+        SELECT *, CASE WHEN n - a <= {hard} THEN n - a WHEN len(good) > 0 THEN {nearest('good', 0)} WHEN len(fair) > 0 THEN {nearest('fair', 0)} WHEN len(late) > 0 THEN {nearest('late', 1)}
+                       ELSE list_max(list_filter(range({hard - 3}, {hard + 1}), lambda x: NOT (w[2 * x + 1 : 2 * x + 2] BETWEEN '80' AND 'BF'))) END AS size
+        FROM (SELECT *, list_filter(blank, lambda b: b BETWEEN {target // 2} AND {target + target // 2}) AS good, list_filter(blank, lambda b: b >= {target // 3}) AS fair, list_filter(ends, lambda i: i - 1 >= {target // 3}) AS late
+        FROM (SELECT *, list_transform(list_filter(range(2, len(ends) + 1), lambda k: regexp_full_match(w[2 * ends[k - 1] + 1 : 2 * ends[k] - 2], '((20)|(09)|(0D))*')), lambda k: ends[k]) AS blank
+        FROM (SELECT *, list_filter(range(1, {hard + 1}), lambda i: w[2 * i - 1 : 2 * i] = '0A') AS ends
+        FROM (SELECT *, substr(h, 2 * a + 1, {2 * hard + 2}) AS w FROM {{}})))))"""
+    cut = f"SELECT k, r, h, n, a, line, a + size AS e, line + len(list_filter(ends, lambda i: i <= size)) AS line_e, n - a <= {hard} AS final, p FROM ({steps})"
+    return f"""
+WITH RECURSIVE turns AS (
+    SELECT row_number() OVER () AS r, coalesce(conv_id::VARCHAR, '') AS conv, 'conv-' || coalesce(conv_id::VARCHAR, '') || '-' || coalesce(turn::VARCHAR, '') || '.md' AS path, coalesce(role, '') AS role,
+           hex(encode(trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)))) AS h FROM conversations
+), begun AS (
+    SELECT 1::BIGINT AS k, r, h, len(h) // 2 AS n, 0::BIGINT AS a, 3::BIGINT AS line FROM turns WHERE h <> ''
+), cuts AS (
+    {cut.format('begun')}
+    UNION ALL
+    {cut.format('''(SELECT k + 1 AS k, r, h, n, e + len(s) // 2 AS a, line_e + (len(s) - len(replace(s, '0A', ''))) // 2 AS line FROM (SELECT *, regexp_extract(substr(h, 2 * e + 1), '^((0A)|(0D))*') AS s FROM cuts WHERE e < n))''')}
+), pieces AS (
+    SELECT r, k, line, CASE WHEN NOT final AND bare <> p AND (bare = '' OR right(bare, 2) IN ('0A', '0D')) THEN regexp_replace(bare, {tail}, '') WHEN final THEN substr(h, 2 * a + 1) ELSE p END AS piece
+    FROM (SELECT *, regexp_replace(p, '((20)|(09))*$', '') AS bare FROM cuts)
+), lined AS (
+    SELECT r, k, line, piece, line + len(list_filter(range(1, len(piece) // 2 + 1), lambda i: piece[2 * i - 1 : 2 * i] = '0A')) AS last FROM pieces
+), joined AS (
+    SELECT r, k, 0::BIGINT AS seq, line, last, piece FROM lined WHERE k = 1
+    UNION ALL
+    SELECT r, k, CASE WHEN fits THEN seq ELSE seq + 1 END, CASE WHEN fits THEN line ELSE new_line END, new_last, CASE WHEN fits THEN piece || '0A' || new ELSE new END
+    FROM (SELECT j.r, l.k, j.seq, j.line, j.piece, l.line AS new_line, l.last AS new_last, l.piece AS new, len(l.piece) < {2 * under} AND len(j.piece) + 2 + len(l.piece) <= {2 * hard} AS fits FROM joined j JOIN lined l ON l.r = j.r AND l.k = j.k + 1)
+), chunks AS (
+    SELECT r, seq, line, last, piece FROM joined QUALIFY row_number() OVER (PARTITION BY r, seq ORDER BY k DESC) = 1
+)
+SELECT path, coalesce(seq, 0) AS chunk_seq, CASE WHEN h = '' THEN [] ELSE ['Conversation ' || conv, role] END AS heading_trail, CASE WHEN h = '' THEN '' ELSE 'Conversation ' || conv || ' > ' || role END AS breadcrumb,
+       coalesce(line, 1) AS start_line, coalesce(last, 1) AS end_line, coalesce(decode(unhex(piece)), '') AS body
+FROM turns LEFT JOIN chunks USING (r)
+"""
+
+
+@query(_chunk_sql())
+def turn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """turn_sections, which SQL can follow byte by byte."""
+    return turn_sections(spark, sf_dir)
+
+
 @query("SELECT 'doc-' || doc_id || '.md' AS path, [source, lang] AS tags, 'doc-' || doc_id AS name FROM documents")
 def inline_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with one tag in the frontmatter, the same and another in the text, and one in a code span and a fence."""
@@ -419,6 +467,35 @@ def index_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+#: Frontmatter that cannot be read, or can: its lines, the line of the fault and what it is.
+FAULTS = (
+    ("title: x\n", None, "frontmatter that does not end"),
+    ("title:\n---\n", 0, "a title without text"),
+    ("\n\ntags: [a, [b]]\n---\n", 2, "a list within a list"),
+    ('aliases: ["a\n---\n', 0, "a list without its closing bracket"),
+    ("tags: [b, 'a]\n---\n", 0, "a quotation that does not end"),
+    ("\r\nnothing here\r\n---\n", 1, "a line without a key"),
+    ("- x\n---\n", 0, "a list item that belongs to no key"),
+    ("tags:\n- a\n\n  - {b: c}\n---\n", 3, "a list item that is no plain text"),
+    ("title: |\n---\n", 0, "a title that is no plain text"),
+    ("aliases: {a}\n---\n", 0, "aliases or tags that are no plain list"),
+    ("title: |-\ntags: a, b\nother:\n  - [x]\n----\n", 0, None),
+)
+
+
+@query(
+    f"""SELECT path, CASE WHEN what IS NOT NULL THEN 'unsupported frontmatter in ' || path || ':' || line || ': ' || what END AS error
+FROM (SELECT 'c/' || c_custkey || '-' || f.kind || '.md' AS path, CASE WHEN f.at IS NULL THEN 1 ELSE 2 + c_nationkey + f.at END AS line, f.what
+      FROM customer, (VALUES {', '.join(f"({i}, {'NULL' if at is None else at}, {'NULL' if what is None else f'{what!r}'})" for i, (_, at, what) in enumerate(FAULTS))}) f(kind, at, what))"""
+)
+def note_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's note with every fault of FAULTS, after as many lines as the nation's number: what is said of it, with the line."""
+    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(text).alias("text")) for i, (text, *_) in enumerate(FAULTS)]))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", kinds.alias("f"))
+    text = F.concat(F.lit("---\n"), F.repeat(F.lit("k: v\n"), F.col("c_nationkey").cast("int")), "f.text", F.when(F.col("f.kind") > 0, "# Text\n").otherwise(""))
+    return notes.parse(note_files(rows, F.concat(F.lit("c/"), "c_custkey", F.lit("-"), "f.kind", F.lit(".md")), text)).select("path", "error")
+
+
 class NoVectors:
     """An embedder of zeros: every chunk is as near as any other, so that the dense leg is the first chunks by key. For searches that SQL can follow."""
 

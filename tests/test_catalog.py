@@ -100,3 +100,24 @@ def test_both_legs_send_what_the_reference_asks_for(spark, tmp_path, name):
     assert got == [(r[0], r[2], r[3]) for r in want]
     assert {d for d, *_ in got} > {50, 51, 52, 53}
     assert catalog.LIMIT == fuse.over_fetch(10**9, catalog.TOP) == 100
+
+
+def test_chunks_against_sql(spark, tmp_path):
+    """Texts of every kind of line, blank and character, in one section each."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(6)
+    parts = ["word ", "é", "日本", "x" * 40, "\n", "\n\n", "\r\n", " \t", "\n \n", "end. ", "y" * 300, "\n" + "z" * 240]
+    texts = ["".join(rng.choice(parts[: rng.choice([4, 8, 12])]) for _ in range(rng.choice([1, 20, 90, 400]))) for _ in range(250)]
+    texts += ["a" * n for n in (249, 250, 999, 1000, 1001, 1002, 2000)] + ["é" * n for n in (499, 500, 501, 1500)] + ["b" * 990 + "\n" + "c" * 100, ("a" * 700 + "\r\n \r\n") * 4 + "tail", "q" * 740 + " \n\n" + "r" * 230, "s" * 700 + "\n\n\n" + "t" * 310 + " " * 200 + "\n\n u"]
+    rows = [(i, 1, "user", t) for i, t in enumerate(texts)] + [(900, 1, "user", None), (901, 2, None, " \n "), (902, None, "x", "no turn"), (0, 1, "user", "the same id again")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.sql(catalog.ORACLES["turn_chunks"])
+    got = catalog.QUERIES["turn_chunks"](spark, str(tmp_path))
+    found = sorted((tuple(r[c] for c in want.columns) for r in got.collect()), key=str)
+    assert found == sorted(want.fetchall(), key=str)
+    assert len(found) > 1.5 * len(texts)
