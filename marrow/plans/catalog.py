@@ -485,8 +485,8 @@ FAULTS = (
 
 @query(
     f"""SELECT path, CASE WHEN what IS NOT NULL THEN 'unsupported frontmatter in ' || path || ':' || line || ': ' || what END AS error
-FROM (SELECT 'c/' || c_custkey || '-' || f.kind || '.md' AS path, CASE WHEN f.at IS NULL THEN 1 ELSE 2 + c_nationkey + f.at END AS line, f.what
-      FROM customer, (VALUES {', '.join(f"({i}, {'NULL' if at is None else at}, {'NULL' if what is None else f'{what!r}'})" for i, (_, at, what) in enumerate(FAULTS))}) f(kind, at, what))"""
+FROM (SELECT 'c/' || c_custkey || '-' || f.kind || '.md' AS path, CASE WHEN f.place IS NULL THEN 1 ELSE 2 + c_nationkey + f.place END AS line, f.what
+      FROM customer, (VALUES {', '.join(f"({i}, {'NULL' if at is None else at}, {'NULL' if what is None else f'{what!r}'})" for i, (_, at, what) in enumerate(FAULTS))}) f(kind, place, what))"""
 )
 def note_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's note with every fault of FAULTS, after as many lines as the nation's number: what is said of it, with the line."""
