@@ -11,8 +11,8 @@ block of rows and one of queries of one list, as a matrix product.
    queries, and every list sends all its entries that reach them.
 3. For the rows so met, the lists that have not sent theirs are asked for it, and the sums rank.
 
-Equal vectors are one row of the lists, with the few smallest ids that can ever be listed, and one query,
-so that copies cost nothing; the ids of the queries come back at the end. Between stages tables are in the shared
+Equal vectors, known by two 64-bit hashes, are one row of the lists, with the few smallest ids that can ever be listed, and one
+query, so that copies cost nothing; the ids of the queries come back at the end. Between stages tables are in the shared
 folder. A cell has about ROWS rows and ASKED queries at most, whatever the size of the input.
 
 Vectors that are null or hold a null or non-finite component take no part; those of different length do not meet;
