@@ -533,7 +533,7 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The product's own search, of many questions at once, over an index of the customers' notes that is written, checked and read back."""
     folder, zeros = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", NoVectors()
     index.write(spark, customer_files(spark, sf_dir), folder, zeros)
-    found = search.search(index.open_index(spark, folder), customer_questions(spark, sf_dir), TOP, zeros)
+    found = search.search(index.open_index(spark, folder), customer_questions(spark, sf_dir), TOP, zeros, settled)
     return found.select(F.col("query_id").alias("query"), "place", "path", "heading_trail", "start_line", "end_line", F.round(F.col("score").cast("double"), 9).alias("score"), "body")
 
 

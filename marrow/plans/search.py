@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +12,17 @@ from marrow.operators import blockmax, dense, embed, fuse
 from marrow.plans.index import KEY, Index
 
 
-def search(index: Index, queries: DataFrame, top_k: int, embedder: embed.Embedder) -> DataFrame:
+def search(index: Index, queries: DataFrame, top_k: int, embedder: embed.Embedder, settle: Callable = lambda df, name: df) -> DataFrame:
     """(query_id, place, path, chunk_seq, heading_trail, start_line, end_line, score, body) for queries (query_id, query).
 
-    A null or empty query has no rows, nor has an index without chunks.
+    A null or empty query has no rows, nor has an index without chunks. settle: writes a small table and reads it back, so
+    that the queries are not worked out again for each leg.
     """
-    asked = queries.where("query IS NOT NULL AND query <> ''")
+    asked = settle(queries.where("query IS NOT NULL AND query <> ''"), "asked")
     limit = fuse.over_fetch(index.chunk_count, top_k)
-    vectors = embed.embed(asked, ("query_id",), F.col("query"), embedder)
+    vectors = settle(embed.embed(asked, ("query_id",), F.col("query"), embedder), "asked-vectors")
     near = dense.topk(index.vectors, vectors, limit, KEY)
-    found = fuse.rrf(fuse.union(near, blockmax.search(index.blocks, asked, limit), KEY))
+    found = fuse.rrf(fuse.union(near, blockmax.search(index.blocks, asked, limit, settle), KEY))
     # Candidates are at most twice the limit a query; chunks and notes are looked up for those alone.
     rows = index.chunks.join(F.broadcast(found) if limit <= 500 and asked.count() <= 1000 else found, list(KEY)).join(index.notes, "path").join(asked, "query_id")
     factor = fuse.boost(*(F.col(c) for c in ("query", "name", "title", "h1", "aliases", "tags")))
