@@ -9,7 +9,8 @@ A slice holds a bounded number of bytes (one document at least), so memory does
 partition. There is no shuffle: both operators are narrow.
 
 Nulls: a null text has no ids; null ids decode to the empty text; ids outside the vocabulary are
-skipped. Empty tables give empty tables, repeated rows and extra columns pass through unharmed.
+skipped. Empty tables give empty tables, repeated rows and extra columns pass through unharmed. Texts of any length are
+encoded whole, a very long one alone in its slice. Ties: of equal pairs the one further left is merged first.
 """
 
 from __future__ import annotations

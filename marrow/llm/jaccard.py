@@ -23,7 +23,10 @@ shuffle. Hot shingles, copies and pivots are summed before they are exchanged, o
 hot region is dealt to several tasks by its bytes, its sets and its pairs.
 
 Nulls: a text that is null or has no word has the empty set and links with nothing, its component is
-its own id. A null id is never the smallest unless all are. Repeated rows are copies.
+its own id. A null id is never the smallest unless all are. Repeated rows are copies. Empty tables have no rows. Texts of any length
+have all their shingles. Ties: of shingles that are equally rare the smaller number comes first, which no component depends
+on; a similarity of just the share asked for is a link. Only id and text are read, so further columns may have any names;
+`representatives` gives all columns back as they are.
 """
 
 from __future__ import annotations

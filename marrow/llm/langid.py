@@ -13,7 +13,9 @@ sums of integers (scaled texts are rounded): results do not depend on how rows a
 (`MAX_LANGUAGES` at most, which is checked).
 
 A text that is null or has no letter is `und` with score 0, as is every text if nothing was learned.
-Ties go to the language that sorts first. Rows with a null language are not trained on.
+Ties go to the language that sorts first. Rows with a null language are not trained on. Repeated rows are predicted alike, and
+trained on as often as they stand. Empty tables: no rows, or no language. Texts of any length are read whole. Letters beyond a-z
+that share a vector look alike; there are 101 for all scripts together. Columns to keep may have any names but those of the answers.
 
 `cutoffs` says which score a text of some length needs to be in a learned language at all: the score that all but
 `MISSED` of the held-out labelled texts of that length reach, and in no case less than `FLOOR`.

@@ -78,3 +78,11 @@ def test_query(spark, tables, library):
         r = got[d["doc_id"]]
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256((d["text"] or "").encode()).hexdigest()
+
+
+def test_a_very_long_text(spark, library):
+    text = "The same sentence, and é日本 again. " * 40_000 + "x" * 20_000
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in bpe.encode(df, decoded="decoded").collect()}
+    assert list(got[1]["ids"]) == library.encode(text, add_special_tokens=False).ids
+    assert got[1]["decoded"] == text

@@ -155,3 +155,15 @@ def test_one_row_of_each_component_where_ids_clash(spark):
     assert sorted(str(i) for i, _ in got) == ["11", "11", "2", "5", "7", "9", "None"]
     assert (5, alone) in got
     assert (2, b) in got
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """Two texts of a million words that differ in one, a third of them, and copies; a similarity of just what is asked for."""
+    words = [f"w{i * i % 7919}x{i}" for i in range(200_000)]
+    other = [*words[:100_000], "changed", *words[100_001:]]
+    twenty = [f"t{i}" for i in range(20)]  # 17 shingles; 17 of 20 are 85 of 100
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:70_000])), (4, " ".join(words)), (5, " ".join(twenty)), (6, " ".join([*twenty, "u1", "u2", "u3"])), (7, " ".join([*twenty, "u1", "u2", "u3", "u4"]))]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id bigint, text string, class_id int, component_id int, n_shingles int")
+    got = jaccard.join(df)
+    assert got.columns.count("component_id") == 1
+    assert {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in got.collect()} == {1: (1, 199_997), 2: (1, 199_997), 3: (3, 69_997), 4: (1, 199_997), 5: (5, 17), 6: (5, 20), 7: (5, 21)}

@@ -92,3 +92,16 @@ def test_edges(spark):
 def test_folds(spark):
     for r in spark.range(50).withColumn("f", fold("id", 7)).collect():
         assert r["f"] == zlib.crc32(str(r["id"]).encode()) % 7
+
+
+def test_ties_repeats_and_long_texts(spark):
+    rows = [(1, "same words here", "b"), (2, "same words here", "a"), (3, "andere woorden", "c"), (3, "andere woorden", "c"), (4, "same words here " * 100_000, None)]
+    docs = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id bigint, text string, lang string, vector string")
+    profiles = langid.learn(docs)
+    assert set(profiles) == {"a", "b", "c"}
+    assert profiles["a"] == profiles["b"]
+    got = [(r["doc_id"], r["lang_pred"], r["vector"]) for r in langid.predict(docs, profiles, keep=("vector",)).collect()]
+    assert sorted(got) == [(1, "a", "extra"), (2, "a", "extra"), (3, "c", "extra"), (3, "c", "extra"), (4, "a", "extra")]
+    twice = langid.learn(docs.unionByName(docs.where("lang = 'c'")))
+    assert np.array_equal(twice["c"], 2 * np.array(profiles["c"]))
+    assert twice["a"] == profiles["a"]

@@ -138,3 +138,11 @@ def test_features_are_looked_up_as_a_set_would():
         assert word[at].tolist() == [x for x in found if x in word.tolist()]
     known, at = toxicity.held(np.array([1, 2], np.uint64), word[:0])
     assert not known.any() and not len(at)
+
+
+def test_ties_go_to_the_lowest_grade(spark):
+    """Without words that tell, grades are as probable as they are frequent; of equally frequent ones the lowest is taken."""
+    docs = spark.createDataFrame([(i, None) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 + i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    got = toxicity.rate(docs, toxicity.learn(docs, labels)).collect()
+    assert {(r["grade"], round(r["severity"], 6), round(r["probability"], 6)) for r in got} == {(1, 1.5, 0.5)}
