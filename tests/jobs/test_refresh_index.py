@@ -107,3 +107,35 @@ def test_the_query_against_its_sql(spark, tmp_path, parts):
     want = con.sql(queries.ORACLES["job1_refresh_index"])
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted((tuple(r[c] for c in want.columns) for r in got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_two_runs_over_a_growing_copy_of_the_documents(spark, tmp_path, caplog):
+    """Half of the given documents, then the other half: the index is that of all of them, and the second run reads the second half only."""
+    caplog.set_level(logging.INFO)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    source, out, checkpoint = (f"file://{tmp_path}/{x}" for x in ("in", "out", "checkpoint"))
+    config = queries.config(refresh_index)
+    for part in (0, 1):
+        half = docs.where(f"doc_id % 2 = {part}")
+        half.repartition(3).write.mode("append").parquet(source)
+        caplog.clear()
+        got = refresh_index.run(spark, source, out, checkpoint, config)
+        assert f"read {half.count()} new rows" in caplog.text
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.sql(queries.ORACLES["job1_refresh_index"])
+    assert sorted((tuple(r[c] for c in want.columns) for r in got.collect()), key=str) == sorted(want.fetchall(), key=str)
+    assert {r["batch"] for r in refresh_index.load(spark, out, "documents").select("batch").distinct().collect()} == {0, 1}
+
+
+def test_batches_of_few_files(spark, tmp_path):
+    """As many files at a time as the config says; a run that takes several batches gives the same index."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs.repartition(5).write.parquet(f"{tmp_path}/in")
+    found = []
+    for files in (1, 100):
+        out = f"file://{tmp_path}/out{files}"
+        got = refresh_index.run(spark, f"file://{tmp_path}/in", out, f"file://{tmp_path}/checkpoint{files}", queries.config(refresh_index) | {"files_a_batch": files})
+        found.append((rows_of(got), refresh_index.load(spark, out, "documents").select("batch").distinct().count()))
+    assert found[0][0] == found[1][0]
+    assert [n for _, n in found] == [5, 1]
