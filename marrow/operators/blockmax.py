@@ -46,10 +46,17 @@ class Blocks:
         return self.blocks.groupBy("term").agg(F.sum("df").alias("df"))
 
 
+def sizes(words: pa.Array) -> np.ndarray:
+    """How many words each row of a column as listed() gives it has; if they are joined, about so many."""
+    joined = pa.types.is_string(words.type)
+    n = np.asarray((pa.compute.binary_length if joined else pa.compute.list_value_length)(words).fill_null(0), np.int64)
+    return -(-n // 6) if joined else n
+
+
 def cut(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Segments: so many rows, or words in a column of lists."""
+    """Segments: so many rows, or words."""
     for batch in batches:
-        ends, at = np.cumsum(np.asarray(pa.compute.list_value_length(batch.column(column)).fill_null(0), np.int64)), 0
+        ends, at = np.cumsum(sizes(batch.column(column))), 0
         while at < batch.num_rows:
             n = max(1, min(most, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SEGMENT_WORDS, side="right")) - at))
             yield batch.slice(at, n)
@@ -59,8 +66,13 @@ def cut(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[p
 def counted(batch: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct terms of a batch; of each term and text, in order of both, the numbers and how often; and the lengths of the texts."""
     lists = batch.column(column)
+    if joined := pa.types.is_string(lists.type):
+        lists = pa.compute.split_pattern(lists, " ")
     of = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(lists).fill_null(0)))
     flat = lists.flatten()
+    if joined:  # a text without words has been split into one empty part
+        whole = np.asarray(pa.compute.binary_length(flat)) > 0
+        flat, of = flat.filter(pa.array(whole)), of[whole]
     words, times = (flat.field("term"), np.asarray(flat.field("weight"), np.int64)) if pa.types.is_struct(flat.type) else (flat, np.ones(len(flat), np.int64))
     coded = pa.compute.dictionary_encode(words)
     place = np.asarray(coded.indices, np.int64) * max(1, batch.num_rows) + of
@@ -72,9 +84,11 @@ def counted(batch: pa.RecordBatch, column: int) -> tuple[pa.Array, np.ndarray, n
 
 
 def listed(docs: DataFrame, key: tuple[str, ...], words: Column) -> DataFrame:
-    """(key, w): the words as they are, or with weights those that count for something."""
+    """(key, w): words joined by blanks, which they have none of, as that takes less room than lists; or lists with weights of those that count for something."""
     read = docs.select(*key, words.alias("w"))
-    if isinstance(read.schema["w"].dataType.elementType, T.StructType):
+    if isinstance(read.schema["w"].dataType.elementType, T.StringType):
+        read = read.withColumn("w", F.array_join("w", " "))
+    else:
         read = read.withColumn("w", F.filter("w", lambda x: x["term"].isNotNull() & (x["weight"] > 0)))
     return read
 

@@ -10,13 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marrow.operators import bm25
-from marrow.operators.blockmax import counted, listed
+from marrow.operators.blockmax import counted, listed, sizes
 
 #: Words counted at a time, pairs that may be broadcast.
 SLICE_WORDS, MAX_BROADCAST_PAIRS = 500_000, 200_000
@@ -28,7 +27,7 @@ def build(docs: DataFrame, key: tuple[str, ...], weighted: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            ends, at = np.cumsum(np.asarray(pa.compute.list_value_length(whole.column(width)).fill_null(0), np.int64)), 0
+            ends, at = np.cumsum(sizes(whole.column(width))), 0
             while at < whole.num_rows:
                 n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_WORDS, side="right")) - at)
                 batch, at = whole.slice(at, n), at + n

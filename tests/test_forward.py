@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marrow.functions.text import tokens
 from marrow.operators import bm25, forward
 
 SCHEMA = "doc_id long, part int, text string, terms string, dl int"
@@ -19,9 +20,10 @@ def docs(spark):
     return spark.createDataFrame([(i // 2, i % 2, t, "x", 1) for i, t in enumerate([*texts, None, "", "É w1 w1"])], SCHEMA)
 
 
-def test_the_index_has_all_postings(spark, docs, monkeypatch):
+@pytest.mark.parametrize("words", [bm25.plain, tokens])
+def test_the_index_has_all_postings(spark, docs, monkeypatch, words):
     monkeypatch.setattr(forward, "SLICE_WORDS", 100)
-    index = forward.build(docs, ("doc_id", "part"), bm25.plain(F.col("text")))
+    index = forward.build(docs, ("doc_id", "part"), words(F.col("text")))
     assert index.count() == docs.count()
     rows = index.select("doc_id", "part", "dl", F.explode("terms").alias("t")).select("doc_id", "part", "dl", "t.term", "t.tf")
     assert rows_of(rows) == rows_of(bm25.term_counts(docs, ("doc_id", "part"), bm25.plain(F.col("text"))))
