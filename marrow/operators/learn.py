@@ -30,12 +30,14 @@ from marrow.operators.embed import DIMENSIONS, unit
 
 #: Bytes of text and ids handled at a time, numbers in a matrix that is sent to tasks.
 SLICE_BYTES, SLICE_IDS, MAX_NUMBERS = 1_000_000, 250_000, 40_000_000
+#: Words whose ids a worker remembers.
+MAX_WORDS = 200_000
 WINDOW, EXTRA, ROUNDS, RARE = 4, 16, 2, 1e-3
 Settle = Callable[[DataFrame, str], DataFrame]
 
 
 def token_ids(df: DataFrame, keys: tuple[str, ...], text: str, tokenizer: str) -> DataFrame:
-    """(keys, ids array<int>) by a tokenizer given as JSON."""
+    """(keys, ids array<int>) by a tokenizer given as JSON, of those that drop white space: a text's ids are those of its words, so each distinct word is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -43,10 +45,23 @@ def token_ids(df: DataFrame, keys: tuple[str, ...], text: str, tokenizer: str) -
         made = Tokenizer.from_str(tokenizer)
         made.no_padding()
         made.no_truncation()
+        if made.encode("a b \n\tc", add_special_tokens=False).ids != [i for w in "abc" for i in made.encode(w, add_special_tokens=False).ids]:
+            raise ValueError("the tokenizer keeps white space")
+        known: dict[str, list[int]] = {}
         for batch in slices(batches, "text", SLICE_BYTES):
-            found = made.encode_batch([x or "" for x in batch.column(len(keys)).to_pylist()], add_special_tokens=False)
-            ids = pa.array([e.ids for e in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], ids], names=[*keys, "ids"])
+            parts = pa.compute.split_pattern_regex(batch.column(len(keys)), "[ \t\n\r]+")
+            words = pa.compute.dictionary_encode(parts.flatten())
+            distinct = words.dictionary.to_pylist()
+            if len(known) > MAX_WORDS:
+                known.clear()
+            new = [w for w in distinct if w not in known]
+            for i in range(0, len(new), 4096):
+                some = new[i : i + 4096]
+                known.update(zip(some, (e.ids for e in made.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+            ids = pa.array([known[w] for w in distinct], pa.list_(pa.int32())).take(words.indices)  # of every word
+            word_ends, id_ends = np.asarray(parts.offsets) - parts.offsets[0].as_py(), np.r_[0, np.cumsum(np.asarray(pa.compute.list_value_length(ids), np.int64))]
+            found = pa.ListArray.from_arrays(pa.array(id_ends[word_ends].astype(np.int32)), ids.flatten())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], found], names=[*keys, "ids"])
 
     schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return df.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)

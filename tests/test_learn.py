@@ -106,3 +106,22 @@ def test_the_size_is_checked(spark, settle, tokenizer, monkeypatch):
     monkeypatch.setattr(learn, "MAX_NUMBERS", 100)
     with pytest.raises(ValueError, match="more than"):
         learn.learn(coded(spark, ["w1"], tokenizer), tokenizer, settle, 4)
+
+
+def test_ids_are_those_of_whole_texts(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(learn, "SLICE_BYTES", 300)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        given = f.read()
+    library = Tokenizer.from_str(given)
+    rows = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    rows += [None, "", " ", "\n\n", "It's  a\ttest, don't!\r\nUPPER Été 日本 a\u00a0b x\u2003y", "1234 5.6 #tag @x", "word " * 3000]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: list(r["ids"]) for r in learn.token_ids(df, ("doc_id",), "text", given).collect()}
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in enumerate(rows)}
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        keeps = f.read()
+    with pytest.raises(Exception, match="keeps white space"):
+        learn.token_ids(df, ("doc_id",), "text", keeps).collect()
