@@ -1,6 +1,6 @@
 """Exact dense top-k of any number of query vectors.
 
-Few queries are broadcast to the scan of the vectors. More are joined with them in blocks: both sides are dealt to
+Few queries are broadcast to the scan of the vectors, which are met a bounded number at a time. More are joined with them in blocks: both sides are dealt to
 cells, and a cell multiplies its rows with its queries a block at a time, in order of falling length, until no further block
 can give any query more than its last place has. A cell or task sends on its best `limit` rows a query only, and
 those meet in the rank. Products are summed in double precision and rounded, so that ties are ties anywhere.
@@ -22,9 +22,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from marrow.operators.bm25 import ranked
 
 MAX_QUERY_FLOATS = 4_000_000
+#: Numbers of the vectors that a task multiplies with the queries it was sent, STEP queries and BLOCK_ROWS rows at a time.
+HELD_FLOATS = 4_000_000
 #: Vectors in a block as it is dealt, rows and queries of a cell, and how many of either are multiplied at a time.
 PACK, CELL_ROWS, CELL_QUERIES, BLOCK_ROWS, STEP = 256, 16_384, 4_096, 1_024, 256
 DIGITS = 5
+#: Stands for an infinite score where infinity stands for one that is no number.
+MOST = np.finfo(np.float64).max
 
 
 def topk(vectors: DataFrame, queries: DataFrame, limit: int, key: tuple[str, ...], embedding: str = "embedding") -> DataFrame:
@@ -33,32 +37,54 @@ def topk(vectors: DataFrame, queries: DataFrame, limit: int, key: tuple[str, ...
     size = rows.agg(F.sum(F.size("embedding"))).first()[0] or 0
     if size > MAX_QUERY_FLOATS:
         return block_topk(vectors, rows, limit, key, embedding)
-    asked = rows.collect()
-    sent = vectors.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], np.array([r["embedding"] for r in asked], np.float64)))
+    asked: dict[int, tuple[list, list]] = {}
+    for r in rows.collect():
+        ids, vectors_of = asked.setdefault(len(r["embedding"]), ([], []))
+        ids.append(r["query_id"])
+        vectors_of.append(r["embedding"])
+    sent = vectors.sparkSession.sparkContext.broadcast({dim: (pa.array(ids, to_arrow_type(rows.schema["query_id"].dataType)), np.array(v, np.float64)) for dim, (ids, v) in asked.items()})
     names = ["query_id", *key, "score"]
+    held_floats, step = HELD_FLOATS, STEP
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix = sent.value
-        for batch in batches:
-            lists = batch.column("v")
-            held = np.flatnonzero(np.asarray(lists.is_valid()))
-            if not len(held) or not len(ids):
-                continue
-            rows = batch.take(pa.array(held))
-            flat = np.asarray(rows.column("v").flatten(), np.float64).reshape(len(held), -1)
-            scores = np.round(flat @ matrix.T, DIGITS)
-            most = min(limit, len(held))
-            # all that tie with the last place stay for the rank to decide
-            edge = np.partition(scores, len(held) - most, axis=0)[len(held) - most]
-            row, query = np.nonzero(scores >= edge)
-            kept = [rows.column(f"c{i}").take(pa.array(row)) for i in range(len(key))]
-            yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in query.tolist()], pa_id), *kept, pa.array(scores[row, query])], names=names)
-
-    id_type = rows.schema["query_id"].dataType
-    pa_id = to_arrow_type(id_type)
-    schema = T.StructType([T.StructField("query_id", id_type), *(vectors.schema[c] for c in key), T.StructField("score", T.DoubleType())])
+        for table in gathered(batches, held_floats):
+            sizes = np.asarray(pa.compute.list_value_length(table["v"]))
+            for dim in np.unique(sizes).tolist():
+                ids, matrix = sent.value.get(dim, ((), ()))
+                if not len(ids):
+                    continue
+                some = table.take(pa.array(np.flatnonzero(sizes == dim))).combine_chunks()
+                v = np.asarray(some["v"].combine_chunks().flatten(), np.float64).reshape(some.num_rows, dim)
+                order = places(some, [f"c{i}" for i in range(len(key))])
+                for i in range(0, len(ids), step):  # all that is made of a task's queries at a time is bounded
+                    of, row, score, _ = foremost(v, order, matrix[i : i + step], limit)
+                    kept = [some[f"c{k}"].combine_chunks().take(pa.array(row)) for k in range(len(key))]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(of + i)), *kept, pa.array(score)], names=names)
+
+    schema = T.StructType([T.StructField("query_id", rows.schema["query_id"].dataType), *(vectors.schema[c] for c in key), T.StructField("score", T.DoubleType())])
     cols = [F.col(c).alias(f"c{i}") for i, c in enumerate(key)]
-    return ranked(vectors.select(*cols, F.col(embedding).cast("array<float>").alias("v")).mapInArrow(run, schema), key, limit)
+    read = vectors.where(F.col(embedding).isNotNull()).select(*cols, F.col(embedding).cast("array<float>").alias("v"))
+    return ranked(read.mapInArrow(run, schema), key, limit)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of about `most` numbers of the vectors v, one batch at least."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch.column("v").flatten())
+        if n >= most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n or held:
+        yield pa.Table.from_batches(held)
+
+
+def places(keys: pa.Table, names: list[str]) -> np.ndarray:
+    """Where each row stands in the order of its key, nulls first."""
+    order = np.empty(keys.num_rows, np.int64)
+    order[np.asarray(pa.compute.sort_indices(keys.select(names), sort_keys=[(n, "ascending") for n in names], null_placement="at_start"))] = np.arange(keys.num_rows)
+    return order
 
 
 def packed(df: DataFrame, names: tuple[str, ...], rows: int) -> DataFrame:
@@ -86,21 +112,24 @@ def foremost(vectors: np.ndarray, order: np.ndarray, queries: np.ndarray, limit:
     """(query, row, score) of each query's best rows, equal scores by order, and how many blocks of rows were multiplied.
 
     Whole blocks of the rows, longest vectors first, are left out as soon as length times length is below every query's last place.
+    A score that is no number stands above all others, as Spark has it.
     """
-    length = np.linalg.norm(vectors, axis=1)
-    by_length = np.argsort(-length, kind="stable")
-    reach = np.linalg.norm(queries, axis=1)
+    length, reach = np.linalg.norm(vectors, axis=1), np.linalg.norm(queries, axis=1)
+    by_length = np.argsort(-np.where(np.isnan(length), np.inf, length), kind="stable")
+    odd = not (np.isfinite(length).all() and np.isfinite(reach).all())
     n = len(queries)
     score, row = np.full((n, limit), -np.inf), np.full((n, limit), len(vectors))
     place = np.append(order, np.iinfo(np.int64).max)  # of no row
     blocks = 0
     for i in range(0, len(vectors), BLOCK_ROWS):
         some = by_length[i : i + BLOCK_ROWS]
-        if (length[some[0]] * reach * (1 + 1e-9) + 10.0**-DIGITS < score[:, -1]).all():
+        if not odd and (length[some[0]] * reach * (1 + 1e-9) + 10.0**-DIGITS < score[:, -1]).all():
             break
         blocks += 1
         some = some[np.argsort(order[some])]
         new = np.round(queries @ vectors[some].T, DIGITS)
+        if odd:
+            new = np.where(np.isnan(new), np.inf, np.minimum(new, MOST))
         if len(some) > limit:  # the best of the block, of equal ones the first by order
             edge = np.partition(new, len(some) - limit, axis=1)[:, len(some) - limit, None]
             tied, room = new == edge, limit - (new > edge).sum(axis=1, keepdims=True)
@@ -112,7 +141,11 @@ def foremost(vectors: np.ndarray, order: np.ndarray, queries: np.ndarray, limit:
         best = np.lexsort((place[row], -score), axis=1)[:, :limit]
         score, row = np.take_along_axis(score, best, 1), np.take_along_axis(row, best, 1)
     of, at = np.nonzero(row < len(vectors))
-    return of, row[of, at], score[of, at], blocks
+    row, score = row[of, at], score[of, at]
+    if odd:
+        top = np.flatnonzero(score >= MOST)
+        score[top] = np.round((queries[of[top]] * vectors[row[top]]).sum(axis=1), DIGITS)
+    return of, row, score, blocks
 
 
 def block_topk(vectors: DataFrame, queries: DataFrame, limit: int, key: tuple[str, ...], embedding: str = "embedding") -> DataFrame:
@@ -135,8 +168,7 @@ def block_topk(vectors: DataFrame, queries: DataFrame, limit: int, key: tuple[st
         if not rows.num_rows or not asked.num_rows:
             return pa.table({n: pa.array([], t) for n, t in types.items()})
         (keys, v), (ids, q) = unpack(rows), unpack(asked)
-        order = np.empty(len(v), np.int64)
-        order[np.asarray(pa.compute.sort_indices(keys, sort_keys=[(n, "ascending") for n in names], null_placement="at_start"))] = np.arange(len(v))
+        order = places(keys, list(names))
         out = []
         for i in range(0, len(q), STEP):
             of, row, score, _ = foremost(v, order, q[i : i + STEP], limit)
