@@ -43,6 +43,11 @@ def weighted_tokens(fields: list[tuple[Column, int]]) -> Column:
     return F.flatten(F.array(*[counted(c, w) for c, w in fields]))
 
 
+def repeated_tokens(fields: list[tuple[Column, int]]) -> Column:
+    """array<string> of several texts, each one's tokens as often as it counts."""
+    return F.flatten(F.concat(*[F.array_repeat(tokens(c), weight) for c, weight in fields]))
+
+
 def sparse_fields() -> list[tuple[Column, int]]:
     """The weighted fields of a chunk joined with its note."""
     text = {"breadcrumb": breadcrumb(F.col("heading_trail")), "aliases": joined(F.col("aliases")), "tags": joined(F.col("tags"))}

@@ -6,42 +6,19 @@ terms of the query. The index is made where the texts are read, without an excha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marrow.operators import bm25
-from marrow.operators.blockmax import counted, listed
-
-#: Words counted at a time, pairs that may be broadcast.
-SLICE_WORDS, MAX_BROADCAST_PAIRS = 500_000, 200_000
-
+from marrow.operators.counts import SLICE_WORDS, per_text
 
-def build(docs: DataFrame, key: tuple[str, ...], weighted: Column) -> DataFrame:
-    """(key, dl, terms array<struct<term, tf>>) of texts given as array<string> or array<struct<term, weight>>: a row each, terms in the order in which they come first in a batch."""
-    width = len(key)
+#: Pairs that may be broadcast.
+MAX_BROADCAST_PAIRS = 200_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            ends, at = np.cumsum(np.asarray(pa.compute.list_value_length(whole.column(width)).fill_null(0), np.int64)), 0
-            while at < whole.num_rows:
-                n = max(1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_WORDS, side="right")) - at)
-                batch, at = whole.slice(at, n), at + n
-                dictionary, code, doc, tf, dl = counted(batch, width)
-                order = np.argsort(doc, kind="stable")
-                doc, code, tf = doc[order], code[order], tf[order]
-                terms = pa.StructArray.from_arrays([dictionary.take(pa.array(code)), pa.array(tf)], names=["term", "tf"])
-                starts = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(dl), pa.ListArray.from_arrays(starts, terms)], names=[*key, "dl", "terms"])
 
-    term = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())]))
-    schema = T.StructType([*(docs.schema[k] for k in key), T.StructField("dl", T.LongType()), T.StructField("terms", term)])
-    return listed(docs, key, weighted).mapInArrow(run, schema)
+def build(docs: DataFrame, key: tuple[str, ...], words: Column) -> DataFrame:
+    """(key, dl, terms array<struct<term, tf>>) of texts given as array<string> or array<struct<term, weight>>: a row each."""
+    return per_text(docs, key, words, SLICE_WORDS)
 
 
 def score(index: DataFrame, key: tuple[str, ...], terms: DataFrame, stats: DataFrame, queries: DataFrame, pairs: DataFrame) -> DataFrame:

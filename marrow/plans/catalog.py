@@ -46,11 +46,11 @@ def one_query(spark: SparkSession, text: str) -> DataFrame:
 
 
 def plain_index(spark: SparkSession, sf_dir: str) -> bm25.Postings:
-    return bm25.build(table(spark, sf_dir, "documents").select("doc_id", "text"), ("doc_id",), bm25.plain(F.col("text")))
+    return bm25.build(table(spark, sf_dir, "documents").select("doc_id", "text"), ("doc_id",), X.tokens(F.col("text")))
 
 
 def text_search(spark: SparkSession, sf_dir: str, queries: DataFrame, limit: int) -> DataFrame:
-    return bm25.search_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ("doc_id",), F.col("text"), queries, limit)
+    return blockmax.search_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ("doc_id",), F.col("text"), queries, limit, settled)
 
 
 # --- Sparse leg

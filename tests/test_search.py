@@ -130,3 +130,39 @@ def test_snippets(spark):
 def test_dense_text_skips_empty_parts(spark):
     df = spark.createDataFrame([("n", None, ["", "a"], "h", ["A", "B"], "body")], "name string, title string, aliases array<string>, h1 string, trail array<string>, body string")
     assert df.select(X.dense_text(*(F.col(c) for c in df.columns))).first()[0] == "n a h A > B body"
+
+
+def test_words_are_counted_inside_each_text(spark):
+    """No exchange and no table of all words in a task: what a task holds does not grow with its texts."""
+    df = spark.range(300).selectExpr("id AS k", "if(id = 7, null, concat('a b a ', id % 5, ' c')) AS text")
+    for words in (bm25.plain(F.col("text")), X.tokens(F.col("text"))):
+        found = bm25.term_counts(df, ("k",), words)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "HashAggregate" not in plan
+        got = sorted(map(tuple, found.collect()))
+        assert got == sorted((k, 5, t, n) for k in range(300) if k != 7 for t, n in (("a", 2), ("b", 1), ("c", 1), (str(k % 5), 1)))
+
+
+def test_texts_without_an_index_are_met_in_segments(spark, monkeypatch, tmp_path):
+    from marrow.operators import blockmax
+
+    monkeypatch.setattr(blockmax, "SEGMENT", 40)
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(30)]
+    rows = [(i, None if i % 50 == 9 else " ".join(rng.choices(vocabulary, range(1, 31), k=rng.randrange(40)))) for i in range(400)] + [(None, "w1 w29")]
+    df = spark.createDataFrame(rows, "k int, text string")
+    asked = spark.createDataFrame([(1, "w29 w3 w29"), (2, "W0 none"), (3, None), (4, "none"), (None, "w1 w1 w2")], "query_id long, query string")
+    made = iter(range(100))
+
+    def settle(df, name):
+        df.write.parquet(path := f"{tmp_path}/{name}-{next(made)}")
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    want = sorted(map(str, bm25.search(bm25.build(df, ("k",), bm25.plain(F.col("text"))), asked, 20).collect()))
+    assert len(want) > 40
+    for most in (bm25.MAX_BROADCAST_TERMS, 0):
+        monkeypatch.setattr(bm25, "MAX_BROADCAST_TERMS", most)
+        got = blockmax.search_texts(df, ("k",), F.col("text"), asked, 20, settle)
+        assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+        assert sorted(map(str, got.collect())) == want
+    assert blockmax.search_texts(df.limit(0), ("k",), F.col("text"), asked, 20, settle).count() == 0
