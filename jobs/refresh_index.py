@@ -11,7 +11,7 @@ at a time, and ends. Every batch has its own folder in each table below OUT, ove
 
 A document that comes again replaces its earlier version: readers take the last batch of each id, and the batch takes the
 earlier version's words out of `terms`. Of several versions in one batch the one of the newest file holds, then of the last
-path, then the last text. A null or empty text is a document without words; rows without an id are left out and counted in the log.
+path, then the last text, then the last folder. A null or empty text is a document without words; rows without an id are left out and counted in the log.
 An empty folder name counts as null. `open_index` gives what marrow.operators.bm25 searches.
 """
 
@@ -26,7 +26,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.operators import bm25
+from marrow.functions.text import tokens
+from marrow.operators import bm25, forward
+from marrow.session import ship
 
 log = logging.getLogger("jobs.refresh_index")
 
@@ -53,10 +55,10 @@ def write(df: DataFrame, path: str, *parts: str) -> None:
 
 
 def versions(stream: DataFrame, config: dict) -> DataFrame:
-    """(id, version, text, folder) of all rows of a stream of files."""
-    text, folder = F.col(config["text"]), F.nullif(F.col(config["folder"]), F.lit(""))
-    version = F.struct("_metadata.file_modification_time", "_metadata.file_path", F.coalesce(text, F.lit("")).alias("text"))
-    return stream.select(F.col(config["id"]).cast("long").alias("id"), version.alias("version"), text.alias("text"), folder.alias("folder"))
+    """(id, version, folder) of all rows of a stream of files; the version has the text, which is held once."""
+    text, folder = F.coalesce(F.col(config["text"]), F.lit("")), F.nullif(F.col(config["folder"]), F.lit(""))
+    version = F.struct("_metadata.file_modification_time", "_metadata.file_path", text.alias("text"))
+    return stream.select(F.col(config["id"]).cast("long").alias("id"), version.alias("version"), folder.alias("folder"))
 
 
 def take(rows: DataFrame, batch_id: int, out: str) -> int:
@@ -66,9 +68,12 @@ def take(rows: DataFrame, batch_id: int, out: str) -> int:
     """
     spark, seen = rows.sparkSession, Observation()
     rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("id").isNull()).alias("bare"))
-    newest = rows.where("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("text", "folder"), "version").alias("row")).select("id", "row.*")
-    words = F.array_append(bm25.plain(F.col("text")), F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("weight")))
-    write(bm25.term_counts(newest, ("id", "folder"), words).select("id", "dl", "term", "tf", "folder"), f"{out}/postings/batch={batch_id}", "folder")
+    newest = rows.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("version", "folder")).alias("row")).select("id", "row.version.text", "row.folder")
+    # words are counted inside each text, so that no task holds the words of many
+    counted = forward.build(newest, ("id", "folder"), tokens(F.col("text")))
+    no_term = F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"))
+    rows_of = counted.select("id", "dl", F.explode(F.array_append("terms", no_term)).alias("x"), "folder")
+    write(rows_of.select("id", "dl", "x.term", "x.tf", "folder"), f"{out}/postings/batch={batch_id}", "folder")
     mine = load(spark, out, "postings").where(F.col("batch") == batch_id)
     write(mine.where("term IS NULL").select("id", "dl", "folder"), f"{out}/documents/batch={batch_id}")
     change = mine.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"))
@@ -87,6 +92,7 @@ def take(rows: DataFrame, batch_id: int, out: str) -> int:
 
 def run(spark: SparkSession, source: str, out: str, checkpoint: str, config: dict) -> DataFrame:
     """Take what is new in source, wait for the end, and give the index: (id, folder, dl, term, tf, df) of all current documents."""
+    ship(spark)
     stream = spark.readStream.schema(config["schema"]).option("maxFilesPerTrigger", config["files_a_batch"]).parquet(source)
     taken: list[int] = []
     batches = versions(stream, config).writeStream.foreachBatch(lambda rows, n: taken.append(take(rows, n, out)))
