@@ -430,9 +430,14 @@ def inline_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("path", "tags", "name")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt to all cores: a table of few bytes is read by one task, however much is made of each row."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer as a note with a title, aliases and tags."""
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    rows = spread(table(spark, sf_dir, "customer"), "c_custkey").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
     text = F.concat(
         F.lit('---\ntitle: "'), "c_name", F.lit('"\naliases: ['), "c_mktsegment", F.lit(', "'), "n_name", F.lit(', nation"]\nbalance:\n  - '), F.col("c_acctbal").cast("string"), F.lit("\ntags:\n  - "), "n_name", F.lit("\n---\n# Customer\ntext\n")
     )
@@ -491,7 +496,7 @@ FROM (SELECT 'c/' || c_custkey || '-' || f.kind || '.md' AS path, CASE WHEN f.pl
 def note_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every customer's note with every fault of FAULTS, after as many lines as the nation's number: what is said of it, with the line."""
     kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.lit(text).alias("text")) for i, (text, *_) in enumerate(FAULTS)]))
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", kinds.alias("f"))
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select("c_custkey", "c_nationkey", kinds.alias("f"))
     text = F.concat(F.lit("---\n"), F.repeat(F.lit("k: v\n"), F.col("c_nationkey").cast("int")), "f.text", F.when(F.col("f.kind") > 0, "# Text\n").otherwise(""))
     return notes.parse(note_files(rows, F.concat(F.lit("c/"), "c_custkey", F.lit("-"), "f.kind", F.lit(".md")), text)).select("path", "error")
 

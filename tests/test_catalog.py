@@ -121,3 +121,11 @@ def test_chunks_against_sql(spark, tmp_path):
     found = sorted((tuple(r[c] for c in want.columns) for r in got.collect()), key=str)
     assert found == sorted(want.fetchall(), key=str)
     assert len(found) > 1.5 * len(texts)
+
+
+def test_notes_of_a_small_table_are_parsed_by_many_tasks(spark):
+    """A table of few bytes is read by one task; all that is made of its rows must not be."""
+    files = catalog.customer_files(spark, "/root/testdata/sf0.01")
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = catalog.note_errors(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Exchange hashpartitioning(c_custkey")
