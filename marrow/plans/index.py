@@ -22,7 +22,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.functions.text import dense_text, sparse_fields, weighted_tokens
+from marrow.functions.text import dense_text, repeated_tokens, sparse_fields
 from marrow.operators import blockmax, bm25, embed, notes
 from marrow.sources import vault
 
@@ -67,11 +67,11 @@ def write(spark: SparkSession, files: DataFrame, folder: str, embedder: embed.Em
     put(kept, "notes")
     put(notes.chunk_rows(parsed), "chunks")
     enriched = get("chunks").join(get("notes"), "path")
-    words = weighted_tokens(sparse_fields())
+    words = repeated_tokens(sparse_fields())
     text = dense_text(*(F.col(c) for c in ("name", "title", "aliases", "h1", "heading_trail", "body")))
     put(embed.embed(enriched, KEY, text, embedder), "vectors")
-    # sorted by term, so that a query's terms read few row groups
-    put(bm25.term_counts(enriched, KEY, words).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    # sorted by term, so that a query's terms read few row groups; a frequent term is dealt to many tasks
+    put(bm25.term_counts(enriched, KEY, words).repartitionByRange("term", *KEY).sortWithinPartitions("term", *KEY), "postings")
     put(bm25.doc_lengths(enriched, KEY, words), "doc_len")
     put(bm25.document_frequency(get("postings")), "terms")
     put(bm25.corpus_stats(get("doc_len")), "stats")
