@@ -166,7 +166,7 @@ WITH words AS (
 @query(FIELDED_SQL)
 def bm25_fielded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return bm25.term_counts(docs, ("doc_id",), X.weighted_tokens([(F.col("text"), 1), (F.col("source"), 1), (F.col("lang"), 3)]))
+    return bm25.term_counts(docs, ("doc_id",), X.repeated_tokens([(F.col("text"), 1), (F.col("source"), 1), (F.col("lang"), 3)]))
 
 
 # --- Dense leg
