@@ -31,13 +31,12 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,16 +51,19 @@ from marrow.llm.bpe import byte_letters, tokenizer_path
 from marrow.llm.common import settled, slices
 
 #: Ids of a block at most, and blocks that a frame has where it can; a smaller frame has smaller blocks, of LEAST ids at least.
-BLOCK, LANES, LEAST = 1024, 2048, 512
+BLOCK, LANES, LEAST = 1024, 4096, 512
 END = 1
 SLICE_BYTES = 2_000_000
-#: Distinct pieces of texts whose ids a worker holds, about, the bits of their table's size, and words that it holds besides.
-PIECES, PIECE_BITS, STEMS = 600_000, 21, 150_000
+#: Distinct pieces of texts whose ids a worker holds, about, and the bits of their table's size.
+PIECES, PIECE_BITS = 600_000, 21
 #: The number of the end of a text; pieces have others.
 ENDS = np.uint64(1)
 PART_BYTES = 1_000_000
-#: Pieces that the word pattern of this family of files cuts in two at most: letters, then a run of signs (an apostrophe may join letters).
-STEM = re.compile("([" + "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c)) in ("Ll", "Lo")) + "]+)([!-/:-@\\[-`{-~]*)(?<!')")
+#: Kinds of bytes: blanks, letters up to U+024F (of ASCII, or the two bytes of another), ASCII signs, and all else.
+GAP, LETTER, SIGN, OTHER = range(4)
+KIND = np.array([GAP if word_numbers.BLANK[b] else LETTER if chr(b).isalpha() and b < 128 or 0x80 <= b < 0xC0 or 0xC3 <= b <= 0xC9 else SIGN if 32 < b < 127 and not chr(b).isdigit() else OTHER for b in range(256)], np.uint8)
+#: Among those no letters (the signs of multiplication and division), or more than one in lower case (the capital i with a dot).
+NO_LETTERS = [c.encode() for c in "\u00d7\u00f7\u0130"]
 #: Places for predictions in a block (a power of two).
 SLOTS = 512
 CLASSES = 8
@@ -458,8 +460,31 @@ class Held:
             number, value, at = number[~mine], value[~mine], (at[~mine] + 1) & int(self.mask)
 
 
+def kinds(data: np.ndarray) -> np.ndarray:
+    """The kind of every byte."""
+    kind = KIND.take(data)
+    lead = np.flatnonzero((data[:-1] == 0xC3) | (data[:-1] == 0xC4))
+    for a, b in NO_LETTERS:
+        kind[lead[(data[lead] == a) & (data[lead + 1] == b)]] = OTHER
+    return kind
+
+
+def sign_cuts(kind: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where signs begin that follow letters, of the pieces that have only both: the word pattern of this family of files cuts there, whatever the letters and signs."""
+    begins = np.zeros(len(kind) + 1, bool)
+    begins[rows] = True
+    new = begins[:-1].copy()
+    new[1:] |= kind[1:] != kind[:-1]
+    at = np.flatnonzero(new)
+    run, row = kind[at], begins[at]
+    gap = run == GAP
+    alone = np.r_[True, gap[:-1]] | row  # nothing of the piece before
+    ends = np.r_[gap[1:] | row[1:], True]
+    return at[1:][(run[:-1] == LETTER) & alone[:-1] & (run[1:] == SIGN) & ends[1:] & ~row[1:]]
+
+
 class Words:
-    """A tokenizer file's ids of texts, by pieces between ASCII blanks. A worker holds the ids of many distinct pieces."""
+    """A tokenizer file's ids of texts, by pieces between ASCII blanks, less the signs at the end of a word. A worker holds the ids of many distinct pieces."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -474,7 +499,7 @@ class Words:
         self.by_piece = steps == ["Split", "ByteLevel"] and spec["pre_tokenizer"]["pretokenizers"][0]["behavior"] == "Removed" and not spec["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]
         self.lower = "Lowercase" in json.dumps(spec["normalizer"])
         self.size, self.model = self.whole.get_vocab_size(), self.whole.model
-        self.letters = dict(enumerate(byte_letters()))
+        self.letters = np.array([ord(c) for c in byte_letters()], "<u4")
         self.forget()
 
     def forget(self) -> None:
@@ -483,7 +508,6 @@ class Words:
         self.number = np.array([ENDS], np.uint64)
         self.held.add(self.number)
         self.begin, self.length, self.flat, self.used = np.zeros(1, np.int64), np.ones(1, np.int64), np.zeros(1, np.uint32), np.zeros(1, np.int64)
-        self.stems: dict[str, bytes] = {}
 
     def thin(self) -> None:
         """Forget the pieces that were met least, half of all at least."""
@@ -499,28 +523,19 @@ class Words:
     def ids(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids_of(self, piece: str) -> bytes:
-        """Ids of a piece, four bytes each; Latin letters before a run of signs are looked up, or split, alone."""
-        found = STEM.fullmatch(piece.lower()) if self.lower else None
-        if not found:
-            return self.ids(piece)
-        stem, signs = found.groups()
-        out = self.stems.get(stem) or self.split(stem)
-        return out + (self.stems.get(signs) or self.split(signs)) if signs else out
-
-    def split(self, word: str) -> bytes:
-        if len(self.stems) > STEMS:
-            self.stems.clear()
-        found = self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
-        out = self.stems[word] = array("I", [t.id for t in found]).tobytes()
-        return out
-
-    def learn(self, number: np.ndarray, pieces: list[str]) -> None:
-        new = list(map(self.ids_of, pieces))
-        length = np.fromiter(map(len, new), np.int64, len(new)) >> 2
+    def learn(self, number: np.ndarray, pieces: list[bytes], plain: np.ndarray) -> None:
+        """plain: which pieces are letters alone, which are a word each and go to the model at once."""
+        order = np.argsort(~plain, kind="stable")
+        number, pieces, n = number[order], [pieces[i] for i in order.tolist()], int(plain.sum())
+        lowered = b"\n".join(pieces[:n]).decode().lower().encode()
+        words = self.letters.take(np.frombuffer(lowered, np.uint8)).tobytes().decode("utf-32-le").split(chr(self.letters[10])) if n else []
+        tokenize = self.model.tokenize
+        new = [[t.id for t in tokenize(w)] for w in words]
+        new += [self.whole.encode(p.decode(), add_special_tokens=False).ids for p in pieces[n:]]
+        length = np.fromiter(map(len, new), np.int64, len(new))
         self.begin = np.r_[self.begin, len(self.flat) + np.cumsum(length) - length]
         self.length = np.r_[self.length, length]
-        self.flat = np.r_[self.flat, np.frombuffer(b"".join(new), np.uint32)]
+        self.flat = np.r_[self.flat, np.fromiter(chain.from_iterable(new), np.uint32, int(length.sum()))]
         self.number = np.r_[self.number, number]
         self.used = np.r_[self.used, np.zeros(len(number), np.int64)]
         self.held.add(number)
@@ -537,7 +552,8 @@ class Words:
 
     def part(self, batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray]:
         data, rows = word_numbers.raw(batch.column("text"))
-        number, first, stop, row = word_numbers.numbers(data, rows, lower=self.lower)
+        kind = kinds(data)
+        number, first, stop, row = word_numbers.numbers(data, rows, lower=self.lower, cuts=sign_cuts(kind, rows))
         number[number <= ENDS] += np.uint64(2)  # 0 is no piece and ENDS is the end
         if self.held.size > PIECES:
             self.thin()
@@ -546,8 +562,10 @@ class Words:
         if len(missing):
             new, at = np.unique(number[missing], return_index=True)
             at = missing[at]
-            raw = data.tobytes()
-            self.learn(new, [raw[a:b].decode() for a, b in zip(first[at].tolist(), stop[at].tolist(), strict=True)])
+            raw, a, b = data.tobytes(), first[at], stop[at]
+            other = np.r_[0, np.cumsum(kind != LETTER)]
+            plain = (other[b] == other[a]) & self.lower
+            self.learn(new, [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], plain)
             where[missing] = self.held.find(number[missing])
         self.used += np.bincount(where, minlength=len(self.used))
         where = np.insert(where, row[1:], 0)

@@ -61,14 +61,16 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 NO_LETTER = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def numbers(data: np.ndarray, rows: np.ndarray, lower: bool = True, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The number, first byte and end of every word, and the first word of each row (one entry more than rows)."""
+def numbers(data: np.ndarray, rows: np.ndarray, lower: bool = True, blank: np.ndarray = BLANK, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The number, first byte and end of every word, and the first word of each row (one entry more than rows). cuts: where else a word ends and another begins."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(rows), np.int64)
     solid = ~blank[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[rows] = True
+    if cuts is not None:
+        cut[cuts] = True
     first = np.flatnonzero(solid & (cut[:-1] | np.r_[True, ~solid[:-1]]))
     end = np.flatnonzero(solid & (cut[1:] | np.r_[~solid[1:], True])) + 1
     with np.errstate(over="ignore"):

@@ -74,6 +74,21 @@ def test_ids_are_the_librarys():
         assert ids[at[i] : at[i + 1]].tolist() == [*w.whole.encode(t, add_special_tokens=False).ids, 1], repr(t)
 
 
+def test_signs_behind_words_are_pieces_of_their_own():
+    """A word is learned once, whatever signs follow it, and the ids are the library's."""
+    words, signs = [a + b for a in "tabcé" for b in ("and", "xq", "ßa")], ["", ",", ".", "?!", "'", ".'", "<|>"]
+    w = tokenfile.Words(tokenizer_path("word_bpe_49k.json"))
+    texts = [f"{a}{b} {a.upper()}{b}" for a in words for b in signs]
+    w.encode(texts, 1)
+    assert w.held.size <= 1 + 2 * len(words) + len(signs)  # é and É are two
+    rng = random.Random(2)
+    odd = ["×", "÷", "İ", "'", "s", "É", "µ", "ª", "́", "ﬁ", "7", ",", "<|endoftext|>", "|>", "Ⱥ", "ǅ", " ", "\xa0", "=", "\u0338"]
+    texts += ["".join(rng.choice(odd) for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    ids, at = w.encode(texts, 1)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == [*w.whole.encode(t, add_special_tokens=False).ids, 1], repr(t)
+
+
 def test_files_in_order_of_ids(spark, tables):
     from tokenizers import Tokenizer
 
