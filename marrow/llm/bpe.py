@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marrow.llm.common import slices, texts
+from marrow.operators.pieces import byte_letters
 
 SLICE_BYTES, HELD = 4_000_000, 250_000
 #: Texts of Latin letters and usual signs and blanks, where Python's own patterns find the same words, faster.
@@ -54,13 +55,6 @@ def latin(pattern: str) -> str:
     return pattern
 
 
-def byte_letters() -> list[str]:
-    """The visible letter that stands for each byte: itself if printable in Latin-1, else the next from U+0100 on."""
-    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
-
-
 class Vocabulary:
     """Merges by rank, the bytes of each id, and the special texts of a tokenizer file."""
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marrow.llm import words
+from marrow.operators import words
 from marrow.llm.common import settled, slices, tree_sum
 
 STATES, ROUNDS, RUN = 8, 3, 1024

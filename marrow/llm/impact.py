@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marrow.llm import words
+from marrow.operators import words
 from marrow.llm.common import settled, slices
 
 #: Documents and bytes of text in a segment, items in a block, pairs of item and term that may be broadcast.

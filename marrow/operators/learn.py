@@ -13,6 +13,7 @@ MAX_NUMBERS, whatever the number of texts. Null and empty texts have no tokens a
 from __future__ import annotations
 
 import json
+import math
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -27,9 +28,10 @@ from pyspark.sql import types as T
 
 from marrow.operators.batches import slices
 from marrow.operators.embed import DIMENSIONS, unit
+from marrow.operators.pieces import Words
 
-#: Bytes of text and ids handled at a time, numbers in a matrix that is sent to tasks.
-SLICE_BYTES, SLICE_IDS, MAX_NUMBERS = 1_000_000, 250_000, 40_000_000
+#: Bytes of text and ids handled at a time, ids whose pairs are counted at a time, numbers in a matrix that is sent to tasks.
+SLICE_BYTES, SLICE_IDS, PAIR_IDS, MAX_NUMBERS = 1_000_000, 250_000, 1_000_000, 40_000_000
 #: Words whose ids a worker remembers.
 MAX_WORDS = 200_000
 WINDOW, EXTRA, ROUNDS, RARE = 4, 16, 2, 1e-3
@@ -48,7 +50,13 @@ def token_ids(df: DataFrame, keys: tuple[str, ...], text: str, tokenizer: str) -
         if made.encode("a b \n\tc", add_special_tokens=False).ids != [i for w in "abc" for i in made.encode(w, add_special_tokens=False).ids]:
             raise ValueError("the tokenizer keeps white space")
         known: dict[str, list[int]] = {}
+        words = Words(tokenizer)
         for batch in slices(batches, "text", SLICE_BYTES):
+            if words.by_piece:
+                ids, row = words.encode(batch.column(len(keys)), None)
+                found = pa.ListArray.from_arrays(pa.array(row.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], found], names=[*keys, "ids"])
+                continue
             parts = pa.compute.split_pattern_regex(batch.column(len(keys)), "[ \t\n\r]+")
             words = pa.compute.dictionary_encode(parts.flatten())
             distinct = words.dictionary.to_pylist()
@@ -67,40 +75,38 @@ def token_ids(df: DataFrame, keys: tuple[str, ...], text: str, tokenizer: str) -
     return df.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def id_slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Batches of about SLICE_IDS ids, one row at least."""
+def id_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of about so many ids, one row at least."""
     for batch in batches:
         ends, at = np.cumsum(np.asarray(pa.compute.list_value_length(batch.column(column)), np.int64)), 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            n = max(1, int(np.searchsorted(ends, before + SLICE_IDS, side="right")) - at)
+            n = max(1, int(np.searchsorted(ends, before + most, side="right")) - at)
             yield batch.slice(at, n)
             at += n
 
 
 def pair_counts(coded: DataFrame, size: int, window: int = WINDOW) -> DataFrame:
     """(i, j, n) for i <= j of all pairs of tokens at most window apart in one text, in either order; n: window! / distance each, and twice that if i = j."""
-    nearness = [int(np.prod(range(1, window + 1))) // d for d in range(1, window + 1)]
+    worth = np.array([math.factorial(window) // d for d in range(1, window + 1)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in id_slices(batches, "ids"):
+        for batch in id_slices(batches, "ids", PAIR_IDS):
             lists = batch.column("ids")
             ids = np.asarray(lists.flatten(), np.int64)
             of = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.list_value_length(lists)))
-            keys, worth = [], []
-            for d, n in enumerate(nearness, 1):
-                a, b = ids[:-d], ids[d:]
-                same = of[:-d] == of[d:]
+            keys = []
+            for d in range(window):  # the distance goes along in the number that is sorted
+                a, b = ids[: -d - 1], ids[d + 1 :]
+                same = of[: -d - 1] == of[d + 1 :]
                 a, b = a[same], b[same]
-                keys.append(np.minimum(a, b) * size + np.maximum(a, b))
-                worth.append(np.where(a == b, 2 * n, n))
-            key, n = np.concatenate(keys), np.concatenate(worth)
-            order = np.argsort(key)
-            key = key[order]
+                keys.append((np.minimum(a, b) * size + np.maximum(a, b)) * window + d)
+            key, d = np.divmod(np.sort(np.concatenate(keys)), window)
             first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
             if len(first):
                 i, j = np.divmod(key[first], size)
-                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.add.reduceat(n[order], first))], names=["i", "j", "n"])
+                n = np.add.reduceat(worth.take(d), first) * np.where(i == j, 2, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(n)], names=["i", "j", "n"])
 
     return coded.select("ids").mapInArrow(run, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
 
@@ -214,7 +220,7 @@ class Model:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matrix, scale = sent.value
-            for batch in id_slices(batches, "ids"):
+            for batch in id_slices(batches, "ids", SLICE_IDS):
                 lists = batch.column("ids")
                 ids, sizes = np.asarray(lists.flatten()), np.asarray(pa.compute.list_value_length(lists))
                 out = np.zeros((batch.num_rows, dims))

@@ -77,7 +77,7 @@ def test_ids_are_the_librarys():
 def test_signs_behind_words_are_pieces_of_their_own():
     """A word is learned once, whatever signs follow it, and the ids are the library's."""
     words, signs = [a + b for a in "tabcé" for b in ("and", "xq", "ßa")], ["", ",", ".", "?!", "'", ".'", "<|>"]
-    w = tokenfile.Words(tokenizer_path("word_bpe_49k.json"))
+    w = tokenfile.tokenizer.__wrapped__(tokenizer_path("word_bpe_49k.json"))
     texts = [f"{a}{b} {a.upper()}{b}" for a in words for b in signs]
     w.encode(texts, 1)
     assert w.held.size <= 1 + 2 * len(words) + len(signs)  # é and É are two

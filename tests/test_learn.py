@@ -125,3 +125,21 @@ def test_ids_are_those_of_whole_texts(spark, monkeypatch):
         keeps = f.read()
     with pytest.raises(Exception, match="keeps white space"):
         learn.token_ids(df, ("doc_id",), "text", keeps).collect()
+
+
+def test_words_of_the_given_tokenizer_are_encoded_once(spark):
+    """token_ids are the library's, and a word that comes with other signs is not encoded again."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from marrow.operators.pieces import Words
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    rows = [" ".join(f"{w}{s}" for w in ("one", "Two", "éa") for s in ("", ",", ".", "!")), "", "it's 12 × <|endoftext|>,\x0bİ, b"]
+    made = Words(tokenizer)
+    ids, starts = made.encode(rows[:1], None)
+    assert made.held.size == 1 + 3 + 3
+    want = [Tokenizer.from_str(tokenizer).encode(t, add_special_tokens=False).ids for t in rows]
+    assert ids.tolist() == want[0] and starts.tolist() == [0, len(want[0])]
+    assert [r["ids"] for r in coded(spark, rows, tokenizer).orderBy("doc_id").collect()] == want
