@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from marrow.operators.notes import HARD_MAX, VaultParseError, chunk_rows, cut, first_error, frontmatter, heading, parse, parse_note
@@ -156,3 +157,20 @@ def test_time_goes_with_the_length(raw):
     note = parse_note("x.md", raw)
     assert time.process_time() - began < 15  # seconds; in the square of the length it would be many minutes
     assert all(len(c["body"].encode()) <= HARD_MAX for c in note["chunks"])
+
+
+def test_a_batch_is_parsed_in_small_slices(spark):
+    """Whatever Spark hands over at once, about a megabyte of notes is held as Python objects."""
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    rows = [(f"n{i}", b"# A\n" + b"word " * 20_000) for i in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["path", "content"])
+    got = list(parse(Files())(iter([batch])))
+    assert [p for b in got for p in b.column("path").to_pylist()] == [r[0] for r in rows]
+    assert max(b.nbytes for b in got) < 1_500_000
