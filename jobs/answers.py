@@ -2,8 +2,8 @@
 
     python -m jobs.answers DOCUMENTS QUESTIONS OUT [--config FILE] [--label NAME]
 
-Every question gets its `top_k` best documents: BM25 over whole texts, as deep as the fusion asks, from postings in blocks that are written
-to OUT/index by every run; then reciprocal rank, then the boosts for a question that names the document's folder or one of its tags, then halving of further hits of a folder.
+Every question gets its `top_k` best documents: BM25 over whole texts, as deep as the fusion asks, from postings of the asked words, in blocks
+that are written to OUT/index by every run; then reciprocal rank, then the boosts for a question that names the document's folder or one of its tags, then halving of further hits of a folder.
 The report is OUT/run=LABEL, one folder of files for each folder of documents, and is written anew by every run of a label; other
 labels stay. Questions that are null or have no word have no answers; questions of one id are answered one by one.
 Null texts have no words but count as documents. An empty folder name counts as null.
@@ -21,7 +21,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.functions.text import snippet, tokens
+from marrow.functions.text import snippet
 from marrow.operators import blockmax, fuse
 from marrow.session import ship
 
@@ -43,8 +43,8 @@ def answers(documents: DataFrame, questions: DataFrame, config: dict, settle: Ca
     asked = questions.select(F.col(config["question_id"]).cast("long").alias("question_id"), F.col(config["question"]).alias("question"))
     asked = asked.where("question IS NOT NULL").distinct().withColumn("query_id", F.md5(F.to_json(F.struct("question_id", "question"))))
     depth = fuse.over_fetch(sys.maxsize, config["top_k"])
-    index = blockmax.opened(settle(blockmax.blocks(docs.select("id", "text"), ("id",), tokens(F.col("text"))), "blocks"), ("id",))
-    hits = blockmax.search(index, asked.select("query_id", F.col("question").alias("query")), depth, settle).select("query_id", "id", "rank")
+    queries = asked.select("query_id", F.col("question").alias("query"))
+    hits = blockmax.search_texts(docs.select("id", "text"), ("id",), F.col("text"), queries, depth, settle).select("query_id", "id", "rank")
     # the texts stay where they are read: of those that are hit the snippet goes on
     rows = docs.join(F.broadcast(hits) if asked.count() * depth <= MAX_BROADCAST_ROWS else hits, "id")
     rows = rows.select("query_id", "id", "rank", "folder", "tags", snippet(F.col("text"), config["snippet_bytes"]).alias("snippet")).join(asked, "query_id")

@@ -82,3 +82,16 @@ def test_the_command(spark, tables, monkeypatch):
         json.dump(CONFIG, f)
     answers.main([f"{tables}/documents.parquet", f"{tables}/benchmark.parquet", f"{tables}/out", "--config", f"{tables}/config.json", "--label", "mine"])
     assert spark.read.parquet(f"{tables}/out/run=mine").count() > 5
+
+
+def test_only_asked_words_are_indexed(spark, tables, settle):
+    docs, asked = (spark.read.parquet(f"{tables}/{n}.parquet") for n in ("documents", "benchmark"))
+    written = []
+
+    def keep(df, name):
+        written.append(settle(df, name))
+        return written[-1]
+
+    assert rows_of(answers.answers(docs, asked, CONFIG, keep))
+    terms = {r["term"] for t in written if "tfs" in t.columns for r in t.select("term").collect()}
+    assert {"the", "retion"} <= terms and not {"of", "text"} & terms
